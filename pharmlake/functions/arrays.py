@@ -29,6 +29,17 @@ def softmax(c: Column | str) -> Column:
     return F.transform(e, lambda v: v / s)
 
 
+def with_softmax(df, c: str, out: str = "probs"):
+    """F9 staged over projections: max, exponentials, their sum, then the ratios.
+
+    Each intermediate is its own column, so no array is recomputed per element
+    (a nested expression would re-evaluate the inner array inside every lambda)."""
+    t = df.withColumn("__m", F.array_max(c))
+    t = t.withColumn("__e", F.transform(c, lambda v: F.exp(v - F.col("__m"))))
+    t = t.withColumn("__s", F.aggregate("__e", F.lit(0.0), lambda acc, v: acc + v))
+    return t.withColumn(out, F.transform("__e", lambda v: v / F.col("__s"))).drop("__m", "__e", "__s")
+
+
 def argmax(c: Column | str) -> Column:
     """0-based index of the first maximum."""
     x = _c(c)

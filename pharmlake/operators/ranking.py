@@ -122,7 +122,7 @@ def top_n_per_group(
     """
     g = list(group)
     oc = _cols(order)
-    s = salt_of if salt_of is not None else F.xxhash64(*[c for c in oc])
+    s = salt_of if salt_of is not None else F.xxhash64(*[F.col(c) for c in df.columns])
     pre = df.withColumn("__salt", F.pmod(s, F.lit(salt)))
     w1 = Window.partitionBy(*g, "__salt").orderBy(*oc)
     kept = pre.withColumn("__r1", F.row_number().over(w1)).where(F.col("__r1") <= n).drop("__r1", "__salt")

@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import argmax, clean_logits, positive_prob, softmax
+from ..functions.arrays import clean_logits, positive_prob, with_softmax
 from ..operators.metrics import classification_metrics, keyword_coverage, ranking_metrics
 
 
 def score_logits(preds: DataFrame, logits: str = "logits") -> DataFrame:
     """Clean (F8), softmax (F9), argmax (F10), positive-class probability."""
-    clean = clean_logits(logits)
-    probs = softmax(clean)
-    return preds.select("*", probs.alias("probs")).select(
-        "*", argmax("probs").alias("pred"), positive_prob("probs").alias("pos_prob"))
+    t = with_softmax(preds.withColumn("__clean", clean_logits(logits)), "__clean", "probs").drop("__clean")
+    t = t.withColumn("__max", F.array_max("probs"))
+    return t.select(*[c for c in t.columns if c != "__max"],
+                    (F.array_position("probs", F.col("__max")) - 1).cast("int").alias("pred"),
+                    positive_prob("probs").alias("pos_prob"))
 
 
 def evaluate_predictions(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
