@@ -13,7 +13,7 @@ from ..functions.molecule import present
 from ..functions.text import chatml, fill, optional_part, pick, strip
 from .clean import failed_or_reasoned, from_sources
 from .joins import pair_by_rank
-from .ranking import first_n
+from .ranking import first_n, with_seeded_bucket
 from .reports import analysis_report, comparison_report, failure_report, improvement_report, property_report
 from .splits import pick_index
 
@@ -40,72 +40,90 @@ WIDE = {"uid": "string", "smiles": "string", "name": "string", "status": "string
         "ord": "bigint"}
 
 
-def branches(data: DataFrame, seed: int = 42, max_samples: int | None = None,
-             caps: tuple[int, int, int] = (V.IMPROVEMENT_CAP, V.PROPERTY_CAP, V.COMPARISON_CAP)) -> dict[str, DataFrame]:
-    """The five task branches. ``data`` is the combined, deduplicated table with a
-    unique ``uid`` and an order column ``ord`` (load order)."""
+PAIR_COLS = ["uid", "ord", "name", "smiles", "status", "molecular_weight", "alogp", "psa"]
+
+
+def branch_specs(data: DataFrame, max_samples: int | None = None, seed: int = 42,
+                 caps: tuple[int, int, int] = (V.IMPROVEMENT_CAP, V.PROPERTY_CAP, V.COMPARISON_CAP)) -> DataFrame:
+    """M17 selection: one compact row per sample (id, task, source and the input
+    fields), before any text exists. ``data`` is the combined, deduplicated table
+    with a unique ``uid`` and a load-order column ``ord``.
+
+    Branches: every compound with a structure; the two failure sources; the first
+    ``caps[0]`` failed-or-reasoned rows; the first ``caps[1]`` rows with a weight;
+    the i-th approved with the i-th failed (first ``caps[2]`` each)."""
     d = _ensure(data, WIDE)
     imp_cap, prop_cap, cmp_cap = caps
-
-    def sid(task: str, uid: Column) -> Column:
-        return F.concat(F.lit(task + ":"), uid)
-
-    def finish(df: DataFrame, task: str) -> DataFrame:
-        out = df.select(*SAMPLE_COLS)
-        return first_n(out, [F.col("__o"), "sample_id"], max_samples) if max_samples else out
-
-    # 1. analysis of every compound with a structure
-    a = d.where(present("smiles"))
-    key = sid("drug_analysis", F.col("uid"))
-    analysis = a.select(key.alias("sample_id"), F.lit("drug_analysis").alias("task_type"),
-                        F.coalesce("source", F.lit("unknown")).alias("source"),
-                        _templated(V.ANALYSIS_TEMPLATES, key, seed, smiles="smiles", name="name").alias("instruction"),
-                        F.lit("").alias("input"), analysis_report().alias("output"), F.col("ord").alias("__o"))
-    # 2. failure analysis of the two failure sources
-    f = from_sources(d, V.FAILURE_SOURCES)
-    key = sid("failure_analysis", F.col("uid"))
-    failure = f.select(key.alias("sample_id"), F.lit("failure_analysis").alias("task_type"), F.col("source"),
-                       _templated(V.FAILURE_ANALYSIS_TEMPLATES, key, seed, name="name", smiles="smiles",
-                                  phase=F.coalesce("phase_failed", F.lit("clinical trials"))).alias("instruction"),
-                       F.lit("").alias("input"), failure_report().alias("output"), F.col("ord").alias("__o"))
-    # 3. improvements for the first failed or reasoned rows
-    fr = first_n(failed_or_reasoned(d), ["ord"], imp_cap)
-    key = sid("improvement_suggestion", F.col("uid"))
-    reason = F.coalesce("failure_reason", "warning_type", F.lit("toxicity"))
-    improve = fr.select(key.alias("sample_id"), F.lit("improvement_suggestion").alias("task_type"),
-                        F.coalesce("source", F.lit("unknown")).alias("source"),
-                        _templated(V.IMPROVEMENT_TEMPLATES, key, seed, reason=reason, name="name",
-                                   smiles="smiles").alias("instruction"),
-                        F.lit("").alias("input"), improvement_report().alias("output"), F.col("ord").alias("__o"))
-    # 4. property analysis of the first rows with a weight
-    pr = first_n(d.where(F.col("molecular_weight").isNotNull()), ["ord"], prop_cap)
-    key = sid("property_analysis", F.col("uid"))
-    prop = pr.select(key.alias("sample_id"), F.lit("property_analysis").alias("task_type"),
-                     F.coalesce("source", F.lit("unknown")).alias("source"),
-                     _templated(V.PROPERTY_TEMPLATES, key, seed, smiles="smiles").alias("instruction"),
-                     F.lit("").alias("input"), property_report().alias("output"), F.col("ord").alias("__o"))
-    # 5. comparisons: i-th approved with i-th failed
-    cols = ["uid", "ord", "name", "smiles", "status", "molecular_weight", "alogp", "psa"]
+    fields = [c for c in WIDE if c not in ("uid", "ord", "source")]
+
+    def spec(df: DataFrame, task: str, source: Column | None = None, cap: int | None = None) -> DataFrame:
+        """Project to the sample shape first, then take the first ``cap`` rows by load
+        order, so the limit sits directly on the sort (a bounded TakeOrdered)."""
+        src = F.coalesce("source", F.lit("unknown")) if source is None else source
+        out = df.select(F.concat(F.lit(task + ":"), F.col("uid")).alias("sample_id"), F.lit(task).alias("task_type"),
+                        src.alias("source"), F.col("ord").alias("__o"), *fields)
+        out = with_seeded_bucket(out, "sample_id", seed)
+        caps_ = [x for x in (cap, max_samples) if x]
+        return first_n(out, ["__o"], min(caps_)) if caps_ else out
+
+    analysis = spec(d.where(present("smiles")), "drug_analysis")
+    failure = spec(from_sources(d, V.FAILURE_SOURCES), "failure_analysis", F.col("source"))
+    improve = spec(failed_or_reasoned(d), "improvement_suggestion", cap=imp_cap)
+    prop = spec(d.where(F.col("molecular_weight").isNotNull()), "property_analysis", cap=prop_cap)
     appr = d.where(F.col("status") == "approved")
     fail = d.where(F.col("status").isin(*V.FAILED_STATUSES))
-    pairs = pair_by_rank(appr, fail, "ord", cmp_cap, cols=cols)
-    key = sid("comparison", F.concat(F.col("d1_uid"), F.lit("|"), F.col("d2_uid")))
-    comp = pairs.select(key.alias("sample_id"), F.lit("comparison").alias("task_type"),
-                        F.lit("generated").alias("source"),
-                        _templated(V.COMPARISON_TEMPLATES, key, seed, smiles1="d1_smiles", name1="d1_name",
-                                   smiles2="d2_smiles", name2="d2_name").alias("instruction"),
-                        F.lit("").alias("input"), comparison_report().alias("output"),
-                        F.col("pair_rank").cast("bigint").alias("__o"))
-    return {"drug_analysis": finish(analysis, "drug_analysis"), "failure_analysis": finish(failure, "failure_analysis"),
-            "improvement_suggestion": finish(improve, "improvement_suggestion"),
-            "property_analysis": finish(prop, "property_analysis"), "comparison": finish(comp, "comparison")}
+    pairs = pair_by_rank(appr, fail, "ord", cmp_cap, cols=PAIR_COLS)
+    comp = pairs.select(F.concat(F.lit("comparison:"), F.col("d1_uid"), F.lit("|"), F.col("d2_uid")).alias("sample_id"),
+                        F.lit("comparison").alias("task_type"), F.lit("generated").alias("source"),
+                        F.col("pair_rank").cast("bigint").alias("__o"),
+                        *[F.col(c) for c in pairs.columns if c.startswith(("d1_", "d2_"))])
+    comp = with_seeded_bucket(comp, "sample_id", seed)
+    if max_samples:
+        comp = first_n(comp, ["__o", "sample_id"], max_samples)
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [analysis, failure, improve, prop, comp])
+
+
+def _instruction(task: str, key: Column, seed: int) -> Column:
+    if task == "drug_analysis":
+        return _templated(V.ANALYSIS_TEMPLATES, key, seed, smiles="smiles", name="name")
+    if task == "failure_analysis":
+        return _templated(V.FAILURE_ANALYSIS_TEMPLATES, key, seed, name="name", smiles="smiles",
+                          phase=F.coalesce("phase_failed", F.lit("clinical trials")))
+    if task == "improvement_suggestion":
+        return _templated(V.IMPROVEMENT_TEMPLATES, key, seed, name="name", smiles="smiles",
+                          reason=F.coalesce("failure_reason", "warning_type", F.lit("toxicity")))
+    if task == "property_analysis":
+        return _templated(V.PROPERTY_TEMPLATES, key, seed, smiles="smiles")
+    return _templated(V.COMPARISON_TEMPLATES, key, seed, smiles1="d1_smiles", name1="d1_name",
+                      smiles2="d2_smiles", name2="d2_name")
+
+
+REPORTS = {"drug_analysis": analysis_report, "failure_analysis": failure_report,
+           "improvement_suggestion": improvement_report, "property_analysis": property_report,
+           "comparison": comparison_report}
+
+
+def render(specs: DataFrame, seed: int = 42, with_output: bool = True) -> DataFrame:
+    """M17 text: instruction (seeded template choice per sample) and output report.
+
+    One small projection per task type over a ``task_type`` filter (pushed to the
+    scan when ``specs`` is a written table), then a union: each projection compiles
+    to compact generated code."""
+    keep = [c for c in specs.columns if c not in SAMPLE_COLS and not c.startswith("__") and c not in WIDE
+            and not c.startswith(("d1_", "d2_"))]
+    parts = []
+    for task, report in REPORTS.items():
+        part = specs.where(F.col("task_type") == task)
+        out = report() if with_output else F.lit(None).cast("string")
+        parts.append(part.select("sample_id", "task_type", "source", _instruction(task, F.col("sample_id"), seed)
+                                 .alias("instruction"), F.lit("").alias("input"), out.alias("output"), *keep))
+    return reduce(lambda x, y: x.unionByName(y), parts)
 
 
 def build_instructions(data: DataFrame, seed: int = 42, max_samples: int | None = None) -> DataFrame:
-    """M17 + M18: union of the five branches with the ChatML ``text`` column."""
-    parts = list(branches(data, seed, max_samples).values())
-    u = reduce(lambda x, y: x.unionByName(y), parts)
-    return u.withColumn("text", chatml("instruction", "input", "output"))
+    """M17 + M18: all samples with the ChatML ``text`` column."""
+    r = render(branch_specs(data, max_samples), seed)
+    return r.withColumn("text", chatml("instruction", "input", "output"))
 
 
 # ---- M19 / P14: request prompts ---------------------------------------------

@@ -42,6 +42,14 @@ def hash_bucket(hex_col: Column, digits: int = HEX_DIGITS) -> Column:
     return hash_int(hex_col, digits).cast("int")
 
 
+def with_seeded_bucket(df: DataFrame, key: str, seed: int = 42, digits: int = HEX_DIGITS) -> DataFrame:
+    """Add ``__h`` (seeded hash of key) and ``__b`` (its bucket). Computing them where
+    the rows are produced keeps later ranks from pushing a projection through an
+    ordered limit (which would turn a bounded TakeOrdered into a full sort)."""
+    h = seeded_hash(key, seed)
+    return df.withColumn("__h", h).withColumn("__b", hash_bucket(F.col("__h"), digits))
+
+
 def _cols(xs: Sequence[Column | str]) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 

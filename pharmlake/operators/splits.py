@@ -20,6 +20,7 @@ from .ranking import (
     seeded_hash,
     seeded_row_number,
     top_n_per_group,
+    with_seeded_bucket,
 )
 
 
@@ -59,7 +60,8 @@ def split_positional(df: DataFrame, key: str, cuts: tuple[float, float] = (0.85,
     """Shuffle by the seeded order, then cut at floor(c1 * n) and floor(c2 * n)
     (double arithmetic, as the reference). Adds ``position`` and ``split``."""
     h = "__h"
-    tmp = df.withColumn(h, seeded_hash(key, seed)).withColumn("__b", hash_bucket(F.col(h), HEX_DIGITS))
+    # Reuse a seeded bucket computed upstream (see ranking.with_seeded_bucket).
+    tmp = df if {"__h", "__b"} <= set(df.columns) else with_seeded_bucket(df, key, seed)
     counts = tmp.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
     wcum = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     wall = Window.partitionBy()

@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.clean import dedup_first, source_rank, union_wide
-from ..operators.instruct import build_instructions
+from ..functions.text import chatml
+from ..operators.instruct import branch_specs, render
 from ..operators.splits import split_positional
+from ..session import cut_lineage
 
 
-def combined(compounds: DataFrame, failures: DataFrame | None = None) -> DataFrame:
+def combined(compounds: DataFrame, failures: DataFrame | None = None, materialize: bool = True) -> DataFrame:
     """U2 + U3: compounds deduplicated on structure (keep first in load order), then the
     failure tables appended. Adds ``uid`` and the load order ``ord``.
 
@@ -20,6 +22,10 @@ def combined(compounds: DataFrame, failures: DataFrame | None = None) -> DataFra
     c = compounds.withColumn("uid", F.col("compound_id")) \
         .withColumn("ord", (source_rank("source") * F.lit(1 << 40) + F.col("row_id")).cast("bigint"))
     c = dedup_first(c, "smiles", ["ord"])
+    if materialize:
+        # Five branches (and the split's count pass) read this table: write it once to
+        # the shared checkpoint folder instead of re-running the dedup shuffle per branch.
+        c = cut_lineage(c, "compounds")
     if failures is None:
         return c
     f = failures.withColumn("uid", F.concat(F.lit("F"), F.col("row_id").cast("string"))) \
@@ -29,6 +35,12 @@ def combined(compounds: DataFrame, failures: DataFrame | None = None) -> DataFra
 
 def instruction_dataset(compounds: DataFrame, failures: DataFrame | None = None, seed: int = 42,
                         max_samples: int | None = None, cuts: tuple[float, float] = (0.85, 0.95)) -> DataFrame:
-    """Samples with ``text``, a seeded shuffle ``position`` and ``split``."""
-    samples = build_instructions(combined(compounds, failures), seed, max_samples)
-    return split_positional(samples, "sample_id", cuts, seed)
+    """Samples with ``text``, a seeded shuffle ``position`` and ``split`` (L3 + T2).
+
+    The split ranks the compact per-sample rows; the report texts are rendered
+    after it, so the rank shuffle never carries the text."""
+    specs = branch_specs(combined(compounds, failures), max_samples, seed)
+    # Compact rows (no text yet): rank them, write once, render per task from the table.
+    placed = cut_lineage(split_positional(specs, "sample_id", cuts, seed), "samples")
+    r = render(placed, seed)
+    return r.withColumn("text", chatml("instruction", "input", "output"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators.clean import augment, canonicalize, dedup_first, map_label, source_rank, validate
 from ..operators.splits import split_stratified
+from ..session import cut_lineage
 
 
 def unified_from_compounds(compounds: DataFrame) -> DataFrame:
@@ -23,7 +24,8 @@ def unified_from_compounds(compounds: DataFrame) -> DataFrame:
 
 def prepare_molecules(unified: DataFrame, train: float = 0.8, seed: int = 42, min_len: int = 1,
                       max_len: int = 10_000, validator: Callable | None = None, canon: Callable | None = None,
-                      variants: Callable | None = None, n_variants: int = 2, order_col: str = "row_id") -> DataFrame:
+                      variants: Callable | None = None, n_variants: int = 2, order_col: str = "row_id",
+                      materialize: bool = True) -> DataFrame:
     """Validate (V1-V4), canonicalise (V4), keep first per structure (U3),
     augment the minority class behind the balance gate (V5, V6), split (T1).
 
@@ -32,6 +34,9 @@ def prepare_molecules(unified: DataFrame, train: float = 0.8, seed: int = 42, mi
     v = canonicalize(v, "smiles", canon)
     d = dedup_first(v, "smiles", [source_rank("source"), F.col(order_col)])
     d = augment(d, variants, n_variants)
+    if materialize:
+        # The split reads this table three times (class counts, bucket counts, ranks).
+        d = cut_lineage(d, "molecules")
     s = split_stratified(d, "label", "smiles", train, seed)
     return s.select("smiles", "name", "status", "source", "label", "split")
 

@@ -52,7 +52,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Materialise ``df`` once as a parquet table in the shared checkpoint folder and
+    read it back.
+
+    Unlike ``DataFrame.checkpoint()`` on an uncached frame (which computes the input
+    twice: once for the action, once to write), this computes it once; the result is
+    columnar, so later readers prune columns and push filters. The folder is the
+    cluster's shared ``spark.checkpoint.dir``, so the table survives executor loss.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return spark.read.parquet(path)
