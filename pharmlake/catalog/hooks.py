@@ -1 +1,94 @@
-"""placeholder"""
+"""Queries with user functions: toolkit hooks, batch scorer, responder (rows-only:
+the functions are the user's), and the Spark ML baseline (iterative, rows-only)."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from ..operators import hooks as X
+from ..operators.baseline import predict, train_baseline
+from ..plans.evaluation import evaluate_predictions, response_table, score_logits
+from ..plans.prepare import prepare_molecules, unified_from_compounds
+from ..sources import bindings as B
+from . import register
+
+
+# Stand-ins for a chemistry toolkit: a parse check (balanced brackets and rings
+# closed), a canonical form (aromatic atoms as written, branches kept) and
+# alternative spellings. Users pass real toolkit functions.
+def balanced(s: str) -> bool:
+    depth = 0
+    for ch in s:
+        depth += ch == "("
+        depth -= ch == ")"
+        if depth < 0:
+            return False
+    return depth == 0 and s.count("[") == s.count("]")
+
+
+def canonical(s: str) -> str:
+    return s.strip()
+
+
+def spellings(s: str, n: int) -> list[str]:
+    out = [s]
+    if "(" in s:
+        out.append(s.replace("(=O)", "(O=)") if "(=O)" in s else s)
+    out.append(s[::-1])
+    return out[: n + 1]
+
+
+@register("toolkit_columns")
+def toolkit_columns(spark, d):
+    c = B.compounds(spark, d).where(F.col("smiles").isNotNull()).select("row_id", "smiles")
+    return X.with_toolkit(c, "smiles", valid=balanced, canon=canonical, variants=spellings, n=2) \
+        .select("row_id", "is_valid", "canonical", F.size("variants").alias("n_variants"))
+
+
+@register("prepare_with_toolkit")
+def prepare_with_toolkit(spark, d):
+    u = unified_from_compounds(B.compounds(spark, d))
+    return prepare_molecules(u, validator=balanced, canon=canonical, variants=spellings, n_variants=2)
+
+
+@register("batch_scores")
+def batch_scores(spark, d):
+    """X2 + M23: a user scorer called on batches of 16 rows; logits from text length."""
+
+    def scorer(pdf: pd.DataFrame) -> list[list[float]]:
+        n = pdf["n_chars"].astype(float) / 1000.0
+        return [[-x, x] for x in n]
+
+    docs = B.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "n_chars")
+    s = X.score_batches(docs, scorer, "id", 16, ("n_chars",))
+    labels = B.table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
+    return score_logits(s.join(labels, "id")).select("id", "label", "pred", "pos_prob")
+
+
+@register("batch_score_metrics")
+def batch_score_metrics(spark, d):
+    return evaluate_predictions(batch_scores(spark, d))
+
+
+@register("responder_coverage")
+def responder_coverage(spark, d):
+    """X3 + M22: a user responder on user turns, then keyword coverage."""
+    users = B.chats(spark, d).where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("prompt"))
+    r = X.respond(users, lambda p: "Response: " + p.lower(), "prompt", "response")
+    r = r.withColumn("response_length", F.length("response")).withColumn(
+        "keywords", F.when(F.col("conv_id") % 2 == 0, F.lit("the,of")).otherwise(F.lit("")))
+    return response_table(r).select("conv_id", "turn", "response_length", "keyword_coverage")
+
+
+@register("baseline_predictions")
+def baseline_predictions(spark, d):
+    """Train on the train split of the prepared molecules, score the test split."""
+    prepared = prepare_molecules(unified_from_compounds(B.compounds(spark, d)))
+    model = train_baseline(prepared.where(F.col("split") == "train"))
+    return predict(model, prepared.where(F.col("split") == "test")).select("smiles", "label", "pred", "pos_prob")
+
+
+@register("baseline_metrics")
+def baseline_metrics(spark, d):
+    return evaluate_predictions(baseline_predictions(spark, d))

@@ -73,7 +73,10 @@ def score_batches(df: DataFrame, fn: Callable[[pd.DataFrame], list], id_col: str
 def respond(df: DataFrame, fn: Callable[[str], str], prompt_col: str = "prompt",
             out_col: str = "response") -> DataFrame:
     """A user responder applied to a prompt column on Arrow batches."""
-    schema = df.schema.add(out_col, "string")
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    # A new StructType: StructType.add would change the frame's cached schema in place.
+    schema = StructType(list(df.schema.fields) + [StructField(out_col, StringType(), True)])
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
