@@ -1,0 +1,6 @@
+"""A deterministic stand-in for a toolkit's alternative-spelling function, used in
+tests and examples: the original and its reverse (at most n extra)."""
+
+
+def toy_variants(s: str, n: int) -> list[str]:
+    return [s, s[::-1]][: n + 1]
