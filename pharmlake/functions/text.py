@@ -61,13 +61,18 @@ def shorten(c: Column | str, n: int = 100) -> Column:
 
 
 def fixed(c: Column | str, places: int) -> Column:
-    """fixed-decimal text ('nan' for missing, as the reference prints NaN)."""
-    return F.coalesce(F.format_string(f"%.{places}f", _c(c).cast("double")), F.lit("nan"))
+    """fixed-decimal text ('nan' for missing, as the reference prints NaN).
+
+    The null test is explicit: format_string formats a null as the text 'null' cut
+    to the precision (e.g. 'n'), not as a null."""
+    x = _c(c).cast("double")
+    return F.when(x.isNull() | F.isnan(x), F.lit("nan")).otherwise(F.format_string(f"%.{places}f", x))
 
 
 def signed_fixed(c: Column | str, places: int) -> Column:
     """signed fixed-decimal text (e.g. '+25.4')."""
-    return F.coalesce(F.format_string(f"%+.{places}f", _c(c).cast("double")), F.lit("nan"))
+    x = _c(c).cast("double")
+    return F.when(x.isNull() | F.isnan(x), F.lit("nan")).otherwise(F.format_string(f"%+.{places}f", x))
 
 
 def optional_part(c: Column | str, prefix: str) -> Column:
