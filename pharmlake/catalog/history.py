@@ -15,7 +15,7 @@ from . import register
 select row_id, status, row_number() over (partition by status order by row_id) as rn from compounds""")
 def rank_within_status(spark, d):
     c = B.compounds(spark, d).select("row_id", "status")
-    return H.rank_in(c, ["status"], "row_id", "rn")
+    return H.rank_in(c, ["status"], "row_id", "rn", small_groups=True)
 
 
 @register("best_epoch", W("run_history") + """

@@ -399,10 +399,11 @@ def stage_funnel(spark, d):
     u = unified(spark, d)
     v = u.where(valid_smiles("smiles"))
     dd = C.dedup_first(v, "smiles", [C.source_rank("source"), F.col("row_id")])
-    return funnel({"chembl": u.where(F.col("source") == "chembl"), "drugbank": u.where(F.col("source") == "drugbank"),
-                   "fda": u.where(F.col("source").isin("fda_failed", "fda_novel")), "combined": u, "valid": v,
-                   "unique": dd, "approved": dd.where(F.col("label") == 1),
-                   "not_approved": dd.where(F.col("label") == 0)})
+    src = F.col("source")
+    raw = {"chembl": src == "chembl", "drugbank": src == "drugbank", "fda": src.isin("fda_failed", "fda_novel"),
+           "combined": F.lit(True), "valid": valid_smiles("smiles")}
+    kept = {"unique": F.lit(True), "approved": F.col("label") == 1, "not_approved": F.col("label") == 0}
+    return funnel([(u, raw), (dd, kept)])
 
 
 @register("class_weights", W("compounds") + f"""

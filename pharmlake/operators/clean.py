@@ -133,7 +133,9 @@ def dedup_first(df: DataFrame, key: str, order: Sequence[Column | str]) -> DataF
     oc = [F.col(o) if isinstance(o, str) else o for o in order]
     packed = F.struct(*[o.alias(f"__o{i}") for i, o in enumerate(oc)],
                       *[F.col(c).alias(c) for c in cols if c != key])
-    winners = df.groupBy(key).agg(F.min(packed).alias("__w"))
+    # Group by (64-bit hash, key): the sort behind the aggregate compares the hash
+    # prefix first, so long keys (whole texts) are compared only on hash ties.
+    winners = df.groupBy(F.xxhash64(key).alias("__kh"), key).agg(F.min(packed).alias("__w"))
     return winners.select(*[F.col(key) if c == key else F.col(f"__w.{c}").alias(c) for c in cols])
 
 

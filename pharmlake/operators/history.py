@@ -13,13 +13,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import assistant_block, user_block
-from .ranking import global_row_number, quantile_bucket, top_n_per_group
+from .ranking import global_row_number, top_n_per_group, with_quantile_bucket
 
 
-def rank_in(df: DataFrame, part: Sequence[str], order: str, name: str = "rn", buckets: int = 64) -> DataFrame:
-    """Row position within a group by a numeric order key. Two-level: quantile
-    buckets of the key split a hot group across tasks."""
-    return global_row_number(df, [F.col(order)], quantile_bucket(df, order, buckets), name, list(part))
+def rank_in(df: DataFrame, part: Sequence[str], order: Sequence[str] | str, name: str = "rn", buckets: int = 64,
+            small_groups: bool = False) -> DataFrame:
+    """Row position within a group; the first order column is numeric or a
+    timestamp. Two-level: quantile buckets of it split a hot group across tasks."""
+    order = [order] if isinstance(order, str) else list(order)
+    b = with_quantile_bucket(df, order[0], buckets)
+    return global_row_number(b, [F.col(o) for o in order], "__qb", name, list(part), small_groups)
 
 
 def best_epoch(history: DataFrame, run: str = "run_id", epoch: str = "epoch", loss: str = "val_loss") -> DataFrame:

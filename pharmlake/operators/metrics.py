@@ -54,13 +54,17 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
                      / (F.count(F.lit(1)).over(wall) * F.col("count"))).alias("weight"))
 
 
-def stage_funnel(stages: dict[str, DataFrame]) -> DataFrame:
-    """Rows per named stage as a long table (each stage is a lazy frame; the
-    counts run as one job over a union of one-row aggregates)."""
+def stage_funnel(passes: list[tuple[DataFrame, dict[str, Column]]]) -> DataFrame:
+    """Rows per named stage as a long table. Each (frame, {stage: condition})
+    pair is one aggregate pass with one ``count_if`` per stage (not one job per
+    stage); the one-row results are unpivoted and unioned."""
     from functools import reduce
 
-    parts = [d.agg(F.count(F.lit(1)).cast("bigint").alias("n")).select(F.lit(s).alias("stage"), "n")
-             for s, d in stages.items()]
+    parts = []
+    for df, stages in passes:
+        agg = df.agg(*[F.count_if(cond).cast("bigint").alias(name) for name, cond in stages.items()])
+        parts.append(agg.select(F.explode(F.array(*[F.struct(F.lit(n).alias("stage"), F.col(n).alias("n"))
+                                                   for n in stages])).alias("s")).select("s.stage", "s.n"))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 

@@ -57,60 +57,90 @@ def _cols(xs: Sequence[Column | str]) -> list[Column]:
 def global_row_number(
     df: DataFrame,
     order: Sequence[Column | str],
-    bucket: Column,
+    bucket: Column | str,
     name: str = "rn",
     partition: Sequence[str] = (),
+    small_groups: bool = False,
 ) -> DataFrame:
     """Exact ``row_number() over ([partition by p] order by <order>)`` without a
-    single-partition window.
-
-    ``bucket`` must be monotone in ``order`` (rows of a lower bucket sort first).
-    Buckets are ranked independently; offsets are prefix sums over the per-bucket
-    counts, a table of at most (#groups x #buckets) rows.
+    single-partition window and without one task per hot group.
+
+    ``bucket`` (an expression, or the name of a column already present) must be
+    monotone in ``order``. Each (group, bucket) is ranked in its own task; offsets are
+    prefix sums over the per-(group, bucket) counts. The offset table is broadcast when
+    its size is bounded (no groups, or ``small_groups`` for a bounded class column);
+    otherwise it is joined on (group, bucket), the partitioning the window output
+    already has, so only the small side moves.
     """
     part = list(partition)
     b = "__bucket"
-    with_b = df.withColumn(b, bucket)
+    with_b = df.withColumn(b, F.col(bucket) if isinstance(bucket, str) else bucket)
     counts = with_b.groupBy(*part, b).agg(F.count(F.lit(1)).alias("__n"))
     wcum = Window.partitionBy(*part).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*part, b, F.coalesce(F.sum("__n").over(wcum), F.lit(0)).alias("__off"))
     w = Window.partitionBy(*part, b).orderBy(*_cols(order))
     ranked = with_b.withColumn("__local", F.row_number().over(w))
-    # The offset table is bounded by the bucket parameter (x #groups); the hint lets
-    # the big side keep its (partition, bucket) partitioning from the window.
-    out = ranked.join(F.broadcast(offsets), on=[*part, b], how="inner")
-    return out.withColumn(name, (F.col("__local") + F.col("__off")).cast("bigint")).drop(b, "__local", "__off")
+    side = F.broadcast(offsets) if (not part or small_groups) else offsets
+    out = ranked.join(side, on=[*part, b], how="inner")
+    drop = [b, "__local", "__off"] + ([bucket] if isinstance(bucket, str) and bucket != b else [])
+    return out.withColumn(name, (F.col("__local") + F.col("__off")).cast("bigint")).drop(*drop)
 
 
 def seeded_row_number(df: DataFrame, key: str, seed: int = 42, name: str = "rn",
-                      partition: Sequence[str] = (), digits: int = HEX_DIGITS) -> DataFrame:
+                      partition: Sequence[str] = (), digits: int = HEX_DIGITS, small_groups: bool = False) -> DataFrame:
     """Position of each row in the seeded order md5('<seed>:<key>'), then key."""
     h = seeded_hash(key, seed)
     tmp = df.withColumn("__h", h)
-    out = global_row_number(tmp, [F.col("__h"), F.col(key)], hash_bucket(F.col("__h"), digits), name, partition)
+    out = global_row_number(tmp, [F.col("__h"), F.col(key)], hash_bucket(F.col("__h"), digits), name, partition,
+                            small_groups=small_groups)
     return out.drop("__h")
 
 
-def quantile_bucket(df: DataFrame, col: str, buckets: int = 256, rel_err: float = 1e-3) -> Column:
-    """Bucket id monotone in a numeric column, cut at approximate quantiles.
+def _numeric(df: DataFrame, col: str) -> Column:
+    """A column as double, monotone in its order (timestamps as epoch microseconds)."""
+    t = dict(df.dtypes)[col]
+    if t.startswith("timestamp"):
+        return F.unix_micros(F.col(col).cast("timestamp")).cast("double")
+    return F.col(col).cast("double")
 
-    Only the ``buckets`` cut points (a bounded list) come to the driver; rows do not.
-    """
+
+def quantile_cuts(df: DataFrame, col: str, buckets: int = 256, rel_err: float = 1e-3) -> list[float]:
+    """Approximate quantile cut points of a numeric column (a bounded list of
+    ``buckets - 1`` numbers; the rows stay on the executors)."""
+    if buckets <= 1:
+        return []
     qs = [i / buckets for i in range(1, buckets)]
-    cuts = df.approxQuantile(col, qs, rel_err) if buckets > 1 else []
-    cuts = sorted(set(c for c in cuts if c is not None))
-    c = F.col(col)
+    cuts = df.select(_numeric(df, col).alias(col)).approxQuantile(col, qs, rel_err)
+    return sorted(set(c for c in cuts if c is not None))
+
+
+def with_quantile_bucket(df: DataFrame, col: str, buckets: int = 256, out: str = "__qb") -> DataFrame:
+    """Add a bucket id monotone in a numeric (or timestamp) column, cut at approximate
+    quantiles; a JVM-side binary search per row (``Bucketizer``)."""
+    from pyspark.ml.feature import Bucketizer
+
+    cuts = quantile_cuts(df, col, buckets)
+    src = "__qv"
+    tmp = df.withColumn(src, _numeric(df, col))
+    splits = [float("-inf")] + cuts + [float("inf")]
+    bz = Bucketizer(splits=splits, inputCol=src, outputCol=out, handleInvalid="keep")
+    return bz.transform(tmp).withColumn(out, F.col(out).cast("int")).drop(src)
+
+
+def quantile_bucket(df: DataFrame, col: str, buckets: int = 256, rel_err: float = 1e-3) -> Column:
+    """Bucket id as a column expression (for small ``buckets``; prefer
+    ``with_quantile_bucket`` on large inputs)."""
+    cuts = quantile_cuts(df, col, buckets, rel_err)
     if not cuts:
         return F.lit(0)
-    # Binary search in a literal array is not a built-in; the bucket id is the number
-    # of cut points below the value, a JVM-side higher-order function.
     arr = F.array(*[F.lit(float(x)) for x in cuts])
-    return F.size(F.filter(arr, lambda x: x < c.cast("double")))
+    c = _numeric(df, col)
+    return F.size(F.filter(arr, lambda x: x < c))
 
 
 def row_number_by_key(df: DataFrame, key: str, name: str = "rn", buckets: int = 256) -> DataFrame:
     """``row_number() over (order by key)`` for a numeric key, via quantile buckets."""
-    return global_row_number(df, [F.col(key)], quantile_bucket(df, key, buckets), name)
+    return global_row_number(with_quantile_bucket(df, key, buckets), [F.col(key)], "__qb", name)
 
 
 def top_n_per_group(

@@ -118,7 +118,7 @@ def split_stratified(df: DataFrame, label: str, key: str, train: float = 0.8, se
     per = per.withColumn("__test", _idiv(F.col("__hold") + 1, F.lit(2)))
     per = _largest_remainder(per, label, "__test", "__hold", "__hq", "__tq")
     quotas = per.select(label, "__hq", "__tq")
-    ranked = seeded_row_number(df, key, seed, "__rn", partition=[label])
+    ranked = seeded_row_number(df, key, seed, "__rn", partition=[label], small_groups=True)
     out = ranked.join(F.broadcast(quotas), label)  # one row per class
     return (out.withColumn("split", F.when(F.col("__rn") <= F.col("__tq"), "test")
                            .when(F.col("__rn") <= F.col("__hq"), "val").otherwise("train"))
@@ -133,5 +133,5 @@ def split_stats(df: DataFrame, split: str = "split") -> DataFrame:
 
 def kfold(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 42) -> DataFrame:
     """T4: stratified fold id = (rank within label in seeded order - 1) mod k."""
-    r = seeded_row_number(df, key, seed, "__rn", partition=[label])
+    r = seeded_row_number(df, key, seed, "__rn", partition=[label], small_groups=True)
     return r.withColumn("fold", ((F.col("__rn") - 1) % k).cast("int")).drop("__rn")
