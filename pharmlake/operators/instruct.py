@@ -117,7 +117,7 @@ def render(specs: DataFrame, seed: int = 42, with_output: bool = True) -> DataFr
         out = report() if with_output else F.lit(None).cast("string")
         parts.append(part.select("sample_id", "task_type", "source", _instruction(task, F.col("sample_id"), seed)
                                  .alias("instruction"), F.lit("").alias("input"), out.alias("output"), *keep))
-    return reduce(lambda x, y: x.unionByName(y), parts)
+    return reduce(lambda x, y: x.union(y), parts)  # identical column order
 
 
 def build_instructions(data: DataFrame, seed: int = 42, max_samples: int | None = None) -> DataFrame:
