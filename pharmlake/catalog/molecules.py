@@ -28,9 +28,10 @@ def unified(spark, d):
 
 # ---- flagship: scan -> P6 -> V1/V2 -> U3 -> M1 -> count per prediction and source
 def outcome_counts(spark, d):
-    c = B.compounds(spark, d)
+    c = B.compounds(spark, d).select("row_id", "smiles", "source", "status", "max_phase")
     c = C.drop_sentinels(c, "smiles", V.SENTINEL_NAMES)
     c = c.where(valid_length("smiles", 5, 200) & valid_alphabet("smiles"))
+    # project before the dedup: struct fields packed into the aggregate are not pruned
     c = C.dedup_first(c, "smiles", [C.source_rank("source"), F.col("row_id")])
     return c.groupBy(R.outcome().alias("prediction"), "source").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
 

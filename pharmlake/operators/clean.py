@@ -127,7 +127,8 @@ def dedup_first(df: DataFrame, key: str, order: Sequence[Column | str]) -> DataF
 
     Written as ``groupBy(key).agg(min(struct(order..., row...)))`` rather than a
     window: the aggregate is partial on the map side, so a key holding a third of
-    the rows is reduced to one row per task before the shuffle.
+    the rows is reduced to one row per task before the shuffle. Project ``df`` to the
+    needed columns first: fields packed into the struct are not pruned by Catalyst.
     """
     cols = df.columns
     oc = [F.col(o) if isinstance(o, str) else o for o in order]
