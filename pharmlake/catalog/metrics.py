@@ -66,7 +66,8 @@ def classification_metrics(spark, d):
     return _r(m, ["accuracy", "precision", "recall", "specificity", "f1_score", "macro_f1"])
 
 
-@register("score_curve", W("scored") + CURVE_SQL + "select model, score, p, n, tp, k from c")
+@register("score_curve", W("scored") + CURVE_SQL +
+         "select model, score, cast(p as bigint) as p, n, cast(tp as bigint) as tp, cast(k as bigint) as k from c")
 def score_curve(spark, d):
     c = M.score_curve(B.scored(spark, d), ["model"])
     return c.select("model", "score", F.col("p").cast("bigint").alias("p"), "n",
@@ -84,7 +85,7 @@ def ranking_metrics(spark, d):
 b AS (select model, nn, pp, pp::double / nn as prior from a)
 select model, case when prior >= 0.5 then 1 else 0 end as majority_class,
   round(case when prior >= 0.5 then prior else 1 - prior end, 6) as accuracy,
-  round(case when prior >= 0.5 then 2 * pp::double / (nn + pp) else 0 end, 6) as f1_score, 0.5 as roc_auc,
+  round(case when prior >= 0.5 then 2 * pp::double / (nn + pp) else 0 end, 6) as f1_score, 0.5::double as roc_auc,
   round(case when prior >= 0.5 then prior else 1 - prior end, 6) as pr_auc from b""")
 def majority_baseline(spark, d):
     return _r(M.majority_baseline(B.scored(spark, d), ["model"]), ["accuracy", "f1_score", "pr_auc"])
@@ -97,7 +98,7 @@ cm AS (select model, count(*) filter (where label = 1 and pred = 1) as tp, count
   count(*) filter (where label = 0 and pred = 1) as fp, count(*) filter (where label = 1 and pred = 0) as fn,
   avg(label::double) as prior from s group by model)
 select model, round(coalesce((tp + tn)::double / nullif(tp + tn + fp + fn, 0), 0), 6) as accuracy,
-  round(coalesce((2 * tp)::double / nullif(2 * tp + fp + fn, 0), 0), 6) as f1_score, 0.5 as roc_auc, round(prior, 6) as pr_auc
+  round(coalesce((2 * tp)::double / nullif(2 * tp + fp + fn, 0), 0), 6) as f1_score, 0.5::double as roc_auc, round(prior, 6) as pr_auc
 from cm""")
 def random_baseline(spark, d):
     return _r(M.random_baseline(B.scored(spark, d), ["model"], key="id"), ["accuracy", "f1_score", "pr_auc"])
@@ -201,7 +202,8 @@ select id, len(logits) as size, len(list_filter(logits, lambda x: x > 0)) as n_p
 from logits""")
 def logit_arrays(spark, d):
     lg = B.logits(spark, d)
-    return lg.select("id", F.size("logits").alias("size"), F.size(F.filter("logits", lambda x: x > 0)).alias("n_positive"),
+    return lg.select("id", F.size("logits").cast("bigint").alias("size"),
+                     F.size(F.filter("logits", lambda x: x > 0)).cast("bigint").alias("n_positive"),
                      r6(F.aggregate(F.slice("logits", 1, 3), F.lit(0.0), lambda a, x: a + x)).alias("head_sum"),
                      A.argmax("logits").alias("argmax"))
 

@@ -409,8 +409,9 @@ def stage_funnel(spark, d):
 
 @register("class_weights", W("compounds") + f"""
 , g AS (select {LABEL_SQL} as label, count(*) as count from compounds group by 1)
-select label, count, sum(count) over ()::double / (count(*) over () * count) as weight from g""")
+select label, count, round(sum(count) over ()::double / (count(*) over () * count), 6) as weight from g""")
 def class_weights_q(spark, d):
     from ..operators.metrics import class_weights
 
-    return class_weights(unified(spark, d))
+    w = class_weights(unified(spark, d))
+    return w.select("label", "count", F.round("weight", 6).alias("weight"))

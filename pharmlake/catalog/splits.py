@@ -70,9 +70,10 @@ def split_documents(spark, d):
 
 
 @register("split_document_stats", "WITH x AS (select 1)" + SPLIT_SQL + """
-, g AS (select split, count(*) as n from s group by split) select split, n, n::double / sum(n) over () as share from g""")
+, g AS (select split, count(*) as n from s group by split) select split, n, round(n::double / sum(n) over (), 6) as share from g""")
 def split_document_stats(spark, d):
-    return S.split_stats(split_documents(spark, d))
+    s = S.split_stats(split_documents(spark, d))
+    return s.select("split", "n", F.round("share", 6).alias("share"))
 
 
 @register("small_run_caps", "WITH x AS (select 1)" + SPLIT_SQL + """

@@ -56,7 +56,7 @@ select conv_id, turn, upper(substr(role, 1, 1)) || lower(substr(role, 2)) as rol
 def text_cases(spark, d):
     c = B.chats(spark, d)
     return c.select("conv_id", "turn", T.capitalise("role").alias("role_cap"), F.upper("role").alias("role_upper"),
-                    F.length(T.strip("text")).alias("stripped_length"),
+                    F.length(T.strip("text")).cast("bigint").alias("stripped_length"),
                     F.lower(F.substring("text", 1, 20)).alias("head_lower"), T.shorten("text", 100).alias("short_text"))
 
 
@@ -134,7 +134,7 @@ select row_id, len(ids) as n_tokens,
 def char_token_ids(spark, d):
     c = B.compounds(spark, d).where(F.col("smiles").isNotNull() & (F.col("smiles") != ""))
     t = c.select("row_id", F.transform(A.char_tokens("smiles"), lambda x: F.ascii(x)).alias("ids"))
-    return t.select("row_id", F.size("ids").alias("n_tokens"),
+    return t.select("row_id", F.size("ids").cast("bigint").alias("n_tokens"),
                     F.array_join(A.pad_truncate("ids", 32, 0).cast("array<string>"), ",").alias("input_ids"),
                     F.array_join(A.attention_mask("ids", 32).cast("array<string>"), ",").alias("attention_mask"))
 
@@ -144,12 +144,12 @@ select doc_id, len(string_split(text, ' ')) as n_words,
   array_to_string(string_split(text, ' ')[1:1024], ' ') as prompt from documents""")
 def fit_prompt_budget(spark, d):
     t = B.tokens(spark, d)
-    return t.select("doc_id", F.size(F.split("text", " ")).alias("n_words"),
+    return t.select("doc_id", F.size(F.split("text", " ")).cast("bigint").alias("n_words"),
                     A.fit_budget("text", 2048, 1024).alias("prompt"))
 
 
 @register("json_field", """
-select event_id, cast(json_extract_string(props, '$.k') as bigint) as k, to_json(struct_pack(k := cast(json_extract_string(props, '$.k') as bigint))) as encoded from events""")
+select event_id, cast(json_extract_string(props, '$.k') as bigint) as k, cast(to_json(struct_pack(k := cast(json_extract_string(props, '$.k') as bigint))) as varchar) as encoded from events""")
 def json_field(spark, d):
     e = B.props(spark, d)
     k = F.get_json_object("props", "$.k").cast("bigint")
