@@ -32,15 +32,9 @@ def best_epoch(history: DataFrame, run: str = "run_id", epoch: str = "epoch", lo
         F.min(loss).alias("best_loss"))
 
 
-def early_stop(history: DataFrame, patience: int = 3, min_delta: float = 0.001, mode: str = "min",
-               run: str = "run_id", epoch: str = "epoch", score: str = "val_loss") -> DataFrame:
-    """Early stopping as a fold over each run's ordered scores.
-
-    State: (best, counter, stop_epoch). An epoch improves only if it beats the best
-    *accepted* score by min_delta, so this is not a running minimum. Output per run:
-    the first epoch at which training stops (null if never) and the best score seen
-    up to that point (or to the end).
-    """
+def _early_stop_fold(history: DataFrame, patience: int, min_delta: float, mode: str, run: str, epoch: str,
+                     score: str) -> DataFrame:
+    """Fold over each run's ordered scores (one array per run)."""
     hist = history.groupBy(run).agg(F.array_sort(F.collect_list(F.struct(F.col(epoch).alias("e"),
                                                                         F.col(score).cast("double").alias("s"))))
                                     .alias("h"))
@@ -62,6 +56,67 @@ def early_stop(history: DataFrame, patience: int = 3, min_delta: float = 0.001,
     return hist.select(run, fold["stop"].alias("stop_epoch"), fold["best"].alias("best_score"))
 
 
+def _early_stop_doubling(history: DataFrame, patience: int, min_delta: float, mode: str, run: str, epoch: str,
+                         score: str) -> DataFrame:
+    """Exact early stopping without holding a run in one task (epochs numbered 1..n).
+
+    Between two accepted epochs the best is fixed, so the next accepted epoch after i
+    is the first j in (i, i + patience] that beats x_i by min_delta; when there is
+    none, training stops at i + patience (if the run is that long). ``nxt`` comes
+    from a band self-join keyed by (run, epoch); the accepted chain from the first
+    epoch is followed by pointer doubling (ceil(log2 n) join rounds, lineage cut each
+    round). A hot target in a round is split by AQE's skew-join handling.
+    """
+    import math
+
+    from ..session import cut_lineage
+
+    h = history.select(F.col(run).alias("r"), F.col(epoch).cast("bigint").alias("e"),
+                       F.col(score).cast("double").alias("s"))
+    cand = h.select("r", "e", "s", F.explode(F.sequence(F.lit(1), F.lit(patience))).alias("k")) \
+        .withColumn("j", F.col("e") + F.col("k"))
+    nb = h.select("r", F.col("e").alias("j"), F.col("s").alias("sj"))
+    better = (F.col("sj") < F.col("s") - min_delta) if mode == "min" else (F.col("sj") > F.col("s") + min_delta)
+    nxt = cand.join(nb, ["r", "j"]).where(better).groupBy("r", "e").agg(F.min("j").alias("nxt"))
+    ptr = h.join(nxt, ["r", "e"], "left").select("r", "e", F.coalesce("nxt", "e").alias("p"))
+    ptr = cut_lineage(ptr, "early-stop-ptr")
+    longest = h.groupBy("r").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    for _ in range(max(1, math.ceil(math.log2(longest + 1)))):
+        a, b = ptr.alias("a"), ptr.alias("b")
+        ptr = cut_lineage(a.join(b, (F.col("a.r") == F.col("b.r")) & (F.col("a.p") == F.col("b.e")))
+                          .select(F.col("a.r").alias("r"), F.col("a.e").alias("e"), F.col("b.p").alias("p")),
+                          "early-stop-ptr")
+    ends = h.groupBy("r").agg(F.min("e").alias("e0"), F.max("e").alias("n"))
+    term = ends.join(ptr, (ends["r"] == ptr["r"]) & (ends["e0"] == ptr["e"])).select(ends["r"], "n", F.col("p").alias("t"))
+    best = term.join(h.select("r", F.col("e").alias("t"), "s"), ["r", "t"])
+    stop = F.when(F.col("t") + patience <= F.col("n"), (F.col("t") + patience).cast("int"))
+    return best.select(F.col("r").alias(run), stop.alias("stop_epoch"), F.col("s").alias("best_score"))
+
+
+def early_stop(history: DataFrame, patience: int = 3, min_delta: float = 0.001, mode: str = "min",
+               run: str = "run_id", epoch: str = "epoch", score: str = "val_loss",
+               max_fold: int = 100_000) -> DataFrame:
+    """Early stopping per run.
+
+    State: (best, counter). An epoch improves only if it beats the best *accepted*
+    score by min_delta, so this is not a running minimum. Output per run: the first
+    epoch at which training stops (null if never) and the best score seen up to that
+    point (or to the end). Runs of at most ``max_fold`` epochs are folded over an
+    ordered array (cheap, bounded); longer runs take the distributed path
+    (``_early_stop_doubling``, epochs numbered 1..n), so no task holds a whole hot run.
+    """
+    if patience < 1:
+        return _early_stop_fold(history, patience, min_delta, mode, run, epoch, score)
+    lengths = history.groupBy(run).agg(F.count(F.lit(1)).alias("__len"))
+    long_runs = lengths.where(F.col("__len") > max_fold).select(run)
+    if long_runs.limit(1).count() == 0:
+        return _early_stop_fold(history, patience, min_delta, mode, run, epoch, score)
+    short = history.join(lengths.where(F.col("__len") <= max_fold).select(run), run, "left_semi")
+    long_ = history.join(long_runs, run, "left_semi")
+    return _early_stop_fold(short, patience, min_delta, mode, run, epoch, score).unionByName(
+        _early_stop_doubling(long_, patience, min_delta, mode, run, epoch, score))
+
+
 def last_turns(turns: DataFrame, n: int = 3, conv: str = "conv_id", turn: str = "turn",
                role: str = "role", text: str = "text") -> DataFrame:
     """For each user turn, its reply (next turn if it is the assistant's) and

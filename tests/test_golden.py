@@ -145,3 +145,23 @@ def test_keyword_coverage(spark):
     r = df.select(kc["keyword_coverage"].alias("c")).collect()
     assert r[0].c == pytest.approx(2 / 3)
     assert r[1].c == 1.0
+
+
+def test_early_stop_distributed_path_equals_fold(spark):
+    import random
+
+    rnd = random.Random(3)
+    rows = []
+    for run in range(40):
+        n = rnd.randint(1, 60)
+        x = 1.0
+        for e in range(1, n + 1):
+            x = max(0.0, x + rnd.uniform(-0.05, 0.04))
+            rows.append((run, e, round(x, 3)))
+    h = spark.createDataFrame(rows, "run_id int, epoch int, val_loss double")
+    for patience, delta, mode in [(3, 0.001, "min"), (1, 0.0, "min"), (5, 0.01, "max")]:
+        fold = H.early_stop(h, patience, delta, mode)  # all runs short: array fold
+        dist = H.early_stop(h, patience, delta, mode, max_fold=0)  # every run distributed
+        a = sorted((r.run_id, r.stop_epoch, r.best_score) for r in fold.collect())
+        b = sorted((r.run_id, r.stop_epoch, r.best_score) for r in dist.collect())
+        assert a == b, (patience, delta, mode)
