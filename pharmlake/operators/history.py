@@ -117,29 +117,59 @@ def early_stop(history: DataFrame, patience: int = 3, min_delta: float = 0.001,
         _early_stop_doubling(long_, patience, min_delta, mode, run, epoch, score))
 
 
-def last_turns(turns: DataFrame, n: int = 3, conv: str = "conv_id", turn: str = "turn",
-               role: str = "role", text: str = "text") -> DataFrame:
-    """For each user turn, its reply (next turn if it is the assistant's) and
-    the last n (user, assistant) pairs before it, oldest first.
-
-    Windows are partitioned by conversation (a conversation is a bounded group).
-    """
+def _last_turns_windows(turns: DataFrame, n: int, conv: str, turn: str, role: str, text: str) -> DataFrame:
     w = Window.partitionBy(conv).orderBy(turn)
     t = turns.select(conv, turn, role, text,
                      F.lead(role).over(w).alias("__next_role"), F.lead(text).over(w).alias("__next_text"))
     users = t.where(F.col(role) == "user").select(
         conv, turn, F.col(text).alias("message"),
         F.when(F.col("__next_role") == "assistant", F.col("__next_text")).alias("reply"))
-    wu = Window.partitionBy(conv).orderBy(turn)
     pair = F.struct(F.col("message").alias("user"), F.col("reply").alias("assistant"))
-    lags = [F.lag(pair, i).over(wu) for i in range(n, 0, -1)]
-    hist = F.filter(F.array(*lags), lambda x: x.isNotNull())
-    return users.select(conv, turn, "message", "reply", hist.alias("history"))
+    lags = [F.lag(pair, i).over(w) for i in range(n, 0, -1)]
+    return users.select(conv, turn, "message", "reply", F.filter(F.array(*lags), lambda x: x.isNotNull()).alias("history"))
+
+
+def _last_turns_joins(turns: DataFrame, n: int, conv: str, turn: str, role: str, text: str) -> DataFrame:
+    """Same result with equi-joins on unique keys (no window per conversation): the
+    next turn by (conversation, position + 1), earlier pairs by (conversation, user
+    ordinal - k). Positions come from a two-level rank, so a conversation holding a
+    third of all rows is spread over tasks."""
+    pos = rank_in(turns.select(conv, turn, role, text), [conv], turn, "__pos")
+    nxt = pos.select(conv, (F.col("__pos") - 1).alias("__pos"), F.col(role).alias("__next_role"),
+                     F.col(text).alias("__next_text"))
+    t = pos.join(nxt, [conv, "__pos"], "left")
+    users = t.where(F.col(role) == "user").select(
+        conv, turn, F.col(text).alias("message"),
+        F.when(F.col("__next_role") == "assistant", F.col("__next_text")).alias("reply"))
+    users = rank_in(users, [conv], turn, "__u")
+    out = users
+    for k in range(1, n + 1):
+        prev = users.select(conv, (F.col("__u") + k).alias("__u"),
+                            F.struct(F.col("message").alias("user"), F.col("reply").alias("assistant")).alias(f"__p{k}"))
+        out = out.join(prev, [conv, "__u"], "left")
+    hist = F.filter(F.array(*[F.col(f"__p{k}") for k in range(n, 0, -1)]), lambda x: x.isNotNull())
+    return out.select(conv, turn, "message", "reply", hist.alias("history"))
+
+
+def last_turns(turns: DataFrame, n: int = 3, conv: str = "conv_id", turn: str = "turn",
+               role: str = "role", text: str = "text", max_window: int | None = 100_000) -> DataFrame:
+    """For each user turn, its reply (the next turn if it is the assistant's) and
+    the last n (user, assistant) pairs before it, oldest first.
+
+    Conversations of at most ``max_window`` turns use windows partitioned by
+    conversation; if any is longer (one cheap aggregate decides), the join form is
+    used, which never holds a conversation in one task. ``max_window=None`` forces it.
+    """
+    if max_window is not None:
+        longest = turns.groupBy(conv).agg(F.count(F.lit(1)).alias("__n")).agg(F.max("__n")).first()[0] or 0
+        if longest <= max_window:
+            return _last_turns_windows(turns, n, conv, turn, role, text)
+    return _last_turns_joins(turns, n, conv, turn, role, text)
 
 
 def chat_context(turns: DataFrame, n: int = 3, **kw) -> DataFrame:
     """ChatML context: last n pairs + current message + an open assistant block."""
-    lt = last_turns(turns, n, **kw)
+    lt = last_turns(turns, n, **{k: v for k, v in kw.items()})
     ctx = F.aggregate(F.col("history"), F.lit(""),
                       lambda acc, p: F.concat(acc, user_block(p["user"]), assistant_block(p["assistant"])))
     prompt = F.concat(ctx, user_block("message"), F.lit("<|im_start|>assistant\n"))

@@ -93,3 +93,17 @@ def test_augment_gate(spark):
     # balanced input: gate closed, nothing added
     bal = spark.createDataFrame(rows[:20], "smiles string, label int, source string")
     assert C.augment(bal, toy_variants, n=2).count() == 20
+
+
+def test_last_turns_join_form_equals_windows(spark):
+    from pharmlake.operators import history as H
+    from pharmlake.sources import bindings as B
+
+    c = B.chats(spark, "/root/testdata/sf0.001")
+    a = H.last_turns(c)
+    b = H.last_turns(c, max_window=None)
+    cols = ["conv_id", "turn", "message", "reply", "history"]
+    assert sorted(map(tuple, a.select(cols).collect())) == sorted(map(tuple, b.select(cols).collect()))
+    x = H.chat_context(c, max_window=None).select("conv_id", "turn", "prompt").collect()
+    y = H.chat_context(c).select("conv_id", "turn", "prompt").collect()
+    assert sorted(x) == sorted(y)
