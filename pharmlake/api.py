@@ -18,7 +18,7 @@ from .operators import history as H
 from .operators import hooks as X
 from .operators import metrics as M
 from .operators.instruct import request
-from .operators.reports import analysis_report, comparison_report, failure_report, property_report
+from .operators.reports import with_report
 from .operators.splits import cap_rows, sample_n
 from .plans import evaluation as E
 from .plans.instruct_set import instruction_dataset
@@ -90,10 +90,21 @@ def prepare_dataset(unified: DataFrame, augment: Callable | None = None, test_mo
 
 
 # ---- instruction text ------------------------------------------------------------
-generate_approval_prediction_response = analysis_report
-generate_failure_analysis_response = failure_report
-generate_comparison_response = comparison_report
-generate_property_response = property_report
+def generate_approval_prediction_response(df: DataFrame) -> DataFrame:
+    return with_report(df, "drug_analysis", "response")
+
+
+def generate_failure_analysis_response(df: DataFrame) -> DataFrame:
+    return with_report(df, "failure_analysis", "response")
+
+
+def generate_comparison_response(pairs: DataFrame) -> DataFrame:
+    """Pairs with d1_* and d2_* columns (see joins.pair_by_rank)."""
+    return with_report(pairs, "comparison", "response")
+
+
+def generate_property_response(df: DataFrame) -> DataFrame:
+    return with_report(df, "property_analysis", "response")
 create_instruction_tuning_dataset = instruction_dataset
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..operators.instruct import WIDE, _ensure
-from ..operators.reports import analysis_report, comparison_report, failure_report, improvement_report, property_report
+from ..operators.reports import with_report
 from ..oracle_bindings import with_bindings as W
 from ..plans.instruct_set import combined, instruction_dataset
 from ..sources import bindings as B
@@ -78,26 +78,26 @@ def instruction_texts(spark, d):
 @register("analysis_reports")
 def analysis_reports(spark, d):
     c = _ensure(B.compounds(spark, d), {"failure_reason": "string", "warning_type": "string"})
-    return c.select("row_id", analysis_report().alias("output"))
+    return with_report(c, "drug_analysis").select("row_id", "output")
 
 
 @register("failure_reports")
 def failure_reports(spark, d):
     f = _ensure(B.failures(spark, d), WIDE)
-    return f.select("row_id", failure_report().alias("output"))
+    return with_report(f, "failure_analysis").select("row_id", "output")
 
 
 @register("comparison_reports")
 def comparison_reports(spark, d):
-    return pairs(spark, d).select("pair_rank", comparison_report().alias("output"))
+    return with_report(pairs(spark, d), "comparison").select("pair_rank", "output")
 
 
 @register("property_reports")
 def property_reports(spark, d):
-    return B.compounds(spark, d).select("row_id", property_report().alias("output"))
+    return with_report(B.compounds(spark, d), "property_analysis").select("row_id", "output")
 
 
 @register("improvement_reports")
 def improvement_reports(spark, d):
     f = _ensure(B.failures(spark, d), WIDE)
-    return f.select("row_id", improvement_report().alias("output"))
+    return with_report(f, "improvement_suggestion").select("row_id", "output")

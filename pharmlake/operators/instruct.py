@@ -14,7 +14,7 @@ from ..functions.text import chatml, fill, optional_part, pick, strip
 from .clean import failed_or_reasoned, from_sources
 from .joins import pair_by_rank
 from .ranking import first_n, with_seeded_bucket
-from .reports import analysis_report, comparison_report, failure_report, improvement_report, property_report
+from .reports import REPORT_BUILDERS, cached, with_report
 from .splits import pick_index
 
 SAMPLE_COLS = ["sample_id", "task_type", "source", "instruction", "input", "output"]
@@ -98,28 +98,36 @@ def _instruction(task: str, key: Column, seed: int) -> Column:
                       smiles2="d2_smiles", name2="d2_name")
 
 
-REPORTS = {"drug_analysis": analysis_report, "failure_analysis": failure_report,
-           "improvement_suggestion": improvement_report, "property_analysis": property_report,
-           "comparison": comparison_report}
+REPORTS = list(REPORT_BUILDERS)
 
 
 def render(specs: DataFrame, seed: int = 42, with_output: bool = True) -> DataFrame:
     """M17 text: instruction (seeded template choice per sample) and output report.
 
-    One small projection per task type over a ``task_type`` filter (pushed to the
-    scan when ``specs`` is a written table), then a union: each projection compiles
-    to compact generated code."""
+    One small projection chain per task type over a ``task_type`` filter (pushed to
+    the scan when ``specs`` is a written table), then a union: each chain compiles to
+    compact generated code, and rules a report prints several times are projected
+    once before the text."""
     keep = [c for c in specs.columns if c not in SAMPLE_COLS and not c.startswith("__") and c not in WIDE
             and not c.startswith(("d1_", "d2_"))]
     parts = []
-    for task, report in REPORTS.items():
+    for task in REPORTS:
         part = specs.where(F.col("task_type") == task)
-        out = report() if with_output else F.lit(None).cast("string")
-        parts.append(part.select("sample_id", "task_type", "source", _instruction(task, F.col("sample_id"), seed)
-                                 .alias("instruction"), F.lit("").alias("input"), out.alias("output"), *keep))
+        part = part.withColumn("instruction", _instruction_cached(task, seed))
+        part = with_report(part, task, "output") if with_output else part.withColumn("output", F.lit(None).cast("string"))
+        parts.append(part.select("sample_id", "task_type", "source", "instruction", F.lit("").alias("input"),
+                                 "output", *keep))
     return reduce(lambda x, y: x.union(y), parts)  # identical column order
 
 
+def _instruction_cached(task: str, seed: int) -> Column:
+    return cached(_instruction_by_name, task, seed)
+
+
+def _instruction_by_name(task: str, seed: int) -> Column:
+    return _instruction(task, F.col("sample_id"), seed)
+
+
 def build_instructions(data: DataFrame, seed: int = 42, max_samples: int | None = None) -> DataFrame:
     """M17 + M18: all samples with the ChatML ``text`` column."""
     r = render(branch_specs(data, max_samples), seed)

@@ -56,19 +56,29 @@ def cap_per(df: DataFrame, cat: str, n: int, order: Sequence[Column | str]) -> D
 
 
 def split_positional(df: DataFrame, key: str, cuts: tuple[float, float] = (0.85, 0.95),
-                     seed: int = 42) -> DataFrame:
+                     seed: int = 42, materialize: bool = False) -> DataFrame:
     """Shuffle by the seeded order, then cut at floor(c1 * n) and floor(c2 * n)
-    (double arithmetic, as the reference). Adds ``position`` and ``split``."""
+    (double arithmetic, as the reference). Adds ``position`` and ``split``.
+
+    Rows are ranked inside hash buckets; bucket offsets come from per-bucket counts
+    (at most 16^3 rows, broadcast). With ``materialize`` the bucket-ranked rows are
+    written once (shared checkpoint folder) and the counts are read from that table,
+    so the input is computed once instead of once per pass."""
     h = "__h"
     # Reuse a seeded bucket computed upstream (see ranking.with_seeded_bucket).
     tmp = df if {"__h", "__b"} <= set(df.columns) else with_seeded_bucket(df, key, seed)
-    counts = tmp.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.partitionBy("__b").orderBy(F.col(h), F.col(key))
+    local = tmp.withColumn("__l", F.row_number().over(w))
+    if materialize:
+        from ..session import cut_lineage
+
+        local = cut_lineage(local, "positional")
+    counts = local.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
     wcum = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     wall = Window.partitionBy()
     offsets = counts.select("__b", F.coalesce(F.sum("__n").over(wcum), F.lit(0)).alias("__off"),
                             F.sum("__n").over(wall).alias("__total"))
-    w = Window.partitionBy("__b").orderBy(F.col(h), F.col(key))
-    ranked = tmp.withColumn("__l", F.row_number().over(w)).join(F.broadcast(offsets), "__b")
+    ranked = local.join(F.broadcast(offsets), "__b")
     pos = (F.col("__l") + F.col("__off")).cast("bigint")
     c1 = F.floor(F.lit(float(cuts[0])) * F.col("__total").cast("double"))
     c2 = F.floor(F.lit(float(cuts[1])) * F.col("__total").cast("double"))

@@ -41,7 +41,7 @@ def instruction_dataset(compounds: DataFrame, failures: DataFrame | None = None,
     after it, so the rank shuffle never carries the text."""
     specs = branch_specs(combined(compounds, failures), max_samples, seed)
     # Compact rows (no text yet): rank them, write once, render per task from the table.
-    placed = cut_lineage(split_positional(specs, "sample_id", cuts, seed), "samples")
+    placed = split_positional(specs, "sample_id", cuts, seed, materialize=True)
     # Rendering is CPU-bound per row. A written table of compact rows can land in few
     # files; spread it over the cluster's task slots first (a no-op when the table
     # already has at least that many splits, as at scale).
