@@ -46,7 +46,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return conf_dir
-    # Only reached in local runs/tests where the cluster named no shared folder.
+    # A machine-local scratch folder is only acceptable when everything runs on this
+    # machine (local mode: tests, the benchmark). On a cluster the shared folder must
+    # be named by spark.checkpoint.dir.
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: name a shared folder (e.g. on HDFS or object "
+                           "storage) that every executor can read")
     path = tempfile.mkdtemp(prefix="pharmlake-ckpt-")
     sc.setCheckpointDir(path)
     return path
