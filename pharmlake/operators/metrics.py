@@ -143,29 +143,39 @@ def classification_metrics(df: DataFrame, by: Sequence[str] = (), label: str = "
 
 
 def score_curve(df: DataFrame, by: Sequence[str] = (), label: str = "label", score: str = "score",
-                bucket: Column | None = None) -> DataFrame:
+                buckets: int = 1024) -> DataFrame:
     """Per distinct score, positives p and rows n, and running tp and k over
     scores in descending order.
 
-    Rows are first reduced to one row per (model, score) (partial aggregation), then
-    the running sums use the two-level scan: ``bucket`` must be monotone in the
-    score; by default the score's leading 12 bits for scores in [0, 1].
+    Rows are first reduced to one row per (model, score) (partial aggregation). The
+    running sums use the two-level scan: buckets cut at approximate quantiles of the
+    score (a one-column pass; the cut list is bounded by ``buckets``), so scores
+    crowded into a narrow band still spread over many tasks; the offset table has
+    at most (#models x buckets) rows.
     """
+    from .ranking import with_quantile_bucket
+
     g = df.groupBy(*by, score).agg(F.sum(F.col(label).cast("bigint")).alias("p"),
                                    F.count(F.lit(1)).cast("bigint").alias("n"))
-    if bucket is None:
-        bucket = F.least(F.greatest(F.floor(F.col(score).cast("double") * 4096), F.lit(-1)), F.lit(4096)).cast("int")
-    return running_sums(g, list(by), [F.col(score).desc()], bucket, ["p", "n"], descending_buckets=True) \
-        .withColumnRenamed("cum_p", "tp").withColumnRenamed("cum_n", "k")
+    from .ranking import quantile_cuts
+
+    cuts = quantile_cuts(df, score, buckets)
+    from pyspark.ml.feature import Bucketizer
+
+    gb = Bucketizer(splits=[float("-inf")] + cuts + [float("inf")], inputCol="__sd", outputCol="__qb",
+                    handleInvalid="keep").transform(g.withColumn("__sd", F.col(score).cast("double")))
+    gb = gb.withColumn("__qb", F.col("__qb").cast("int")).drop("__sd")
+    out = running_sums(gb, list(by), [F.col(score).desc()], "__qb", ["p", "n"], descending_buckets=True)
+    return out.drop("__qb").withColumnRenamed("cum_p", "tp").withColumnRenamed("cum_n", "k")
 
 
 def ranking_metrics(df: DataFrame, by: Sequence[str] = (), label: str = "label", score: str = "score",
-                    bucket: Column | None = None) -> DataFrame:
+                    buckets: int = 1024) -> DataFrame:
     """A9 + A10: ROC-AUC (ties count half) and average precision; 0.5 with one class.
 
     AUC = sum((n - p) * (tp - p/2)) / (P * (N - P)); AP = sum(p/P * tp/k).
     """
-    c = score_curve(df, by, label, score, bucket)
+    c = score_curve(df, by, label, score, buckets)
     p, n, tp, k = (F.col(x).cast("double") for x in ("p", "n", "tp", "k"))
     agg = c.groupBy(*by).agg(
         F.sum(p).alias("P"), F.sum(n).alias("N"),

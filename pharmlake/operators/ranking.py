@@ -182,7 +182,7 @@ def running_sums(
     df: DataFrame,
     partition: Sequence[str],
     order: Sequence[Column],
-    bucket: Column,
+    bucket: Column | str,
     cols: Sequence[str],
     descending_buckets: bool = False,
     prefix: str = "cum_",
@@ -190,11 +190,12 @@ def running_sums(
     """Exact inclusive running sums of ``cols`` in ``order`` within ``partition``,
     computed per bucket plus a prefix offset over bucket totals (two-level scan).
 
-    ``bucket`` must be monotone in ``order`` (descending when ``descending_buckets``).
+    ``bucket`` (an expression or an existing column name) must be monotone in
+    ``order`` (descending when ``descending_buckets``).
     """
     part = list(partition)
     b = "__bucket"
-    with_b = df.withColumn(b, bucket)
+    with_b = df.withColumn(b, F.col(bucket) if isinstance(bucket, str) else bucket)
     tot = with_b.groupBy(*part, b).agg(*[F.sum(c).alias(f"__t_{c}") for c in cols])
     bo = F.col(b).desc() if descending_buckets else F.col(b).asc()
     wcum = Window.partitionBy(*part).orderBy(bo).rowsBetween(Window.unboundedPreceding, -1)
