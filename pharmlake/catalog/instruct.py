@@ -8,7 +8,7 @@ from ..functions import fixed_values as V
 from ..operators.instruct import WIDE, _ensure
 from ..operators.reports import with_report
 from ..oracle_bindings import with_bindings as W
-from ..plans.instruct_set import combined, instruction_dataset
+from ..plans.instruct_set import instruction_dataset
 from ..sources import bindings as B
 from . import register
 from .molecules import SRC_RANK_SQL, pairs

@@ -13,9 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranking import (
-    HEX_DIGITS,
     first_n,
-    hash_bucket,
     hash_int,
     seeded_hash,
     seeded_row_number,
