@@ -114,23 +114,31 @@ def split_stratified(df: DataFrame, label: str, key: str, train: float = 0.8, se
     val = the rest. Both cuts are shared among labels by largest remainder. Within a
     label rows are taken in the seeded order: the first test_c rows are test, the
     next val_c are val. 8091 rows at train 0.8 give 6472 / 809 / 810.
+
+    One aggregate over the data: counts per (label, hash bucket). From that table
+    (at most #labels x 16^3 rows) come the bucket offsets, the class totals and the
+    quotas; rows are ranked inside (label, bucket) and joined to it by broadcast.
     """
     fr = Fraction(str(train))
     num, den = fr.numerator, fr.denominator
-    per = df.groupBy(label).agg(F.count(F.lit(1)).cast("bigint").alias("__nc"))  # one row per class
+    tmp = with_seeded_bucket(df, key, seed)
+    counts = tmp.groupBy(label, "__b").agg(F.count(F.lit(1)).cast("bigint").alias("__n"))
+    wcum = Window.partitionBy(label).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(label, "__b", F.coalesce(F.sum("__n").over(wcum), F.lit(0)).alias("__off"))
+    per = counts.groupBy(label).agg(F.sum("__n").cast("bigint").alias("__nc"))  # one row per class
     wall = Window.partitionBy()
     per = per.withColumn("__n", F.sum("__nc").over(wall))
-    hold = _idiv(F.col("__n") * F.lit(den - num) + F.lit(den - 1), F.lit(den))
-    per = per.withColumn("__hold", hold)
+    per = per.withColumn("__hold", _idiv(F.col("__n") * F.lit(den - num) + F.lit(den - 1), F.lit(den)))
     per = _largest_remainder(per, label, "__hold", "__n", "__nc", "__hq")
     per = per.withColumn("__test", _idiv(F.col("__hold") + 1, F.lit(2)))
     per = _largest_remainder(per, label, "__test", "__hold", "__hq", "__tq")
-    quotas = per.select(label, "__hq", "__tq")
-    ranked = seeded_row_number(df, key, seed, "__rn", partition=[label], small_groups=True)
-    out = ranked.join(F.broadcast(quotas), label)  # one row per class
-    return (out.withColumn("split", F.when(F.col("__rn") <= F.col("__tq"), "test")
-                           .when(F.col("__rn") <= F.col("__hq"), "val").otherwise("train"))
-            .drop("__rn", "__hq", "__tq"))
+    side = offsets.join(per.select(label, "__hq", "__tq"), label)  # bounded: #labels x buckets
+    w = Window.partitionBy(label, "__b").orderBy(F.col("__h"), F.col(key))
+    ranked = tmp.withColumn("__l", F.row_number().over(w)).join(F.broadcast(side), [label, "__b"])
+    rn = F.col("__l") + F.col("__off")
+    return (ranked.withColumn("split", F.when(rn <= F.col("__tq"), "test").when(rn <= F.col("__hq"), "val")
+                              .otherwise("train"))
+            .drop("__h", "__b", "__l", "__off", "__hq", "__tq"))
 
 
 def split_stats(df: DataFrame, split: str = "split") -> DataFrame:

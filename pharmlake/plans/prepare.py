@@ -25,7 +25,7 @@ def unified_from_compounds(compounds: DataFrame) -> DataFrame:
 def prepare_molecules(unified: DataFrame, train: float = 0.8, seed: int = 42, min_len: int = 1,
                       max_len: int = 10_000, validator: Callable | None = None, canon: Callable | None = None,
                       variants: Callable | None = None, n_variants: int = 2, order_col: str = "row_id",
-                      materialize: bool = True) -> DataFrame:
+                      materialize: bool = False) -> DataFrame:
     """Validate (V1-V4), canonicalise (V4), keep first per structure (U3),
     augment the minority class behind the balance gate (V5, V6), split (T1).
 
@@ -35,7 +35,8 @@ def prepare_molecules(unified: DataFrame, train: float = 0.8, seed: int = 42, mi
     d = dedup_first(v, "smiles", [source_rank("source"), F.col(order_col)])
     d = augment(d, variants, n_variants)
     if materialize:
-        # The split reads this table three times (class counts, bucket counts, ranks).
+        # The split reads this table twice (bucket counts, ranks). Spark reuses the
+        # dedup exchange for both (ReusedExchange), so writing it is optional.
         d = cut_lineage(d, "molecules")
     s = split_stratified(d, "label", "smiles", train, seed)
     return s.select("smiles", "name", "status", "source", "label", "split")
