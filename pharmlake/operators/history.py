@@ -17,10 +17,20 @@ from .ranking import global_row_number, top_n_per_group, with_quantile_bucket
 
 
 def rank_in(df: DataFrame, part: Sequence[str], order: Sequence[str] | str, name: str = "rn", buckets: int = 64,
-            small_groups: bool = False) -> DataFrame:
+            small_groups: bool = False, max_window: int | None = 1_000_000) -> DataFrame:
     """Row position within a group; the first order column is numeric or a
-    timestamp. Two-level: quantile buckets of it split a hot group across tasks."""
+    timestamp.
+
+    When every group has at most ``max_window`` rows (one cheap aggregate decides),
+    a window partitioned by the group is used. Otherwise the two-level form: quantile
+    buckets of the order key split a hot group across tasks, and bucket offsets are
+    joined back. ``max_window=None`` forces the two-level form."""
     order = [order] if isinstance(order, str) else list(order)
+    if max_window is not None:
+        longest = df.groupBy(*part).agg(F.count(F.lit(1)).alias("__n")).agg(F.max("__n")).first()[0] or 0
+        if longest <= max_window:
+            w = Window.partitionBy(*part).orderBy(*[F.col(o) for o in order])
+            return df.withColumn(name, F.row_number().over(w).cast("bigint"))
     b = with_quantile_bucket(df, order[0], buckets)
     return global_row_number(b, [F.col(o) for o in order], "__qb", name, list(part), small_groups)
 
@@ -134,14 +144,14 @@ def _last_turns_joins(turns: DataFrame, n: int, conv: str, turn: str, role: str,
     next turn by (conversation, position + 1), earlier pairs by (conversation, user
     ordinal - k). Positions come from a two-level rank, so a conversation holding a
     third of all rows is spread over tasks."""
-    pos = rank_in(turns.select(conv, turn, role, text), [conv], turn, "__pos")
+    pos = rank_in(turns.select(conv, turn, role, text), [conv], turn, "__pos", max_window=None)
     nxt = pos.select(conv, (F.col("__pos") - 1).alias("__pos"), F.col(role).alias("__next_role"),
                      F.col(text).alias("__next_text"))
     t = pos.join(nxt, [conv, "__pos"], "left")
     users = t.where(F.col(role) == "user").select(
         conv, turn, F.col(text).alias("message"),
         F.when(F.col("__next_role") == "assistant", F.col("__next_text")).alias("reply"))
-    users = rank_in(users, [conv], turn, "__u")
+    users = rank_in(users, [conv], turn, "__u", max_window=None)
     out = users
     for k in range(1, n + 1):
         prev = users.select(conv, (F.col("__u") + k).alias("__u"),

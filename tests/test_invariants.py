@@ -107,3 +107,12 @@ def test_last_turns_join_form_equals_windows(spark):
     x = H.chat_context(c, max_window=None).select("conv_id", "turn", "prompt").collect()
     y = H.chat_context(c).select("conv_id", "turn", "prompt").collect()
     assert sorted(x) == sorted(y)
+
+
+def test_rank_in_both_forms(spark):
+    from pharmlake.operators import history as H
+
+    df = _frame(spark, 2000)
+    a = H.rank_in(df, ["g"], ["v", "k"], "rn")
+    b = H.rank_in(df, ["g"], ["v", "k"], "rn", max_window=None)
+    assert sorted(a.select("k", "rn").collect()) == sorted(b.select("k", "rn").collect())
