@@ -25,9 +25,16 @@ from .sources import bindings as B
 
 
 def run_prepare(spark: SparkSession, tables: str, out: str, train: float = 0.8, seed: int = 42) -> None:
-    """Splits as CSV (one folder per split), the full table, and the statistics document."""
+    """Splits as CSV (one folder per split), the full table, and the statistics document.
+    The prepared table is written once (splits) and the full table and statistics are
+    read back from it, so the preparation runs once."""
     p = prepare_molecules(unified_from_compounds(B.compounds(spark, tables)), train=train, seed=seed)
     sinks.write_csv(p, f"{out}/splits", partition_by=["split"])
+    from .sources.readers import read_csv
+
+    schema = "smiles string, name string, status string, source string, label int"
+    p = read_csv(spark, f"{out}/splits", schema + ", split string")
+    sinks.write_csv(p.drop("split"), f"{out}/full_dataset")
     sinks.write_stats(statistics(p), f"{out}/dataset_stats")
 
 
