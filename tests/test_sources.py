@@ -171,3 +171,22 @@ def test_batch_keys(spark):
     b = {r.batch: r for r in N.batch_keys(df, "cid", 100).collect()}
     assert [b[i].n for i in range(3)] == [100, 100, 50]
     assert b[2].keys.split(",")[0] == "201"
+
+
+def test_api_downloads_from_landed_records(spark, tmp_dir):
+    from pharmlake import api
+
+    base = {"molecule_structures": {"canonical_smiles": "CCO"}, "molecule_type": "Small molecule"}
+    p = _jsonl(f"{tmp_dir}/mols.jsonl", [
+        {**base, "molecule_chembl_id": "A", "max_phase": 4, "first_approval": 1999},
+        {**base, "molecule_chembl_id": "B", "max_phase": 2},
+        {**base, "molecule_chembl_id": "C", "max_phase": 0},
+        {**base, "molecule_chembl_id": "D", "max_phase": 4, "molecule_type": "Antibody"},
+        {**base, "molecule_chembl_id": "E", "max_phase": 3}])
+    mols = spark.read.schema(N.MOLECULE_SCHEMA).json(p)
+    appr = api.download_approved_drugs(mols).collect()
+    assert [(r.chembl_id, r.status) for r in appr] == [("A", "approved")]
+    failed = api.download_failed_drugs(mols, limit=1)
+    assert "first_approval" not in failed.columns
+    assert [r.chembl_id for r in failed.collect()] == ["B"]
+    assert sorted(r.chembl_id for r in api.download_failed_drugs(mols).collect()) == ["B", "E"]
