@@ -143,7 +143,7 @@ def classification_metrics(df: DataFrame, by: Sequence[str] = (), label: str = "
 
 
 def score_curve(df: DataFrame, by: Sequence[str] = (), label: str = "label", score: str = "score",
-                buckets: int = 1024) -> DataFrame:
+                buckets: int = 4096) -> DataFrame:
     """Per distinct score, positives p and rows n, and running tp and k over
     scores in descending order.
 
@@ -168,7 +168,7 @@ def score_curve(df: DataFrame, by: Sequence[str] = (), label: str = "label", sco
 
 
 def ranking_metrics(df: DataFrame, by: Sequence[str] = (), label: str = "label", score: str = "score",
-                    buckets: int = 1024) -> DataFrame:
+                    buckets: int = 4096) -> DataFrame:
     """A9 + A10: ROC-AUC (ties count half) and average precision; 0.5 with one class.
 
     AUC = sum((n - p) * (tp - p/2)) / (P * (N - P)); AP = sum(p/P * tp/k).

@@ -21,9 +21,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Default number of buckets for two-level ranks: 16^3. Bounded, so the offset table
-# (one row per bucket and group) has a proven size and is broadcast.
-HEX_DIGITS = 3
+# Default number of buckets for two-level ranks: 16^4 = 65536. At ~10^12 rows a bucket
+# holds ~10^7 rows (one window task); the offset table (one row per bucket and class)
+# stays bounded by this parameter, so it has a proven size and is broadcast.
+HEX_DIGITS = 4
 
 
 def seeded_hash(key: Column | str, seed: int = 42) -> Column:
@@ -104,11 +105,13 @@ def _numeric(df: DataFrame, col: str) -> Column:
     return F.col(col).cast("double")
 
 
-def quantile_cuts(df: DataFrame, col: str, buckets: int = 256, rel_err: float = 1e-3) -> list[float]:
+def quantile_cuts(df: DataFrame, col: str, buckets: int = 256, rel_err: float | None = None) -> list[float]:
     """Approximate quantile cut points of a numeric column (a bounded list of
-    ``buckets - 1`` numbers; the rows stay on the executors)."""
+    ``buckets - 1`` numbers; the rows stay on the executors). The sketch error
+    defaults to half a bucket width, so neighbouring cuts stay distinct."""
     if buckets <= 1:
         return []
+    rel_err = min(1e-3, 0.5 / buckets) if rel_err is None else rel_err
     qs = [i / buckets for i in range(1, buckets)]
     cuts = df.select(_numeric(df, col).alias(col)).approxQuantile(col, qs, rel_err)
     return sorted(set(c for c in cuts if c is not None))
@@ -127,7 +130,7 @@ def with_quantile_bucket(df: DataFrame, col: str, buckets: int = 256, out: str =
     return bz.transform(tmp).withColumn(out, F.col(out).cast("int")).drop(src)
 
 
-def quantile_bucket(df: DataFrame, col: str, buckets: int = 256, rel_err: float = 1e-3) -> Column:
+def quantile_bucket(df: DataFrame, col: str, buckets: int = 256, rel_err: float | None = None) -> Column:
     """Bucket id as a column expression (for small ``buckets``; prefer
     ``with_quantile_bucket`` on large inputs)."""
     cuts = quantile_cuts(df, col, buckets, rel_err)

@@ -59,7 +59,7 @@ def split_positional(df: DataFrame, key: str, cuts: tuple[float, float] = (0.85,
     (double arithmetic, as the reference). Adds ``position`` and ``split``.
 
     Rows are ranked inside hash buckets; bucket offsets come from per-bucket counts
-    (at most 16^3 rows, broadcast). With ``materialize`` the bucket-ranked rows are
+    (at most 16^4 rows, broadcast). With ``materialize`` the bucket-ranked rows are
     written once (shared checkpoint folder) and the counts are read from that table,
     so the input is computed once instead of once per pass."""
     h = "__h"
@@ -116,7 +116,7 @@ def split_stratified(df: DataFrame, label: str, key: str, train: float = 0.8, se
     next val_c are val. 8091 rows at train 0.8 give 6472 / 809 / 810.
 
     One aggregate over the data: counts per (label, hash bucket). From that table
-    (at most #labels x 16^3 rows) come the bucket offsets, the class totals and the
+    (at most #labels x 16^4 rows) come the bucket offsets, the class totals and the
     quotas; rows are ranked inside (label, bucket) and joined to it by broadcast.
     """
     fr = Fraction(str(train))
