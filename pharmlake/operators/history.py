@@ -16,7 +16,7 @@ from ..functions.text import assistant_block, user_block
 from .ranking import global_row_number, top_n_per_group, with_quantile_bucket
 
 
-def rank_in(df: DataFrame, part: Sequence[str], order: Sequence[str] | str, name: str = "rn", buckets: int = 64,
+def rank_in(df: DataFrame, part: Sequence[str], order: Sequence[str] | str, name: str = "rn", buckets: int | None = None,
             small_groups: bool = False, max_window: int | None = 1_000_000) -> DataFrame:
     """Row position within a group; the first order column is numeric or a
     timestamp.
@@ -24,7 +24,8 @@ def rank_in(df: DataFrame, part: Sequence[str], order: Sequence[str] | str, name
     When every group has at most ``max_window`` rows (one cheap aggregate decides),
     a window partitioned by the group is used. Otherwise the two-level form: quantile
     buckets of the order key split a hot group across tasks, and bucket offsets are
-    joined back. ``max_window=None`` forces the two-level form."""
+    joined back (``buckets`` defaults to about a million rows each). ``max_window=None``
+    forces the two-level form."""
     order = [order] if isinstance(order, str) else list(order)
     if max_window is not None:
         longest = df.groupBy(*part).agg(F.count(F.lit(1)).alias("__n")).agg(F.max("__n")).first()[0] or 0

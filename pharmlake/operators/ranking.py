@@ -117,17 +117,31 @@ def quantile_cuts(df: DataFrame, col: str, buckets: int = 256, rel_err: float |
     return sorted(set(c for c in cuts if c is not None))
 
 
-def with_quantile_bucket(df: DataFrame, col: str, buckets: int = 256, out: str = "__qb") -> DataFrame:
+ROWS_PER_BUCKET = 1_000_000
+MAX_BUCKETS = 1 << 16
+
+
+def adaptive_buckets(df: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET, lo: int = 16,
+                     hi: int = MAX_BUCKETS) -> int:
+    """Bucket count proportional to the data: about ``rows_per_bucket`` rows each
+    (one aggregate; a single number comes back)."""
+    n = df.select(F.lit(1).alias("one")).count()
+    return int(min(hi, max(lo, -(-n // rows_per_bucket))))
+
+
+def with_quantile_bucket(df: DataFrame, col: str, buckets: int | None = None, out: str = "__qb") -> DataFrame:
     """Add a bucket id monotone in a numeric (or timestamp) column, cut at approximate
-    quantiles; a JVM-side binary search per row (``Bucketizer``)."""
-    from pyspark.ml.feature import Bucketizer
+    quantiles. ``QuantileDiscretizer`` computes the cuts and builds the bucketizer in
+    the JVM (one sketch pass; nothing crosses to Python), and assigns buckets by a
+    binary search per row."""
+    from pyspark.ml.feature import QuantileDiscretizer
 
-    cuts = quantile_cuts(df, col, buckets)
+    buckets = adaptive_buckets(df) if buckets is None else buckets
     src = "__qv"
     tmp = df.withColumn(src, _numeric(df, col))
-    splits = [float("-inf")] + cuts + [float("inf")]
-    bz = Bucketizer(splits=splits, inputCol=src, outputCol=out, handleInvalid="keep")
-    return bz.transform(tmp).withColumn(out, F.col(out).cast("int")).drop(src)
+    qd = QuantileDiscretizer(numBuckets=max(2, buckets), inputCol=src, outputCol=out, handleInvalid="keep",
+                             relativeError=min(1e-3, 0.5 / max(2, buckets)))
+    return qd.fit(tmp).transform(tmp).withColumn(out, F.col(out).cast("int")).drop(src)
 
 
 def quantile_bucket(df: DataFrame, col: str, buckets: int = 256, rel_err: float | None = None) -> Column:
@@ -141,8 +155,9 @@ def quantile_bucket(df: DataFrame, col: str, buckets: int = 256, rel_err: float
     return F.size(F.filter(arr, lambda x: x < c))
 
 
-def row_number_by_key(df: DataFrame, key: str, name: str = "rn", buckets: int = 256) -> DataFrame:
-    """``row_number() over (order by key)`` for a numeric key, via quantile buckets."""
+def row_number_by_key(df: DataFrame, key: str, name: str = "rn", buckets: int | None = None) -> DataFrame:
+    """``row_number() over (order by key)`` for a numeric key, via quantile buckets
+    (by default about a million rows per bucket)."""
     return global_row_number(with_quantile_bucket(df, key, buckets), [F.col(key)], "__qb", name)
 
 

@@ -124,7 +124,7 @@ def run_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.history import rank_in
 
     ev = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
-    r = rank_in(ev, ["user_id"], ["ts", "event_id"], "epoch", buckets=64)
+    r = rank_in(ev, ["user_id"], ["ts", "event_id"], "epoch")
     return r.select(F.col("user_id").alias("run_id"), F.col("epoch"), (F.col("value") / 100).alias("val_loss"))
 
 
