@@ -143,32 +143,35 @@ def classification_metrics(df: DataFrame, by: Sequence[str] = (), label: str = "
 
 
 def score_curve(df: DataFrame, by: Sequence[str] = (), label: str = "label", score: str = "score",
-                buckets: int = 4096) -> DataFrame:
+                buckets: int | None = None) -> DataFrame:
     """Per distinct score, positives p and rows n, and running tp and k over
     scores in descending order.
 
     Rows are first reduced to one row per (model, score) (partial aggregation). The
     running sums use the two-level scan: buckets cut at approximate quantiles of the
-    score (a one-column pass; the cut list is bounded by ``buckets``), so scores
-    crowded into a narrow band still spread over many tasks; the offset table has
-    at most (#models x buckets) rows.
+    score (one sketch pass in the JVM; by default about a million rows per bucket,
+    at most 65536 buckets), so scores crowded into a narrow band still spread over
+    many tasks; the offset table has at most (#models x buckets) rows.
     """
-    g = df.groupBy(*by, score).agg(F.sum(F.col(label).cast("bigint")).alias("p"),
-                                   F.count(F.lit(1)).cast("bigint").alias("n"))
-    from pyspark.ml.feature import Bucketizer
+    from pyspark.ml.feature import QuantileDiscretizer
 
-    from .ranking import quantile_cuts
+    from .ranking import adaptive_buckets
 
-    cuts = quantile_cuts(df, score, buckets)
-    gb = Bucketizer(splits=[float("-inf")] + cuts + [float("inf")], inputCol="__sd", outputCol="__qb",
-                    handleInvalid="keep").transform(g.withColumn("__sd", F.col(score).cast("double")))
+    g = df.groupBy(*by, score).agg(F.sum(F.col(label).cast("bigint")).alias("p"),
+                                   F.count(F.lit(1)).cast("bigint").alias("n"))
+    nb = adaptive_buckets(df) if buckets is None else buckets
+    raw = df.select(F.col(score).cast("double").alias("__sd"))
+    # cuts from the scores (one sketch pass in the JVM), applied to the grouped table
+    model = QuantileDiscretizer(numBuckets=max(2, nb), inputCol="__sd", outputCol="__qb", handleInvalid="keep",
+                                relativeError=min(1e-3, 0.5 / max(2, nb))).fit(raw)
+    gb = model.transform(g.withColumn("__sd", F.col(score).cast("double")))
     gb = gb.withColumn("__qb", F.col("__qb").cast("int")).drop("__sd")
     out = running_sums(gb, list(by), [F.col(score).desc()], "__qb", ["p", "n"], descending_buckets=True)
     return out.drop("__qb").withColumnRenamed("cum_p", "tp").withColumnRenamed("cum_n", "k")
 
 
 def ranking_metrics(df: DataFrame, by: Sequence[str] = (), label: str = "label", score: str = "score",
-                    buckets: int = 4096) -> DataFrame:
+                    buckets: int | None = None) -> DataFrame:
     """A9 + A10: ROC-AUC (ties count half) and average precision; 0.5 with one class.
 
     AUC = sum((n - p) * (tp - p/2)) / (P * (N - P)); AP = sum(p/P * tp/k).
