@@ -55,8 +55,8 @@ samples AS (select * from s1 union all select * from s2 union all select * from
 """
 
 
-def samples(spark, d):
-    return instruction_dataset(B.compounds(spark, d), B.failures(spark, d), seed=42)
+def samples(spark, d, with_output: bool = False):
+    return instruction_dataset(B.compounds(spark, d), B.failures(spark, d), seed=42, with_output=with_output)
 
 
 @register("instruction_samples", ALL_SQL + "select sample_id, task_type, source, instruction, '' as input from samples")
@@ -91,7 +91,7 @@ select sample_id, case when position <= floor(0.85 * n::double) then 'train'
 <|im_end|>' as text
 from r""")
 def instruction_texts(spark, d):
-    return samples(spark, d).select("sample_id", "split", "text")
+    return samples(spark, d, with_output=True).select("sample_id", "split", "text")
 
 
 @register("analysis_reports", W("compounds") + f"select row_id, {RS.analysis_sql()} as output from compounds")

@@ -34,8 +34,10 @@ def combined(compounds: DataFrame, failures: DataFrame | None = None, materializ
 
 
 def instruction_dataset(compounds: DataFrame, failures: DataFrame | None = None, seed: int = 42,
-                        max_samples: int | None = None, cuts: tuple[float, float] = (0.85, 0.95)) -> DataFrame:
-    """Samples with ``text``, a seeded shuffle ``position`` and ``split`` (L3 + T2).
+                        max_samples: int | None = None, cuts: tuple[float, float] = (0.85, 0.95),
+                        with_output: bool = True) -> DataFrame:
+    """Samples with ``text``, a seeded shuffle ``position`` and ``split`` (L3 + T2);
+    ``with_output=False`` skips the report texts (instructions and splits only).
 
     The split ranks the compact per-sample rows; the report texts are rendered
     after it, so the rank shuffle never carries the text."""
@@ -48,5 +50,5 @@ def instruction_dataset(compounds: DataFrame, failures: DataFrame | None = None,
     slots = placed.sparkSession.sparkContext.defaultParallelism
     if placed.rdd.getNumPartitions() < slots:
         placed = placed.repartition(slots)
-    r = render(placed, seed)
-    return r.withColumn("text", chatml("instruction", "input", "output"))
+    r = render(placed, seed, with_output)
+    return r.withColumn("text", chatml("instruction", "input", "output")) if with_output else r
