@@ -51,13 +51,13 @@ def fill_analysis_template(spark, d):
 # ---- F2 / F4 / F6 / M18 / M20 on conversations ---------------------------------
 @register("text_cases", """
 select conv_id, turn, upper(substr(role, 1, 1)) || lower(substr(role, 2)) as role_cap, upper(role) as role_upper,
-  length(trim(text, ' \t\n\r')) as stripped_length, lower(substr(text, 1, 20)) as head_lower,
+  length(trim(text, ' \t\n\r')) as stripped_length, lower(text) as lower_text,
   case when length(text) > 100 then substr(text, 1, 100) || '...' else text end as short_text from conversations""")
 def text_cases(spark, d):
     c = B.chats(spark, d)
     return c.select("conv_id", "turn", T.capitalise("role").alias("role_cap"), F.upper("role").alias("role_upper"),
                     F.length(T.strip("text")).cast("bigint").alias("stripped_length"),
-                    F.lower(F.substring("text", 1, 20)).alias("head_lower"), T.shorten("text", 100).alias("short_text"))
+                    F.lower("text").alias("lower_text"), T.shorten("text", 100).alias("short_text"))
 
 
 @register("chatml_pairs", """
