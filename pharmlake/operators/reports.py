@@ -206,7 +206,8 @@ def cached(fn, *args):
     from pyspark import SparkContext
 
     sc = SparkContext._active_spark_context
-    key = (id(sc), fn.__name__, args)
+    # keyed by application id: unique per context, unlike an object address
+    key = (sc.applicationId if sc is not None else None, fn.__name__, args)
     if key not in _CACHE:
         _CACHE[key] = fn(*args)
     return _CACHE[key]
