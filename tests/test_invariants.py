@@ -116,3 +116,24 @@ def test_rank_in_both_forms(spark):
     a = H.rank_in(df, ["g"], ["v", "k"], "rn")
     b = H.rank_in(df, ["g"], ["v", "k"], "rn", max_window=None)
     assert sorted(a.select("k", "rn").collect()) == sorted(b.select("k", "rn").collect())
+
+
+def test_report_text_agrees_with_rule_columns(spark):
+    from pharmlake.functions import rules as R
+    from pharmlake.operators.instruct import _ensure
+    from pharmlake.operators.reports import with_report
+    from pharmlake.sources import bindings as B
+
+    c = _ensure(B.compounds(spark, "/root/testdata/sf0.001"), {"failure_reason": "string", "warning_type": "string"})
+    flags = R.property_flags()
+    r = with_report(c, "drug_analysis").select(
+        "molecular_weight", "output", flags["mw_ok"].alias("mw_ok"), R.likeness_tier().alias("tier"),
+        R.outcome().alias("prediction")).collect()
+    for row in r:
+        assert ("| Molecular Weight |" in row.output)
+        assert ("✓ Good (<500)" in row.output) == row.mw_ok
+        assert ("**excellent drug-like properties**" in row.output) == (row.tier == "excellent")
+        assert f" {row.prediction}\n**Confidence Level:**" in row.output
+        if row.molecular_weight is None:  # null takes the else branch and prints nan
+            assert "| Molecular Weight | nan Da | ⚠ High (>500) |" in row.output
+    assert any(row.molecular_weight is None for row in r)
