@@ -227,3 +227,20 @@ def response_per_type_wide(spark, d):
         out += [F.coalesce(F.col(f"{t}_count"), F.lit(0)).cast("bigint").alias(f"{t}_count"),
                 F.round(f"{t}_avg_length", 6).alias(f"{t}_avg_length")]
     return p.select(*out)
+
+
+def _sql_fixed(col: str, places: int, signed: bool = False) -> str:
+    f = f"%{'+' if signed else ''}.{places}f"
+    return f"case when {col} is null or isnan({col}) then 'nan' else printf('{f}', round({col}, {places})) end"
+
+
+@register("fixed_decimal_text", W("compounds") + f"""
+select row_id, {_sql_fixed('molecular_weight', 1)} as mw_text, {_sql_fixed('alogp', 2)} as logp_text,
+  {_sql_fixed('alogp', 1, True)} as logp_signed, {_sql_fixed('qed_weighted', 3)} as qed_text,
+  {_sql_fixed('psa', 1)} as psa_text from compounds""")
+def fixed_decimal_text(spark, d):
+    """fixed-decimal text (1, 2 and 3 places; signed), 'nan' for missing."""
+    c = B.compounds(spark, d)
+    return c.select("row_id", T.fixed("molecular_weight", 1).alias("mw_text"), T.fixed("alogp", 2).alias("logp_text"),
+                    T.signed_fixed("alogp", 1).alias("logp_signed"), T.fixed("qed_weighted", 3).alias("qed_text"),
+                    T.fixed("psa", 1).alias("psa_text"))
