@@ -213,3 +213,26 @@ def epoch_metrics(batches: DataFrame, run: str = "run_id", epoch: str = "epoch")
         F.avg("loss").alias("avg_loss"),
         (F.sum("correct").cast("double") / F.sum("total")).alias("accuracy"),
         F.count(F.lit(1)).alias("batches"))
+
+
+def history_from_document(doc: DataFrame, metrics: Sequence[str], run: str = "run_id") -> DataFrame:
+    """Metric history document (one row per run, one array per metric, as saved by a
+    training loop) to one row per (run, epoch) with the metrics as columns. Epochs
+    are 1-based positions; arrays of different lengths leave nulls."""
+    zipped = F.arrays_zip(*[F.col(m) for m in metrics])
+    exploded = doc.select(run, F.posexplode(zipped).alias("__pos", "__m"))
+    return exploded.select(run, (F.col("__pos") + 1).alias("epoch"),
+                           *[F.col("__m")[m].alias(m) for m in metrics])
+
+
+def history_to_document(history: DataFrame, metrics: Sequence[str], run: str = "run_id",
+                        epoch: str = "epoch") -> DataFrame:
+    """Per-epoch rows back to one row per run with one epoch-ordered array per metric
+    (a run's history is one row per epoch, bounded by the training length)."""
+    packed = history.groupBy(run).agg(F.array_sort(F.collect_list(F.struct(F.col(epoch).alias("e"),
+                                                                           *[F.col(m) for m in metrics])))
+                                      .alias("__h"))
+    def field(m: str):
+        return lambda x: x[m]  # one-argument lambda: transform passes the index to a second one
+
+    return packed.select(run, *[F.transform("__h", field(m)).alias(m) for m in metrics])

@@ -165,3 +165,23 @@ def test_early_stop_distributed_path_equals_fold(spark):
         a = sorted((r.run_id, r.stop_epoch, r.best_score) for r in fold.collect())
         b = sorted((r.run_id, r.stop_epoch, r.best_score) for r in dist.collect())
         assert a == b, (patience, delta, mode)
+
+
+HISTORY = {
+    "train_loss": [0.7410238009448105, 0.6554000936126237, 0.5849408001186527, 0.5352485453979341, 0.4717794146909113],
+    "val_loss": VAL_LOSS,
+    "train_acc": [0.5956427688504327, 0.6611557478368356, 0.7068912237330037, 0.7373300370828183, 0.7753399258343634],
+    "val_acc": [0.6711990111248455, 0.6909765142150803, 0.695920889987639, 0.7008652657601978, 0.6761433868974042],
+}
+
+
+def test_history_document_round_trip(spark):
+    metrics = list(HISTORY)
+    doc = spark.createDataFrame([(1, *[HISTORY[m] for m in metrics])],
+                                "run_id int, " + ", ".join(f"{m} array<double>" for m in metrics))
+    long = H.history_from_document(doc, metrics)
+    assert long.count() == 5
+    assert H.best_epoch(long).first().best_epoch == 2
+    assert H.early_stop(long, 3, 0.001).first().stop_epoch == 5
+    back = H.history_to_document(long, metrics).first()
+    assert [list(back[m]) for m in metrics] == [HISTORY[m] for m in metrics]
