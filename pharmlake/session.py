@@ -16,6 +16,10 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Local runs read small tables: merge tiny shuffle outputs up to the advisory size
+    # instead of keeping one per core (fewer near-empty tasks and files). Cluster
+    # sessions keep their own settings; the library never sets this.
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
