@@ -52,8 +52,15 @@ def prepare_with_toolkit(spark, d):
     return prepare_molecules(u, validator=balanced, canon=canonical, variants=spellings, n_variants=2)
 
 
-@register("batch_scores")
-def batch_scores(spark, d):
+SCORES_SQL = """WITH s AS (select l.doc_id as id, l.quality as label, d.n_chars::double / 1000.0 as x
+  from labels l join documents d on l.doc_id = d.doc_id),
+e AS (select id, label, exp(-x - greatest(-x, x)) as e0, exp(x - greatest(-x, x)) as e1 from s),
+p AS (select id, label, e0 / (0.0 + e0 + e1) as p0, e1 / (0.0 + e0 + e1) as p1 from e),
+scored AS (select id, label, case when p1 > p0 then 1 else 0 end as pred, p1 as pos_prob from p)
+"""
+
+
+def _scores_raw(spark, d):
     """X2 + M23: a user scorer called on batches of 16 rows; logits from text length."""
 
     def scorer(pdf: pd.DataFrame) -> list[list[float]]:
@@ -66,19 +73,54 @@ def batch_scores(spark, d):
     return score_logits(s.join(labels, "id")).select("id", "label", "pred", "pos_prob")
 
 
-@register("batch_score_metrics")
+@register("batch_scores", SCORES_SQL + "select id, label, pred, round(pos_prob, 6) as pos_prob from scored")
+def batch_scores(spark, d):
+    s = _scores_raw(spark, d)
+    return s.select("id", "label", "pred", F.round("pos_prob", 6).alias("pos_prob"))
+
+
+def _div(a: str, b: str) -> str:
+    return f"coalesce(({a})::double / nullif({b}, 0), 0)"
+
+
+@register("batch_score_metrics", SCORES_SQL + f"""
+, cm AS (select count(*) filter (where label = 1 and pred = 1) as tp, count(*) filter (where label = 0 and pred = 0) as tn,
+  count(*) filter (where label = 0 and pred = 1) as fp, count(*) filter (where label = 1 and pred = 0) as fn from scored),
+g AS (select pos_prob, sum(label) as p, count(*) as n from scored group by pos_prob),
+c AS (select p, n, sum(p) over (order by pos_prob desc rows between unbounded preceding and current row) as tp_,
+  sum(n) over (order by pos_prob desc rows between unbounded preceding and current row) as k from g),
+rk AS (select sum(p)::double as pp, sum(n)::double as nn, sum((n - p)::double * (tp_ - p::double / 2)) as auc_s,
+  sum(p::double * tp_ / k) as ap_s from c)
+select tp, tn, fp, fn, round({_div('tp + tn', 'tp + tn + fp + fn')}, 6) as accuracy, round({_div('tp', 'tp + fp')}, 6) as precision,
+  round({_div('tp', 'tp + fn')}, 6) as recall, round({_div('tn', 'tn + fp')}, 6) as specificity,
+  round({_div('2 * tp', '2 * tp + fp + fn')}, 6) as f1_score,
+  round(({_div('2 * tp', '2 * tp + fp + fn')} + {_div('2 * tn', '2 * tn + fn + fp')}) / 2, 6) as macro_f1,
+  round(case when pp > 0 and pp < nn then auc_s / (pp * (nn - pp)) else 0.5 end, 6) as roc_auc,
+  round(case when pp > 0 and pp < nn then ap_s / pp else 0.5 end, 6) as pr_auc
+from cm, rk""")
 def batch_score_metrics(spark, d):
-    return evaluate_predictions(batch_scores(spark, d))
+    m = evaluate_predictions(_scores_raw(spark, d))
+    return m.select("tp", "tn", "fp", "fn", *[F.round(c, 6).alias(c) for c in
+                                              ("accuracy", "precision", "recall", "specificity", "f1_score", "macro_f1",
+                                               "roc_auc", "pr_auc")])
+
+
+RESP = "lower('Response: ' || lower(text))"
 
 
-@register("responder_coverage")
+@register("responder_coverage", f"""
+select conv_id, turn, cast(length('Response: ' || lower(text)) as bigint) as response_length,
+  case when conv_id % 2 = 0 then (cast(contains({RESP}, 'the') as int) + cast(contains({RESP}, 'of') as int))::double / 2
+       else 1.0::double end as keyword_coverage
+from conversations where role = 'user'""")
 def responder_coverage(spark, d):
     """X3 + M22: a user responder on user turns, then keyword coverage."""
     users = B.chats(spark, d).where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("prompt"))
     r = X.respond(users, lambda p: "Response: " + p.lower(), "prompt", "response")
     r = r.withColumn("response_length", F.length("response")).withColumn(
         "keywords", F.when(F.col("conv_id") % 2 == 0, F.lit("the,of")).otherwise(F.lit("")))
-    return response_table(r).select("conv_id", "turn", "response_length", "keyword_coverage")
+    return response_table(r).select("conv_id", "turn", F.col("response_length").cast("bigint").alias("response_length"),
+                                    "keyword_coverage")
 
 
 @register("baseline_predictions")
