@@ -14,7 +14,7 @@ from compare import TABLES, digest  # noqa: E402
 SF = "/root/testdata/sf0.001"
 QUERIES = E.queries()
 ORACLE = E.oracle_sql()
-SLOW_ROWS_ONLY = {"baseline_predictions", "baseline_metrics", "prepare_with_toolkit", "toolkit_columns"}
+SLOW_ROWS_ONLY = {"baseline_predictions", "baseline_metrics", "prepare_with_toolkit"}
 
 
 @pytest.fixture(scope="module")
