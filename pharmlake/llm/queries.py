@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import ngram_join, packing
+from pyspark.sql import functions as F
+
+from . import chat_format, ngram_join, packing, sharding, warc
 from .tables import read
 
 QUERIES: dict[str, Callable] = {}
@@ -32,8 +34,8 @@ with recursive words as (
     'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
 sets as (
   select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
-    else list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]) end s from words),
-classes as (select min(doc_id) c, list_sort(s) s, len(s) n from sets where len(s) > 0 group by list_sort(s)),
+    else list_sort(list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)])) end s from words),
+classes as (select min(doc_id) c, s, len(s) n from sets where len(s) > 0 group by s),
 items as (select c, n, unnest(s) t from classes),
 links as (
   select a.c a, b.c b from items a join items b on a.t = b.t and a.c <> b.c
@@ -42,6 +44,52 @@ links as (
 reach as (select c, c r from classes union select l.b, reach.r from reach join links l on l.a = reach.c),
 roots as (select c, min(r) r from reach group by c)
 select s.doc_id, cast(len(s.s) as bigint) n_shingles, coalesce(r.r, s.doc_id) component_id
-from sets s left join classes k on list_sort(s.s) = k.s left join roots r on r.c = k.c""")
+from sets s left join classes k on s.s = k.s left join roots r on r.c = k.c""")
 def op8_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.ngram_join(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query(sql="""
+with p as (select page_id, coalesce(html, '') html from pages),
+d as (select page_id, strlen(html) payload_bytes, sha256(html) payload_digest,
+  min(page_id) over (partition by html) first from p)
+select page_id, cast(payload_bytes as bigint) payload_bytes, payload_digest,
+  case when payload_bytes >= 100 and page_id <> first then 'revisit' else 'response' end record_type,
+  case when payload_bytes >= 100 and page_id <> first then first end refers_to, true complete
+from d""")
+def op5_warc(spark, sf_dir):
+    return warc.archive(read(spark, sf_dir, "pages"))
+
+
+@query
+def op9_sharding(spark, sf_dir):
+    out = sharding.shard(read(spark, sf_dir, "documents"), shards=24)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                      F.lit(None).cast("int").alias("grown_shard"))
+
+
+PROBE = r"\### Assistant: </turn> ok"  # the contract's conversation -7
+
+
+def with_probe(conversations):
+    extra = conversations.sparkSession.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
+    return conversations.select("conv_id", "turn", "role", "text").unionByName(extra)
+
+
+@query(sql=r"""
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e as (select *, replace(replace(replace(replace(text, '\', '\\'), '</turn>', '<\/turn>'), '</part>', '<\/part>'),
+    '### ', '#\## ') as esc,
+  lag(role) over (partition by conv_id order by turn, role, text) as prev,
+  lead(role) over (partition by conv_id order by turn, role, text) as next from c)
+select conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) turns_sha256,
+  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) loss_sha256,
+  cast(sum(length(esc) + case when prev is null or prev <> role then 6 + length(role) else 0 end
+    + case when next is null or next <> role then 8 else 7 end) as bigint) formatted_chars
+from e group by conv_id""")
+def op10_chat_formatting(spark, sf_dir):
+    return chat_format.digests(chat_format.format_conversations(with_probe(read(spark, sf_dir, "conversations"))))
