@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from . import chat_format, ngram_join, packing, sharding, warc
+from . import chat_format, fingerprints, mixing, ngram_join, packing, sharding, warc
 from .tables import read
 
 QUERIES: dict[str, Callable] = {}
@@ -23,11 +23,22 @@ def query(fn=None, *, sql: str | None = None):
     return add(fn) if fn else add
 
 
+@query
+def op3_source_mixing(spark, sf_dir):
+    out = mixing.schedule(read(spark, sf_dir, "documents"), max_repeats=2.0)
+    return out.select("doc_id", "source", "tokens", "weight", "epoch", "block", "slot")
+
+
 @query
 def op4_packing(spark, sf_dir):
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
 
+@query
+def op6_scaled_fingerprint(spark, sf_dir):
+    return fingerprints.fingerprints(read(spark, sf_dir, "documents"))
+
+
 @query(sql=r"""
 with recursive words as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',

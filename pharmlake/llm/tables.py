@@ -53,7 +53,7 @@ def count_below(value: Column, bounds: list[int], inclusive: bool) -> Column:
         return (b <= value) if inclusive else (b < value)
 
     def longs(xs):
-        return F.array(*[F.lit(int(x)).cast("long") for x in xs])
+        return F.expr("array(" + ", ".join(f"cast('{int(x)}' as bigint)" for x in xs) + ")")
 
     blocks = [bounds[i:i + step] for i in range(0, len(bounds), step)]
     if len(blocks) == 1:
