@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from . import chat_format, fingerprints, mixing, ngram_join, packing, sharding, warc
+from . import chat_format, fingerprints, line_dedup, mixing, ngram_join, packing, sharding, warc
 from .tables import read
 
 QUERIES: dict[str, Callable] = {}
@@ -23,6 +23,32 @@ def query(fn=None, *, sql: str | None = None):
     return add(fn) if fn else add
 
 
+@query(sql=r"""
+with l as (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) - 1 k
+  from documents),
+w as (select doc_id, k, line, list_sort(list_distinct(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'))) s from l),
+c as (select s, len(s) n, min((doc_id, k)) first, row_number() over () id from w where len(s) >= 5 group by s),
+f as (select t, count(*) f from (select unnest(s) t from c) group by t),
+p as (select id, n, x.t, row_number() over (partition by id order by f.f, x.t) r
+  from (select id, n, unnest(s) t from c) x join f on f.t = x.t),
+pairs as (select distinct a.id a, b.id b from p a join p b on a.t = b.t and a.id <> b.id and a.n <= b.n and 5 * a.n >= 4 * b.n
+  and a.r <= a.n - ceil(0.8 * a.n) + 1 and b.r <= b.n - ceil(0.8 * b.n) + 1),
+links as (select a.id a, b.id b, a.first fa, b.first fb, len(list_intersect(a.s, b.s)) o, a.n na, b.n nb
+  from pairs join c a on a.id = pairs.a join c b on b.id = pairs.b),
+good as (select * from links where 100 * o >= 80 * (na + nb - o)),
+hit as (select a id from good where fb < fa union select b from good where fa < fb),
+gone as (select w.doc_id, w.k, (w.doc_id, w.k) <> c.first or c.id in (select id from hit) gone
+  from w join c on w.s = c.s),
+flag as (select w.doc_id, w.k, w.line, coalesce(gone, false) gone from w left join gone g on g.doc_id = w.doc_id and g.k = w.k)
+select d.doc_id, case when d.text is not null then coalesce(string_agg(line, chr(10) order by k) filter (not gone), '') end as text,
+  coalesce(count(line), 0) n_lines, coalesce(list(k order by k) filter (gone), []) removed_lines
+from documents d left join flag on flag.doc_id = d.doc_id group by d.doc_id, d.text""")
+def op1_line_dedup(spark, sf_dir):
+    out = line_dedup.line_dedup(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "text", "n_lines", "removed_lines")
+
+
 @query
 def op3_source_mixing(spark, sf_dir):
     out = mixing.schedule(read(spark, sf_dir, "documents"), max_repeats=2.0)
