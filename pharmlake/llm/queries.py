@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from . import chat_format, fingerprints, line_dedup, mixing, ngram_join, packing, sharding, warc
+from . import chat_format, fingerprints, language_id, line_dedup, mixing, ngram_join, packing, sharding, warc
 from .tables import read
 
 QUERIES: dict[str, Callable] = {}
@@ -49,6 +49,11 @@ def op1_line_dedup(spark, sf_dir):
     return out.select("doc_id", "text", "n_lines", "removed_lines")
 
 
+@query
+def op2_language_id(spark, sf_dir):
+    return language_id.identify(read(spark, sf_dir, "documents"))
+
+
 @query
 def op3_source_mixing(spark, sf_dir):
     out = mixing.schedule(read(spark, sf_dir, "documents"), max_repeats=2.0)
