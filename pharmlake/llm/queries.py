@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from . import chat_format, fingerprints, language_id, line_dedup, mixing, ngram_join, packing, sharding, warc
+from . import chat_format, fingerprints, language_id, line_dedup, mixing, ngram_join, packing, sharding, vector_search, warc
 from .tables import read
 
 QUERIES: dict[str, Callable] = {}
@@ -70,6 +70,11 @@ def op6_scaled_fingerprint(spark, sf_dir):
     return fingerprints.fingerprints(read(spark, sf_dir, "documents"))
 
 
+@query
+def op7_tree_forest_search(spark, sf_dir):
+    return vector_search.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query(sql=r"""
 with recursive words as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
