@@ -157,7 +157,7 @@ def top_of(ids, members, query_ids, queries, k):
     return best_rows(query_ids[row], exact, ids[col], k)
 
 
-def search(vectors: DataFrame, queries, k: int = 20, trees: int = 8, leaf_size: int = 200, share: float = 0.1,
+def search(vectors: DataFrame, queries, k: int = 20, trees: int = 8, leaf_size: int = 200, share: float = 0.15,
            min_leaves: int = 48, sample_rows: int = 50_000, leaf_rows: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score). queries: condition on vec_id that marks the rows to ask for."""
     spark = vectors.sparkSession
