@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import textarrays as T
-from .sketches import bitmap, bucket_of, bucket_rows, count_classes, in_bitmap_bucket
+from .sketches import bit_table, bitmap, bucket_of, bucket_rows, count_classes, in_bitmap_bucket
 from .tables import stored
 
 COUNT_BITS = 20
@@ -113,9 +113,7 @@ def ref_bit_column(doc: str, line: str):
 
 
 def ref_bits(rows: DataFrame, doc: str, line: str) -> np.ndarray:
-    table = np.zeros(1 << REF_BITS, dtype=bool)
-    table[rows.select(ref_bit_column(doc, line).alias("b")).distinct().toPandas()["b"].to_numpy(dtype=np.int64)] = True
-    return table
+    return bit_table(rows.select(ref_bit_column(doc, line).alias("b")), REF_BITS)
 
 
 def lines_table(docs: DataFrame, classes, percent: int, min_words: int) -> DataFrame:
