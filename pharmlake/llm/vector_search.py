@@ -158,8 +158,12 @@ def top_of(ids, members, query_ids, queries, k):
 
 
 def search(vectors: DataFrame, queries, k: int = 20, trees: int = 8, leaf_size: int = 200, share: float = 0.15,
-           min_leaves: int = 48, sample_rows: int = 50_000, leaf_rows: int = 4096) -> DataFrame:
-    """(query_id, rank, vec_id, score). queries: condition on vec_id that marks the rows to ask for."""
+           min_leaves: int = 48, max_depth: int = 6, subtree: int = 4,
+           sample_rows: int = 50_000, leaf_rows: int = 4096) -> DataFrame:
+    """(query_id, rank, vec_id, score). queries: condition on vec_id that marks the rows to
+    ask for. A tree has at most 2**max_depth leaves, so a query visits as many leaves in a
+    large table as in a small one; 2**subtree neighbouring leaves are ranked in one task,
+    which keeps one list of k for a query."""
     spark = vectors.sparkSession
     clean, dtype = usable(vectors)
     clean = stored(clean, "vectors").distinct()
@@ -179,7 +183,7 @@ def search(vectors: DataFrame, queries, k: int = 20, trees: int = 8, leaf_size:
             yield pa.RecordBatch.from_arrays([pa.array([float((x * x).sum(1).max(initial=0))])], names=["top"])
 
     top = clean.select("vec").mapInArrow(lengths, "top double").agg(F.max("top")).first()[0]
-    depth = max(0, min(int(np.ceil(np.log2(max(total / leaf_size, 1)))), int(np.log2(max(len(sample) / 8, 1)))))
+    depth = max(0, min(max_depth, int(np.ceil(np.log2(max(total / leaf_size, 1)))), int(np.log2(max(len(sample) / 8, 1)))))
     forest = spark.sparkContext.broadcast(Forest(sample, trees, depth, top))
     leaves = trees << depth
 
@@ -201,6 +205,7 @@ def search(vectors: DataFrame, queries, k: int = 20, trees: int = 8, leaf_size:
     parts = np.maximum(1, -(-counts // leaf_rows))
     base = np.cumsum(parts) - parts  # number of a leaf's first division
     tables = spark.sparkContext.broadcast((counts, parts, base))
+    groups = (leaves >> subtree) + 1  # of neighbouring leaves, for each division
     wanted = max(min_leaves, int(np.ceil(share * leaves)))
 
     def place(batches):
@@ -210,8 +215,10 @@ def search(vectors: DataFrame, queries, k: int = 20, trees: int = 8, leaf_size:
         for b in route(batches):
             leaf, ids = b.column(0).to_numpy(), b.column(1).to_numpy()
             spread = (ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(base[leaf] + spread % parts[leaf]), pa.array(np.zeros(len(leaf), np.int32)),
-                                              b.column(1), b.column(2)], names=["bucket", "kind", "id", "vec"])
+            division = spread % parts[leaf]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((leaf >> subtree) + division * groups), pa.array(base[leaf] + division),
+                 pa.array(np.zeros(len(leaf), np.int32)), b.column(1), b.column(2)], names=["part", "bucket", "kind", "id", "vec"])
 
     def ask(batches):
         import pyarrow as pa
@@ -222,12 +229,13 @@ def search(vectors: DataFrame, queries, k: int = 20, trees: int = 8, leaf_size:
                 c = b.slice(a, 256)
                 found = forest.value.visits(matrix(c.column(1), dtype), wanted, counts, 4 * k)
                 row = np.concatenate([np.full(int(parts[f].sum()), i) for i, f in enumerate(found)]).astype(np.int64)
-                bucket = np.concatenate([np.arange(base[x], base[x] + parts[x]) for f in found for x in f])
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.ones(len(row), np.int32)),
+                division = np.concatenate([np.arange(parts[x]) for f in found for x in f])
+                leaf = np.concatenate([np.full(parts[x], x) for f in found for x in f])
+                yield pa.RecordBatch.from_arrays([pa.array((leaf >> subtree) + division * groups), pa.array(base[leaf] + division), pa.array(np.ones(len(row), np.int32)),
                                                   c.column(0).take(pa.array(row)), c.column(1).take(pa.array(row))],
-                                                 names=["bucket", "kind", "id", "vec"])
+                                                 names=["part", "bucket", "kind", "id", "vec"])
 
-    shape = "bucket long, kind int, id long, vec binary"
+    shape = "part long, bucket long, kind int, id long, vec binary"
     met = clean.mapInArrow(place, shape).union(clean.where(queries).mapInArrow(ask, shape))
 
     def rank(batches):
@@ -259,7 +267,7 @@ def search(vectors: DataFrame, queries, k: int = 20, trees: int = 8, leaf_size:
             return pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(s)], names=["query_id", "vec_id", "score"])
 
         for b in batches:
-            for bucket, kind, i, vec in zip(*(c.to_pylist() for c in b.columns)):
+            for bucket, kind, i, vec in zip(*(c.to_pylist() for c in b.columns[1:])):
                 if bucket != now:
                     answer()
                     now = bucket
@@ -278,7 +286,7 @@ def search(vectors: DataFrame, queries, k: int = 20, trees: int = 8, leaf_size:
         answer()
         yield flush()
 
-    found = (met.repartition("bucket").sortWithinPartitions("bucket", "kind")
+    found = (met.repartition("part").sortWithinPartitions("bucket", "kind")
              .mapInArrow(rank, "query_id long, vec_id long, score double"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
