@@ -10,7 +10,8 @@ joined:
    only affects speed. Two similar sets share a shingle in their prefixes under *every*
    order.
 2. Postings of the first order's prefixes are grouped by shingle. Each document of a list
-   is paired with one hub of the list (lists of very frequent shingles are first split by
+   is paired with one hub of the list: the one with the fewest rarer shingles, which is
+   the least edited of a group of copies (lists of very frequent shingles are first split by
    a salt, and the hubs of the splits are paired with each other). Pairs pass the length and positional
    filters, then the prefix filters of the second and third order, then the exact check.
 3. The links give components. Lists whose documents are still in different components
@@ -211,7 +212,7 @@ def ngram_join(docs: DataFrame, percent: int = 80) -> DataFrame:
     w = W.partitionBy("token", "salt")
     lists = stored(
         postings.withColumn("members", F.count("*").over(w))
-        .withColumn("hub", F.min(F.struct("cid", "n", "pos")).over(w))
+        .withColumn("hub", F.min(F.struct("pos", "cid", "n")).over(w))
         .where("members > 1 or salt > 0")
         .select("token", "salt", "cid", "n", "pos", F.col("hub.cid").alias("hub"), F.col("hub.n").alias("hub_n"),
                 F.col("hub.pos").alias("hub_pos")), "lists")
@@ -221,7 +222,7 @@ def ngram_join(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     stars = lists.where("cid <> hub").where(near("pos", "n", "hub_pos", "hub_n", percent)).select(*pair("cid", "hub"))
     subs = lists.where("salt > 0 and cid = hub").select("token", "cid", "n", "pos")
-    tops = subs.groupBy("token").agg(F.min(F.struct("cid", "n", "pos")).alias("t")).select(
+    tops = subs.groupBy("token").agg(F.min(F.struct("pos", "cid", "n")).alias("t")).select(
         "token", F.col("t.cid").alias("hub"), F.col("t.n").alias("hub_n"), F.col("t.pos").alias("hub_pos"))
     stars = stars.union(subs.join(tops, "token").where("cid <> hub")
                         .where(near("pos", "n", "hub_pos", "hub_n", percent)).select(*pair("cid", "hub")))
