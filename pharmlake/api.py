@@ -42,7 +42,7 @@ def download_failed_drugs(molecules: DataFrame, limit: int | None = None) -> Dat
     return cap_rows(out, limit, ["chembl_id"]) if limit else out
 
 
-def download_bioactivity_data(activities: DataFrame, limit: int = 5000) -> DataFrame:
+def download_bioactivity_data(activities: DataFrame, limit: int | None = None) -> DataFrame:
     return N.bioactivity(activities, limit)
 
 
@@ -67,11 +67,11 @@ def load_sources(spark: SparkSession, paths_by_source: dict[str, list[str]], sch
     parts = []
     for src, paths in paths_by_source.items():
         df = RD.read_optional(spark, paths, schema)
-        if not C.has_columns(df, ["smiles", "status"]):
-            continue
         label = C.map_label("status") if not label_of or src not in label_of else F.lit(label_of[src])
         parts.append(df.select("smiles", F.coalesce("name", F.lit("")).alias("name"), "status",
                                F.lit(src).alias("source"), label.cast("int").alias("label")))
+    if not parts:
+        return spark.createDataFrame([], "smiles string, name string, status string, source string, label int, row_id bigint")
     u = C.union_same(parts)
     return u.withColumn("row_id", F.monotonically_increasing_id())
 
@@ -83,9 +83,9 @@ validate_smiles = valid_smiles
 def prepare_dataset(unified: DataFrame, augment: Callable | None = None, test_mode: bool = False,
                     train: float = 0.8, **kw) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Validated, deduplicated, balanced, stratified (train, val, test)."""
+    if test_mode:  # sampled before the split, under another seed than the split's
+        unified = sample_n(C.dedup_first(C.validate(unified), "smiles", ["row_id"]), 500, "smiles", seed=1042)
     p = prepare_molecules(unified, train=train, variants=augment, **kw)
-    if test_mode:
-        p = sample_n(p, 500, "smiles")
     return tuple(p.where(F.col("split") == s).drop("split") for s in ("train", "val", "test"))  # type: ignore
 
 

@@ -148,13 +148,13 @@ def classes(df: DataFrame, label: str = "label") -> DataFrame:
 # ---- V: validity, toolkit hooks, balance ------------------------------------
 def validate(df: DataFrame, c: str = "smiles", lo: int = 1, hi: int = 10_000,
              validator: Callable | None = None) -> DataFrame:
-    """V1-V4: keep valid molecules. With a toolkit ``validator`` (pandas Series ->
-    bool Series) it runs as an Arrow-batched pandas UDF; otherwise length + alphabet."""
+    """V1-V4: keep valid molecules. With a toolkit ``validator`` (value ->
+    bool) it runs as an Arrow-batched pandas UDF; otherwise length + alphabet."""
     if validator is None:
         return df.where(valid_smiles(c, lo, hi))
-    from .hooks import series_udf
+    from .hooks import value_udf
 
-    ok = series_udf(validator, "boolean")
+    ok = value_udf(validator, "boolean")
     from ..functions.molecule import valid_length
 
     return df.where(valid_length(c, lo, hi) & F.coalesce(ok(F.col(c)), F.lit(False)))
@@ -165,9 +165,9 @@ def canonicalize(df: DataFrame, c: str = "smiles", fn: Callable | None = None) -
     conversion (null) keeps the original."""
     if fn is None:
         return df
-    from .hooks import series_udf
+    from .hooks import value_udf
 
-    canon = series_udf(fn, "string")
+    canon = value_udf(fn, "string")
     return df.withColumn(c, F.coalesce(canon(F.col(c)), F.col(c)))
 
 

@@ -37,9 +37,11 @@ def rank_in(df: DataFrame, part: Sequence[str], order: Sequence[str] | str, name
 
 
 def best_epoch(history: DataFrame, run: str = "run_id", epoch: str = "epoch", loss: str = "val_loss") -> DataFrame:
-    """First epoch with the minimum loss (strictly lower replaces), per run."""
+    """First epoch with the minimum loss (strictly lower replaces), per run. Null
+    losses never win; a run without any loss has a null epoch."""
+    key = F.when(F.col(loss).isNotNull(), F.struct(F.col(loss), F.col(epoch)))
     return history.groupBy(run).agg(
-        F.min_by(F.col(epoch), F.struct(F.col(loss), F.col(epoch))).alias("best_epoch"),
+        F.min_by(F.col(epoch), key).alias("best_epoch"),
         F.min(loss).alias("best_loss"))
 
 
@@ -192,10 +194,12 @@ def retain_latest(runs: DataFrame, n: int, run: str = "run_id", key: str = "chec
     """Keep the newest n checkpoints per run (by key, descending), flag the rest.
 
     The newest n per run come from a salted two-round top-n (a hot run is spread
-    over tasks); the flag is a left join on (run, key)."""
-    keep = top_n_per_group(runs.select(run, key), [run], [F.col(key).desc()], n).select(
-        run, key, F.lit(True).alias("__keep"))
-    j = runs.join(keep, [run, key], "left")
+    over tasks); the flag is a null-safe left join on (run, key). Repeated (run, key)
+    rows are one checkpoint: they share its flag."""
+    keep = top_n_per_group(runs.select(run, key).distinct(), [run], [F.col(key).desc()], n).select(
+        F.col(run).alias("__run"), F.col(key).alias("__key"), F.lit(True).alias("__keep"))
+    j = runs.join(keep, F.col(run).eqNullSafe(F.col("__run")) & F.col(key).eqNullSafe(F.col("__key")), "left") \
+        .drop("__run", "__key")
     return j.withColumn("keep", F.coalesce(F.col("__keep"), F.lit(False))).drop("__keep")
 
 

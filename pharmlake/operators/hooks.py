@@ -13,23 +13,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def series_udf(fn: Callable, return_type: str):
-    """Wrap a per-value function (or a Series -> Series function, if it accepts a
-    Series) as a pandas UDF."""
+def value_udf(fn: Callable, return_type: str):
+    """Wrap a per-value function (value -> value; null stays null) as a pandas UDF."""
 
     @F.pandas_udf(return_type)
     def _u(s: pd.Series) -> pd.Series:
-        try:
-            out = fn(s)
-            if isinstance(out, pd.Series) and len(out) == len(s):
-                return out
-        except Exception:  # noqa: BLE001 - fall back to per-value calls
-            pass
         return s.map(lambda v: None if v is None else fn(v))
 
     return _u
 
 
+def series_udf(fn: Callable, return_type: str):
+    """Wrap a Series -> Series function of equal length as a pandas UDF."""
+
+    @F.pandas_udf(return_type)
+    def _u(s: pd.Series) -> pd.Series:
+        return fn(s)
+
+    return _u
+
+
 def array_udf(fn: Callable):
     """Per-value function returning a list of strings, as an array<string> pandas UDF (X1, UDTF case)."""
 
@@ -42,12 +45,13 @@ def array_udf(fn: Callable):
 
 def with_toolkit(df: DataFrame, c: str = "smiles", valid: Callable | None = None,
                  canon: Callable | None = None, variants: Callable | None = None, n: int = 2) -> DataFrame:
-    """Add toolkit columns: ``is_valid``, ``canonical`` and ``variants`` (array)."""
+    """Add toolkit columns: ``is_valid``, ``canonical`` and ``variants`` (array). All
+    three functions take one value."""
     out = df
     if valid is not None:
-        out = out.withColumn("is_valid", F.coalesce(series_udf(valid, "boolean")(F.col(c)), F.lit(False)))
+        out = out.withColumn("is_valid", F.coalesce(value_udf(valid, "boolean")(F.col(c)), F.lit(False)))
     if canon is not None:
-        out = out.withColumn("canonical", F.coalesce(series_udf(canon, "string")(F.col(c)), F.col(c)))
+        out = out.withColumn("canonical", F.coalesce(value_udf(canon, "string")(F.col(c)), F.col(c)))
     if variants is not None:
         out = out.withColumn("variants", array_udf(lambda s: variants(s, n))(F.col(c)))
     return out

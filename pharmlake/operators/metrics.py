@@ -165,7 +165,8 @@ def score_curve(df: DataFrame, by: Sequence[str] = (), label: str = "label", sco
     model = QuantileDiscretizer(numBuckets=max(2, nb), inputCol="__sd", outputCol="__qb", handleInvalid="keep",
                                 relativeError=min(1e-3, 0.5 / max(2, nb))).fit(raw)
     gb = model.transform(g.withColumn("__sd", F.col(score).cast("double")))
-    gb = gb.withColumn("__qb", F.col("__qb").cast("int")).drop("__sd")
+    # null scores rank last, like the smallest score
+    gb = gb.withColumn("__qb", F.when(F.col("__sd").isNotNull(), F.col("__qb").cast("int")).otherwise(-1)).drop("__sd")
     out = running_sums(gb, list(by), [F.col(score).desc()], "__qb", ["p", "n"], descending_buckets=True)
     return out.drop("__qb").withColumnRenamed("cum_p", "tp").withColumnRenamed("cum_n", "k")
 

@@ -55,6 +55,16 @@ def _cols(xs: Sequence[Column | str]) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
 
+def _by(part: Sequence[str], side: DataFrame) -> tuple[DataFrame, Column]:
+    """``side`` with its key columns renamed, and the null-safe condition that joins it."""
+    cond = None
+    for c in part:
+        side = side.withColumnRenamed(c, f"__k_{c}")
+        one = F.col(c).eqNullSafe(F.col(f"__k_{c}"))
+        cond = one if cond is None else cond & one
+    return side, cond
+
+
 def global_row_number(
     df: DataFrame,
     order: Sequence[Column | str],
@@ -69,9 +79,9 @@ def global_row_number(
     ``bucket`` (an expression, or the name of a column already present) must be
     monotone in ``order``. Each (group, bucket) is ranked in its own task; offsets are
     prefix sums over the per-(group, bucket) counts. The offset table is broadcast when
-    its size is bounded (no groups, or ``small_groups`` for a bounded class column);
-    otherwise it is joined on (group, bucket), the partitioning the window output
-    already has, so only the small side moves.
+    there are no groups (its size is then the bucket count); otherwise it is joined on
+    (group, bucket) and Spark chooses by its size. Null groups are groups, null buckets
+    come first (where Spark sorts null order keys): no row is lost.
     """
     part = list(partition)
     b = "__bucket"
@@ -81,9 +91,10 @@ def global_row_number(
     offsets = counts.select(*part, b, F.coalesce(F.sum("__n").over(wcum), F.lit(0)).alias("__off"))
     w = Window.partitionBy(*part, b).orderBy(*_cols(order))
     ranked = with_b.withColumn("__local", F.row_number().over(w))
-    side = F.broadcast(offsets) if (not part or small_groups) else offsets
-    out = ranked.join(side, on=[*part, b], how="inner")
-    drop = [b, "__local", "__off"] + ([bucket] if isinstance(bucket, str) and bucket != b else [])
+    offsets, same = _by([*part, b], offsets)
+    side = F.broadcast(offsets) if not part else offsets
+    out = ranked.join(side, same)
+    drop = [b, "__local", "__off", *[f"__k_{c}" for c in (*part, b)]] + ([bucket] if isinstance(bucket, str) and bucket != b else [])
     return out.withColumn(name, (F.col("__local") + F.col("__off")).cast("bigint")).drop(*drop)
 
 
@@ -141,7 +152,8 @@ def with_quantile_bucket(df: DataFrame, col: str, buckets: int | None = None, ou
     tmp = df.withColumn(src, _numeric(df, col))
     qd = QuantileDiscretizer(numBuckets=max(2, buckets), inputCol=src, outputCol=out, handleInvalid="keep",
                              relativeError=min(1e-3, 0.5 / max(2, buckets)))
-    return qd.fit(tmp).transform(tmp).withColumn(out, F.col(out).cast("int")).drop(src)
+    got = qd.fit(tmp).transform(tmp)
+    return got.withColumn(out, F.when(F.col(src).isNotNull(), F.col(out).cast("int"))).drop(src)
 
 
 def quantile_bucket(df: DataFrame, col: str, buckets: int = 256, rel_err: float | None = None) -> Column:
@@ -221,5 +233,6 @@ def running_sums(
                                      for c in cols])
     w = Window.partitionBy(*part, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = with_b.select("*", *[F.sum(c).over(w).alias(f"__l_{c}") for c in cols])
-    out = local.join(offsets, on=[*part, b], how="inner")
+    offsets, same = _by([*part, b], offsets)
+    out = local.join(offsets, same)
     return out.select(*df.columns, *[(F.col(f"__l_{c}") + F.col(f"__o_{c}")).alias(f"{prefix}{c}") for c in cols])

@@ -19,6 +19,7 @@ from .ranking import (
     seeded_row_number,
     top_n_per_group,
     with_seeded_bucket,
+    _by,
 )
 
 
@@ -76,14 +77,15 @@ def split_positional(df: DataFrame, key: str, cuts: tuple[float, float] = (0.85,
     wall = Window.partitionBy()
     offsets = counts.select("__b", F.coalesce(F.sum("__n").over(wcum), F.lit(0)).alias("__off"),
                             F.sum("__n").over(wall).alias("__total"))
-    ranked = local.join(F.broadcast(offsets), "__b")
+    offsets, same = _by(["__b"], offsets)
+    ranked = local.join(F.broadcast(offsets), same)
     pos = (F.col("__l") + F.col("__off")).cast("bigint")
     c1 = F.floor(F.lit(float(cuts[0])) * F.col("__total").cast("double"))
     c2 = F.floor(F.lit(float(cuts[1])) * F.col("__total").cast("double"))
     return (ranked.withColumn("position", pos)
             .withColumn("split", F.when(F.col("position") <= c1, "train").when(F.col("position") <= c2, "val")
                         .otherwise("test"))
-            .drop(h, "__b", "__l", "__off", "__total"))
+            .drop(h, "__b", "__k___b", "__l", "__off", "__total"))
 
 
 def _idiv(a: Column, b: Column) -> Column:
@@ -117,7 +119,8 @@ def split_stratified(df: DataFrame, label: str, key: str, train: float = 0.8, se
 
     One aggregate over the data: counts per (label, hash bucket). From that table
     (at most #labels x 16^4 rows) come the bucket offsets, the class totals and the
-    quotas; rows are ranked inside (label, bucket) and joined to it by broadcast.
+    quotas; rows are ranked inside (label, bucket) and joined to it. Null labels are a label,
+    null keys a hash bucket: no row is lost.
     """
     fr = Fraction(str(train))
     num, den = fr.numerator, fr.denominator
@@ -132,13 +135,15 @@ def split_stratified(df: DataFrame, label: str, key: str, train: float = 0.8, se
     per = _largest_remainder(per, label, "__hold", "__n", "__nc", "__hq")
     per = per.withColumn("__test", _idiv(F.col("__hold") + 1, F.lit(2)))
     per = _largest_remainder(per, label, "__test", "__hold", "__hq", "__tq")
-    side = offsets.join(per.select(label, "__hq", "__tq"), label)  # bounded: #labels x buckets
+    quotas, same = _by([label], per.select(label, "__hq", "__tq"))
+    side = offsets.join(quotas, same).drop(f"__k_{label}")
+    side, same = _by([label, "__b"], side)  # labels x buckets rows: Spark chooses by its size
     w = Window.partitionBy(label, "__b").orderBy(F.col("__h"), F.col(key))
-    ranked = tmp.withColumn("__l", F.row_number().over(w)).join(F.broadcast(side), [label, "__b"])
+    ranked = tmp.withColumn("__l", F.row_number().over(w)).join(side, same)
     rn = F.col("__l") + F.col("__off")
     return (ranked.withColumn("split", F.when(rn <= F.col("__tq"), "test").when(rn <= F.col("__hq"), "val")
                               .otherwise("train"))
-            .drop("__h", "__b", "__l", "__off", "__hq", "__tq"))
+            .drop("__h", "__b", "__l", "__off", "__hq", "__tq", f"__k_{label}", "__k___b"))
 
 
 def split_stats(df: DataFrame, split: str = "split") -> DataFrame:

@@ -13,24 +13,21 @@ from ..session import cut_lineage
 
 
 def combined(compounds: DataFrame, failures: DataFrame | None = None, materialize: bool = True) -> DataFrame:
-    """U2 + U3: compounds deduplicated on structure (keep first in load order), then the
-    failure tables appended. Adds ``uid`` and the load order ``ord``.
+    """U2 + U3: compounds and failure tables in load order, then one row per structure
+    over all of them (the first loaded). Adds ``uid`` and the load order ``ord``.
 
-    The failure tables of the bindings carry no structure key; deduplicating them on
-    a null key would collapse them to one row, so only keyed rows are deduplicated.
-    """
+    Rows without a structure key (the failure tables of the bindings have none) cannot be
+    told apart by it and all stay."""
     c = compounds.withColumn("uid", F.col("compound_id")) \
         .withColumn("ord", (source_rank("source") * F.lit(1 << 40) + F.col("row_id")).cast("bigint"))
-    c = dedup_first(c, "smiles", ["ord"])
-    if materialize:
-        # Five branches (and the split's count pass) read this table: write it once to
-        # the shared checkpoint folder instead of re-running the dedup shuffle per branch.
-        c = cut_lineage(c, "compounds")
-    if failures is None:
-        return c
-    f = failures.withColumn("uid", F.concat(F.lit("F"), F.col("row_id").cast("string"))) \
-        .withColumn("ord", (F.lit(8) * F.lit(1 << 40) + F.col("row_id")).cast("bigint"))
-    return union_wide([c, f])
+    if failures is not None:
+        f = failures.withColumn("uid", F.concat(F.lit("F"), F.col("row_id").cast("string"))) \
+            .withColumn("ord", (F.lit(8) * F.lit(1 << 40) + F.col("row_id")).cast("bigint"))
+        c = union_wide([c, f])
+    out = dedup_first(c.where(F.col("smiles").isNotNull()), "smiles", ["ord"]).unionByName(c.where(F.col("smiles").isNull()))
+    # Five branches (and the split's count pass) read this table: write it once to the
+    # shared checkpoint folder instead of re-running the dedup shuffle per branch.
+    return cut_lineage(out, "compounds") if materialize else out
 
 
 def instruction_dataset(compounds: DataFrame, failures: DataFrame | None = None, seed: int = 42,

@@ -19,9 +19,10 @@ def write_csv(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode:
 
 def write_jsonl(df: DataFrame, path: str, cols: Sequence[str] | None = None, partition_by: Sequence[str] = (),
                 mode: str = "overwrite") -> None:
-    """K2: JSON lines of a column subset; non-ASCII text is written as is (UTF-8)."""
+    """K2: JSON lines of a column subset; non-ASCII text is written as is
+    (UTF-8), null fields are written as null."""
     out = df.select(*(list(cols) + list(partition_by))) if cols else df
-    w = out.write.mode(mode).option("encoding", "UTF-8")
+    w = out.write.mode(mode).option("encoding", "UTF-8").option("ignoreNullFields", "false")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.json(path)
@@ -35,6 +36,6 @@ def write_stats(stats: DataFrame, path: str, mode: str = "overwrite") -> None:
 def write_metrics(metrics: DataFrame, path: str, per_sample: DataFrame | None = None,
                   sample_path: str | None = None, mode: str = "overwrite") -> None:
     """K4: metrics document(s) and optional per-sample results."""
-    metrics.write.mode(mode).json(path)
+    metrics.write.mode(mode).option("ignoreNullFields", "false").json(path)
     if per_sample is not None and sample_path:
-        per_sample.write.mode(mode).json(sample_path)
+        per_sample.write.mode(mode).option("ignoreNullFields", "false").json(sample_path)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fixed_values import SENTINEL_NAMES
+from .readers import read_csv
 
 SCHEMAS = {
     "failed_drugs": "name string, smiles string, reason string, year int, phase_failed string, status string",
@@ -25,6 +26,5 @@ SCHEMAS = {
 def load_curated(spark: SparkSession, path: str, name: str, fmt: str = "json") -> DataFrame:
     """Read a landed curated table with its declared schema; sentinel SMILES dropped."""
     schema = SCHEMAS[name]
-    reader = spark.read.schema(schema)
-    df = reader.json(path) if fmt == "json" else reader.option("header", "true").option("escape", '"').csv(path)
+    df = spark.read.schema(schema).json(path) if fmt == "json" else read_csv(spark, path, schema)
     return df.where(~F.coalesce(F.col("smiles").isin(*SENTINEL_NAMES), F.lit(False)))

@@ -172,11 +172,10 @@ def first_property_match(df: DataFrame) -> DataFrame:
                         "c.heavy_atom_count", "c.complexity", _num(F.col("c.exact_mass")).alias("exact_mass"))
 
 
-def flatten_assays(df: DataFrame, n: int = 5) -> DataFrame:
-    """At most n assays per compound, in listed order."""
-    a = df.select("cid", F.explode(F.slice(F.coalesce(F.col("AssaySummaries.AssaySummary"),
-                                                      F.array().cast(df.schema["AssaySummaries"].dataType
-                                                                     ["AssaySummary"].dataType)), 1, n)).alias("a"))
+def flatten_assays(df: DataFrame, n: int | None = None) -> DataFrame:
+    """The assays of each compound in listed order, the first n if n is given."""
+    listed = F.col("AssaySummaries.AssaySummary")
+    a = df.select("cid", F.explode(listed if n is None else F.slice(listed, 1, n)).alias("a"))
     return a.select("cid", F.col("a.AID").alias("assay_id"), F.coalesce(F.col("a.SourceName"), F.lit("")).alias("assay_name"),
                     F.coalesce(F.col("a.ActivityOutcome"), F.lit("")).alias("activity_outcome"),
                     F.coalesce(F.col("a.TargetName"), F.lit("")).alias("target_name"))

@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def _fs_paths(spark: SparkSession, pattern: str) -> list[str]:
@@ -29,10 +29,35 @@ def empty(spark: SparkSession, schema: StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def read_csv(spark: SparkSession, path: str | Sequence[str], schema: StructType | str) -> DataFrame:
-    """CSV with a header row and a declared schema (quoted fields, multi-line values)."""
-    return (spark.read.schema(schema).option("header", "true").option("multiLine", "true")
-            .option("escape", '"').csv(path))
+def _typed(raw: DataFrame, st: StructType) -> DataFrame:
+    """Declared columns of a text frame by name: absent ones null, values that do not
+    parse null, NaN null."""
+    by_name = {c.strip().lower(): c for c in raw.columns}
+    cols = []
+    for f in st.fields:
+        if f.name.lower() not in by_name:
+            cols.append(F.lit(None).cast(f.dataType).alias(f.name))
+            continue
+        v = F.col(f"`{by_name[f.name.lower()]}`")
+        kind = f.dataType.simpleString()
+        if kind.startswith(("array", "struct", "map")):
+            v = F.from_json(v, kind)
+        elif kind != "string":
+            v = v.try_cast(f.dataType)
+            v = F.when(~F.isnan(v), v) if kind in ("double", "float") else v
+        cols.append(v.alias(f.name))
+    return raw.select(*cols)
+
+
+def read_csv(spark: SparkSession, path: str | Sequence[str], schema: StructType | str, multi_line: bool = False) -> DataFrame:
+    """CSV files with header rows; the declared columns are taken by header name,
+    whatever their order. ``multi_line`` allows line ends inside quoted fields (a file is
+    then one task). Files are read one by one because their headers may differ."""
+    st = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    paths = [path] if isinstance(path, str) else list(path)
+    found = [_typed(spark.read.option("header", "true").option("multiLine", str(multi_line).lower())
+                    .option("escape", '"').csv(p), st) for p in paths]
+    return reduce(DataFrame.unionByName, found) if found else empty(spark, st)
 
 
 def read_optional(spark: SparkSession, paths: Sequence[str], schema: StructType | str,
@@ -47,19 +72,25 @@ def read_optional(spark: SparkSession, paths: Sequence[str], schema: StructType
     return spark.read.schema(st).format(fmt).load(found)
 
 
-def read_dir_with_provenance(spark: SparkSession, directory: str, pattern: str = "*.csv") -> tuple[DataFrame, list]:
+def read_dir_with_provenance(spark: SparkSession, directory: str, pattern: str = "*.csv",
+                             types: StructType | str | None = None, multi_line: bool = False) -> tuple[DataFrame, list]:
     """S3: every CSV of a folder in sorted file-name order (the order decides later
     dedup winners), ``source`` = file stem; a file that cannot be read is reported
     and skipped. Files differ in columns, so they are unioned by name with nulls.
+    Values are read as text; columns named in ``types`` are cast to the declared type
+    (null where a value does not parse), so files may disagree about a column.
     Returns (frame, [(path, error)]). Each file is its own scan; the union is lazy."""
+    declared = {} if types is None else {
+        f.name: f for f in (types if isinstance(types, StructType) else StructType.fromDDL(types)).fields}
     frames, bad = [], []
     for i, p in enumerate(_fs_paths(spark, f"{directory.rstrip('/')}/{pattern}")):
         stem = p.rsplit("/", 1)[-1].rsplit(".", 1)[0]
         try:
-            df = spark.read.option("header", "true").option("inferSchema", "true").option("multiLine", "true") \
+            df = spark.read.option("header", "true").option("multiLine", str(multi_line).lower()) \
                 .option("escape", '"').csv(p)
             if not df.columns:
                 raise ValueError("no columns")
+            df = _typed(df, StructType([declared.get(c, StructField(c, StringType())) for c in df.columns]))
             frames.append(df.withColumn("source", F.lit(stem)).withColumn("file_rank", F.lit(i)))
         except Exception as e:  # noqa: BLE001 - report and skip, as the reference does
             bad.append((p, str(e)[:200]))
