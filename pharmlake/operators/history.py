@@ -9,31 +9,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import assistant_block, user_block
 from .ranking import global_row_number, top_n_per_group, with_quantile_bucket
 
 
-def rank_in(df: DataFrame, part: Sequence[str], order: Sequence[str] | str, name: str = "rn", buckets: int | None = None,
-            small_groups: bool = False, max_window: int | None = 1_000_000) -> DataFrame:
+def rank_in(df: DataFrame, part: Sequence[str], order: Sequence[str] | str, name: str = "rn",
+            buckets: int | None = None) -> DataFrame:
     """Row position within a group; the first order column is numeric or a
-    timestamp.
-
-    When every group has at most ``max_window`` rows (one cheap aggregate decides),
-    a window partitioned by the group is used. Otherwise the two-level form: quantile
-    buckets of the order key split a hot group across tasks, and bucket offsets are
-    joined back (``buckets`` defaults to about a million rows each). ``max_window=None``
-    forces the two-level form."""
+    timestamp. Two-level at every size: quantile buckets of the order key split a hot
+    group across tasks, and bucket offsets are joined back (``buckets`` defaults to
+    about a million rows each). Null groups are groups; null order keys come first."""
     order = [order] if isinstance(order, str) else list(order)
-    if max_window is not None:
-        longest = df.groupBy(*part).agg(F.count(F.lit(1)).alias("__n")).agg(F.max("__n")).first()[0] or 0
-        if longest <= max_window:
-            w = Window.partitionBy(*part).orderBy(*[F.col(o) for o in order])
-            return df.withColumn(name, F.row_number().over(w).cast("bigint"))
     b = with_quantile_bucket(df, order[0], buckets)
-    return global_row_number(b, [F.col(o) for o in order], "__qb", name, list(part), small_groups)
+    return global_row_number(b, [F.col(o) for o in order], "__qb", name, list(part))
 
 
 def best_epoch(history: DataFrame, run: str = "run_id", epoch: str = "epoch", loss: str = "val_loss") -> DataFrame:
@@ -45,47 +36,33 @@ def best_epoch(history: DataFrame, run: str = "run_id", epoch: str = "epoch", lo
         F.min(loss).alias("best_loss"))
 
 
-def _early_stop_fold(history: DataFrame, patience: int, min_delta: float, mode: str, run: str, epoch: str,
-                     score: str) -> DataFrame:
-    """Fold over each run's ordered scores (one array per run)."""
-    hist = history.groupBy(run).agg(F.array_sort(F.collect_list(F.struct(F.col(epoch).alias("e"),
-                                                                        F.col(score).cast("double").alias("s"))))
-                                    .alias("h"))
-    zero = F.struct(F.lit(None).cast("double").alias("best"), F.lit(0).alias("counter"),
-                    F.lit(None).cast("int").alias("stop"))
-
-    def step(acc: Column, x: Column) -> Column:
-        stopped = acc["stop"].isNotNull()
-        first = acc["best"].isNull()
-        better = (x["s"] < acc["best"] - min_delta) if mode == "min" else (x["s"] > acc["best"] + min_delta)
-        improved = F.coalesce(better, F.lit(False))
-        counter = F.when(first | improved, F.lit(0)).otherwise(acc["counter"] + 1)
-        return F.when(stopped, acc).otherwise(F.struct(
-            F.when(first | improved, x["s"]).otherwise(acc["best"]).alias("best"),
-            counter.alias("counter"),
-            F.when(~first & ~improved & (counter >= patience), x["e"].cast("int")).alias("stop")))
-
-    fold = F.aggregate(F.col("h"), zero, step)
-    return hist.select(run, fold["stop"].alias("stop_epoch"), fold["best"].alias("best_score"))
-
-
-def _early_stop_doubling(history: DataFrame, patience: int, min_delta: float, mode: str, run: str, epoch: str,
-                         score: str) -> DataFrame:
-    """Exact early stopping without holding a run in one task (epochs numbered 1..n).
-
-    Between two accepted epochs the best is fixed, so the next accepted epoch after i
-    is the first j in (i, i + patience] that beats x_i by min_delta; when there is
-    none, training stops at i + patience (if the run is that long). ``nxt`` comes
-    from a band self-join keyed by (run, epoch); the accepted chain from the first
-    epoch is followed by pointer doubling (ceil(log2 n) join rounds, lineage cut each
-    round). A hot target in a round is split by AQE's skew-join handling.
-    """
+def early_stop(history: DataFrame, patience: int = 3, min_delta: float = 0.001, mode: str = "min",
+               run: str = "run_id", epoch: str = "epoch", score: str = "val_loss") -> DataFrame:
+    """Early stopping per run, without holding a run in one task.
+
+    State: (best, counter). An epoch improves only if it beats the best *accepted*
+    score by min_delta, so this is not a running minimum. Output per run: the first
+    epoch at which training stops (null if never) and the best score seen up to that
+    point (or to the end).
+
+    Epochs are taken by their position in the run, so gaps do not matter; epochs before
+    the first score are skipped; later null scores do not improve. Between two accepted
+    positions the best is fixed, so the next accepted one after i is the first j in
+    (i, i + patience] that beats x_i by min_delta; when there is none, training stops at
+    i + patience (if the run is that long). ``nxt`` comes from a band self-join keyed by
+    (run, position); the accepted chain is followed by pointer doubling (ceil(log2 n)
+    join rounds, lineage cut each round). A hot target in a round is split by AQE.
+    A patience below 1 acts as 1: the first epoch that does not improve stops."""
     import math
 
     from ..session import cut_lineage
 
-    h = history.select(F.col(run).alias("r"), F.col(epoch).cast("bigint").alias("e"),
-                       F.col(score).cast("double").alias("s"))
+    patience = max(1, patience)
+    runs = history.select(F.struct(F.col(run)).alias("r"), F.col(epoch).alias("epoch"),  # a struct compares null-safe
+                          F.col(score).cast("double").alias("s"))
+    begin = runs.where(F.col("s").isNotNull()).groupBy("r").agg(F.min_by(F.struct("epoch"), F.struct("epoch")).alias("begin"))
+    h = runs.join(begin, "r").where(F.struct("epoch") >= F.col("begin")).select("r", "epoch", "s")
+    h = cut_lineage(rank_in(h, ["r"], "epoch", "e"), "early-stop-rows")
     cand = h.select("r", "e", "s", F.explode(F.sequence(F.lit(1), F.lit(patience))).alias("k")) \
         .withColumn("j", F.col("e") + F.col("k"))
     nb = h.select("r", F.col("e").alias("j"), F.col("s").alias("sj"))
@@ -93,93 +70,46 @@ def _early_stop_doubling(history: DataFrame, patience: int, min_delta: float, mo
     nxt = cand.join(nb, ["r", "j"]).where(better).groupBy("r", "e").agg(F.min("j").alias("nxt"))
     ptr = h.join(nxt, ["r", "e"], "left").select("r", "e", F.coalesce("nxt", "e").alias("p"))
     ptr = cut_lineage(ptr, "early-stop-ptr")
-    longest = h.groupBy("r").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    longest = h.agg(F.max("e")).first()[0] or 1
     for _ in range(max(1, math.ceil(math.log2(longest + 1)))):
         a, b = ptr.alias("a"), ptr.alias("b")
         ptr = cut_lineage(a.join(b, (F.col("a.r") == F.col("b.r")) & (F.col("a.p") == F.col("b.e")))
                           .select(F.col("a.r").alias("r"), F.col("a.e").alias("e"), F.col("b.p").alias("p")),
                           "early-stop-ptr")
-    ends = h.groupBy("r").agg(F.min("e").alias("e0"), F.max("e").alias("n"))
-    term = ends.join(ptr, (ends["r"] == ptr["r"]) & (ends["e0"] == ptr["e"])).select(ends["r"], "n", F.col("p").alias("t"))
-    best = term.join(h.select("r", F.col("e").alias("t"), "s"), ["r", "t"])
-    stop = F.when(F.col("t") + patience <= F.col("n"), (F.col("t") + patience).cast("int"))
-    return best.select(F.col("r").alias(run), stop.alias("stop_epoch"), F.col("s").alias("best_score"))
+    last = ptr.where("e = 1").select("r", F.col("p").alias("t"))
+    best = last.join(h.select("r", F.col("e").alias("t"), F.col("s").alias("best_score")), ["r", "t"])
+    ends = best.withColumn("e", F.col("t") + patience).join(h.select("r", "e", "epoch"), ["r", "e"], "left")
+    out = runs.select("r").distinct().join(ends, "r", "left")
+    return out.select(F.col("r")[run].alias(run), F.col("epoch").cast("int").alias("stop_epoch"), "best_score")
 
 
-def early_stop(history: DataFrame, patience: int = 3, min_delta: float = 0.001, mode: str = "min",
-               run: str = "run_id", epoch: str = "epoch", score: str = "val_loss",
-               max_fold: int = 100_000) -> DataFrame:
-    """Early stopping per run.
+def last_turns(turns: DataFrame, n: int = 3, conv: str = "conv_id", turn: str = "turn",
+               role: str = "role", text: str = "text") -> DataFrame:
+    """For each user turn, its reply (the next turn if it is the assistant's) and
+    the last n (user, assistant) pairs before it, oldest first.
 
-    State: (best, counter). An epoch improves only if it beats the best *accepted*
-    score by min_delta, so this is not a running minimum. Output per run: the first
-    epoch at which training stops (null if never) and the best score seen up to that
-    point (or to the end). Runs of at most ``max_fold`` epochs are folded over an
-    ordered array (cheap, bounded); longer runs take the distributed path
-    (``_early_stop_doubling``, epochs numbered 1..n), so no task holds a whole hot run.
-    """
-    if patience < 1:
-        return _early_stop_fold(history, patience, min_delta, mode, run, epoch, score)
-    lengths = history.groupBy(run).agg(F.count(F.lit(1)).alias("__len"))
-    long_runs = lengths.where(F.col("__len") > max_fold).select(run)
-    if long_runs.limit(1).count() == 0:
-        return _early_stop_fold(history, patience, min_delta, mode, run, epoch, score)
-    short = history.join(lengths.where(F.col("__len") <= max_fold).select(run), run, "left_semi")
-    long_ = history.join(long_runs, run, "left_semi")
-    return _early_stop_fold(short, patience, min_delta, mode, run, epoch, score).unionByName(
-        _early_stop_doubling(long_, patience, min_delta, mode, run, epoch, score))
-
-
-def _last_turns_windows(turns: DataFrame, n: int, conv: str, turn: str, role: str, text: str) -> DataFrame:
-    w = Window.partitionBy(conv).orderBy(turn)
-    t = turns.select(conv, turn, role, text,
-                     F.lead(role).over(w).alias("__next_role"), F.lead(text).over(w).alias("__next_text"))
-    users = t.where(F.col(role) == "user").select(
-        conv, turn, F.col(text).alias("message"),
-        F.when(F.col("__next_role") == "assistant", F.col("__next_text")).alias("reply"))
-    pair = F.struct(F.col("message").alias("user"), F.col("reply").alias("assistant"))
-    lags = [F.lag(pair, i).over(w) for i in range(n, 0, -1)]
-    return users.select(conv, turn, "message", "reply", F.filter(F.array(*lags), lambda x: x.isNotNull()).alias("history"))
-
-
-def _last_turns_joins(turns: DataFrame, n: int, conv: str, turn: str, role: str, text: str) -> DataFrame:
-    """Same result with equi-joins on unique keys (no window per conversation): the
-    next turn by (conversation, position + 1), earlier pairs by (conversation, user
-    ordinal - k). Positions come from a two-level rank, so a conversation holding a
-    third of all rows is spread over tasks."""
-    pos = rank_in(turns.select(conv, turn, role, text), [conv], turn, "__pos", max_window=None)
-    nxt = pos.select(conv, (F.col("__pos") - 1).alias("__pos"), F.col(role).alias("__next_role"),
+    Equi-joins on unique keys, no window per conversation: the next turn by
+    (conversation, position + 1), earlier pairs by (conversation, user ordinal - k).
+    Positions come from a two-level rank, so a conversation holding a third of all rows
+    is spread over tasks. A null conversation is one conversation."""
+    key = F.struct(F.col(conv)).alias("__c")  # a struct compares null-safe
+    pos = rank_in(turns.select(conv, turn, role, text, key), [conv], turn, "__pos")
+    nxt = pos.select("__c", (F.col("__pos") - 1).alias("__pos"), F.col(role).alias("__next_role"),
                      F.col(text).alias("__next_text"))
-    t = pos.join(nxt, [conv, "__pos"], "left")
+    t = pos.join(nxt, ["__c", "__pos"], "left")
     users = t.where(F.col(role) == "user").select(
-        conv, turn, F.col(text).alias("message"),
+        "__c", conv, turn, F.col(text).alias("message"),
         F.when(F.col("__next_role") == "assistant", F.col("__next_text")).alias("reply"))
-    users = rank_in(users, [conv], turn, "__u", max_window=None)
+    users = rank_in(users, [conv], turn, "__u")
     out = users
     for k in range(1, n + 1):
-        prev = users.select(conv, (F.col("__u") + k).alias("__u"),
+        prev = users.select("__c", (F.col("__u") + k).alias("__u"),
                             F.struct(F.col("message").alias("user"), F.col("reply").alias("assistant")).alias(f"__p{k}"))
-        out = out.join(prev, [conv, "__u"], "left")
+        out = out.join(prev, ["__c", "__u"], "left")
     hist = F.filter(F.array(*[F.col(f"__p{k}") for k in range(n, 0, -1)]), lambda x: x.isNotNull())
     return out.select(conv, turn, "message", "reply", hist.alias("history"))
 
 
-def last_turns(turns: DataFrame, n: int = 3, conv: str = "conv_id", turn: str = "turn",
-               role: str = "role", text: str = "text", max_window: int | None = 100_000) -> DataFrame:
-    """For each user turn, its reply (the next turn if it is the assistant's) and
-    the last n (user, assistant) pairs before it, oldest first.
-
-    Conversations of at most ``max_window`` turns use windows partitioned by
-    conversation; if any is longer (one cheap aggregate decides), the join form is
-    used, which never holds a conversation in one task. ``max_window=None`` forces it.
-    """
-    if max_window is not None:
-        longest = turns.groupBy(conv).agg(F.count(F.lit(1)).alias("__n")).agg(F.max("__n")).first()[0] or 0
-        if longest <= max_window:
-            return _last_turns_windows(turns, n, conv, turn, role, text)
-    return _last_turns_joins(turns, n, conv, turn, role, text)
-
-
 def chat_context(turns: DataFrame, n: int = 3, **kw) -> DataFrame:
     """ChatML context: last n pairs + current message + an open assistant block."""
     lt = last_turns(turns, n, **{k: v for k, v in kw.items()})

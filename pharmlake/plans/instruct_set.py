@@ -16,15 +16,19 @@ def combined(compounds: DataFrame, failures: DataFrame | None = None, materializ
     """U2 + U3: compounds and failure tables in load order, then one row per structure
     over all of them (the first loaded). Adds ``uid`` and the load order ``ord``.
 
-    Rows without a structure key (the failure tables of the bindings have none) cannot be
+    Failure rows without a structure key (the tables of the bindings have none) cannot be
     told apart by it and all stay."""
     c = compounds.withColumn("uid", F.col("compound_id")) \
         .withColumn("ord", (source_rank("source") * F.lit(1 << 40) + F.col("row_id")).cast("bigint"))
+    parts = [c]
     if failures is not None:
         f = failures.withColumn("uid", F.concat(F.lit("F"), F.col("row_id").cast("string"))) \
             .withColumn("ord", (F.lit(8) * F.lit(1 << 40) + F.col("row_id")).cast("bigint"))
-        c = union_wide([c, f])
-    out = dedup_first(c.where(F.col("smiles").isNotNull()), "smiles", ["ord"]).unionByName(c.where(F.col("smiles").isNull()))
+        if "smiles" in f.columns:
+            c, f = union_wide([c, f.where(F.col("smiles").isNotNull())]), f.where(F.col("smiles").isNull())
+        parts.append(f)
+    parts[0] = dedup_first(c, "smiles", ["ord"])
+    out = union_wide(parts)
     # Five branches (and the split's count pass) read this table: write it once to the
     # shared checkpoint folder instead of re-running the dedup shuffle per branch.
     return cut_lineage(out, "compounds") if materialize else out

@@ -147,24 +147,64 @@ def test_keyword_coverage(spark):
     assert r[1].c == 1.0
 
 
-def test_early_stop_distributed_path_equals_fold(spark):
+def test_early_stop_equals_a_plain_fold(spark):
     import random
 
-    rnd = random.Random(3)
+    rnd = random.Random(5)
     rows = []
-    for run in range(40):
-        n = rnd.randint(1, 60)
-        x = 1.0
-        for e in range(1, n + 1):
-            x = max(0.0, x + rnd.uniform(-0.05, 0.04))
-            rows.append((run, e, round(x, 3)))
+    for r in range(30):
+        for e in sorted(rnd.sample(range(1, 60), 25)):  # gaps
+            rows.append((r if r else None, e, None if rnd.random() < 0.1 else round(rnd.random(), 3)))
+    rows += [(77, 1, None), (77, 2, None)]
     h = spark.createDataFrame(rows, "run_id int, epoch int, val_loss double")
-    for patience, delta, mode in [(3, 0.001, "min"), (1, 0.0, "min"), (5, 0.01, "max")]:
-        fold = H.early_stop(h, patience, delta, mode)  # all runs short: array fold
-        dist = H.early_stop(h, patience, delta, mode, max_fold=0)  # every run distributed
-        a = sorted((r.run_id, r.stop_epoch, r.best_score) for r in fold.collect())
-        b = sorted((r.run_id, r.stop_epoch, r.best_score) for r in dist.collect())
-        assert a == b, (patience, delta, mode)
+
+    def fold(own, patience, delta):
+        best, counter = None, 0
+        for e, s in own:
+            if best is None:
+                best, counter = s, 0
+            elif s is not None and s < best - delta:
+                best, counter = s, 0
+            else:
+                counter += 1
+                if counter >= patience:
+                    return e, best
+        return None, best
+
+    for patience, delta in ((0, 0.0), (3, 0.001)):
+        got = {r.run_id: (r.stop_epoch, r.best_score) for r in H.early_stop(h, patience, delta).collect()}
+        assert got == {r: fold([(e, s) for q, e, s in rows if q == r], patience, delta) for r in {x[0] for x in rows}}
+
+
+def test_repeated_checkpoints_and_null_losses(spark):
+    runs = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), (None, 5)], "run_id string, checkpoint int")
+    assert sorted((str(r.run_id), r.checkpoint, r.keep) for r in H.retain_latest(runs, 1).collect()) == [
+        ("None", 5, True), ("a", 1, False), ("a", 1, False), ("a", 2, True)]
+    h = spark.createDataFrame([(1, 1, 0.5), (1, 2, None)], "run_id int, epoch int, val_loss double")
+    assert H.best_epoch(h).first().best_epoch == 1
+
+
+def test_hooks_take_values(spark):
+    from pharmlake.operators import hooks as X
+
+    df = spark.createDataFrame([("abc",), ("xya",), (None,)], "smiles string")
+    got = [r.c for r in df.select(X.value_udf(lambda s: s[::-1], "string")("smiles").alias("c")).collect()]
+    assert sorted(map(str, got)) == ["None", "ayx", "cba"]
+    got = [r.c for r in df.select(X.value_udf(lambda s: s.replace("a", "Z"), "string")("smiles").alias("c")).collect()]
+    assert sorted(map(str, got)) == ["None", "Zbc", "xyZ"]
+
+
+def test_csv_columns_by_header_name(spark, tmp_dir):
+    from pharmlake.sources import readers as RD
+
+    with open(f"{tmp_dir}/a.csv", "w") as f:
+        f.write("chembl_id,name,smiles,status,year\nCHEMBL1,asp,CCO,approved,2001\n")
+    with open(f"{tmp_dir}/b.csv", "w") as f:
+        f.write("status,smiles,year\nfailed,CCN,unknown\n")
+    got = RD.read_csv(spark, [f"{tmp_dir}/a.csv", f"{tmp_dir}/b.csv"], "smiles string, name string, status string, year int")
+    assert sorted(map(tuple, got.collect()), key=str) == [("CCN", None, "failed", None), ("CCO", "asp", "approved", 2001)]
+    both, bad = RD.read_dir_with_provenance(spark, tmp_dir, types="year int")
+    assert not bad and sorted(str(r.year) for r in both.collect()) == ["2001", "None"]
 
 
 HISTORY = {

@@ -95,27 +95,36 @@ def test_augment_gate(spark):
     assert C.augment(bal, toy_variants, n=2).count() == 20
 
 
-def test_last_turns_join_form_equals_windows(spark):
+def test_last_turns_equals_a_plain_fold(spark):
     from pharmlake.operators import history as H
-    from pharmlake.sources import bindings as B
-
-    c = B.chats(spark, "/root/testdata/sf0.001")
-    a = H.last_turns(c)
-    b = H.last_turns(c, max_window=None)
-    cols = ["conv_id", "turn", "message", "reply", "history"]
-    assert sorted(map(tuple, a.select(cols).collect())) == sorted(map(tuple, b.select(cols).collect()))
-    x = H.chat_context(c, max_window=None).select("conv_id", "turn", "prompt").collect()
-    y = H.chat_context(c).select("conv_id", "turn", "prompt").collect()
-    assert sorted(x) == sorted(y)
 
-
-def test_rank_in_both_forms(spark):
+    rows = [(c, t, "user" if (t + c) % 3 else "assistant", f"{c}.{t}") for c in range(5) for t in range(9)]
+    rows += [(None, t, r, f"n{t}") for t, r in enumerate(["user", "assistant", "user", "user"])]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    want = []
+    for c in {r[0] for r in rows}:
+        own, pairs = sorted(r for r in rows if r[0] == c), []
+        for i, (_, t, role, text) in enumerate(own):
+            if role == "user":
+                nxt = own[i + 1] if i + 1 < len(own) else None
+                reply = nxt[3] if nxt and nxt[2] == "assistant" else None
+                want.append((c, t, text, reply, tuple(pairs[-3:])))
+                pairs.append((text, reply))
+    got = [(r.conv_id, r.turn, r.message, r.reply, tuple((p.user, p.assistant) for p in r.history))
+           for r in H.last_turns(df).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_rank_in_keeps_nulls(spark):
     from pharmlake.operators import history as H
-
-    df = _frame(spark, 2000)
-    a = H.rank_in(df, ["g"], ["v", "k"], "rn")
-    b = H.rank_in(df, ["g"], ["v", "k"], "rn", max_window=None)
-    assert sorted(a.select("k", "rn").collect()) == sorted(b.select("k", "rn").collect())
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    rows = [(g, v, k) for k, (g, v) in enumerate([(None, 1.0), (None, None), (1, 3.0), (1, None), (1, 2.0), (2, 5.0), (2, 5.0)])]
+    df = spark.createDataFrame(rows, "g int, v double, k int")
+    w = df.withColumn("w", F.row_number().over(Window.partitionBy("g").orderBy("v", "k")))
+    got = H.rank_in(w, ["g"], ["v", "k"], "rn").collect()
+    assert len(got) == len(rows) and all(r.rn == r.w for r in got)
 
 
 def test_report_text_agrees_with_rule_columns(spark):
