@@ -15,8 +15,8 @@ joined:
    a salt, and the hubs of the splits are paired with each other). Pairs pass the length and positional
    filters, then the prefix filters of the second and third order, then the exact check.
 3. The links give components. Lists whose documents are still in different components
-   are joined once more, now all pairs across components, with the same filters and the
-   exact check. So no link between different components is lost, and large groups of
+   are joined once more, now all pairs across components, with the same filters, a bound
+   on the overlap from 128-bit parity signatures, and the exact check. So no link between different components is lost, and large groups of
    near copies cost about one pair per document instead of all pairs.
 
 Shingles and classes are named by 64-bit hashes (the expected number of accidental
@@ -76,6 +76,14 @@ def set_name(h: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def parity(h: np.ndarray) -> tuple[int, int]:
+    """128-bit parity signature of a set: each element that only one of two sets has
+    flips one bit, so the number of different bits is at most the symmetric difference."""
+    m = T.mix(h, 0x9A17) & np.uint64(127)
+    words = [np.bitwise_xor.reduce(np.uint64(1) << (m[m >> np.uint64(6) == i] & np.uint64(63)), initial=np.uint64(0)) for i in (0, 1)]
+    return tuple(int(w.astype(np.int64)) for w in words)
+
+
 def sets_of(batch, column: int = 1):
     """(row numbers, shingle sets) of a batch, a few megabytes of text at a time."""
     col = batch.column(column)
@@ -97,7 +105,7 @@ def shingle_classes(docs: DataFrame) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, classes, percent: int) -> DataFrame:
-    """(doc_id, n, cid, hot_from, prefix) per document."""
+    """(doc_id, n, cid, hot_from, prefix, sig_0, sig_1) per document."""
     hot = class_of(HOT_LIST)
 
     def sign(batches):
@@ -107,11 +115,12 @@ def signatures(docs: DataFrame, classes, percent: int) -> DataFrame:
         for batch in batches:
             ids = batch.column(0)
             for a, sets in sets_of(batch):
-                ns, cids, hots, flat, ends = [], [], [], [], [0]
+                ns, cids, hots, flat, ends, sigs = [], [], [], [], [0], []
                 for h in sets:
                     n = len(h)
                     ns.append(n)
                     cids.append(set_name(h) if n else None)
+                    sigs.append(parity(h))
                     p = prefix(h, table, ORDERS[0], probe_length(n, percent)) if n else h
                     c = table[(p >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
                     hots.append(int(np.searchsorted(c, hot)))
@@ -121,10 +130,11 @@ def signatures(docs: DataFrame, classes, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(a, len(sets)), pa.array(ns, pa.int32()), pa.array(cids, pa.int64()),
                      pa.array(hots, pa.int32()),
-                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)],
-                    names=["doc_id", "n", "cid", "hot_from", "prefix"])
+                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values),
+                     *[pa.array([x[i] for x in sigs], pa.int64()) for i in (0, 1)]],
+                    names=["doc_id", "n", "cid", "hot_from", "prefix", "sig_0", "sig_1"])
 
-    return _clean(docs).mapInArrow(sign, "doc_id long, n int, cid long, hot_from int, prefix array<long>")
+    return _clean(docs).mapInArrow(sign, "doc_id long, n int, cid long, hot_from int, prefix array<long>, sig_0 long, sig_1 long")
 
 
 def near(pa_: str, na: str, pb: str, nb: str, percent: int):
@@ -234,14 +244,21 @@ def ngram_join(docs: DataFrame, percent: int = 80) -> DataFrame:
     placed = (lists.select("token", "cid", "n", "pos").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
               .select("token", "cid", "n", "pos", F.coalesce("root", "cid").alias("root")))
     mixed = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    open_ = stored(placed.join(mixed.select("token"), "token"), "open")
-    x = open_.select("token", *[F.col(c).alias(c + "_a") for c in ("cid", "n", "pos", "root")])
-    y = open_.select("token", *[F.col(c).alias(c + "_b") for c in ("cid", "n", "pos", "root")])
+    open_ = placed.join(mixed.select("token"), "token")
+    marks = sig.where("n > 0").select("cid", "sig_0", "sig_1").distinct()
+    open_ = stored(open_.join(marks, "cid"), "open")
+    kept = ("cid", "n", "pos", "root", "sig_0", "sig_1")
+    x = open_.select("token", *[F.col(c).alias(c + "_a") for c in kept])
+    y = open_.select("token", *[F.col(c).alias(c + "_b") for c in kept])
+    apart = (F.bit_count(F.col("sig_0_a").bitwiseXOR(F.col("sig_0_b")))
+             + F.bit_count(F.col("sig_1_a").bitwiseXOR(F.col("sig_1_b"))))
+    # |A and B| <= (n + m - apart) / 2
+    close = (100 + percent) * (F.col("n_a") + F.col("n_b") - apart) >= 2 * percent * (F.col("n_a") + F.col("n_b"))
     smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("cid_a") < F.col("cid_b")))
     short = (F.col("n_a") - F.ceil(2 * percent * F.col("n_a") / (100 + percent)) + 1)
     rest = (x.where(F.col("pos_a") < short).join(y, "token")
             .where(smaller & (F.col("root_a") != F.col("root_b")))
-            .where(near("pos_a", "n_a", "pos_b", "n_b", percent))
+            .where(near("pos_a", "n_a", "pos_b", "n_b", percent) & close)
             .select(*pair("cid_a", "cid_b")).distinct().join(tested, ["a", "b"], "left_anti"))
     rest = stored(rest, "pairs")
     more = stored(verified(rest, docs, sig, classes, percent), "links")
