@@ -13,7 +13,7 @@ are kept themselves.
    against the first class of the list. What is found later than a match needs no further
    search, so a large group of near copies costs about one pair a line.
 4. Join round: all prefix words of all classes are joined with the short prefixes; a pair
-   passes the length and positional filters, a bound on the overlap from 64-bit parity
+   passes the length and positional filters, a bound on the overlap from 128-bit parity
    signatures (each differing word flips at most one bit), and only if the later line is
    still unmatched. The sets of the remaining pairs are compared exactly.
 
@@ -40,7 +40,7 @@ STAR_WORDS = 3
 LINE_BITS = 40  # a line key: 20 bits of the text's hash, then the line number
 NO_DOC = -(1 << 63)
 U = np.uint64
-LINES = "doc long, line long, cid long, n int, sig long, prefix array<int>"
+LINES = "doc long, line long, cid long, n int, sig long, sig_1 long, prefix array<int>, items array<long>"
 
 
 def _clean(docs: DataFrame) -> DataFrame:
@@ -102,11 +102,6 @@ def sets_of(batch, classes, min_words):
         yield docs[a + row], (salts[a + row] << LINE_BITS) | number, n, first, tokens
 
 
-def ref_bit(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
-    m = 1 << REF_BITS
-    return (np.mod(doc, m) * 31 + np.mod(line, m) * 7919) % m
-
-
 def ref_bit_column(doc: str, line: str):
     m = 1 << REF_BITS
     return ((F.pmod(F.col(doc), F.lit(m)) * 31 + F.pmod(F.col(line), F.lit(m)) * 7919) % m).cast("int")
@@ -128,40 +123,35 @@ def lines_table(docs: DataFrame, classes, percent: int, min_words: int) -> DataF
                     continue
                 with np.errstate(over="ignore"):
                     cid = T.mix(np.add.reduceat(T.mix(tokens, 2), first) ^ T.mix(n.astype(U), 3))
-                sig = np.bitwise_xor.reduceat(U(1) << (T.mix(tokens, 4) & U(63)), first)
+                at = T.mix(tokens, 4) & U(127)
+                bit = U(1) << (at & U(63))
+                sigs = [np.bitwise_xor.reduceat(np.where(at >> U(6) == i, bit, U(0)), first) for i in (0, 1)]
                 length = n + (-percent * n) // 100 + 1
                 place = np.arange(len(tokens)) - np.repeat(first, n)
                 short = (T.mix(tokens[place < np.repeat(length, n)], 5) >> U(32)).astype(np.uint32).view(np.int32)
                 ends = np.concatenate(([0], np.cumsum(length))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(doc), pa.array(line), pa.array(cid.view(np.int64)), pa.array(n.astype(np.int32)),
-                     pa.array(sig.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(short))],
-                    names=["doc", "line", "cid", "n", "sig", "prefix"])
+                     *[pa.array(x.view(np.int64)) for x in sigs], pa.ListArray.from_arrays(pa.array(ends), pa.array(short)),
+                     pa.ListArray.from_arrays(pa.array(np.append(first, len(tokens)).astype(np.int32)),
+                                              pa.array(tokens.view(np.int64)))],
+                    names=["doc", "line", "cid", "n", "sig", "sig_1", "prefix", "items"])
 
     return docs.mapInArrow(run, LINES)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes, percent: int, min_words: int) -> DataFrame:
+def verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     """The later lines (doc, line) of the pairs whose sets match. pairs: doc_a, line_a
-    (earlier), doc_b, line_b."""
+    (earlier), doc_b, line_b. A bit table of the wanted lines (at most 2**16 rows of 64
+    bits, so it may be broadcast) keeps the other sets out of the shuffle."""
     wanted = pairs.select(F.col("doc_a").alias("doc"), F.col("line_a").alias("line")).union(
         pairs.select("doc_b", "line_b")).distinct()
-    bits = docs.sparkSession.sparkContext.broadcast(ref_bits(wanted, "doc", "line"))
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for doc, line, n, first, tokens in sets_of(batch, classes.value, min_words):
-                hit = bits.value[ref_bit(doc, line)]
-                if hit.any():
-                    ends = np.concatenate(([0], np.cumsum(n[hit]))).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(doc[hit]), pa.array(line[hit]),
-                         pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens[np.repeat(hit, n)].view(np.int64)))],
-                        names=["doc", "line", "items"])
-
-    sets = docs.mapInArrow(run, "doc long, line long, items array<long>")
+    bit = ref_bit_column("doc", "line")
+    bits = (wanted.select(bit.alias("b")).groupBy(F.shiftright("b", 6).alias("i"))
+            .agg(F.bit_or(F.expr("shiftleft(1L, b % 64)")).alias("w")))
+    sets = (lines.select("doc", "line", "items", bit.alias("b"))
+            .join(F.broadcast(bits), F.shiftright("b", 6) == F.col("i"))
+            .where("shiftrightunsigned(w, b % 64) & 1 = 1").select("doc", "line", "items"))
     sets = stored(sets.join(wanted, ["doc", "line"], "left_semi").dropDuplicates(["doc", "line"]), "sets")
     a = sets.select(F.col("doc").alias("doc_a"), F.col("line").alias("line_a"), F.col("items").alias("a"))
     b = sets.select(F.col("doc").alias("doc_b"), F.col("line").alias("line_b"), F.col("items").alias("b"))
@@ -175,7 +165,8 @@ def near(a: str, b: str, percent: int):
     """Length, positional and signature filter for a word shared at places pos_a, pos_b."""
     n, m, p, q = (F.col(c) for c in (f"n_{a}", f"n_{b}", f"pos_{a}", f"pos_{b}"))
     most = 1 + F.least(p, q) + F.least(n - p, m - q) - 1
-    apart = F.bit_count(F.col(f"sig_{a}").bitwiseXOR(F.col(f"sig_{b}")))
+    apart = (F.bit_count(F.col(f"sig_{a}").bitwiseXOR(F.col(f"sig_{b}")))
+             + F.bit_count(F.col(f"sig_1_{a}").bitwiseXOR(F.col(f"sig_1_{b}"))))
     # |A or B| - |A and B| >= apart, so |A and B| <= (n + m - apart) / 2
     return ((100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * most >= percent * (n + m))
             & ((100 + percent) * (n + m - apart) >= 2 * percent * (n + m)))
@@ -191,18 +182,18 @@ def removed_lines(docs: DataFrame, percent: int = 80, min_words: int = 5) -> Dat
     spark = docs.sparkSession
     classes = spark.sparkContext.broadcast(word_classes(docs))
     lines = stored(lines_table(docs, classes, percent, min_words), "lines")
-    c = lines.groupBy("cid").agg(F.min(F.struct("doc", "line", "n", "sig", "prefix")).alias("f"), F.count("*").alias("copies"))
+    c = lines.groupBy("cid").agg(F.min(F.struct("doc", "line", "n", "sig", "sig_1", "prefix")).alias("f"), F.count("*").alias("copies"))
     c = stored(c.select("cid", "copies", "f.*"), "classes")
 
     # star round
-    star = c.select("doc", "line", "n", "sig", F.posexplode(F.slice("prefix", 1, STAR_WORDS)).alias("pos", "token"))
-    hub = F.min(F.struct("doc", "line", "n", "sig", "pos")).over(W.partitionBy("token"))
+    star = c.select("doc", "line", "n", "sig", "sig_1", F.posexplode(F.slice("prefix", 1, STAR_WORDS)).alias("pos", "token"))
+    hub = F.min(F.struct("doc", "line", "n", "sig", "sig_1", "pos")).over(W.partitionBy("token"))
     star = star.withColumn("h", hub).select(
-        *[F.col(f"h.{x}").alias(f"{x}_a") for x in ("doc", "line", "n", "sig", "pos")],
-        *[F.col(x).alias(f"{x}_b") for x in ("doc", "line", "n", "sig", "pos")])
+        *[F.col(f"h.{x}").alias(f"{x}_a") for x in ("doc", "line", "n", "sig", "sig_1", "pos")],
+        *[F.col(x).alias(f"{x}_b") for x in ("doc", "line", "n", "sig", "sig_1", "pos")])
     refs = ["doc_a", "line_a", "doc_b", "line_b"]
     tested = stored(star.where(before("a", "b") & near("a", "b", percent)).select(*refs).distinct(), "pairs")
-    matched = stored(verified(tested, docs, classes, percent, min_words), "matched")
+    matched = stored(verified(tested, lines, percent), "matched")
 
     # join round: exact test of `matched` only for lines whose bit is set
     bits = spark.sparkContext.broadcast(ref_bits(matched, "doc", "line"))
@@ -213,14 +204,14 @@ def removed_lines(docs: DataFrame, percent: int = 80, min_words: int = 5) -> Dat
 
         return pd.Series(bits.value[bit.to_numpy()])
 
-    marked = c.select("doc", "line", "n", "sig", "prefix").withColumn("bit", perhaps(ref_bit_column("doc", "line")))
+    marked = c.select("doc", "line", "n", "sig", "sig_1", "prefix").withColumn("bit", perhaps(ref_bit_column("doc", "line")))
     sure = marked.where(~F.col("bit")).drop("bit").withColumn("open", F.lit(True))
     asked = marked.where("bit").drop("bit").join(matched.withColumn("m", F.lit(True)), ["doc", "line"], "left")
     flagged = sure.unionByName(asked.withColumn("open", F.col("m").isNull()).drop("m"))
-    postings = flagged.select("doc", "line", "n", "sig", "open", F.posexplode("prefix").alias("pos", "token"))
+    postings = flagged.select("doc", "line", "n", "sig", "sig_1", "open", F.posexplode("prefix").alias("pos", "token"))
 
     def side(df, s):
-        return df.select("token", *[F.col(x).alias(f"{x}_{s}") for x in ("doc", "line", "n", "sig", "open", "pos")])
+        return df.select("token", *[F.col(x).alias(f"{x}_{s}") for x in ("doc", "line", "n", "sig", "sig_1", "open", "pos")])
 
     # a is the smaller set: its short prefix is enough
     short = F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)) + 1
@@ -232,7 +223,7 @@ def removed_lines(docs: DataFrame, percent: int = 80, min_words: int = 5) -> Dat
     found = found.select(*[F.when(first, F.col(f"{k}_a")).otherwise(F.col(f"{k}_b")).alias(f"{k}_a_") for k in ("doc", "line")],
                          *[F.when(first, F.col(f"{k}_b")).otherwise(F.col(f"{k}_a")).alias(f"{k}_b_") for k in ("doc", "line")])
     found = found.toDF(*refs).distinct().join(tested, refs, "left_anti")
-    more = verified(stored(found, "pairs"), docs, classes, percent, min_words)
+    more = verified(stored(found, "pairs"), lines, percent)
 
     firsts = c.where("copies > 1").select("cid", F.col("doc").alias("first_doc"), F.col("line").alias("first_line"))
     later = lines.select("cid", "doc", "line").join(firsts, "cid").where(
