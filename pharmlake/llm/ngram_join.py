@@ -37,7 +37,7 @@ from pyspark.sql import Window as W
 
 from . import textarrays as T
 from .components import components
-from .sketches import bitmap, bucket_rows, class_of, count_classes, in_bitmap_bucket
+from .sketches import bucket_rows, class_of, count_classes, in_bitmap_bucket
 from .tables import stored
 
 COUNT_BITS = 18
@@ -84,9 +84,8 @@ def parity(h: np.ndarray) -> tuple[int, int]:
     return tuple(int(w.astype(np.int64)) for w in words)
 
 
-def sets_of(batch, column: int = 1):
-    """(row numbers, shingle sets) of a batch, a few megabytes of text at a time."""
-    col = batch.column(column)
+def sets_of(col):
+    """(first row, shingle sets) of a string array, a few megabytes of text at a time."""
     for a, b in T.batches(col):
         data, offsets = T.text_bytes(col.slice(a, b - a))
         h, _, first = T.words(data, offsets)
@@ -94,18 +93,21 @@ def sets_of(batch, column: int = 1):
 
 
 def _clean(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """doc_id, text and tid, a 64-bit hash of the text (rows may share a doc_id)."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"),
+                       F.xxhash64(text).alias("tid"))
 
 
 def shingle_classes(docs: DataFrame) -> np.ndarray:
     def count(batches):
-        return bucket_rows(batches, lambda b: (s for _, sets in sets_of(b, 0) for s in sets if len(s)), COUNT_BITS)
+        return bucket_rows(batches, lambda b: (s for _, sets in sets_of(b.column(0)) for s in sets if len(s)), COUNT_BITS)
 
     return count_classes(_clean(docs).select("text").mapInArrow(count, "bucket int, n long"), COUNT_BITS)
 
 
 def signatures(docs: DataFrame, classes, percent: int) -> DataFrame:
-    """(doc_id, n, cid, hot_from, prefix, sig_0, sig_1) per document."""
+    """(doc_id, tid, n, cid, hot_from, prefix, sig_0, sig_1) per document."""
     hot = class_of(HOT_LIST)
 
     def sign(batches):
@@ -113,8 +115,8 @@ def signatures(docs: DataFrame, classes, percent: int) -> DataFrame:
 
         table = classes.value
         for batch in batches:
-            ids = batch.column(0)
-            for a, sets in sets_of(batch):
+            ids, tids = batch.column(0), batch.column(2)
+            for a, sets in sets_of(batch.column(1)):
                 ns, cids, hots, flat, ends, sigs = [], [], [], [], [0], []
                 for h in sets:
                     n = len(h)
@@ -128,13 +130,13 @@ def signatures(docs: DataFrame, classes, percent: int) -> DataFrame:
                     ends.append(ends[-1] + len(p))
                 values = pa.array(np.concatenate(flat).view(np.int64) if flat else np.zeros(0, np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, len(sets)), pa.array(ns, pa.int32()), pa.array(cids, pa.int64()),
+                    [ids.slice(a, len(sets)), tids.slice(a, len(sets)), pa.array(ns, pa.int32()), pa.array(cids, pa.int64()),
                      pa.array(hots, pa.int32()),
                      pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values),
                      *[pa.array([x[i] for x in sigs], pa.int64()) for i in (0, 1)]],
-                    names=["doc_id", "n", "cid", "hot_from", "prefix", "sig_0", "sig_1"])
+                    names=["doc_id", "tid", "n", "cid", "hot_from", "prefix", "sig_0", "sig_1"])
 
-    return _clean(docs).mapInArrow(sign, "doc_id long, n int, cid long, hot_from int, prefix array<long>, sig_0 long, sig_1 long")
+    return _clean(docs).mapInArrow(sign, "doc_id long, tid long, n int, cid long, hot_from int, prefix array<long>, sig_0 long, sig_1 long")
 
 
 def near(pa_: str, na: str, pb: str, nb: str, percent: int):
@@ -145,65 +147,63 @@ def near(pa_: str, na: str, pb: str, nb: str, percent: int):
             & ((100 + percent) * most >= percent * (a + b)))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, sig: DataFrame, classes, percent: int) -> DataFrame:
-    """The pairs (a, b) of class ids whose sets are similar."""
-    spark = docs.sparkSession
-    wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-    reps = sig.select("doc_id", "cid").join(wanted, "cid").groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
-    table = spark.sparkContext.broadcast(bitmap(reps, "doc_id"))
+def texts_of(wanted: DataFrame, docs: DataFrame, sig: DataFrame) -> DataFrame:
+    """(cid, text) of the wanted classes: the text of one of their documents each. A bit
+    table of their doc_ids (at most 2**14 rows of 64 bits, so it may be broadcast) keeps
+    the other texts out of the shuffle."""
+    reps = (sig.select("doc_id", "tid", "cid").join(wanted, "cid").groupBy("cid")
+            .agg(F.min(F.struct("doc_id", "tid")).alias("d")).select("cid", "d.doc_id", "d.tid"))
+    reps = stored(reps, "wanted")
+    bit = in_bitmap_bucket("doc_id")
+    bits = (reps.select(bit.alias("b")).groupBy(F.shiftright("b", 6).alias("i"))
+            .agg(F.bit_or(F.expr("shiftleft(1L, b % 64)")).alias("w")))
+    near_ = (_clean(docs).withColumn("b", bit).join(F.broadcast(bits), F.shiftright("b", 6) == F.col("i"))
+             .where("shiftrightunsigned(w, b % 64) & 1 = 1").select("doc_id", "tid", "text"))
+    found = near_.alias("x").join(reps.alias("r"), F.col("x.doc_id").eqNullSafe(F.col("r.doc_id"))
+                                  & (F.col("x.tid") == F.col("r.tid")))
+    return stored(found.select("cid", "text").dropDuplicates(["cid"]), "texts")
 
-    def full(batches):
-        import pyarrow as pa
-
-        wanted_bits, freq = table.value, classes.value
-        for batch in batches:
-            keep = np.flatnonzero(wanted_bits[batch.column(0).to_numpy()])
-            if not len(keep):
-                continue
-            batch = batch.take(pa.array(keep))
-            for _, sets in sets_of(batch):
-                rows: list[list] = [[], [], [], [], []]
-                for h in sets:
-                    if len(h):
-                        length = probe_length(len(h), percent)
-                        for r, v in zip(rows, (set_name(h), len(h), h.tobytes(),
-                                               np.sort(prefix(h, freq, ORDERS[1], length)).tobytes(),
-                                               np.sort(prefix(h, freq, ORDERS[2], length)).tobytes())):
-                            r.append(v)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()),
-                     *[pa.array(r, pa.binary()) for r in rows[2:]]],
-                    names=["cid", "n", "items", "second", "third"])
 
-    found = (_clean(docs).select(in_bitmap_bucket("doc_id").alias("bit"), "text")
-             .mapInArrow(full, "cid long, n int, items binary, second binary, third binary"))
-    # equal classes have equal rows: one is enough
-    sets = stored(found.join(wanted, "cid", "left_semi").dropDuplicates(["cid"]), "sets")
-    left = sets.select(F.col("cid").alias("a"), F.struct("items", "second", "third").alias("sa"))
-    right = sets.select(F.col("cid").alias("b"), F.struct("items", "second", "third").alias("sb"))
+def verified(pairs: DataFrame, docs: DataFrame, sig: DataFrame, classes, percent: int) -> DataFrame:
+    """The pairs (a, b) of class ids whose sets are similar. Texts are joined to the
+    pairs, as they are smaller than the sets; a task makes the sets of a slice of pairs,
+    each class once."""
+    wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+    texts = texts_of(wanted, docs, sig)
+    left = texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b"))
+
+    def views(h, freq):
+        """The set and its sorted prefixes under the further orders."""
+        length = probe_length(len(h), percent)
+        return [h] + [np.sort(prefix(h, freq, ORDERS[o], length)) for o in (1, 2)]
+
+    def similar(x, y):
+        # the prefix filters of the further orders, intersected
+        if not all(len(np.intersect1d(x[o], y[o], assume_unique=True)) for o in (1, 2)):
+            return False
+        both = len(np.intersect1d(x[0], y[0], assume_unique=True))
+        return 100 * both >= percent * (len(x[0]) + len(y[0]) - both)
 
     def check(batches):
         import pyarrow as pa
 
-        def u64(x):
-            return np.frombuffer(x, dtype=np.uint64)
-
-        for batch in batches:
-            a, b = batch.column(0), batch.column(1)
-            sa, sb = batch.column(2), batch.column(3)
-            ok = []
-            for i in range(batch.num_rows):
-                x, y = sa[i].as_py(), sb[i].as_py()
-                # the prefix filters of the further orders, intersected
-                if all(len(np.intersect1d(u64(x[o]), u64(y[o]), assume_unique=True)) for o in ("second", "third")):
-                    p, q = u64(x["items"]), u64(y["items"])
-                    both = len(np.intersect1d(p, q, assume_unique=True))
-                    if 100 * both >= percent * (len(p) + len(q) - both):
-                        ok.append(i)
-            take = pa.array(ok, pa.int64())
-            yield pa.RecordBatch.from_arrays([a.take(take), b.take(take)], names=["u", "v"])
-
-    return (pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
+        freq = classes.value
+        for whole in batches:
+            for start, end in T.batches(whole.column(3)):
+                batch = whole.slice(start, end - start)
+                names = [batch.column(i).to_numpy() for i in (0, 1)]
+                made: dict[int, list] = {}
+                for ids, col in zip(names, batch.columns[2:]):
+                    once = [i for i in np.unique(ids, return_index=True)[1] if int(ids[i]) not in made]
+                    part = col.take(pa.array(once, pa.int64()))
+                    for at, sets in sets_of(part):
+                        for k, h in enumerate(sets):
+                            made[int(ids[once[at + k]])] = views(h, freq)
+                ok = pa.array([similar(made[int(u)], made[int(v)]) for u, v in zip(*names)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column(i).filter(ok) for i in (0, 1)], names=["u", "v"])
+
+    return (pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
             .mapInArrow(check, "u long, v long"))
 
 
