@@ -12,8 +12,8 @@ are kept themselves.
 3. Star round: classes are posted under their three rarest words, and each is tested
    against the first class of the list. What is found later than a match needs no further
    search, so a large group of near copies costs about one pair a line.
-4. Join round: all prefix words of all classes are joined with the short prefixes; a pair
-   passes the length and positional filters, a bound on the overlap from 128-bit parity
+4. Join round: the prefix words of all classes are joined with each other; a pair shares
+   a word inside the prefixes that both sizes together allow and passes the length and positional filters, a bound on the overlap from 128-bit parity
    signatures (each differing word flips at most one bit), and only if the later line is
    still unmatched. The sets of the remaining pairs are compared exactly.
 
@@ -40,7 +40,7 @@ STAR_WORDS = 3
 LINE_BITS = 40  # a line key: 20 bits of the text's hash, then the line number
 NO_DOC = -(1 << 63)
 U = np.uint64
-LINES = "doc long, line long, cid long, n int, sig long, sig_1 long, prefix array<int>, items array<long>"
+LINES = "doc long, line long, cid long, n int, sig long, sig_1 long, prefix array<int>"
 
 
 def _clean(docs: DataFrame) -> DataFrame:
@@ -102,6 +102,11 @@ def sets_of(batch, classes, min_words):
         yield docs[a + row], (salts[a + row] << LINE_BITS) | number, n, first, tokens
 
 
+def ref_bit(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    m = 1 << REF_BITS
+    return (np.mod(doc, m) * 31 + np.mod(line, m) * 7919) % m
+
+
 def ref_bit_column(doc: str, line: str):
     m = 1 << REF_BITS
     return ((F.pmod(F.col(doc), F.lit(m)) * 31 + F.pmod(F.col(line), F.lit(m)) * 7919) % m).cast("int")
@@ -132,26 +137,40 @@ def lines_table(docs: DataFrame, classes, percent: int, min_words: int) -> DataF
                 ends = np.concatenate(([0], np.cumsum(length))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(doc), pa.array(line), pa.array(cid.view(np.int64)), pa.array(n.astype(np.int32)),
-                     *[pa.array(x.view(np.int64)) for x in sigs], pa.ListArray.from_arrays(pa.array(ends), pa.array(short)),
-                     pa.ListArray.from_arrays(pa.array(np.append(first, len(tokens)).astype(np.int32)),
-                                              pa.array(tokens.view(np.int64)))],
-                    names=["doc", "line", "cid", "n", "sig", "sig_1", "prefix", "items"])
+                     *[pa.array(x.view(np.int64)) for x in sigs], pa.ListArray.from_arrays(pa.array(ends), pa.array(short))],
+                    names=["doc", "line", "cid", "n", "sig", "sig_1", "prefix"])
 
     return docs.mapInArrow(run, LINES)
 
 
-def verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, classes, percent: int, min_words: int) -> DataFrame:
     """The later lines (doc, line) of the pairs whose sets match. pairs: doc_a, line_a
-    (earlier), doc_b, line_b. A bit table of the wanted lines (at most 2**16 rows of 64
-    bits, so it may be broadcast) keeps the other sets out of the shuffle."""
-    wanted = pairs.select(F.col("doc_a").alias("doc"), F.col("line_a").alias("line")).union(
-        pairs.select("doc_b", "line_b")).distinct()
-    bit = ref_bit_column("doc", "line")
-    bits = (wanted.select(bit.alias("b")).groupBy(F.shiftright("b", 6).alias("i"))
+    (earlier), doc_b, line_b. Sets are made anew from the texts that hold a wanted line;
+    a bit table of their rows (at most 2**14 rows of 64 bits, so it may be broadcast)
+    keeps the others away from Python."""
+    wanted = stored(pairs.select(F.col("doc_a").alias("doc"), F.col("line_a").alias("line")).union(
+        pairs.select("doc_b", "line_b")).distinct(), "wanted")
+    lines = docs.sparkSession.sparkContext.broadcast(ref_bits(wanted, "doc", "line"))
+    bit = in_bitmap_bucket("doc")
+    rows = (wanted.select(bit.alias("b")).groupBy(F.shiftright("b", 6).alias("i"))
             .agg(F.bit_or(F.expr("shiftleft(1L, b % 64)")).alias("w")))
-    sets = (lines.select("doc", "line", "items", bit.alias("b"))
-            .join(F.broadcast(bits), F.shiftright("b", 6) == F.col("i"))
-            .where("shiftrightunsigned(w, b % 64) & 1 = 1").select("doc", "line", "items"))
+    texts = (docs.withColumn("b", bit).join(F.broadcast(rows), F.shiftright("b", 6) == F.col("i"))
+             .where("shiftrightunsigned(w, b % 64) & 1 = 1").select("doc", "salt", "text"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for doc, line, n, first, tokens in sets_of(batch, classes.value, min_words):
+                hit = lines.value[ref_bit(doc, line)]
+                if hit.any():
+                    ends = np.concatenate(([0], np.cumsum(n[hit]))).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(doc[hit]), pa.array(line[hit]),
+                         pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens[np.repeat(hit, n)].view(np.int64)))],
+                        names=["doc", "line", "items"])
+
+    sets = texts.mapInArrow(run, "doc long, line long, items array<long>")
     sets = stored(sets.join(wanted, ["doc", "line"], "left_semi").dropDuplicates(["doc", "line"]), "sets")
     a = sets.select(F.col("doc").alias("doc_a"), F.col("line").alias("line_a"), F.col("items").alias("a"))
     b = sets.select(F.col("doc").alias("doc_b"), F.col("line").alias("line_b"), F.col("items").alias("b"))
@@ -193,7 +212,7 @@ def removed_lines(docs: DataFrame, percent: int = 80, min_words: int = 5) -> Dat
         *[F.col(x).alias(f"{x}_b") for x in ("doc", "line", "n", "sig", "sig_1", "pos")])
     refs = ["doc_a", "line_a", "doc_b", "line_b"]
     tested = stored(star.where(before("a", "b") & near("a", "b", percent)).select(*refs).distinct(), "pairs")
-    matched = stored(verified(tested, lines, percent), "matched")
+    matched = stored(verified(tested, docs, classes, percent, min_words), "matched")
 
     # join round: exact test of `matched` only for lines whose bit is set
     bits = spark.sparkContext.broadcast(ref_bits(matched, "doc", "line"))
@@ -213,17 +232,18 @@ def removed_lines(docs: DataFrame, percent: int = 80, min_words: int = 5) -> Dat
     def side(df, s):
         return df.select("token", *[F.col(x).alias(f"{x}_{s}") for x in ("doc", "line", "n", "sig", "sig_1", "open", "pos")])
 
-    # a is the smaller set: its short prefix is enough
-    short = F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)) + 1
-    x, y = side(postings.where(F.col("pos") < short), "a"), side(postings, "b")
+    # both sides are one exchange: what either prefix may hold depends on both sizes
+    overlap = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent))
+    prefixes = (F.col("pos_a") <= F.col("n_a") - overlap) & (F.col("pos_b") <= F.col("n_b") - overlap)
+    x, y = side(postings, "a"), side(postings, "b")
     smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & before("a", "b"))
     useful = F.when(before("a", "b"), F.col("open_b")).otherwise(F.col("open_a"))
-    found = x.join(y, "token").where(smaller & useful & near("a", "b", percent))
+    found = x.join(y, "token").where(smaller & prefixes & useful & near("a", "b", percent))
     first = before("a", "b")
     found = found.select(*[F.when(first, F.col(f"{k}_a")).otherwise(F.col(f"{k}_b")).alias(f"{k}_a_") for k in ("doc", "line")],
                          *[F.when(first, F.col(f"{k}_b")).otherwise(F.col(f"{k}_a")).alias(f"{k}_b_") for k in ("doc", "line")])
     found = found.toDF(*refs).distinct().join(tested, refs, "left_anti")
-    more = verified(stored(found, "pairs"), lines, percent)
+    more = verified(stored(found, "pairs"), docs, classes, percent, min_words)
 
     firsts = c.where("copies > 1").select("cid", F.col("doc").alias("first_doc"), F.col("line").alias("first_line"))
     later = lines.select("cid", "doc", "line").join(firsts, "cid").where(
