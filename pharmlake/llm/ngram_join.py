@@ -13,7 +13,8 @@ joined:
    is paired with one hub of the list: the one with the fewest rarer shingles, which is
    the least edited of a group of copies (lists of very frequent shingles are first split by
    a salt, and the hubs of the splits are paired with each other). Pairs pass the length and positional
-   filters, then the prefix filters of the second and third order, then the exact check.
+   filters, a bound on the overlap from parity signatures as wide as the sets, then
+   the prefix filters of the second and third order, then the exact check.
 3. The links give components. Lists whose documents are still in different components
    are joined once more, now all pairs across components, with the same filters, a bound
    on the overlap from 128-bit parity signatures, and the exact check. So no link between different components is lost, and large groups of
@@ -84,6 +85,17 @@ def parity(h: np.ndarray) -> tuple[int, int]:
     return tuple(int(w.astype(np.int64)) for w in words)
 
 
+def wide_parity(h: np.ndarray) -> np.ndarray:
+    """Parity signature of at least as many bits as the set has elements: a power of two
+    of 64-bit words; half of the words follow from all by adding up (xor) the halves."""
+    words = 1 << max(0, (len(h) - 1) >> 6).bit_length()
+    m = T.mix(h, 0x3C6E)
+    out = np.zeros(words, dtype=np.uint64)
+    np.bitwise_xor.at(out, ((m >> np.uint64(6)) & np.uint64(words - 1)).astype(np.int64),
+                      np.uint64(1) << (m & np.uint64(63)))
+    return out.view(np.int64)
+
+
 def sets_of(col):
     """(first row, shingle sets) of a string array, a few megabytes of text at a time."""
     for a, b in T.batches(col):
@@ -107,7 +119,7 @@ def shingle_classes(docs: DataFrame) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, classes, percent: int) -> DataFrame:
-    """(doc_id, tid, n, cid, hot_from, prefix, sig_0, sig_1) per document."""
+    """(doc_id, tid, n, cid, hot_from, prefix, sig_0, sig_1, wide) per document."""
     hot = class_of(HOT_LIST)
 
     def sign(batches):
@@ -117,12 +129,13 @@ def signatures(docs: DataFrame, classes, percent: int) -> DataFrame:
         for batch in batches:
             ids, tids = batch.column(0), batch.column(2)
             for a, sets in sets_of(batch.column(1)):
-                ns, cids, hots, flat, ends, sigs = [], [], [], [], [0], []
+                ns, cids, hots, flat, ends, sigs, wide = [], [], [], [], [0], [], []
                 for h in sets:
                     n = len(h)
                     ns.append(n)
                     cids.append(set_name(h) if n else None)
                     sigs.append(parity(h))
+                    wide.append(wide_parity(h))
                     p = prefix(h, table, ORDERS[0], probe_length(n, percent)) if n else h
                     c = table[(p >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
                     hots.append(int(np.searchsorted(c, hot)))
@@ -133,10 +146,11 @@ def signatures(docs: DataFrame, classes, percent: int) -> DataFrame:
                     [ids.slice(a, len(sets)), tids.slice(a, len(sets)), pa.array(ns, pa.int32()), pa.array(cids, pa.int64()),
                      pa.array(hots, pa.int32()),
                      pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values),
-                     *[pa.array([x[i] for x in sigs], pa.int64()) for i in (0, 1)]],
-                    names=["doc_id", "tid", "n", "cid", "hot_from", "prefix", "sig_0", "sig_1"])
+                     *[pa.array([x[i] for x in sigs], pa.int64()) for i in (0, 1)],
+                     pa.array(wide, pa.list_(pa.int64()))],
+                    names=["doc_id", "tid", "n", "cid", "hot_from", "prefix", "sig_0", "sig_1", "wide"])
 
-    return _clean(docs).mapInArrow(sign, "doc_id long, tid long, n int, cid long, hot_from int, prefix array<long>, sig_0 long, sig_1 long")
+    return _clean(docs).mapInArrow(sign, "doc_id long, tid long, n int, cid long, hot_from int, prefix array<long>, sig_0 long, sig_1 long, wide array<long>")
 
 
 def near(pa_: str, na: str, pb: str, nb: str, percent: int):
@@ -147,6 +161,27 @@ def near(pa_: str, na: str, pb: str, nb: str, percent: int):
             & ((100 + percent) * most >= percent * (a + b)))
 
 
+def plausible(pairs: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that a bound from their wide parity signatures lets pass: each
+    element of only one set flips one bit. The longer signature is halved once; where that is
+    not enough (percent below 50 only), the pair passes."""
+    marks = sig.where("n > 0").groupBy("cid").agg(F.first("n").alias("n"), F.first("wide").alias("wide"))
+    a = marks.select(F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("wide").alias("wide_a"))
+    b = marks.select(F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("wide").alias("wide_b"))
+    words = F.least(F.size("wide_a"), F.size("wide_b"))
+
+    def half(name, i):
+        x = F.col(name)
+        return F.when(F.size(x) > words, F.get(x, i).bitwiseXOR(F.get(x, i + words))).otherwise(F.get(x, i))
+
+    apart = F.aggregate(F.sequence(F.lit(0), words - 1), F.lit(0),
+                        lambda s, i: s + F.bit_count(half("wide_a", i).bitwiseXOR(half("wide_b", i))))
+    total = F.col("n_a") + F.col("n_b")
+    return (pairs.join(a, "a").join(b, "b")
+            .where((F.greatest(F.size("wide_a"), F.size("wide_b")) > 2 * words)
+                   | ((100 + percent) * (total - apart) >= 2 * percent * total)).select("a", "b"))
+
+
 def texts_of(wanted: DataFrame, docs: DataFrame, sig: DataFrame) -> DataFrame:
     """(cid, text) of the wanted classes: the text of one of their documents each. A bit
     table of their doc_ids (at most 2**14 rows of 64 bits, so it may be broadcast) keeps
@@ -236,7 +271,7 @@ def ngram_join(docs: DataFrame, percent: int = 80) -> DataFrame:
         "token", F.col("t.cid").alias("hub"), F.col("t.n").alias("hub_n"), F.col("t.pos").alias("hub_pos"))
     stars = stars.union(subs.join(tops, "token").where("cid <> hub")
                         .where(near("pos", "n", "hub_pos", "hub_n", percent)).select(*pair("cid", "hub")))
-    tested = stored(stars.distinct(), "pairs")
+    tested = stored(plausible(stars.distinct(), sig, percent), "pairs")
     links = stored(verified(tested, docs, sig, classes, percent), "links")
     roots = components(links)
 
@@ -260,7 +295,7 @@ def ngram_join(docs: DataFrame, percent: int = 80) -> DataFrame:
             .where(smaller & (F.col("root_a") != F.col("root_b")))
             .where(near("pos_a", "n_a", "pos_b", "n_b", percent) & close)
             .select(*pair("cid_a", "cid_b")).distinct().join(tested, ["a", "b"], "left_anti"))
-    rest = stored(rest, "pairs")
+    rest = stored(plausible(rest, sig, percent), "pairs")
     more = stored(verified(rest, docs, sig, classes, percent), "links")
     roots = components(links.union(more))
 
