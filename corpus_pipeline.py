@@ -25,7 +25,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes lines out that match an earlier line; a document that loses all its words
     this way is a copy and goes. ``n_chars`` is counted anew."""
-    out = line_dedup.line_dedup(docs)
+    out = line_dedup.line_dedup(docs, min_words=1)
     empty = (F.size("removed_lines") > 0) & (F.trim(F.regexp_replace("text", "[\\x20\\x09-\\x0D]+", " ")) == "")
     out = out.where(~F.coalesce(empty, F.lit(False)))
     counted = F.when(F.size("removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))

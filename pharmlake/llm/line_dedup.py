@@ -8,7 +8,8 @@ are kept themselves.
 1. A fixed-size count table of words gives the rarity order; any order is valid, so its
    size only affects speed. Each line's words are sorted by it.
 2. Lines with equal sets form a class, named by its first line; all later lines of a
-   class match the first.
+   class match the first. Classes too small to match any other set (at 80 percent, those
+   of one to three words) are done here; the others enter the joins.
 3. Star round: classes are posted under their three rarest words, and each is tested
    against the first class of the list. What is found later than a match needs no further
    search, so a large group of near copies costs about one pair a line.
@@ -18,7 +19,8 @@ are kept themselves.
    still unmatched. The sets of the remaining pairs are compared exactly.
 
 Words and sets are named by 64-bit hashes. Defined cases: lines end at ``\\n`` only; lines
-with fewer than ``min_words`` distinct words are never compared and stay; null text stays
+with fewer than ``min_words`` distinct words are never compared and stay (1 compares every
+line that has a word); null text stays
 null; empty text and texts without removed lines stay as they are; rows with equal doc_id
 are ordered by a hash of their texts, and rows with equal doc_id and text are treated
 alike; null doc_id comes first; other columns are kept; an empty table gives no rows."""
@@ -202,7 +204,9 @@ def removed_lines(docs: DataFrame, percent: int = 80, min_words: int = 5) -> Dat
     classes = spark.sparkContext.broadcast(word_classes(docs))
     lines = stored(lines_table(docs, classes, percent, min_words), "lines")
     c = lines.groupBy("cid").agg(F.min(F.struct("doc", "line", "n", "sig", "sig_1", "prefix")).alias("f"), F.count("*").alias("copies"))
-    c = stored(c.select("cid", "copies", "f.*"), "classes")
+    firsts = stored(c.select("cid", "copies", "f.*"), "classes")
+    # a set matches another one only if it may match itself and one word more
+    c = firsts.where(100 * F.col("n") >= percent * (F.col("n") + 1))
 
     # star round
     star = c.select("doc", "line", "n", "sig", "sig_1", F.posexplode(F.slice("prefix", 1, STAR_WORDS)).alias("pos", "token"))
@@ -245,7 +249,7 @@ def removed_lines(docs: DataFrame, percent: int = 80, min_words: int = 5) -> Dat
     found = found.toDF(*refs).distinct().join(tested, refs, "left_anti")
     more = verified(stored(found, "pairs"), docs, classes, percent, min_words)
 
-    firsts = c.where("copies > 1").select("cid", F.col("doc").alias("first_doc"), F.col("line").alias("first_line"))
+    firsts = firsts.where("copies > 1").select("cid", F.col("doc").alias("first_doc"), F.col("line").alias("first_line"))
     later = lines.select("cid", "doc", "line").join(firsts, "cid").where(
         (F.col("doc") != F.col("first_doc")) | (F.col("line") != F.col("first_line"))).select("doc", "line")
     return later.union(matched).union(more)

@@ -45,7 +45,7 @@ select d.doc_id, case when d.text is not null then coalesce(string_agg(line, chr
   coalesce(count(line), 0) n_lines, coalesce(list(k order by k) filter (gone), []) removed_lines
 from documents d left join flag on flag.doc_id = d.doc_id group by d.doc_id, d.text""")
 def op1_line_dedup(spark, sf_dir):
-    out = line_dedup.line_dedup(read(spark, sf_dir, "documents"))
+    out = line_dedup.line_dedup(read(spark, sf_dir, "documents"), min_words=1)
     return out.select("doc_id", "text", "n_lines", "removed_lines")
 
 
