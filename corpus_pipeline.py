@@ -33,13 +33,20 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates: the one with the smallest
-    doc_id (of repeated rows with that id, one)."""
-    groups = stored(ngram_join.ngram_join(docs), "groups")
-    out = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("n_shingles") > 0)).select(
-        F.col("doc_id").alias("gone")).distinct()
-    kept = docs.join(out, docs["doc_id"].cast("long") == out["gone"], "left_anti")
-    return _documents(kept)
+    """Keeps one document of each group of near duplicates: the first in the order (doc_id
+    with nulls last, hash of the text), and of repeated rows with that doc_id and text one,
+    the smallest by the other columns."""
+    groups = stored(ngram_join.members(docs), "groups").where("n_shingles > 0")
+    named = F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("tid").eqNullSafe(F.col("component_tid"))
+    key = [F.col("doc_id").alias("key_id"), F.col("tid").alias("key_tid")]
+    gone = groups.where(~named).select(*key).distinct()
+    repeated = groups.where(named).groupBy(*key).count().where("count > 1").drop("count")
+    rows = docs.select(F.struct(*[c for c in COLUMNS if c != "text"], "text").alias("row"),
+                       F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("tid"))
+    same = F.col("id").eqNullSafe(F.col("key_id")) & (F.col("tid") == F.col("key_tid"))
+    kept = rows.join(gone.union(repeated), same, "left_anti").select("row")
+    once = rows.join(repeated, same, "left_semi").groupBy("id", "tid").agg(F.min("row").alias("row")).select("row")
+    return kept.union(once).select(*[F.col(f"row.{c}") for c in COLUMNS])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

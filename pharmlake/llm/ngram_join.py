@@ -242,8 +242,10 @@ def verified(pairs: DataFrame, docs: DataFrame, sig: DataFrame, classes, percent
             .mapInArrow(check, "u long, v long"))
 
 
-def ngram_join(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) per document."""
+def members(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """(doc_id, tid, n_shingles, component_id, component_tid) per document: the component
+    is named by its first document in the order (doc_id with nulls last, tid), so
+    documents are told apart where they share a doc_id or have none."""
     spark = docs.sparkSession
     classes = spark.sparkContext.broadcast(shingle_classes(docs))
     sig = stored(signatures(docs, classes, percent), "signatures")
@@ -299,11 +301,18 @@ def ngram_join(docs: DataFrame, percent: int = 80) -> DataFrame:
     more = stored(verified(rest, docs, sig, classes, percent), "links")
     roots = components(links.union(more))
 
-    firsts = sig.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("first"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tid")).alias("first")
+    firsts = sig.where("n > 0").groupBy("cid").agg(first)
     joined = roots.join(firsts, roots["node"] == firsts["cid"]).select("node", "root", "first")
     named = joined.groupBy("root").agg(F.min("first").alias("name"))
     names = (firsts.join(joined.join(named, "root").select(F.col("node").alias("cid"), "name"), "cid", "left")
              .select("cid", F.coalesce("name", "first").alias("name")))
-    return (sig.select("doc_id", "n", "cid").join(names, "cid", "left")
-            .select("doc_id", F.col("n").cast("long").alias("n_shingles"),
-                    F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("doc_id")).alias("component_id")))
+    return (sig.select("doc_id", "tid", "n", "cid").join(names, "cid", "left")
+            .select("doc_id", "tid", F.col("n").cast("long").alias("n_shingles"),
+                    *[F.when(F.col("n") > 0, F.col(f"name.{x}")).otherwise(F.col(x)).alias(f"component_{y}")
+                      for x, y in (("doc_id", "id"), ("tid", "tid"))]))
+
+
+def ngram_join(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id) per document."""
+    return members(docs, percent).select("doc_id", "n_shingles", "component_id")

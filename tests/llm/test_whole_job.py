@@ -41,3 +41,17 @@ def test_op1_equals_its_twin_without_the_word_limit(spark):
     df = QUERIES["op1_line_dedup"](spark, SF)
     got = [tuple(r) for r in df.collect()]
     assert len(got) == len(want) and digest(got, df.columns)[0] == digest(want, names)[0]
+
+
+def test_dedup_documents_keeps_one_row_of_each_component(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    docs = table(spark, [
+        (1, a, "s"), (1, a, "r"), (1, a, "s"), (2, a + " end", "s"),  # repeated rows that name their component
+        (3, b, "s"), (4, b + " end", "s"), (4, c, "s"),  # a near copy and a unique text under one doc_id
+        (None, b + " tail", "s"), (None, d, "s"), (None, d, "s"), (None, d + " end", "s"),  # without doc_id
+        (7, "", "s"), (7, "", "s"), (8, None, "s"), (None, None, "s")])
+    got = sorted((str(r.doc_id), r.text or "", r.source) for r in P.dedup_documents(spark, docs, SF).collect())
+    left = [x for x in got if x[1] in (d, d + " end")]
+    assert len(left) == 1 and left[0][0] == "None"
+    assert sorted(x for x in got if x not in left) == sorted([
+        ("1", a, "r"), ("3", b, "s"), ("4", c, "s"), ("7", "", "s"), ("7", "", "s"), ("8", "", "s"), ("None", "", "s")])
