@@ -18,8 +18,9 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language (no letter, or a score below 0.5)."""
-    return _documents(language_id.keep_identified(docs, min_score=0.5))
+    """Drops documents without a language: no letter, or words labelled with a mean
+    confidence below 0.5. Texts in several languages stay."""
+    return _documents(language_id.keep_identified(docs, min_confidence=0.5))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

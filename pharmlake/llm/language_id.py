@@ -285,7 +285,10 @@ def fit(docs: DataFrame, per_label: int = 800, window: int = 24) -> Model:
 
 
 def label_batch(model: Model, column):
-    """(lang, score, words, switches, runs) lists for a string array of bounded size."""
+    """For a string array of bounded size, per text: number of its top label, that label's
+    mean probability (its share of the text), words, runs, then the label and length of
+    each run, and per text the words counted and their mean largest probability (how sure
+    the model is, whatever number of languages the text mixes)."""
     labels, k = model.labels, len(model.labels)
     data, offsets = T.text_bytes(column)
     h, start, end, first = word_spans(data, offsets)
@@ -307,7 +310,8 @@ def label_batch(model: Model, column):
     runs = np.bincount(text[run_at], minlength=len(column))
     top = mass.argmax(1)
     score = mass[np.arange(len(column)), top] / np.maximum(amount, 1)
-    return top, score, np.diff(first), runs, best[run_at], run_len, amount
+    sure = np.bincount(text[counted], weights=p[counted].max(1) if n else None, minlength=len(column))
+    return top, score, np.diff(first), runs, best[run_at], run_len, amount, sure / np.maximum(amount, 1)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -329,7 +333,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     score, words, runs = np.zeros(count), np.zeros(count, np.int64), np.zeros(count, np.int64)
                     run_lang, run_len, amount = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(count)
                 else:
-                    top, score, words, runs, run_lang, run_len, amount = label_batch(m, texts)
+                    top, score, words, runs, run_lang, run_len, amount, _ = label_batch(m, texts)
                 names = np.array([*m.labels, "und"], dtype=object)
                 known = letters & (amount > 0)
                 ends = np.concatenate(([0], np.cumsum(runs))).astype(np.int32)
@@ -351,8 +355,10 @@ def identify(docs: DataFrame, per_label: int = 800, window: int = 24) -> DataFra
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "words", "switches", "runs")
 
 
-def keep_identified(docs: DataFrame, min_score: float = 0.5, **options) -> DataFrame:
-    """The rows of docs (all columns) whose language is known with at least min_score."""
+def keep_identified(docs: DataFrame, min_confidence: float = 0.5, **options) -> DataFrame:
+    """The rows of docs (all columns) whose words are labelled with at least
+    min_confidence: the mean over words of the largest label probability, so texts in
+    several languages stay when each word's language is clear."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, **options))
 
     @F.pandas_udf("double")
@@ -365,9 +371,9 @@ def keep_identified(docs: DataFrame, min_score: float = 0.5, **options) -> DataF
         for a, b in T.batches(col):
             part = col.slice(a, b - a)
             if m.labels:
-                _, score, _, _, _, _, amount = label_batch(m, part)
+                *_, amount, sure = label_batch(m, part)
                 letters = np.array([t is not None and HAS_LETTER.search(t) is not None for t in part.to_pylist()])
-                out[a:b] = np.where(letters & (amount > 0), score, 0.0)
+                out[a:b] = np.where(letters & (amount > 0), sure, 0.0)
         return pd.Series(out)
 
-    return docs.where(known(F.col("text").cast("string")) >= min_score)
+    return docs.where(known(F.col("text").cast("string")) >= min_confidence)

@@ -4,11 +4,13 @@ import os
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), "tools"))
 
 import corpus_pipeline as P  # noqa: E402
 from compare import digest  # noqa: E402
+from pharmlake.llm import language_id  # noqa: E402
 from pharmlake.llm.queries import ORACLE, QUERIES  # noqa: E402
 from pharmlake.llm.tables import stored  # noqa: E402
 
@@ -55,3 +57,15 @@ def test_dedup_documents_keeps_one_row_of_each_component(spark):
     assert len(left) == 1 and left[0][0] == "None"
     assert sorted(x for x in got if x not in left) == sorted([
         ("1", a, "r"), ("3", b, "s"), ("4", c, "s"), ("7", "", "s"), ("7", "", "s"), ("8", "", "s"), ("None", "", "s")])
+
+
+def test_language_stage_keeps_a_text_in_three_languages(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    parts = [" ".join(d.where(f"lang = '{x}'").orderBy(F.desc("n_chars"), "doc_id").first().text.split()[:60])
+             for x in ("de", "en", "fr")]
+    extra = table(spark, [(-1, " ".join(parts), "s"), (-2, "12 34 !!", "s"), (-3, None, "s")])
+    docs = stored(d.select(*P.COLUMNS).unionByName(extra), "docs")
+    r = language_id.predict(extra, language_id.fit(docs)).where("doc_id = -1").first()
+    assert r.score < 0.5 and {x.lang for x in r.runs if x.words >= 20} == {"de", "en", "fr"}
+    kept = {r.doc_id for r in P.identify_language(spark, docs, SF).select("doc_id").collect()}
+    assert -1 in kept and not {-2, -3} & kept
