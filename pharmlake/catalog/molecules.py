@@ -263,7 +263,7 @@ def pairs(spark, d):
     c = B.compounds(spark, d)
     cols = ["row_id", "name", "status", "molecular_weight", "alogp", "psa"]
     return pair_by_rank(c.where(F.col("status") == "approved"), c.where(F.col("status").isin("failed", "withdrawn")),
-                        "row_id", 200, cols=cols)
+                        "row_id", cols=cols)
 
 
 @register("pair_by_rank", PAIRS_SQL + "select pair_rank, d1_row_id, d2_row_id from p")

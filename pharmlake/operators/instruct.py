@@ -44,14 +44,15 @@ PAIR_COLS = ["uid", "ord", "name", "smiles", "status", "molecular_weight", "alog
 
 
 def branch_specs(data: DataFrame, max_samples: int | None = None, seed: int = 42,
-                 caps: tuple[int, int, int] = (V.IMPROVEMENT_CAP, V.PROPERTY_CAP, V.COMPARISON_CAP)) -> DataFrame:
+                 caps: tuple[int | None, int | None, int | None] = (None, None, None)) -> DataFrame:
     """M17 selection: one compact row per sample (id, task, source and the input
     fields), before any text exists. ``data`` is the combined, deduplicated table
     with a unique ``uid`` and a load-order column ``ord``.
 
-    Branches: every compound with a structure; the two failure sources; the first
-    ``caps[0]`` failed-or-reasoned rows; the first ``caps[1]`` rows with a weight;
-    the i-th approved with the i-th failed (first ``caps[2]`` each)."""
+    Branches: every compound with a structure; the two failure sources; the
+    failed-or-reasoned rows; the rows with a weight; the i-th approved with the i-th
+    failed. ``caps`` keeps the first rows of the last three (each side of the pairs);
+    None keeps all."""
     d = _ensure(data, WIDE)
     imp_cap, prop_cap, cmp_cap = caps
     fields = [c for c in WIDE if c not in ("uid", "ord", "source")]

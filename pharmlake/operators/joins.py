@@ -9,17 +9,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import first_n
+from .ranking import first_n, row_number_by_key
 
 
-def pair_by_rank(a: DataFrame, b: DataFrame, key: str, n: int, prefixes: tuple[str, str] = ("d1_", "d2_"),
+def pair_by_rank(a: DataFrame, b: DataFrame, key: str, n: int | None = None, prefixes: tuple[str, str] = ("d1_", "d2_"),
                  cols: Sequence[str] | None = None) -> DataFrame:
-    """I-th row of ``a`` with the i-th row of ``b`` (key order), first n of each;
-    as many pairs as the shorter side. Each side is a TakeOrdered of n rows, so the
-    ranking window and the join see at most n rows per side."""
+    """I-th row of ``a`` with the i-th row of ``b`` (order of the numeric ``key``), as
+    many pairs as the shorter side. Both sides are ranked in two levels; with ``n``, the
+    first n of each by a TakeOrdered instead."""
     cols = list(cols) if cols is not None else a.columns
-    ra = first_n(a.select(*cols), [key], n, "pair_rank")
-    rb = first_n(b.select(*cols), [key], n, "pair_rank")
+    ra, rb = (first_n(x.select(*cols), [key], n, "pair_rank") if n else row_number_by_key(x.select(*cols), key, "pair_rank")
+              for x in (a, b))
     ra = ra.select("pair_rank", *[F.col(c).alias(prefixes[0] + c) for c in cols])
     rb = rb.select("pair_rank", *[F.col(c).alias(prefixes[1] + c) for c in cols])
     return ra.join(rb, "pair_rank")

@@ -36,13 +36,15 @@ def combined(compounds: DataFrame, failures: DataFrame | None = None, materializ
 
 def instruction_dataset(compounds: DataFrame, failures: DataFrame | None = None, seed: int = 42,
                         max_samples: int | None = None, cuts: tuple[float, float] = (0.85, 0.95),
-                        with_output: bool = True) -> DataFrame:
+                        with_output: bool = True,
+                        caps: tuple[int | None, int | None, int | None] = (None, None, None)) -> DataFrame:
     """Samples with ``text``, a seeded shuffle ``position`` and ``split`` (L3 + T2);
-    ``with_output=False`` skips the report texts (instructions and splits only).
+    ``with_output=False`` skips the report texts (instructions and splits only); ``caps``
+    as in ``branch_specs``.
 
     The split ranks the compact per-sample rows; the report texts are rendered
     after it, so the rank shuffle never carries the text."""
-    specs = branch_specs(combined(compounds, failures), max_samples, seed)
+    specs = branch_specs(combined(compounds, failures), max_samples, seed, caps)
     # Compact rows (no text yet): rank them, write once, render per task from the table.
     placed = split_positional(specs, "sample_id", cuts, seed, materialize=True)
     # Rendering is CPU-bound per row. A written table of compact rows can land in few
