@@ -20,6 +20,9 @@ joined:
    on the overlap from 128-bit parity signatures, and the exact check. So no link between different components is lost, and large groups of
    near copies cost about one pair per document instead of all pairs.
 
+The result is components, not links: links between different texts of one component are
+mostly never verified, so no number of links per class is returned.
+
 Shingles and classes are named by 64-bit hashes (the expected number of accidental
 collisions among n classes is n**2 / 2**65).
 
