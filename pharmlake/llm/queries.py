@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from . import chat_format, fingerprints, language_id, line_dedup, mixing, ngram_join, packing, sharding, vector_search, warc
+from . import (chat_format, fingerprints, language_id, line_dedup, mixing, ngram_join, packing, sharding, vector_search,
+               warc, whitening)
 from .tables import read
 
 QUERIES: dict[str, Callable] = {}
@@ -140,3 +141,8 @@ select conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || c
 from e group by conv_id""")
 def op10_chat_formatting(spark, sf_dir):
     return chat_format.digests(chat_format.format_conversations(with_probe(read(spark, sf_dir, "conversations"))))
+
+
+@query
+def op13_embedding_whitening(spark, sf_dir):
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
