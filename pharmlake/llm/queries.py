@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from . import (chat_format, fingerprints, language_id, line_dedup, mixing, ngram_join, packing, sharding, vector_search,
-               warc, whitening)
+from . import (chat_format, decontamination, fingerprints, language_id, line_dedup, mixing, ngram_join, packing,
+               sharding, vector_search, warc, whitening)
 from .tables import read
 
 QUERIES: dict[str, Callable] = {}
@@ -146,3 +146,23 @@ def op10_chat_formatting(spark, sf_dir):
 @query
 def op13_embedding_whitening(spark, sf_dir):
     return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+@query(sql=r"""
+with dw as (select row_number() over () r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
+iw as (select coalesce(cast(item_id as varchar), '') item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark),
+windows as (select distinct item, least(len(w), 10) n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') s
+  from (select item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) i from iw where len(w) > 0)),
+sizes as (select distinct n from windows),
+spots as (select r, n, i, array_to_string(w[i:i + n - 1], ' ') s
+  from (select r, w, n, unnest(range(1, len(w) - n + 2)) i from dw, sizes where len(w) >= n)),
+found as (select r, i, spots.n, item from spots join windows on spots.n = windows.n and spots.s = windows.s),
+hit as (select r, count(distinct k) n_hit from (select r, unnest(range(i, i + n)) k from (select distinct r, i, n from found)) group by r),
+named as (select r, count(*) n_items, string_agg(item, ',' order by item) names from (select distinct r, item from found) group by r)
+select doc_id, cast(len(w) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items,
+  sha256(coalesce(names, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+from dw left join hit on hit.r = dw.r left join named on named.r = dw.r""")
+def op12_benchmark_decontamination(spark, sf_dir):
+    return decontamination.digests(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
