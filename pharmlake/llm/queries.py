@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from . import (chat_format, decontamination, fingerprints, language_id, line_dedup, mixing, ngram_join, packing,
-               sharding, vector_search, warc, whitening)
+from . import (chat_format, conversation_repair, decontamination, fingerprints, language_id, line_dedup, mixing,
+               ngram_join, packing, sharding, vector_search, warc, whitening)
 from .tables import read
 
 QUERIES: dict[str, Callable] = {}
@@ -166,3 +166,69 @@ select doc_id, cast(len(w) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesc
 from dw left join hit on hit.r = dw.r left join named on named.r = dw.r""")
 def op12_benchmark_decontamination(spark, sf_dir):
     return decontamination.digests(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def _repair_sql() -> str:
+    """The repair as a recursive query: one best path (cost and audit as one comparable
+    string, repaired turns) per place of the pattern, row after row."""
+    def step(path, cost, letter, turn=None):
+        key = f"lpad(cast(cast({path}.k[1:10] as bigint) + {cost} as varchar), 10, '0') || {path}.k[11:] || '{letter}'"
+        return f"{{'k': {key}, 'r': {path}.r" + (f" || chr(10) || {turn}" if turn else "") + "}"
+
+    none = "{'k': '0100000000', 'r': ''}"
+
+    def best(*paths):
+        return f"list_min([{', '.join(paths)}])"
+
+    def stays(test, path, cost, letter, turn):
+        return f"case when {test} then {step(path, cost, letter, turn)} else {none} end"
+
+    def inserted(source):  # with inserts before the next row
+        return (f"select *, {best('m2', step('m3', 5, 'I', chr(39) + 'user:' + chr(39)))} n2, "
+                f"{best('s3', step('m2', 5, 'I', chr(39) + 'assistant:' + chr(39)))} n3 from (select *, "
+                f"{best('s2', *[step(s, 5, 'I', chr(39) + 'user:' + chr(39)) for s in ('s0', 's1')])} m2, s3 m3 from {source})")
+
+    extra = "case when fault = 'truncated' then 5 else 0 end"
+    keep, cost = "role || ':' || text", f"({extra})"
+
+    def to_user(letter, test, c, turn):
+        return [stays(f"{test}", p, f"({c} + {cost})", letter, turn) for p in ("s0", "s1", "n3")]
+
+    live = "fault not in ('blank', 'duplicate')"
+    return rf"""
+with recursive bits as (select range n, range v, 0 k from range(256) union all
+  select n, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end, k + 1 from bits where k < 8),
+crc as (select list(v order by n) tbl from bits where k = 8),
+src as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+  coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') key from conversations),
+hashed as (select src.*, xor(list_reduce(list_prepend(cast(4294967295 as bigint), [cast(ord(x) as bigint) for x in string_split(key, '')]),
+  lambda c, b: xor(c >> 8, tbl[(xor(c, b) & 255) + 1])), 4294967295) % 20 h from src, crc),
+damaged as (select conv_id, turn, case when h = 4 then 'user' else role end as role,
+  case when h = 1 then '' when h = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+  unnest(range(case when h = 0 then 0 when h = 3 then 2 else 1 end)) from hashed),
+numbered as (select conv_id, turn, role, text, row_number() over (partition by conv_id order by turn nulls first, role, text) i,
+  rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) tail from damaged),
+rows_ as (select *, case when tail = '' then 'blank' when row_number() over (partition by conv_id, role, text order by i) > 1 then 'duplicate'
+  when right(tail, 1) not in ('.', '!', '?') then 'truncated' else '' end fault,
+  lag(role) over (partition by conv_id order by i) before from numbered),
+paths as (
+  select conv_id, cast(0 as bigint) i, {{'k': '0000000000', 'r': ''}} s0, {none} s1, {none} s2, {none} s3 from (select distinct conv_id from rows_)
+  union all
+  select conv_id, i, {step('s0', 2, 'D')} s0,
+    {best(step('s1', 2, 'D'), stays(f"{live} and role[1] = 's'", 's0', cost, 'K', keep))} s1,
+    {best(step('n2', 2, 'D'), *to_user('K', f"{live} and role[1] = 'u'", '0', keep), *to_user('R', live, '1', "'user:' || text"))} s2,
+    {best(step('n3', 2, 'D'), stays(f"{live} and role[1] = 'a'", 'n2', cost, 'K', keep), stays(live, 'n2', f"(1 + {cost})", 'R', "'assistant:' || text"))} s3
+  from ({inserted("(select r.*, s0, s1, s2, s3 from paths p join rows_ r on p.conv_id is not distinct from r.conv_id and r.i = p.i + 1)")})),
+ends as (select conv_id, list_min([s0, n3]) e from ({inserted("(select p.* from paths p join (select conv_id c, max(i) m from rows_ group by 1) x on p.conv_id is not distinct from x.c and p.i = x.m)")})),
+stats as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) gaps, count(*) filter (fault = 'blank') blank,
+  count(*) filter (fault = 'duplicate') duplicate, count(*) filter (fault = 'truncated') truncated,
+  count(*) filter (before is not null and left(before, 1) || left(role, 1) not in ('su', 'ua', 'au')) illegal from rows_ group by conv_id)
+select o.conv_id, coalesce(gaps, 0) gaps, coalesce(blank, 0) blank, coalesce(duplicate, 0) duplicate, coalesce(truncated, 0) truncated,
+  coalesce(illegal, 0) illegal, coalesce(cast(e.k[1:10] as bigint), 0) as cost, coalesce(e.k[11:], '') audit, sha256(coalesce(e.r[2:], '')) repaired_sha256
+from (select distinct conv_id from conversations) o left join stats on o.conv_id is not distinct from stats.conv_id
+left join ends on o.conv_id is not distinct from ends.conv_id"""
+
+
+@query(sql=_repair_sql())
+def op11_conversation_repair(spark, sf_dir):
+    return conversation_repair.digests(read(spark, sf_dir, "conversations"))
