@@ -32,16 +32,16 @@ s2 AS (select 'failure_analysis:' || uid, 'failure_analysis', source,
   {_sql_pick(V.FAILURE_ANALYSIS_TEMPLATES, "('failure_analysis:' || uid)", name="name", smiles="smiles",
              phase="coalesce(phase_failed, 'clinical trials')")}, {RS.failure_sql()}
   from a where source in ('clinical_trial_failures', 'drug_withdrawals')),
-f3 AS (select * from a where status in ('failed', 'withdrawn') or failure_reason is not null order by ord limit 500),
+f3 AS (select * from a where status in ('failed', 'withdrawn') or failure_reason is not null),
 s3 AS (select 'improvement_suggestion:' || uid, 'improvement_suggestion', coalesce(source, 'unknown'),
   {_sql_pick(V.IMPROVEMENT_TEMPLATES, "('improvement_suggestion:' || uid)",
              reason="coalesce(failure_reason, warning_type, 'toxicity')", name="name", smiles="smiles")},
   {RS.improvement_sql()} from f3),
-f4 AS (select * from a where molecular_weight is not null order by ord limit 1000),
+f4 AS (select * from a where molecular_weight is not null),
 s4 AS (select 'property_analysis:' || uid, 'property_analysis', coalesce(source, 'unknown'),
   {_sql_pick(V.PROPERTY_TEMPLATES, "('property_analysis:' || uid)", smiles="smiles")}, {RS.property_sql()} from f4),
-ap AS (select *, row_number() over (order by ord) as pr from (select * from a where status = 'approved' order by ord limit 200)),
-fl AS (select *, row_number() over (order by ord) as pr from (select * from a where status in ('failed', 'withdrawn') order by ord limit 200)),
+ap AS (select *, row_number() over (order by ord) as pr from a where status = 'approved'),
+fl AS (select *, row_number() over (order by ord) as pr from a where status in ('failed', 'withdrawn')),
 pp AS (select ap.uid as u1, fl.uid as u2, ap.smiles as smiles1, ap.name as name1, fl.smiles as smiles2, fl.name as name2,
   ap.name as d1_name, ap.status as d1_status, ap.molecular_weight as d1_molecular_weight, ap.alogp as d1_alogp,
   ap.psa as d1_psa, fl.name as d2_name, fl.status as d2_status, fl.molecular_weight as d2_molecular_weight,

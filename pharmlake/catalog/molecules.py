@@ -30,7 +30,7 @@ def unified(spark, d):
 def outcome_counts(spark, d):
     c = B.compounds(spark, d).select("row_id", "smiles", "source", "status", "max_phase")
     c = C.drop_sentinels(c, "smiles", V.SENTINEL_NAMES)
-    c = c.where(valid_length("smiles", 5, 200) & valid_alphabet("smiles"))
+    c = c.where(valid_length("smiles", 1, 10000) & valid_alphabet("smiles"))
     # project before the dedup: struct fields packed into the aggregate are not pruned
     c = C.dedup_first(c, "smiles", [C.source_rank("source"), F.col("row_id")])
     return c.groupBy(R.outcome().alias("prediction"), "source").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
@@ -38,7 +38,7 @@ def outcome_counts(spark, d):
 
 register("outcome_counts", W("compounds") + f"""
 , v AS (select * from compounds where (smiles is null or smiles not in ('N/A', 'N/A (Antibody)'))
-   and smiles is not null and smiles <> '' and length(smiles) between 5 and 200 and {ALPHA_SQL}),
+   and smiles is not null and smiles <> '' and length(smiles) between 1 and 10000 and {ALPHA_SQL}),
 d AS (select * from (select *, row_number() over (partition by smiles order by {SRC_RANK_SQL}, row_id) rn from v) where rn = 1)
 select case when status = 'approved' or max_phase = 4 then 'APPROVED' when status in ('failed','withdrawn') then 'FAILED/WITHDRAWN'
   when max_phase >= 2 then 'IN DEVELOPMENT' else 'UNLIKELY TO SUCCEED' end as prediction, source, count(*) as n
@@ -247,8 +247,8 @@ def failure_route(spark, d):
 
 
 PAIRS_SQL = W("compounds") + """
-, a AS (select * from compounds where status = 'approved' order by row_id limit 200),
-f AS (select * from compounds where status in ('failed','withdrawn') order by row_id limit 200),
+, a AS (select * from compounds where status = 'approved'),
+f AS (select * from compounds where status in ('failed','withdrawn')),
 ra AS (select *, row_number() over (order by row_id) as pair_rank from a),
 rf AS (select *, row_number() over (order by row_id) as pair_rank from f),
 p AS (select ra.pair_rank, ra.row_id as d1_row_id, ra.name as d1_name, ra.status as d1_status,

@@ -128,15 +128,15 @@ def chat_request_errors(spark, d):
 , t AS (select row_id, string_split(smiles, '') as toks from compounds where smiles is not null and smiles <> '')
 , i AS (select row_id, list_transform(toks, lambda x: ascii(x)) as ids from t)
 select row_id, len(ids) as n_tokens,
-  array_to_string(list_concat(ids[1:32], list_transform(range(greatest(32 - len(ids[1:32]), 0)), lambda x: 0)), ',') as input_ids,
-  array_to_string(list_concat(list_transform(range(least(len(ids), 32)), lambda x: 1),
-    list_transform(range(32 - least(len(ids), 32)), lambda x: 0)), ',') as attention_mask from i""")
+  array_to_string(list_concat(ids[1:512], list_transform(range(greatest(512 - len(ids[1:512]), 0)), lambda x: 0)), ',') as input_ids,
+  array_to_string(list_concat(list_transform(range(least(len(ids), 512)), lambda x: 1),
+    list_transform(range(512 - least(len(ids), 512)), lambda x: 0)), ',') as attention_mask from i""")
 def char_token_ids(spark, d):
     c = B.compounds(spark, d).where(F.col("smiles").isNotNull() & (F.col("smiles") != ""))
     t = c.select("row_id", F.transform(A.char_tokens("smiles"), lambda x: F.ascii(x)).alias("ids"))
     return t.select("row_id", F.size("ids").cast("bigint").alias("n_tokens"),
-                    F.array_join(A.pad_truncate("ids", 32, 0).cast("array<string>"), ",").alias("input_ids"),
-                    F.array_join(A.attention_mask("ids", 32).cast("array<string>"), ",").alias("attention_mask"))
+                    F.array_join(A.pad_truncate("ids", 512, 0).cast("array<string>"), ",").alias("input_ids"),
+                    F.array_join(A.attention_mask("ids", 512).cast("array<string>"), ",").alias("attention_mask"))
 
 
 @register("fit_prompt_budget", """

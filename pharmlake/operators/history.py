@@ -1,30 +1,27 @@
 """Run histories and ordered state.
 
-A run history is a short sequence (one row per epoch), so per-run ordered arrays
-are bounded by the number of epochs; everything else is an aggregate or a window
-partitioned by run.
+Ordered state is computed over sampled ranges of (group, order): a group larger than a
+range is cut, and what crosses a cut (offsets, neighbours, block summaries) is a table
+bounded by the number of ranges.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import assistant_block, user_block
-from .ranking import global_row_number, top_n_per_group, with_quantile_bucket
+from .ranking import Ranges, ranked, top_n_per_group
 
 
 def rank_in(df: DataFrame, part: Sequence[str], order: Sequence[str] | str, name: str = "rn",
-            buckets: int | None = None) -> DataFrame:
-    """Row position within a group; the first order column is numeric or a
-    timestamp. Two-level at every size: quantile buckets of the order key split a hot
-    group across tasks, and bucket offsets are joined back (``buckets`` defaults to
-    about a million rows each). Null groups are groups; null order keys come first."""
-    order = [order] if isinstance(order, str) else list(order)
-    b = with_quantile_bucket(df, order[0], buckets)
-    return global_row_number(b, [F.col(o) for o in order], "__qb", name, list(part))
+            rows_per_range: int | None = None) -> DataFrame:
+    """Row position within a group, by order columns of any type. Sampled ranges of
+    (group, order) split a hot group across tasks, and range offsets are joined back. Null
+    groups are groups; null order keys come first; an empty table gives no rows."""
+    return ranked(df, [order] if isinstance(order, str) else list(order), name, list(part), rows_per_range)
 
 
 def best_epoch(history: DataFrame, run: str = "run_id", epoch: str = "epoch", loss: str = "val_loss") -> DataFrame:
@@ -37,7 +34,8 @@ def best_epoch(history: DataFrame, run: str = "run_id", epoch: str = "epoch", lo
 
 
 def early_stop(history: DataFrame, patience: int = 3, min_delta: float = 0.001, mode: str = "min",
-               run: str = "run_id", epoch: str = "epoch", score: str = "val_loss") -> DataFrame:
+               run: str = "run_id", epoch: str = "epoch", score: str = "val_loss",
+               rows_per_range: int = 100_000) -> DataFrame:
     """Early stopping per run, without holding a run in one task.
 
     State: (best, counter). An epoch improves only if it beats the best *accepted*
@@ -45,69 +43,112 @@ def early_stop(history: DataFrame, patience: int = 3, min_delta: float = 0.001,
     epoch at which training stops (null if never) and the best score seen up to that
     point (or to the end).
 
-    Epochs are taken by their position in the run, so gaps do not matter; epochs before
-    the first score are skipped; later null scores do not improve. Between two accepted
-    positions the best is fixed, so the next accepted one after i is the first j in
-    (i, i + patience] that beats x_i by min_delta; when there is none, training stops at
-    i + patience (if the run is that long). ``nxt`` comes from a band self-join keyed by
-    (run, position); the accepted chain is followed by pointer doubling (ceil(log2 n)
-    join rounds, lineage cut each round). A hot target in a round is split by AQE.
-    A patience below 1 acts as 1: the first epoch that does not improve stops."""
-    import math
-
-    from ..session import cut_lineage
-
+    Runs are cut into blocks at sampled splitters of (run, epoch, score). A block that
+    starts with some best b accepts its first improvement within its first ``patience``
+    epochs or stops there, and after an acceptance nothing depends on b any more. So a
+    block is summarised by, for each of those epochs, the outcome if it is the first one
+    accepted, and by the outcome if no score came before; the summaries of a run (one per
+    block) are composed in order. Epochs are taken by position, so gaps do not matter; rows
+    with one epoch are ordered by score; epochs before the first score are skipped; later
+    null scores do not improve. A patience below 1 acts as 1: the first epoch that does not
+    improve stops. An empty table gives no rows."""
     patience = max(1, patience)
-    runs = history.select(F.struct(F.col(run)).alias("r"), F.col(epoch).alias("epoch"),  # a struct compares null-safe
-                          F.col(score).cast("double").alias("s"))
-    begin = runs.where(F.col("s").isNotNull()).groupBy("r").agg(F.min_by(F.struct("epoch"), F.struct("epoch")).alias("begin"))
-    h = runs.join(begin, "r").where(F.struct("epoch") >= F.col("begin")).select("r", "epoch", "s")
-    h = cut_lineage(rank_in(h, ["r"], "epoch", "e"), "early-stop-rows")
-    cand = h.select("r", "e", "s", F.explode(F.sequence(F.lit(1), F.lit(patience))).alias("k")) \
-        .withColumn("j", F.col("e") + F.col("k"))
-    nb = h.select("r", F.col("e").alias("j"), F.col("s").alias("sj"))
-    better = (F.col("sj") < F.col("s") - min_delta) if mode == "min" else (F.col("sj") > F.col("s") + min_delta)
-    nxt = cand.join(nb, ["r", "j"]).where(better).groupBy("r", "e").agg(F.min("j").alias("nxt"))
-    ptr = h.join(nxt, ["r", "e"], "left").select("r", "e", F.coalesce("nxt", "e").alias("p"))
-    ptr = cut_lineage(ptr, "early-stop-ptr")
-    longest = h.agg(F.max("e")).first()[0] or 1
-    for _ in range(max(1, math.ceil(math.log2(longest + 1)))):
-        a, b = ptr.alias("a"), ptr.alias("b")
-        ptr = cut_lineage(a.join(b, (F.col("a.r") == F.col("b.r")) & (F.col("a.p") == F.col("b.e")))
-                          .select(F.col("a.r").alias("r"), F.col("a.e").alias("e"), F.col("b.p").alias("p")),
-                          "early-stop-ptr")
-    last = ptr.where("e = 1").select("r", F.col("p").alias("t"))
-    best = last.join(h.select("r", F.col("e").alias("t"), F.col("s").alias("best_score")), ["r", "t"])
-    ends = best.withColumn("e", F.col("t") + patience).join(h.select("r", "e", "epoch"), ["r", "e"], "left")
-    out = runs.select("r").distinct().join(ends, "r", "left")
-    return out.select(F.col("r")[run].alias(run), F.col("epoch").cast("int").alias("stop_epoch"), "best_score")
+    rows = history.select(F.col(run).alias("r"), F.col(epoch).alias("e"), F.col(score).cast("double").alias("s"))
+    ranges = Ranges.of(rows, ["r", "e", "s"], rows_per_range)
+    type_e = dict(rows.dtypes)["e"]
+
+    def state(best: Column, counter: Column, stop: Column) -> Column:
+        return F.struct(best.cast("double").alias("best"), counter.cast("int").alias("counter"), stop.cast(type_e).alias("stop"))
+
+    none = F.lit(None)
+    fresh = state(none, F.lit(0), none)
+
+    def improves(s: Column, best: Column) -> Column:
+        return F.coalesce((s < best - min_delta) if mode == "min" else (s > best + min_delta), F.lit(False))
+
+    def step(at: Column, x: Column) -> Column:
+        waited = at["counter"] + 1
+        return F.when(at["stop"].isNotNull(), at) \
+            .when(at["best"].isNull(), state(x["s"], F.lit(0), none)) \
+            .when(improves(x["s"], at["best"]), state(x["s"], F.lit(0), none)) \
+            .otherwise(state(at["best"], waited, F.when(waited >= patience, x["e"])))
+
+    def fold(xs: Column, start: Column) -> Column:
+        return F.aggregate(xs, start, step)
+
+    cut = rows.select("r", F.struct("e", "s").alias("x"), ranges.index().alias("b"), ranges.straddles(1).alias("split"))
+    blocks = cut.groupBy("r", "b", "split").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    places = F.when(F.col("split"), F.sequence(F.lit(1), F.least(F.lit(patience), F.size("xs")))) \
+        .otherwise(F.array().cast("array<int>"))
+    blocks = blocks.select("r", F.struct(
+        "b", F.size("xs").alias("n"), fold(F.col("xs"), fresh).alias("fresh"),
+        F.transform(places, lambda i: F.struct(
+            F.get("xs", i - 1).alias("x"),
+            fold(F.slice("xs", i + 1, F.size("xs")), state(F.get("xs", i - 1)["s"], F.lit(0), none)).alias("then"))).alias("heads")
+    ).alias("block"))
+
+    def compose(at: Column, block: Column) -> Column:
+        left = F.lit(patience) - at["counter"]  # epochs that may still fail
+        reach = F.slice(block["heads"], F.lit(1), left)
+        accepted = F.filter(reach, lambda h: improves(h["x"]["s"], at["best"]))
+        return F.when(at["stop"].isNotNull(), at) \
+            .when(at["best"].isNull(), block["fresh"]) \
+            .when(F.size(accepted) > 0, F.get(accepted, F.lit(0))["then"]) \
+            .when(block["n"] >= left, state(at["best"], F.lit(patience), F.get(block["heads"], left - 1)["x"]["e"])) \
+            .otherwise(state(at["best"], at["counter"] + block["n"], none))
+
+    runs = blocks.groupBy("r").agg(F.array_sort(F.collect_list("block")).alias("blocks"))
+    # a first block is always entered without a best, so its heads are never asked for
+    ends = runs.select("r", F.aggregate("blocks", fresh, compose).alias("end"))
+    return ends.select(F.col("r").alias(run), F.col("end.stop").cast("int").alias("stop_epoch"),
+                       F.col("end.best").alias("best_score"))
 
 
 def last_turns(turns: DataFrame, n: int = 3, conv: str = "conv_id", turn: str = "turn",
-               role: str = "role", text: str = "text") -> DataFrame:
+               role: str = "role", text: str = "text", rows_per_range: int | None = None) -> DataFrame:
     """For each user turn, its reply (the next turn if it is the assistant's) and
     the last n (user, assistant) pairs before it, oldest first.
 
-    Equi-joins on unique keys, no window per conversation: the next turn by
-    (conversation, position + 1), earlier pairs by (conversation, user ordinal - k).
-    Positions come from a two-level rank, so a conversation holding a third of all rows
-    is spread over tasks. A null conversation is one conversation."""
-    key = F.struct(F.col(conv)).alias("__c")  # a struct compares null-safe
-    pos = rank_in(turns.select(conv, turn, role, text, key), [conv], turn, "__pos")
-    nxt = pos.select("__c", (F.col("__pos") - 1).alias("__pos"), F.col(role).alias("__next_role"),
-                     F.col(text).alias("__next_text"))
-    t = pos.join(nxt, ["__c", "__pos"], "left")
-    users = t.where(F.col(role) == "user").select(
-        "__c", conv, turn, F.col(text).alias("message"),
-        F.when(F.col("__next_role") == "assistant", F.col("__next_text")).alias("reply"))
-    users = rank_in(users, [conv], turn, "__u")
-    out = users
-    for k in range(1, n + 1):
-        prev = users.select("__c", (F.col("__u") + k).alias("__u"),
-                            F.struct(F.col("message").alias("user"), F.col("reply").alias("assistant")).alias(f"__p{k}"))
-        out = out.join(prev, ["__c", "__u"], "left")
-    hist = F.filter(F.array(*[F.col(f"__p{k}") for k in range(n, 0, -1)]), lambda x: x.isNotNull())
-    return out.select(conv, turn, "message", "reply", hist.alias("history"))
+    Turns are in the order (turn, role, text), nulls first, so ties are settled. Sampled
+    splitters cut that order into ranges; inside a (conversation, range) a lead and n lags
+    in one exchange give reply and history. A conversation that straddles a splitter gets a
+    halo: the first turn of its next range, and the last n pairs of the ranges before. There
+    are at most 2 x 4096 such (conversation, range) pairs; without splitters Catalyst drops
+    the halo side. A null conversation is one conversation."""
+    order = ["__t", "__role", "__text"]
+    base = turns.select(F.col(conv).alias("__c"), F.col(turn).alias("__t"), F.col(role).alias("__role"),
+                        F.col(text).alias("__text"))
+    ranges = Ranges.of(base, ["__c", *order], rows_per_range)
+    cut = base.withColumns({"__r": ranges.index(), "__s": ranges.straddles(1)})
+    here = Window.partitionBy("__c", "__r").orderBy(*order)
+    following = Window.partitionBy("__c").orderBy("__r")
+    first = cut.where("__s").groupBy("__c", "__r").agg(F.min(F.struct(*order)).alias("__first"))
+    heads = first.select(F.col("__c").alias("__hc"), F.col("__r").alias("__hr"), F.lead("__first").over(following).alias("__head"))
+
+    def answered(rows: DataFrame) -> DataFrame:
+        """User turns with their replies; the last turn of a range asks the halo."""
+        nxt = F.lead(F.struct("__role", "__text")).over(here)
+        rows = rows.withColumns({"__next": nxt, "__n": F.row_number().over(here)}).where(F.col("__role") == "user")
+        rows = rows.join(heads, F.col("__c").eqNullSafe(F.col("__hc")) & (F.col("__r") == F.col("__hr")), "left")
+        got = F.coalesce("__next", F.struct(F.col("__head.__role").alias("__role"), F.col("__head.__text").alias("__text")))
+        return rows.select("__c", "__r", "__s", "__n", "__t", "__text", F.when(got["__role"] == "assistant", got["__text"]).alias("__reply"))
+
+    pair = F.struct(F.col("__text").alias("user"), F.col("__reply").alias("assistant"))
+    users = answered(cut)
+    # the last n pairs of every range of a straddling conversation, then of the ranges before it
+    placed = Window.partitionBy("__c", "__r").orderBy("__n")  # equal turns keep the place they got
+    back = Window.partitionBy("__c", "__r").orderBy(F.desc("__n"))
+    tails = answered(cut.where("__s")).withColumn("__k", F.row_number().over(back)).where(F.col("__k") <= n)
+    tails = tails.groupBy("__c", "__r").agg(F.array_sort(F.collect_list(F.struct((-F.col("__k")).alias("k"), pair.alias("p")))).alias("__tail"))
+    earlier = F.flatten(F.collect_list("__tail").over(following.rowsBetween(-n, -1)))
+    halo = tails.select(F.col("__c").alias("__hc"), F.col("__r").alias("__hr"), F.transform(earlier, lambda x: x["p"]).alias("__halo"))
+    lags = F.array(*[F.lag(pair, k).over(placed) for k in range(n, 0, -1)])
+    users = users.withColumn("__own", F.filter(lags, lambda x: x.isNotNull()))
+    out = users.join(halo, F.col("__c").eqNullSafe(F.col("__hc")) & (F.col("__r") == F.col("__hr")), "left")
+    both = F.concat(F.coalesce("__halo", F.array().cast(dict(halo.dtypes)["__halo"])), F.col("__own"))
+    return out.select(F.col("__c").alias(conv), F.col("__t").alias(turn), F.col("__text").alias("message"),
+                      F.col("__reply").alias("reply"),
+                      F.slice(both, F.greatest(F.size(both) - n + 1, F.lit(1)), F.lit(n)).alias("history"))
 
 
 def chat_context(turns: DataFrame, n: int = 3, **kw) -> DataFrame:

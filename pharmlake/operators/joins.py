@@ -14,9 +14,9 @@ from .ranking import first_n, row_number_by_key
 
 def pair_by_rank(a: DataFrame, b: DataFrame, key: str, n: int | None = None, prefixes: tuple[str, str] = ("d1_", "d2_"),
                  cols: Sequence[str] | None = None) -> DataFrame:
-    """I-th row of ``a`` with the i-th row of ``b`` (order of the numeric ``key``), as
-    many pairs as the shorter side. Both sides are ranked in two levels; with ``n``, the
-    first n of each by a TakeOrdered instead."""
+    """I-th row of ``a`` with the i-th row of ``b`` (order of ``key``, any type), as many
+    pairs as the shorter side; an empty side gives none. Both sides are ranked over sampled
+    ranges; with ``n``, the first n of each are selected instead."""
     cols = list(cols) if cols is not None else a.columns
     ra, rb = (first_n(x.select(*cols), [key], n, "pair_rank") if n else row_number_by_key(x.select(*cols), key, "pair_rank")
               for x in (a, b))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed_values import GOOD_AUC
-from .ranking import hash_int, running_sums, seeded_hash
+from .ranking import _by, hash_int, seeded_hash
 
 METRICS = ["accuracy", "f1_score", "roc_auc", "pr_auc"]
 
@@ -143,41 +143,43 @@ def classification_metrics(df: DataFrame, by: Sequence[str] = (), label: str = "
 
 
 def score_curve(df: DataFrame, by: Sequence[str] = (), label: str = "label", score: str = "score",
-                buckets: int | None = None) -> DataFrame:
+                rows_per_range: int | None = None) -> DataFrame:
     """Per distinct score, positives p and rows n, and running tp and k over
     scores in descending order.
 
     Rows are first reduced to one row per (model, score) (partial aggregation). The
-    running sums use the two-level scan: buckets cut at approximate quantiles of the
-    score (one sketch pass in the JVM; by default about a million rows per bucket,
-    at most 65536 buckets), so scores crowded into a narrow band still spread over
-    many tasks; the offset table has at most (#models x buckets) rows.
+    running sums use the two-level scan over sampled ranges of (model, score), so scores
+    crowded into a narrow band, or one model with most rows, still spread over tasks; only
+    models that straddle a boundary get offsets. Null scores rank last, like the smallest
+    score; an empty table has an empty curve.
     """
-    from pyspark.ml.feature import QuantileDiscretizer
-
-    from .ranking import adaptive_buckets
-
     g = df.groupBy(*by, score).agg(F.sum(F.col(label).cast("bigint")).alias("p"),
                                    F.count(F.lit(1)).cast("bigint").alias("n"))
-    nb = adaptive_buckets(df) if buckets is None else buckets
-    raw = df.select(F.col(score).cast("double").alias("__sd"))
-    # cuts from the scores (one sketch pass in the JVM), applied to the grouped table
-    model = QuantileDiscretizer(numBuckets=max(2, nb), inputCol="__sd", outputCol="__qb", handleInvalid="keep",
-                                relativeError=min(1e-3, 0.5 / max(2, nb))).fit(raw)
-    gb = model.transform(g.withColumn("__sd", F.col(score).cast("double")))
-    # null scores rank last, like the smallest score
-    gb = gb.withColumn("__qb", F.when(F.col("__sd").isNotNull(), F.col("__qb").cast("int")).otherwise(-1)).drop("__sd")
-    out = running_sums(gb, list(by), [F.col(score).desc()], "__qb", ["p", "n"], descending_buckets=True)
-    return out.drop("__qb").withColumnRenamed("cum_p", "tp").withColumnRenamed("cum_n", "k")
+    return curve_of(g, by, score, rows_per_range)
+
+
+def curve_of(counts: DataFrame, by: Sequence[str] = (), score: str = "score",
+             rows_per_range: int | None = None) -> DataFrame:
+    """The curve from one row per (by, score) with its positives p and rows n."""
+    from .ranking import Ranges, running_sums
+
+    ranges = Ranges.of(counts, [*by, score], rows_per_range)
+    g = counts.withColumns({"__r": ranges.index(), "__s": ranges.straddles(len(by))})
+    out = running_sums(g, list(by), [F.col(score).desc()], "__r", ["p", "n"], descending_buckets=True, straddles="__s")
+    return out.drop("__r", "__s").withColumnRenamed("cum_p", "tp").withColumnRenamed("cum_n", "k")
 
 
 def ranking_metrics(df: DataFrame, by: Sequence[str] = (), label: str = "label", score: str = "score",
-                    buckets: int | None = None) -> DataFrame:
+                    rows_per_range: int | None = None) -> DataFrame:
     """A9 + A10: ROC-AUC (ties count half) and average precision; 0.5 with one class.
 
     AUC = sum((n - p) * (tp - p/2)) / (P * (N - P)); AP = sum(p/P * tp/k).
     """
-    c = score_curve(df, by, label, score, buckets)
+    return ranking_of(score_curve(df, by, label, score, rows_per_range), by)
+
+
+def ranking_of(c: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """A9 + A10 from a curve."""
     p, n, tp, k = (F.col(x).cast("double") for x in ("p", "n", "tp", "k"))
     agg = c.groupBy(*by).agg(
         F.sum(p).alias("P"), F.sum(n).alias("N"),
@@ -212,11 +214,35 @@ def random_baseline(df: DataFrame, by: Sequence[str] = (), label: str = "label",
                      _div(2 * tp, 2 * tp + fp + fn).alias("f1_score"), F.lit(0.5).alias("roc_auc"), "pr_auc")
 
 
+def score_counts(df: DataFrame, model: str = "model", label: str = "label", score: str = "score",
+                 pred: str = "pred") -> DataFrame:
+    """One row per (model, score, prediction) with its positives, negatives, label sum p and
+    rows n: everything the metrics of a model need. Written once, so whatever is derived
+    from it reads this small table instead of the rows."""
+    from ..session import cut_lineage
+
+    y = F.col(label)
+    table = df.groupBy(model, F.col(score).alias("score"), F.col(pred).alias("pred")).agg(
+        F.count_if(y == 1).alias("positive"), F.count_if(y == 0).alias("negative"),
+        F.sum(y.cast("bigint")).alias("p"), F.count(F.lit(1)).alias("n"))
+    return cut_lineage(table, "score-counts")
+
+
 def model_metrics(df: DataFrame, model: str = "model") -> DataFrame:
-    """Accuracy, F1, ROC-AUC and PR-AUC per model (wide)."""
-    cls = classification_metrics(df, [model]).select(model, "accuracy", "f1_score")
-    rk = ranking_metrics(df, [model])
-    return cls.join(rk, model)
+    """Accuracy, F1, ROC-AUC and PR-AUC per model (wide): one pass over the rows."""
+    return metrics_of(score_counts(df, model), model)
+
+
+def metrics_of(counts: DataFrame, model: str = "model") -> DataFrame:
+    """The same from ``score_counts``."""
+    said, denied = F.col("pred") == 1, F.col("pred") == 0
+    zero = F.lit(0).cast("bigint")
+    cm = counts.groupBy(model).agg(*[F.sum(F.when(on, F.col(c)).otherwise(zero)).alias(name) for name, on, c in (
+        ("tp", said, "positive"), ("tn", denied, "negative"), ("fp", said, "negative"), ("fn", denied, "positive"))])
+    cls = from_confusion(cm, [model]).select(model, "accuracy", "f1_score")
+    rk = ranking_of(curve_of(counts.groupBy(model, "score").agg(F.sum("p").alias("p"), F.sum("n").alias("n")), [model]), [model])
+    rk, same = _by([model], rk)
+    return cls.join(rk, same).drop(f"__k_{model}")
 
 
 def to_long(wide: DataFrame, id_col: str, metrics: Sequence[str] = METRICS) -> DataFrame:
@@ -261,8 +287,12 @@ def compare_models(df: DataFrame, model: str = "model") -> DataFrame:
 
 def report_rows(df: DataFrame, old: str, new: str, model: str = "model") -> DataFrame:
     """Report rows: one metric card per (model, metric), then the
-    interpretation lines (accuracy and AUC change in points, AUC > 0.7 flag)."""
-    wide = model_metrics(df, model)
+    interpretation lines (accuracy and AUC change in points, AUC > 0.7 flag). The rows are
+    read once (``score_counts``); the metrics, one row per model, are written once and
+    every section reads them."""
+    from ..session import cut_lineage
+
+    wide = cut_lineage(model_metrics(df, model), "model-metrics")
     long = to_long(wide, model)
     cards = long.select(F.lit("card").alias("section"), F.col(model).alias("model"), "metric", "value")
     imp = improvement(long, old, new, model)

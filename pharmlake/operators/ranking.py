@@ -4,9 +4,11 @@ Spark has no row order, so every "first", "i-th" and "shuffle" of the reference
 takes an explicit order key. A window without ``partitionBy`` pulls every row into
 one task; the helpers below avoid that:
 
-* ``global_row_number``: two-level rank. Rows are cut into buckets that are
-  monotone in the order (a hash prefix for seeded orders, approximate quantiles for
-  numeric keys); a per-bucket count (one row per bucket, size bounded by the bucket
+* ``ranked``: two-level rank by key columns of any type. ``Ranges`` cuts the rows at
+  sampled splitters of the composite key; groups that straddle a splitter get prefix
+  offsets, each range is ranked in its own task.
+* ``global_row_number``: the same by a given bucket column that is monotone in the order
+  (a hash prefix for seeded orders); a per-bucket count (one row per bucket, size bounded by the bucket
   parameter) gives prefix offsets that are broadcast back; each bucket is ranked in
   its own task.
 * ``top_n_per_group``: exact top-n per group in two rounds; the first round ranks
@@ -106,69 +108,111 @@ def seeded_row_number(df: DataFrame, key: str, seed: int = 42, name: str = "rn",
     return out.drop("__h")
 
 
-def _numeric(df: DataFrame, col: str) -> Column:
-    """A column as double, monotone in its order (timestamps as epoch microseconds)."""
-    t = dict(df.dtypes)[col]
-    if t.startswith("timestamp"):
-        return F.unix_micros(F.col(col).cast("timestamp")).cast("double")
-    return F.col(col).cast("double")
-
-
-def quantile_cuts(df: DataFrame, col: str, buckets: int = 256, rel_err: float | None = None) -> list[float]:
-    """Approximate quantile cut points of a numeric column (a bounded list of
-    ``buckets - 1`` numbers; the rows stay on the executors). The sketch error
-    defaults to half a bucket width, so neighbouring cuts stay distinct."""
-    if buckets <= 1:
-        return []
-    rel_err = min(1e-3, 0.5 / buckets) if rel_err is None else rel_err
-    qs = [i / buckets for i in range(1, buckets)]
-    cuts = df.select(_numeric(df, col).alias(col)).approxQuantile(col, qs, rel_err)
-    return sorted(set(c for c in cuts if c is not None))
-
-
-ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 1 << 16
-
-
-def adaptive_buckets(df: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET, lo: int = 16,
-                     hi: int = MAX_BUCKETS) -> int:
-    """Bucket count proportional to the data: about ``rows_per_bucket`` rows each
-    (one aggregate; a single number comes back)."""
-    n = df.select(F.lit(1).alias("one")).count()
-    return int(min(hi, max(lo, -(-n // rows_per_bucket))))
-
-
-def with_quantile_bucket(df: DataFrame, col: str, buckets: int | None = None, out: str = "__qb") -> DataFrame:
-    """Add a bucket id monotone in a numeric (or timestamp) column, cut at approximate
-    quantiles. ``QuantileDiscretizer`` computes the cuts and builds the bucketizer in
-    the JVM (one sketch pass; nothing crosses to Python), and assigns buckets by a
-    binary search per row."""
-    from pyspark.ml.feature import QuantileDiscretizer
-
-    buckets = adaptive_buckets(df) if buckets is None else buckets
-    src = "__qv"
-    tmp = df.withColumn(src, _numeric(df, col))
-    qd = QuantileDiscretizer(numBuckets=max(2, buckets), inputCol=src, outputCol=out, handleInvalid="keep",
-                             relativeError=min(1e-3, 0.5 / max(2, buckets)))
-    got = qd.fit(tmp).transform(tmp)
-    return got.withColumn(out, F.when(F.col(src).isNotNull(), F.col(out).cast("int"))).drop(src)
-
-
-def quantile_bucket(df: DataFrame, col: str, buckets: int = 256, rel_err: float | None = None) -> Column:
-    """Bucket id as a column expression (for small ``buckets``; prefer
-    ``with_quantile_bucket`` on large inputs)."""
-    cuts = quantile_cuts(df, col, buckets, rel_err)
-    if not cuts:
-        return F.lit(0)
-    arr = F.array(*[F.lit(float(x)) for x in cuts])
-    c = _numeric(df, col)
-    return F.size(F.filter(arr, lambda x: x < c))
-
-
-def row_number_by_key(df: DataFrame, key: str, name: str = "rn", buckets: int | None = None) -> DataFrame:
-    """``row_number() over (order by key)`` for a numeric key, via quantile buckets
-    (by default about a million rows per bucket)."""
-    return global_row_number(with_quantile_bucket(df, key, buckets), [F.col(key)], "__qb", name)
+ROWS_PER_RANGE = 500_000
+MAX_RANGES = 4096  # at 10^12 rows a range holds 2.5 * 10^8: one sort that spills, still one task's work
+SAMPLES_PER_RANGE = 32
+KEY_PREFIX = 64
+
+
+class Ranges:
+    """Splitters of a composite order (any orderable types, ascending, nulls first).
+
+    A sample of the keys (``SAMPLES_PER_RANGE`` rows a range, so at most 131072 short keys
+    whatever the table's size) is sorted by Spark and every 32nd key becomes a boundary.
+    A row's range is found by a binary search in the boundaries, as a column expression.
+    Strings take part with their first 64 characters and whether there are more; behind a
+    string that has more, later key columns do not count (so the order is kept), and rows
+    that agree up to there share a range. No rows, one distinct key or all-null keys simply
+    give no boundary that separates anything."""
+
+    def __init__(self, parts: Sequence[tuple[int, str, Column]], bounds: Sequence[tuple]):
+        self.column, self.types, self.keys = (list(x) for x in zip(*parts))
+        self.bounds = list(bounds)
+
+    @staticmethod
+    def parts_of(df: DataFrame, cols: Sequence[str]) -> list[tuple[int, str, Column]]:
+        """(key column number, type, expression) of the short key's parts."""
+        schema, parts, cut = dict(df.dtypes), [], F.lit(False)
+        for i, c in enumerate(cols):
+            x, t = F.when(~cut, F.col(c)), schema[c]
+            if t == "string":
+                longer = F.coalesce(F.length(F.col(c)) > KEY_PREFIX, F.lit(False))
+                parts += [(i, "string", F.substring(x, 1, KEY_PREFIX)), (i, "boolean", F.when(~cut, longer))]
+                cut = cut | longer
+            else:
+                parts.append((i, t, x))
+        return parts
+
+    @classmethod
+    def of(cls, df: DataFrame, cols: Sequence[str], rows_per_range: int | None = None, seed: int = 42) -> Ranges:
+        """Boundaries for about ``rows_per_range`` rows a range: one count, and one sample
+        where there is more than one range to cut."""
+        parts = cls.parts_of(df, cols)
+        n = df.select(*cols[-1:]).count()
+        ranges = min(MAX_RANGES, -(-n // (rows_per_range or ROWS_PER_RANGE)))
+        if ranges < 2:
+            return cls(parts, [])
+        named = [k.alias(f"k{i}") for i, (_, _, k) in enumerate(parts)]
+        wanted = min(1.0, SAMPLES_PER_RANGE * ranges / n)
+        rows = df.select(*named).sample(wanted, seed).orderBy(*[f"k{i}" for i in range(len(parts))]).collect()
+        step = max(1, -(-len(rows) // ranges))
+        bounds = [tuple(r) for r in rows[step::step]]
+        return cls(parts, [x for i, x in enumerate(bounds) if i == 0 or x != bounds[i - 1]])
+
+    def _struct(self, values, depth: int) -> Column:
+        return F.struct(*[v.cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(values[:depth], self.types))])
+
+    def _count(self, depth: int, inclusive: bool) -> Column:
+        """How many boundaries lie below the row's key (or at it), by its first ``depth``
+        parts. Structs compare with nulls first, as the sort does."""
+        if not self.bounds:
+            return F.lit(0)
+        n, key = len(self.bounds), self._struct(self.keys, depth)
+        table = F.array(*[self._struct([F.lit(v) for v in b], depth) for b in self.bounds])
+        steps = F.array(*[F.lit(1 << p) for p in range(n.bit_length() - 1, -1, -1)])
+
+        def step(at: Column, width: Column) -> Column:
+            bound = F.get(table, at + width - 1)
+            return F.when((at + width <= n) & ((bound <= key) if inclusive else (bound < key)), at + width).otherwise(at)
+
+        return F.aggregate(steps, F.lit(0), step)
+
+    def index(self) -> Column:
+        """The row's range, from 0; monotone in the order."""
+        return self._count(len(self.keys), True)
+
+    def straddles(self, parts: int) -> Column:
+        """Whether the group named by the first ``parts`` key columns may lie in several
+        ranges. At most as many groups as there are boundaries do."""
+        if not self.bounds or parts == 0:
+            return F.lit(bool(self.bounds))
+        depth = sum(c < parts for c in self.column)
+        return self._count(depth, True) > self._count(depth, False)
+
+
+def ranked(df: DataFrame, order: Sequence[str], name: str = "rn", part: Sequence[str] = (),
+           rows_per_range: int | None = None) -> DataFrame:
+    """Exact ``row_number() over ([partition by part] order by order)`` for key columns of
+    any type, without a task that holds a whole table or a hot group.
+
+    Rows are cut into sampled ranges of (part, order) and ranked inside (part, range): one
+    exchange. Only groups that straddle a boundary need offsets: prefix sums over their
+    counts per range, at most 2 x 4096 rows (broadcast); without boundaries Catalyst drops
+    that side. Rows equal in all order columns are numbered in any order."""
+    part, order = list(part), list(order)
+    ranges = Ranges.of(df, [*part, *order], rows_per_range)
+    cut = df.withColumns({"__r": ranges.index(), "__s": ranges.straddles(len(part))})
+    local = cut.withColumn("__l", F.row_number().over(Window.partitionBy(*part, "__r").orderBy(*order)))
+    counts = cut.where("__s").groupBy(*part, "__r").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*part).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    offsets, same = _by([*part, "__r"], counts.select(*part, "__r", F.sum("__n").over(before).alias("__off")))
+    out = local.join(F.broadcast(offsets), same, "left")
+    return out.select(*df.columns, (F.col("__l") + F.coalesce("__off", F.lit(0))).cast("bigint").alias(name))
+
+
+def row_number_by_key(df: DataFrame, key: str, name: str = "rn", rows_per_range: int | None = None) -> DataFrame:
+    """``row_number() over (order by key)`` for a key of any type."""
+    return ranked(df, [key], name, (), rows_per_range)
 
 
 def top_n_per_group(
@@ -196,14 +240,49 @@ def top_n_per_group(
     return kept.withColumn(name, F.row_number().over(w2)).where(F.col(name) <= n)
 
 
-def first_n(df: DataFrame, order: Sequence[Column | str], n: int, name: str | None = None) -> DataFrame:
-    """First n rows in a key order (TakeOrdered: each task keeps n, then one merge of
-    at most n x tasks rows). Optionally numbers them 1..n."""
-    oc = _cols(order)
-    top = df.orderBy(*oc).limit(n)
+def first_n(df: DataFrame, order: Sequence[Column | str], n: int, name: str | None = None,
+            rows_per_range: int | None = None) -> DataFrame:
+    """First n rows in a key order, optionally numbered 1..n.
+
+    Up to a range's worth of rows, a TakeOrdered: each task keeps n, one task merges them.
+    For a larger n no task may hold n rows: counts per sampled range give the cut-off, whole
+    ranges below it pass unsorted, and only the range it falls into is ranked."""
+    limit = rows_per_range or ROWS_PER_RANGE
+    if n <= limit or not all(isinstance(c, str) for c in order):
+        oc = _cols(order)
+        top = df.orderBy(*oc).limit(n)
+        return top.withColumn(name, F.row_number().over(Window.orderBy(*oc))) if name else top
     if name:
-        top = top.withColumn(name, F.row_number().over(Window.orderBy(*oc)))
-    return top
+        return ranked(df, list(order), name, (), rows_per_range).where(F.col(name) <= n)
+    ranges = Ranges.of(df, list(order), rows_per_range)
+    cut = df.withColumn("__r", ranges.index())
+    sizes = sorted(map(tuple, cut.groupBy("__r").count().collect()))  # at most 4096 rows
+    return _selected(cut, sizes, n, list(order)).select(*df.columns)
+
+
+def _selected(cut: DataFrame, sizes: Sequence[tuple], n: int, order: Sequence[Column | str]) -> DataFrame:
+    """The first n rows of ``cut`` (range id ``__r``, monotone in ``order``), given (id,
+    rows) in ascending order."""
+    seen = 0
+    for at, size in sizes:
+        if seen + size >= n:
+            inside = cut.where(F.col("__r") == at) if at is not None else cut.where(F.col("__r").isNull())
+            rest = inside.withColumn("__l", F.row_number().over(Window.partitionBy("__r").orderBy(*_cols(order))))
+            rest = rest.where(F.col("__l") <= n - seen).drop("__l")
+            return rest if at is None else cut.where((F.col("__r") < at) | F.col("__r").isNull()).unionByName(rest)
+        seen += size
+    return cut
+
+
+def sampled_first_n(df: DataFrame, key: str, n: int, seed: int = 42, rows_per_range: int | None = None) -> DataFrame:
+    """First n rows in the seeded order md5('<seed>:<key>'), then key: a TakeOrdered for an
+    n that fits a task, else the same selection over a histogram of the hash's first digits
+    (at most 65536 counts)."""
+    if n <= (rows_per_range or ROWS_PER_RANGE):
+        return df.orderBy(seeded_hash(key, seed), F.col(key)).limit(n)
+    cut = df.withColumn("__h", seeded_hash(key, seed)).withColumn("__r", hash_bucket(F.col("__h")))
+    sizes = sorted(map(tuple, cut.groupBy("__r").count().collect()), key=lambda x: (x[0] is not None, x[0] or 0))
+    return _selected(cut, sizes, n, ["__h", key]).select(*df.columns)
 
 
 def running_sums(
@@ -214,17 +293,20 @@ def running_sums(
     cols: Sequence[str],
     descending_buckets: bool = False,
     prefix: str = "cum_",
+    straddles: Column | str | None = None,
 ) -> DataFrame:
     """Exact inclusive running sums of ``cols`` in ``order`` within ``partition``,
     computed per bucket plus a prefix offset over bucket totals (two-level scan).
 
     ``bucket`` (an expression or an existing column name) must be monotone in
-    ``order`` (descending when ``descending_buckets``).
+    ``order`` (descending when ``descending_buckets``). ``straddles`` may tell which rows
+    belong to groups with several buckets; only those need offsets.
     """
     part = list(partition)
     b = "__bucket"
     with_b = df.withColumn(b, F.col(bucket) if isinstance(bucket, str) else bucket)
-    tot = with_b.groupBy(*part, b).agg(*[F.sum(c).alias(f"__t_{c}") for c in cols])
+    some = with_b if straddles is None else with_b.where(straddles)
+    tot = some.groupBy(*part, b).agg(*[F.sum(c).alias(f"__t_{c}") for c in cols])
     bo = F.col(b).desc() if descending_buckets else F.col(b).asc()
     wcum = Window.partitionBy(*part).orderBy(bo).rowsBetween(Window.unboundedPreceding, -1)
     offsets = tot.select(*part, b, *[F.coalesce(F.sum(f"__t_{c}").over(wcum), F.lit(0)).alias(f"__o_{c}")
@@ -232,5 +314,5 @@ def running_sums(
     w = Window.partitionBy(*part, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = with_b.select("*", *[F.sum(c).over(w).alias(f"__l_{c}") for c in cols])
     offsets, same = _by([*part, b], offsets)
-    out = local.join(offsets, same)
-    return out.select(*df.columns, *[(F.col(f"__l_{c}") + F.col(f"__o_{c}")).alias(f"{prefix}{c}") for c in cols])
+    out = local.join(offsets, same, "left")
+    return out.select(*df.columns, *[(F.col(f"__l_{c}") + F.coalesce(f"__o_{c}", F.lit(0))).alias(f"{prefix}{c}") for c in cols])

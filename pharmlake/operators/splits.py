@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .ranking import (
     first_n,
     hash_int,
+    sampled_first_n,
     seeded_hash,
     seeded_row_number,
     top_n_per_group,
@@ -24,7 +25,7 @@ from .ranking import (
 
 
 def head_n(df: DataFrame, n: int, key: Sequence[Column | str]) -> DataFrame:
-    """L1: first n rows in key order."""
+    """L1: first n rows in key order (whatever n, no task holds more than a range)."""
     return first_n(df, key, n)
 
 
@@ -34,9 +35,9 @@ def cap_rows(df: DataFrame, n: int, key: Sequence[Column | str]) -> DataFrame:
 
 
 def sample_n(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
-    """L2: seeded sample of min(n, rows) without replacement (TakeOrdered on the
-    seeded hash, so each task keeps at most n rows)."""
-    return df.orderBy(seeded_hash(key, seed), F.col(key)).limit(n)
+    """L2: seeded sample of min(n, rows) without replacement: the first n by seeded hash
+    (a TakeOrdered, or for a large n a selection by the hash's histogram)."""
+    return sampled_first_n(df, key, n, seed)
 
 
 def shuffle(df: DataFrame, key: str, seed: int = 42, name: str = "position") -> DataFrame:

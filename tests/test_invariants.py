@@ -25,7 +25,7 @@ def test_seeded_row_number_equals_window(spark):
 
 def test_partitioned_row_number_equals_window(spark):
     df = _frame(spark)
-    two = RK.global_row_number(df, ["v", "k"], RK.quantile_bucket(df, "v", 16), "rn", ["g"])
+    two = RK.ranked(df, ["v", "k"], "rn", ["g"], rows_per_range=200)
     one = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("v", "k")))
     assert sorted(two.select("k", "rn").collect()) == sorted(one.select("k", "rn").collect())
 
