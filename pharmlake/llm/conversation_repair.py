@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,10 +55,12 @@ ENDING = (0, 2 * INSERT, INSERT, 0)  # cost of inserts that complete the pattern
 Matrix = tuple
 
 
+@lru_cache(1 << 14)  # short conversations repeat the same few steps
 def product(a: Matrix, b: Matrix) -> Matrix:
     return tuple(tuple(min(INFINITE, min(r[k] + b[k][j] for k in range(4))) for j in range(4)) for r in a)
 
 
+@lru_cache(1 << 14)
 def apply(a: Matrix, v: tuple) -> tuple:
     return tuple(min(INFINITE, min(r[k] + v[k] for k in range(4))) for r in a)
 

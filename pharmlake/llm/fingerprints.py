@@ -3,7 +3,8 @@
 A document's fingerprint holds every five-word shingle hash below a fixed fraction of the
 64-bit range; a document without such a hash keeps its smallest one. Fingerprints of any
 documents can be merged (union, then the same rule), and the share of one fingerprint's
-hashes found in another estimates containment whatever the two sizes are.
+hashes found in another estimates containment at any two sizes; it is unknown (null) for a
+document without a hash below the limit, unless the other one keeps the same hash.
 
 Words are runs without white space of the lower-cased text; with one to four words the
 whole sequence is the single shingle. Defined cases: null text is the empty text with an
@@ -43,15 +44,28 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
-def containment(a: Column, b: Column) -> Column:
-    """Estimated share of a's shingles that b has, 0 to 1."""
-    return F.when(F.size(a) == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+def threshold(fraction: float) -> Column:
+    """Hashes below this are kept."""
+    return F.lit(int(-(1 << 63) + (1 << 64) * fraction)).cast("long")
+
+
+def containment(a: Column, b: Column, fraction: float = FRACTION) -> Column:
+    """Estimated share of a's shingles that b has, 0 to 1. Null where a holds only its
+    smallest hash, above the threshold, and b does not show it: b may well have it."""
+    both = F.size(F.array_intersect(a, b))
+    blind = (F.size(a) == 1) & (F.get(a, F.lit(0)) >= threshold(fraction)) & (both == 0)
+    return F.when(F.size(a) == 0, 1.0).when(~blind, both / F.size(a))
+
+
+def as_text(a: Column) -> Column:
+    """A fingerprint as one string: its hashes in hex, ascending, comma-joined."""
+    return F.array_join(F.transform(a, lambda h: F.lower(F.hex(h))), ",")
 
 
 def with_fingerprint(df: DataFrame, text: str, name: str, fraction: float) -> DataFrame:
     """Adds the fingerprint of a text column. Every step is a column of its own that the
     next reads more than once, so none is evaluated again inside a lambda."""
-    limit = F.lit(int(-(1 << 63) + (1 << 64) * fraction)).cast("long")
+    limit = threshold(fraction)
     return (df.withColumn("_words", words(F.col(text))).withColumn("_all", shingle_hashes(F.col("_words")))
             .withColumn("_kept", F.sort_array(F.array_distinct(F.filter("_all", lambda h: h < limit))))
             .withColumn(name, F.when((F.size("_kept") == 0) & (F.size("_all") > 0), F.array(F.array_min("_all"))).otherwise(F.col("_kept")))
@@ -99,5 +113,5 @@ def fingerprints(docs: DataFrame, fraction: float = FRACTION, range_bytes: int =
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
-        containment(F.col("fingerprint"), F.col("edited_fingerprint")).alias("in_edited"),
-        containment(F.col("fingerprint"), F.col("next_fingerprint")).alias("in_next"))
+        containment(F.col("fingerprint"), F.col("edited_fingerprint"), fraction).alias("in_edited"),
+        containment(F.col("fingerprint"), F.col("next_fingerprint"), fraction).alias("in_next"))

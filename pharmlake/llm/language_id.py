@@ -13,7 +13,7 @@ Training rows: at most ``per_label`` documents of each label are drawn by a hash
 doc_id, and two windows of ``window`` words from each; this bound is a parameter, everything else covers
 all data. The model is a fixed-size table on the driver.
 
-Defined cases: null text, and text without any letter, is `und` with score 0; words
+Defined cases: null text, and text without any letter (Unicode category L), is `und` with score 0; words
 without a letter take no part in the score; null or empty lang is not a label; if no
 labelled row exists every document is `und`; rows are independent, so ties, repeated rows
 and null doc_id need no rule (equal scores: the label first in order); extra columns are ignored; an
@@ -21,9 +21,8 @@ empty table gives no rows. A text must fit one row; words are handled in blocks.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +34,8 @@ BLOCK = 32
 LETTER = np.zeros(256, dtype=bool)
 LETTER[65:91] = LETTER[97:123] = True
 LETTER[0x80:] = True  # bytes of other characters
-HAS_LETTER = re.compile(r"[^\W\d_]")
+HAS_LETTER = regex.compile(r"\p{L}")
+SLICE_BYTES = 1 << 20  # text handled at once in a task
 AFFIX = 4
 GRAMS = (2, 3, 4)
 SCHEMA = ("doc_id long, lang_pred string, score double, words long, switches long, "
@@ -207,18 +207,19 @@ def posteriors(e: np.ndarray, first: np.ndarray, transitions: np.ndarray) -> np.
     place = np.arange(first[-1]) - first[:-1][text]
     x = np.exp(e - e.max(1, keepdims=True)).astype(np.float32)
     a = np.exp(transitions - transitions.max()).astype(np.float32)
-    step = np.broadcast_to(np.eye(k, dtype=np.float32), (total, BLOCK, k, k)).copy()
+    # a word multiplies by the transitions, then by its own weights; a text's first word has
+    # no transition, the padding behind its last word is the identity
+    own, moves = np.ones((total, BLOCK, k), dtype=np.float32), np.zeros((total, BLOCK), dtype=bool)
     blk, pos = begin[text] + place // BLOCK, place % BLOCK
-    step[blk, pos] = a[None] * x[:, None, :]
-    starts = first[:-1][n_words > 0]
-    step[blk[starts], 0] = np.eye(k, dtype=np.float32)[None] * x[starts][:, None, :]
+    own[blk, pos], moves[blk, pos] = x, True
+    moves[begin[n_words > 0], 0] = False
 
     def scaled(v, axes):
         return v / v.sum(axes, keepdims=True)
 
-    through = step[:, 0]
-    for t in range(1, BLOCK):
-        through = scaled((through[:, :, :, None] * step[:, t, None, :, :]).sum(2), (1, 2))
+    through = np.broadcast_to(np.eye(k, dtype=np.float32), (total, k, k))
+    for t in range(BLOCK):
+        through = scaled(np.where(moves[:, t, None, None], through @ a, through) * own[:, t, None, :], (1, 2))
     # vectors at the block borders, all texts at once, block after block
     into, out = np.full((total, k), 1 / k, dtype=np.float32), np.ones((total, k), dtype=np.float32)
     by_size = np.argsort(-blocks, kind="stable")
@@ -233,12 +234,13 @@ def posteriors(e: np.ndarray, first: np.ndarray, transitions: np.ndarray) -> np.
     alpha = np.empty((total, BLOCK, k), dtype=np.float32)
     v = into
     for t in range(BLOCK):
-        v = scaled((v[:, :, None] * step[:, t]).sum(1), 1)
+        v = scaled(np.where(moves[:, t, None], v @ a, v) * own[:, t], 1)
         alpha[:, t] = v
     v = out
     for t in range(BLOCK - 1, -1, -1):
         alpha[:, t] *= v
-        v = scaled((step[:, t] * v[:, None, :]).sum(2), 1)
+        v = own[:, t] * v
+        v = scaled(np.where(moves[:, t, None], v @ a.T, v), 1)
     p = alpha[blk, pos]
     return p / p.sum(1, keepdims=True)
 
@@ -323,7 +325,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
         m = shared.value
         for batch in batches:
-            for a, b in T.batches(batch.column(1)):
+            for a, b in T.batches(batch.column(1), SLICE_BYTES):
                 ids, texts = batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a)
                 count = b - a
                 letters = np.array([t is not None and HAS_LETTER.search(t) is not None for t in texts.to_pylist()])
@@ -368,7 +370,7 @@ def keep_identified(docs: DataFrame, min_confidence: float = 0.5, **options) ->
 
         m, out = model.value, np.zeros(len(text))
         col = pa.array(text, pa.string(), from_pandas=True)
-        for a, b in T.batches(col):
+        for a, b in T.batches(col, SLICE_BYTES):
             part = col.slice(a, b - a)
             if m.labels:
                 *_, amount, sure = label_batch(m, part)

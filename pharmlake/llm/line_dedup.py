@@ -39,16 +39,16 @@ from .tables import stored
 COUNT_BITS = 20
 REF_BITS = 22  # bitmap of lines whose sets are wanted
 STAR_WORDS = 3
-LINE_BITS = 40  # a line key: 20 bits of the text's hash, then the line number
 NO_DOC = -(1 << 63)
 U = np.uint64
-LINES = "doc long, line long, cid long, n int, sig long, sig_1 long, prefix array<int>"
+KEY = ("doc", "tid", "line")  # document, 64-bit hash of its text, line number
+LINES = "doc long, tid long, line long, cid long, n int, sig long, sig_1 long, prefix array<int>"
 
 
 def _clean(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC)).alias("doc"),
-                       F.shiftrightunsigned(F.xxhash64(text), 44).alias("salt"), text.alias("text"))
+                       F.xxhash64(text).alias("tid"), text.alias("text"))
 
 
 def line_words(column):
@@ -96,26 +96,27 @@ def line_sets(column, classes: np.ndarray, min_words: int):
 
 
 def sets_of(batch, classes, min_words):
-    """Per slice of a batch with columns doc, salt, text: (doc, line key, n, first, tokens)."""
-    docs, salts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+    """Per slice of a batch with columns doc, tid, text: (doc, tid, line, n, first, tokens)."""
+    docs, tids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
     col = batch.column(2)
     for a, e in T.batches(col):
         row, number, n, first, tokens = line_sets(col.slice(a, e - a), classes, min_words)
-        yield docs[a + row], (salts[a + row] << LINE_BITS) | number, n, first, tokens
+        yield docs[a + row], tids[a + row], number, n, first, tokens
 
 
-def ref_bit(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+def ref_bit(doc: np.ndarray, tid: np.ndarray, line: np.ndarray) -> np.ndarray:
     m = 1 << REF_BITS
-    return (np.mod(doc, m) * 31 + np.mod(line, m) * 7919) % m
+    return (np.mod(doc, m) * 31 + np.mod(tid, m) * 131 + np.mod(line, m) * 7919) % m
 
 
-def ref_bit_column(doc: str, line: str):
-    m = 1 << REF_BITS
-    return ((F.pmod(F.col(doc), F.lit(m)) * 31 + F.pmod(F.col(line), F.lit(m)) * 7919) % m).cast("int")
+def ref_bit_column():
+    m = F.lit(1 << REF_BITS)
+    doc, tid, line = (F.pmod(F.col(c), m) for c in KEY)
+    return ((doc * 31 + tid * 131 + line * 7919) % m).cast("int")
 
 
-def ref_bits(rows: DataFrame, doc: str, line: str) -> np.ndarray:
-    return bit_table(rows.select(ref_bit_column(doc, line).alias("b")), REF_BITS)
+def ref_bits(rows: DataFrame) -> np.ndarray:
+    return bit_table(rows.select(ref_bit_column().alias("b")), REF_BITS)
 
 
 def lines_table(docs: DataFrame, classes, percent: int, min_words: int) -> DataFrame:
@@ -125,7 +126,7 @@ def lines_table(docs: DataFrame, classes, percent: int, min_words: int) -> DataF
         import pyarrow as pa
 
         for batch in batches:
-            for doc, line, n, first, tokens in sets_of(batch, classes.value, min_words):
+            for doc, tid, line, n, first, tokens in sets_of(batch, classes.value, min_words):
                 if not len(n):
                     continue
                 with np.errstate(over="ignore"):
@@ -138,48 +139,49 @@ def lines_table(docs: DataFrame, classes, percent: int, min_words: int) -> DataF
                 short = (T.mix(tokens[place < np.repeat(length, n)], 5) >> U(32)).astype(np.uint32).view(np.int32)
                 ends = np.concatenate(([0], np.cumsum(length))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc), pa.array(line), pa.array(cid.view(np.int64)), pa.array(n.astype(np.int32)),
+                    [pa.array(doc), pa.array(tid), pa.array(line), pa.array(cid.view(np.int64)), pa.array(n.astype(np.int32)),
                      *[pa.array(x.view(np.int64)) for x in sigs], pa.ListArray.from_arrays(pa.array(ends), pa.array(short))],
-                    names=["doc", "line", "cid", "n", "sig", "sig_1", "prefix"])
+                    names=["doc", "tid", "line", "cid", "n", "sig", "sig_1", "prefix"])
 
     return docs.mapInArrow(run, LINES)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes, percent: int, min_words: int) -> DataFrame:
-    """The later lines (doc, line) of the pairs whose sets match. pairs: doc_a, line_a
-    (earlier), doc_b, line_b. Sets are made anew from the texts that hold a wanted line;
+    """The later lines (doc, tid, line) of the pairs whose sets match. pairs: doc_a, tid_a,
+    line_a (earlier), doc_b, tid_b, line_b. Sets are made anew from the texts that hold a wanted line;
     a bit table of their rows (at most 2**14 rows of 64 bits, so it may be broadcast)
     keeps the others away from Python."""
-    wanted = stored(pairs.select(F.col("doc_a").alias("doc"), F.col("line_a").alias("line")).union(
-        pairs.select("doc_b", "line_b")).distinct(), "wanted")
-    lines = docs.sparkSession.sparkContext.broadcast(ref_bits(wanted, "doc", "line"))
-    bit = in_bitmap_bucket("doc")
+    def end(s):
+        return [F.col(f"{k}_{s}").alias(k) for k in KEY]
+
+    wanted = stored(pairs.select(*end("a")).union(pairs.select(*end("b"))).distinct(), "wanted")
+    lines = docs.sparkSession.sparkContext.broadcast(ref_bits(wanted))
+    bit = in_bitmap_bucket("tid")
     rows = (wanted.select(bit.alias("b")).groupBy(F.shiftright("b", 6).alias("i"))
             .agg(F.bit_or(F.expr("shiftleft(1L, b % 64)")).alias("w")))
     texts = (docs.withColumn("b", bit).join(F.broadcast(rows), F.shiftright("b", 6) == F.col("i"))
-             .where("shiftrightunsigned(w, b % 64) & 1 = 1").select("doc", "salt", "text"))
+             .where("shiftrightunsigned(w, b % 64) & 1 = 1").select("doc", "tid", "text"))
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for doc, line, n, first, tokens in sets_of(batch, classes.value, min_words):
-                hit = lines.value[ref_bit(doc, line)]
+            for doc, tid, line, n, first, tokens in sets_of(batch, classes.value, min_words):
+                hit = lines.value[ref_bit(doc, tid, line)]
                 if hit.any():
                     ends = np.concatenate(([0], np.cumsum(n[hit]))).astype(np.int32)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(doc[hit]), pa.array(line[hit]),
+                        [pa.array(doc[hit]), pa.array(tid[hit]), pa.array(line[hit]),
                          pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens[np.repeat(hit, n)].view(np.int64)))],
-                        names=["doc", "line", "items"])
+                        names=["doc", "tid", "line", "items"])
 
-    sets = texts.mapInArrow(run, "doc long, line long, items array<long>")
-    sets = stored(sets.join(wanted, ["doc", "line"], "left_semi").dropDuplicates(["doc", "line"]), "sets")
-    a = sets.select(F.col("doc").alias("doc_a"), F.col("line").alias("line_a"), F.col("items").alias("a"))
-    b = sets.select(F.col("doc").alias("doc_b"), F.col("line").alias("line_b"), F.col("items").alias("b"))
+    sets = texts.mapInArrow(run, "doc long, tid long, line long, items array<long>")
+    sets = stored(sets.join(wanted, list(KEY), "left_semi").dropDuplicates(list(KEY)), "sets")
+    a, b = (sets.select(*[F.col(k).alias(f"{k}_{s}") for k in KEY], F.col("items").alias(s)) for s in ("a", "b"))
     both = F.size(F.array_intersect("a", "b"))
-    return (pairs.join(a, ["doc_a", "line_a"]).join(b, ["doc_b", "line_b"])
+    return (pairs.join(a, [f"{k}_a" for k in KEY]).join(b, [f"{k}_b" for k in KEY])
             .where(100 * both >= percent * (F.size("a") + F.size("b") - both))
-            .select(F.col("doc_b").alias("doc"), F.col("line_b").alias("line")).distinct())
+            .select(*end("b")).distinct())
 
 
 def near(a: str, b: str, percent: int):
@@ -194,32 +196,32 @@ def near(a: str, b: str, percent: int):
 
 
 def before(a: str, b: str):
-    return (F.col(f"doc_{a}") < F.col(f"doc_{b}")) | (
-        (F.col(f"doc_{a}") == F.col(f"doc_{b}")) & (F.col(f"line_{a}") < F.col(f"line_{b}")))
+    (doc_a, tid_a, line_a), (doc_b, tid_b, line_b) = ([F.col(f"{k}_{s}") for k in KEY] for s in (a, b))
+    return (doc_a < doc_b) | ((doc_a == doc_b) & ((tid_a < tid_b) | ((tid_a == tid_b) & (line_a < line_b))))
 
 
-def removed_lines(docs: DataFrame, percent: int = 80, min_words: int = 5) -> DataFrame:
-    """(doc, line): every removed line. docs: doc, salt, text."""
+def removed_lines(docs: DataFrame, percent: int = 80, min_words: int = 1) -> DataFrame:
+    """(doc, tid, line): every removed line. docs: doc, tid, text."""
     spark = docs.sparkSession
     classes = spark.sparkContext.broadcast(word_classes(docs))
     lines = stored(lines_table(docs, classes, percent, min_words), "lines")
-    c = lines.groupBy("cid").agg(F.min(F.struct("doc", "line", "n", "sig", "sig_1", "prefix")).alias("f"), F.count("*").alias("copies"))
+    c = lines.groupBy("cid").agg(F.min(F.struct(*KEY, "n", "sig", "sig_1", "prefix")).alias("f"), F.count("*").alias("copies"))
     firsts = stored(c.select("cid", "copies", "f.*"), "classes")
     # a set matches another one only if it may match itself and one word more
     c = firsts.where(100 * F.col("n") >= percent * (F.col("n") + 1))
 
     # star round
-    star = c.select("doc", "line", "n", "sig", "sig_1", F.posexplode(F.slice("prefix", 1, STAR_WORDS)).alias("pos", "token"))
-    hub = F.min(F.struct("doc", "line", "n", "sig", "sig_1", "pos")).over(W.partitionBy("token"))
+    star = c.select(*KEY, "n", "sig", "sig_1", F.posexplode(F.slice("prefix", 1, STAR_WORDS)).alias("pos", "token"))
+    hub = F.min(F.struct(*KEY, "n", "sig", "sig_1", "pos")).over(W.partitionBy("token"))
     star = star.withColumn("h", hub).select(
-        *[F.col(f"h.{x}").alias(f"{x}_a") for x in ("doc", "line", "n", "sig", "sig_1", "pos")],
-        *[F.col(x).alias(f"{x}_b") for x in ("doc", "line", "n", "sig", "sig_1", "pos")])
-    refs = ["doc_a", "line_a", "doc_b", "line_b"]
+        *[F.col(f"h.{x}").alias(f"{x}_a") for x in (*KEY, "n", "sig", "sig_1", "pos")],
+        *[F.col(x).alias(f"{x}_b") for x in (*KEY, "n", "sig", "sig_1", "pos")])
+    refs = [f"{k}_{s}" for s in "ab" for k in KEY]
     tested = stored(star.where(before("a", "b") & near("a", "b", percent)).select(*refs).distinct(), "pairs")
     matched = stored(verified(tested, docs, classes, percent, min_words), "matched")
 
     # join round: exact test of `matched` only for lines whose bit is set
-    bits = spark.sparkContext.broadcast(ref_bits(matched, "doc", "line"))
+    bits = spark.sparkContext.broadcast(ref_bits(matched))
 
     @F.pandas_udf("boolean")
     def perhaps(bit):
@@ -227,14 +229,14 @@ def removed_lines(docs: DataFrame, percent: int = 80, min_words: int = 5) -> Dat
 
         return pd.Series(bits.value[bit.to_numpy()])
 
-    marked = c.select("doc", "line", "n", "sig", "sig_1", "prefix").withColumn("bit", perhaps(ref_bit_column("doc", "line")))
+    marked = c.select(*KEY, "n", "sig", "sig_1", "prefix").withColumn("bit", perhaps(ref_bit_column()))
     sure = marked.where(~F.col("bit")).drop("bit").withColumn("open", F.lit(True))
-    asked = marked.where("bit").drop("bit").join(matched.withColumn("m", F.lit(True)), ["doc", "line"], "left")
+    asked = marked.where("bit").drop("bit").join(matched.withColumn("m", F.lit(True)), list(KEY), "left")
     flagged = sure.unionByName(asked.withColumn("open", F.col("m").isNull()).drop("m"))
-    postings = flagged.select("doc", "line", "n", "sig", "sig_1", "open", F.posexplode("prefix").alias("pos", "token"))
+    postings = flagged.select(*KEY, "n", "sig", "sig_1", "open", F.posexplode("prefix").alias("pos", "token"))
 
     def side(df, s):
-        return df.select("token", *[F.col(x).alias(f"{x}_{s}") for x in ("doc", "line", "n", "sig", "sig_1", "open", "pos")])
+        return df.select("token", *[F.col(x).alias(f"{x}_{s}") for x in (*KEY, "n", "sig", "sig_1", "open", "pos")])
 
     # both sides are one exchange: what either prefix may hold depends on both sizes
     overlap = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent))
@@ -244,27 +246,27 @@ def removed_lines(docs: DataFrame, percent: int = 80, min_words: int = 5) -> Dat
     useful = F.when(before("a", "b"), F.col("open_b")).otherwise(F.col("open_a"))
     found = x.join(y, "token").where(smaller & prefixes & useful & near("a", "b", percent))
     first = before("a", "b")
-    found = found.select(*[F.when(first, F.col(f"{k}_a")).otherwise(F.col(f"{k}_b")).alias(f"{k}_a_") for k in ("doc", "line")],
-                         *[F.when(first, F.col(f"{k}_b")).otherwise(F.col(f"{k}_a")).alias(f"{k}_b_") for k in ("doc", "line")])
+    found = found.select(*[F.when(first, F.col(f"{k}_a")).otherwise(F.col(f"{k}_b")).alias(f"{k}_a_") for k in KEY],
+                         *[F.when(first, F.col(f"{k}_b")).otherwise(F.col(f"{k}_a")).alias(f"{k}_b_") for k in KEY])
     found = found.toDF(*refs).distinct().join(tested, refs, "left_anti")
     more = verified(stored(found, "pairs"), docs, classes, percent, min_words)
 
-    firsts = firsts.where("copies > 1").select("cid", F.col("doc").alias("first_doc"), F.col("line").alias("first_line"))
-    later = lines.select("cid", "doc", "line").join(firsts, "cid").where(
-        (F.col("doc") != F.col("first_doc")) | (F.col("line") != F.col("first_line"))).select("doc", "line")
+    firsts = firsts.where("copies > 1").select("cid", *[F.col(k).alias(f"first_{k}") for k in KEY])
+    other = (F.col("doc") != F.col("first_doc")) | (F.col("tid") != F.col("first_tid")) | (F.col("line") != F.col("first_line"))
+    later = lines.select("cid", *KEY).join(firsts, "cid").where(other).select(*KEY)
     return later.union(matched).union(more)
 
 
-def line_dedup(docs: DataFrame, percent: int = 80, min_words: int = 5) -> DataFrame:
+def line_dedup(docs: DataFrame, percent: int = 80, min_words: int = 1) -> DataFrame:
     """docs with their removed lines taken out of ``text``; ``removed_lines`` holds the
     numbers (from 0) of the removed lines of each row, ``n_lines`` their count before."""
     spark = docs.sparkSession
     gone = stored(removed_lines(_clean(docs), percent, min_words), "removed")
-    per_doc = stored(gone.groupBy("doc").agg(F.collect_set("line").alias("lines")), "removed")
-    bits = spark.sparkContext.broadcast(bitmap(per_doc, "doc"))
+    per_text = stored(gone.groupBy("doc", "tid").agg(F.collect_set("line").alias("lines")), "removed")
+    bits = spark.sparkContext.broadcast(bitmap(per_text, "tid"))
     row = F.struct(*[F.col(c) for c in docs.columns])
     rows = docs.select(row.alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC)).alias("doc"),
-                       F.shiftrightunsigned(F.xxhash64(F.col("text").cast("string")), 44).alias("salt"),
+                       F.xxhash64(F.col("text").cast("string")).alias("tid"),
                        F.col("text").cast("string").alias("text"))
 
     @F.pandas_udf("boolean")
@@ -273,13 +275,11 @@ def line_dedup(docs: DataFrame, percent: int = 80, min_words: int = 5) -> DataFr
 
         return pd.Series(bits.value[bit.to_numpy()])
 
-    rows = rows.withColumn("bit", perhaps(in_bitmap_bucket("doc")))
+    rows = rows.withColumn("bit", perhaps(in_bitmap_bucket("tid")))
     clean = rows.where(~F.col("bit")).withColumn("lines", F.lit(None).cast("array<long>"))
-    other = rows.where("bit").join(per_doc, "doc", "left").select(*clean.columns)
+    other = rows.where("bit").join(per_text, ["doc", "tid"], "left").select(*clean.columns)
     out = clean.unionByName(other)
-    mine = F.filter("lines", lambda x: F.shiftright(x, LINE_BITS) == F.col("salt"))
-    numbers = F.array_sort(F.transform(mine, lambda x: x.bitwiseAND(F.lit((1 << LINE_BITS) - 1))))
-    out = out.withColumn("removed", F.coalesce(numbers, F.array().cast("array<long>")))
+    out = out.withColumn("removed", F.coalesce(F.array_sort("lines"), F.array().cast("array<long>")))
 
     @F.pandas_udf("string")
     def without(text, removed):

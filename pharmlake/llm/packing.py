@@ -34,7 +34,7 @@ PLAIN = re.compile("[\t\n\r -~¡-įĲ-ňŊ-ž]*")
 _LETTER = "a-zªµºÀ-ÖØ-öø-ž"
 _NUMBER = "0-9²³¹¼-¾"
 PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\\s{_LETTER}{_NUMBER}]+")
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES, CACHE_CHARS = 100_000, 32  # of each cache: about 20 MB at most, dropped at task end
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -80,9 +80,10 @@ class Encoder:
             if got is None:
                 mapped = w if w.isascii() else w.encode().decode("latin-1").translate(self.byte_map)
                 got = np.array([t.id for t in self.model.tokenize(mapped)], dtype="<u4").tobytes()
-                if len(self.words) >= CACHE_ENTRIES:
-                    self.words.clear()
-                self.words[w] = got
+                if len(w) <= CACHE_CHARS:
+                    if len(self.words) >= CACHE_ENTRIES:
+                        self.words.clear()
+                    self.words[w] = got
             out.append(got)
         return b"".join(out)
 
@@ -104,7 +105,7 @@ class _Chunks(dict):
 
     def __missing__(self, chunk: str) -> bytes:
         got = self.encoder.chunk(chunk)
-        if len(chunk) <= 64:
+        if len(chunk) <= CACHE_CHARS:
             self[chunk] = got
         return got
 
@@ -230,6 +231,8 @@ def pack_documents(docs: DataFrame, window: int = 2048, max_piece: int = 512, gr
         close()
         if cols[0]:
             yield flush()
+        encoder.words.clear()
+        encoder.chunks.clear()
 
     clean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return clean.mapInArrow(run, SCHEMA)

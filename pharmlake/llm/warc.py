@@ -12,9 +12,10 @@ records only, the record ids are spread evenly) and ordered by segment number in
 length is verified, and the chunked framing is decoded. A reassembled record must fit a task's
 memory; nothing else is held.
 
-Defined cases: null html is the empty payload; null url is an empty target; page_id must
-be unique (repeated rows give repeated records; of rows with equal page_id and payload one is the response of
-the others only if the ids differ); extra columns are ignored; an empty table gives no
+Defined cases: null html is the empty payload; null url is an empty target; every row has
+its own record id, so repeated rows and rows with one page_id come back as often as they
+went in; all rows that share the smallest page_id of a payload are responses; a null
+page_id stays null, revisits the smallest other one and is never referred to; extra columns are ignored; an empty table gives no
 rows; a record with missing or surplus segments has ``complete`` false."""
 
 from __future__ import annotations
@@ -34,8 +35,23 @@ BACK = "page_id long, payload_bytes long, payload_digest string, record_type str
 PARTS = "origin string, number int, total long, head string, body binary"
 
 
-def _id(page_id, number=1) -> bytes:
-    return b"<urn:page:%s:%d>" % (b"null" if page_id is None else b"%d" % page_id, number)
+def _name(page_id) -> bytes:
+    return b"null" if page_id is None else b"%d" % page_id
+
+
+def _id(page_id, run: bytes, number=1) -> bytes:
+    """A record's own id: page, the written row it comes from, segment."""
+    return b"<urn:page:%s:%s:%d>" % (_name(page_id), run, number)
+
+
+def _runs(kind: bytes):
+    """A different name for every row written: kind of row, task, running number."""
+    from pyspark import TaskContext
+
+    task, n = TaskContext.get().partitionId(), 0
+    while True:
+        yield b"%s%d-%d" % (kind, task, n)
+        n += 1
 
 
 def _record(fields: list[tuple[bytes, bytes]], block: bytes) -> bytes:
@@ -62,7 +78,7 @@ def dechunk(body: bytes) -> bytes:
         at = end + 4 + n
 
 
-def records(page_id, url: str, payload: bytes, refers_to, segment_bytes: int, chunk_bytes: int):
+def records(page_id, run: bytes, url: str, payload: bytes, segment_bytes: int, chunk_bytes: int):
     """The records (bytes) of one page."""
     url = url.replace("\r", "%0D").replace("\n", "%0A").encode()
     digest = b"sha256:" + hashlib.sha256(payload).hexdigest().encode()
@@ -70,7 +86,7 @@ def records(page_id, url: str, payload: bytes, refers_to, segment_bytes: int, ch
               (b"WARC-Payload-Digest", digest)]
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
     block = http + b"Transfer-Encoding: chunked\r\n\r\n" + chunked(payload, chunk_bytes)
-    first = [(b"WARC-Type", b"response"), (b"WARC-Record-ID", _id(page_id)), *common]
+    first = [(b"WARC-Type", b"response"), (b"WARC-Record-ID", _id(page_id, run)), (b"X-Page-ID", _name(page_id)), *common]
     if len(block) <= segment_bytes:
         yield _record(first, block)
         return
@@ -80,21 +96,21 @@ def records(page_id, url: str, payload: bytes, refers_to, segment_bytes: int, ch
         if a == cuts[-1]:
             own.append((b"WARC-Segment-Total-Length", b"%d" % len(block)))
         if number > 1:
-            own = [(b"WARC-Type", b"continuation"), (b"WARC-Record-ID", _id(page_id, number)),
-                   (b"WARC-Segment-Origin-ID", _id(page_id)), *common[:2], *own]
+            own = [(b"WARC-Type", b"continuation"), (b"WARC-Record-ID", _id(page_id, run, number)),
+                   (b"WARC-Segment-Origin-ID", _id(page_id, run)), *common[:2], *own]
         else:
             own = first + own
         yield _record(own, block[a:a + segment_bytes])
 
 
-def revisit(page_id, url: str, digest: str, length: int, refers_to) -> bytes:
+def revisit(page_id, run: bytes, url: str, digest: str, length: int, refers_to) -> bytes:
     url = url.replace("\r", "%0D").replace("\n", "%0A").encode()
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % length
-    return _record([(b"WARC-Type", b"revisit"), (b"WARC-Record-ID", _id(page_id)), (b"WARC-Target-URI", url),
+    return _record([(b"WARC-Type", b"revisit"), (b"WARC-Record-ID", _id(page_id, run)), (b"X-Page-ID", _name(page_id)), (b"WARC-Target-URI", url),
                     (b"WARC-Date", DATE.encode()), (b"Content-Type", b"application/http; msgtype=response"),
                     (b"WARC-Payload-Digest", b"sha256:" + digest.encode()),
                     (b"WARC-Profile", b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
-                    (b"WARC-Refers-To", _id(refers_to))], block)
+                    (b"X-Refers-To-Page", _name(refers_to))], block)
 
 
 def write(pages: DataFrame, path: str, revisit_bytes: int = 100, segment_bytes: int = 16 << 10,
@@ -110,21 +126,26 @@ def write(pages: DataFrame, path: str, revisit_bytes: int = 100, segment_bytes:
     again = stored(keys.join(firsts, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))), "revisits")
     again_bits = spark.sparkContext.broadcast(bitmap(again, "page_id"))
 
-    def respond(batches):
+    def respond(kind):
+        return lambda batches: _responses(batches, kind)
+
+    def _responses(batches, kind):
         import pyarrow as pa
 
+        runs = _runs(kind)
         for batch in batches:
             out = []
-            for i, u, h in zip(*(c.to_pylist() for c in batch.columns)):
-                out += records(i, u, h.encode(), None, segment_bytes, chunk_bytes)
+            for i, u, h in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html"))):
+                out += records(i, next(runs), u, h.encode(), segment_bytes, chunk_bytes)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
     def point(batches):
         import pyarrow as pa
 
+        runs = _runs(b"v")
         for batch in batches:
             rows = zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "digest", "length", "refers_to")))
-            yield pa.RecordBatch.from_arrays([pa.array([revisit(*r) for r in rows], pa.binary())], names=["value"])
+            yield pa.RecordBatch.from_arrays([pa.array([revisit(r[0], next(runs), *r[1:]) for r in rows], pa.binary())], names=["value"])
 
     # pages whose bit is clear are no revisits: they need no shuffle. The bitmap only
     # saves shuffling; the exact test for the others is the anti-join
@@ -137,9 +158,10 @@ def write(pages: DataFrame, path: str, revisit_bytes: int = 100, segment_bytes:
     marked = clean.withColumn("perhaps", perhaps(in_bitmap_bucket("page_id")))
     sure = marked.where(~F.col("perhaps")).drop("perhaps")
     rest = marked.where("perhaps").drop("perhaps")
-    gone = again.select(F.col("page_id").alias("gone"))
-    rest = rest.join(gone, F.col("page_id").eqNullSafe(F.col("gone")), "left_anti")
-    out = (sure.mapInArrow(respond, "value binary").union(rest.mapInArrow(respond, "value binary"))
+    gone = again.select(F.col("page_id").alias("gone"), F.col("digest").alias("payload"))
+    same = F.col("page_id").eqNullSafe(F.col("gone")) & (F.col("digest") == F.col("payload"))
+    rest = rest.withColumn("digest", F.sha2("html", 256)).join(gone, same, "left_anti").drop("digest")
+    out = (sure.mapInArrow(respond(b"s"), "value binary").union(rest.mapInArrow(respond(b"r"), "value binary"))
            .union(again.select("page_id", "url", "digest", "length", "refers_to").mapInArrow(point, "value binary")))
     (out.select(F.col("value").cast("string")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip")
      .option("maxRecordsPerFile", records_per_file).text(path))
@@ -173,16 +195,16 @@ def _row(fields: dict, block: bytes, complete: bool):
     """A BACK row from a whole record."""
     head, _, body = block.partition(b"\r\n\r\n")
     http = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])}
-    name = lambda s: None if (v := s.split(":")[2]) == "null" else int(v)
+    name = lambda k: None if (v := fields[k]) == "null" else int(v)
     said = fields.get("warc-payload-digest", "").removeprefix("sha256:")
     if fields["warc-type"] == "revisit":
-        return (name(fields["warc-record-id"]), int(http["content-length"]), said, "revisit", name(fields["warc-refers-to"]), complete)
+        return (name("x-page-id"), int(http["content-length"]), said, "revisit", name("x-refers-to-page"), complete)
     try:
         payload = dechunk(body) if http.get("transfer-encoding") == "chunked" else body
     except ValueError:
         payload, complete = b"", False
     digest = hashlib.sha256(payload).hexdigest()
-    return name(fields["warc-record-id"]), len(payload), digest, "response", None, complete and digest == said
+    return name("x-page-id"), len(payload), digest, "response", None, complete and digest == said
 
 
 def _batch(rows, schema):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pharmlake.llm import (chat_format, fingerprints, language_id, line_dedup, mixing, ngram_join, packing, sharding,
                            vector_search, warc)
+from pharmlake.llm.queries import QUERIES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, cid long, r int, prefix string"
 LONG = " ".join(f"w{i}" for i in range(30_000))
@@ -51,7 +52,7 @@ def test_line_dedup(docs, none):
     for r in sorted(rows, key=lambda r: -1 if r.doc_id is None else r.doc_id):
         for k, line in enumerate(r.text.split("\n")):
             s = set(words(line))
-            if len(s) >= 5:
+            if s:
                 seen.append((r.doc_id, k, s))
     # repeated rows are treated alike: a line is removed when an earlier (doc_id, line) matches
     order = lambda d: -1 if d is None else d
@@ -65,6 +66,14 @@ def test_line_dedup(docs, none):
     assert line_dedup.line_dedup(none).count() == 0
 
 
+def test_line_dedup_without_doc_ids_loses_no_line(spark):
+    rows = [(None, f"only line {i} of number {i * 7919 % 6007} {'x' * (i % 17)}y{i}\nshared footer of every page", 1) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, removed_lines int").repartition(4)
+    got = line_dedup.line_dedup(docs.drop("removed_lines")).collect()
+    assert len(got) == 6000 and sum("shared footer" in r.text for r in got) == 1
+    assert {r.text.split("\n")[0] for r in got} == {t.split("\n")[0] for _, t, _ in rows}
+
+
 def test_ngram_join(docs, none):
     rows = docs.collect()
     sets = []
@@ -182,6 +191,33 @@ def test_warc_segments(spark, none):
     assert warc.archive(pages.limit(0)).count() == 0
 
 
+def test_warc_repeated_and_null_page_ids(spark):
+    a, b, c = "a" * 3000, "b" * 3000, "c" * 200
+    rows = [(1, "u", a), (1, "u", a), (1, "v", b), (None, "u", a), (None, "u", c), (None, "u", c), (None, "u", b * 2), (2, "u", a),
+            (2, "u", b), (2, "u", "short"), (2, "u", "short"), (None, None, None)]
+    first = {}
+    for i, _, h in rows:
+        if i is not None:
+            first[h] = min(i, first.get(h, i))
+    want = []
+    for i, _, h in rows:
+        raw = (h or "").encode()
+        to = first.get(h) if len(raw) >= 100 and i != first.get(h) else None
+        want.append((i, len(raw), hashlib.sha256(raw).hexdigest(), "response" if to is None else "revisit", to, True))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = warc.archive(pages, segment_bytes=1000, chunk_bytes=333).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+def test_warc_missing_and_surplus_segments(spark, tmp_dir):
+    made = [list(warc.records(i, b"s0-%d" % i, "u", b"x" * 5000, 1000, 300)) for i in range(3)]
+    made[1].pop(2)
+    made[2].append(made[2][2].replace(b"Segment-Number: 3", b"Segment-Number: 99"))
+    with open(f"{tmp_dir}/a.warc", "wb") as f:
+        f.write(b"\r\n\r\n".join(x for m in made for x in m) + b"\r\n\r\n")
+    assert {r.page_id: r.complete for r in warc.read_back(spark, tmp_dir).collect()} == {0: True, 1: False, 2: False}
+
+
 def test_fingerprints(docs, none):
     import xxhash
 
@@ -203,12 +239,29 @@ def test_fingerprints(docs, none):
         half = len(t) // 2
         edited = t[:len(t) - half] + nxt[:half]
         want.append((str(d), len(t), hashlib.sha256(edited.encode()).hexdigest(), prints(t), prints(edited)))
+    types = dict(QUERIES["op6_scaled_fingerprint"](docs.sparkSession, "/root/testdata/sf0.001").dtypes)
+    assert {types[c] for c in ("fingerprint", "edited_fingerprint", "edited_sha256")} == {"string"}
     got = fingerprints.fingerprints(docs, range_bytes=100_000).collect()
     assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256, list(r.fingerprint), list(r.edited_fingerprint)) for r in got) == sorted(want)
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
     assert fingerprints.fingerprints(none).count() == 0
 
 
+def test_containment_of_texts_without_a_kept_hash_is_unknown(spark):
+    low, high = -(1 << 63) + 5, 1 << 62
+    rows = [([low], [low, low + 1]), ([high], [low]), ([high], [high]), ([], [low]), ([high], []), ([low], [])]
+    out = spark.createDataFrame(rows, "a array<long>, b array<long>").select(fingerprints.containment(F.col("a"), F.col("b")).alias("c"))
+    assert [r.c for r in out.collect()] == [1.0, None, 1.0, 1.0, None, 0.0]
+
+
+def test_language_needs_a_letter(spark):
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(["²", "½ ²", "12 _", "\u0300", "²a", "文"])], "doc_id long, text string, lang string")
+    train = spark.createDataFrame([(i, ("the cat and the dog " if i % 2 else "der hund und die katze ") * 8, "en" if i % 2 else "de") for i in range(40)],
+                                  docs.schema)
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(docs, language_id.fit(train)).collect()}
+    assert [got[i] == "und" for i in range(6)] == [True, True, True, True, False, False]
+
+
 def test_vector_search(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(300, 8)).astype(np.float32)
