@@ -23,4 +23,4 @@ def register(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from . import history, hooks, instruct, metrics, molecules, splits, texts  # noqa: F401
+    from . import history, hooks, instruct, metrics, molecules, nested, splits, texts  # noqa: F401

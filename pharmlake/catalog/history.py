@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import fixed_values as V
 from ..functions.text import run_name
 from ..operators import history as H
 from ..oracle_bindings import with_bindings as W
 from ..sources import bindings as B
 from . import register
+from .texts import sql_text
 
 
 @register("rank_within_status", W("compounds") + """
@@ -82,7 +84,7 @@ l AS (select conv_id, turn, message, reply,
 
 
 def _blk(role, x):
-    return f"'<|im_start|>{role}\n' || {x} || '\n<|im_end|>\n'"
+    return f"{sql_text(f'{V.IM_START}{role}' + chr(10))} || {x} || {sql_text(chr(10) + V.IM_END + chr(10))}"
 
 
 @register("last_turns", TURNS_SQL + """
@@ -101,6 +103,6 @@ select conv_id, turn, (t3 is not null)::int + (t2 is not null)::int + (t1 is not
   case when t3 is not null then {_blk('user', 'u3')} || {_blk('assistant', 'a3')} else '' end ||
   case when t2 is not null then {_blk('user', 'u2')} || {_blk('assistant', 'a2')} else '' end ||
   case when t1 is not null then {_blk('user', 'u1')} || {_blk('assistant', 'a1')} else '' end ||
-  {_blk('user', 'message')} || '<|im_start|>assistant\n' as prompt from l""")
+  {_blk('user', 'message')} || {sql_text(V.IM_START + 'assistant' + chr(10))} as prompt from l""")
 def chat_context(spark, d):
     return H.chat_context(B.chats(spark, d))

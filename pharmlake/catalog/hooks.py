@@ -1,9 +1,8 @@
-"""Queries with user functions: toolkit hooks, batch scorer, responder (rows-only:
-the functions are the user's), and the Spark ML baseline (iterative, rows-only)."""
+"""Queries with user functions: toolkit hooks, batch scorer, responder (with stand-in
+functions that SQL can express too), and the Spark ML baseline (iterative, rows-only)."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import hooks as X
@@ -11,7 +10,9 @@ from ..operators.baseline import predict, train_baseline
 from ..plans.evaluation import evaluate_predictions, response_table, score_logits
 from ..plans.prepare import prepare_molecules, unified_from_compounds
 from ..sources import bindings as B
+from ..oracle_bindings import with_bindings as W
 from . import register
+from .molecules import LABEL_SQL, SRC_RANK_SQL, _t1_sql
 
 
 # Stand-ins for a chemistry toolkit: a parse check (balanced brackets and rings
@@ -39,14 +40,32 @@ def spellings(s: str, n: int) -> list[str]:
     return out[: n + 1]
 
 
-@register("toolkit_columns")
+BALANCED_SQL = """coalesce(length(replace({c}, '(', '')) = length(replace({c}, ')', ''))
+  and length(replace({c}, '[', '')) = length(replace({c}, ']', ''))
+  and list_min(list_transform(range(1, length({c}) + 1), lambda i: length(replace({c}[1:i], ')', '')) - length(replace({c}[1:i], '(', '')))) >= 0, false)"""
+
+
+@register("toolkit_columns", W("compounds") + f"""
+select row_id, {BALANCED_SQL.format(c='smiles')} as is_valid, trim(smiles) as canonical,
+  cast(case when contains(smiles, '(') then 3 else 2 end as int) as n_variants from compounds where smiles is not null""")
 def toolkit_columns(spark, d):
     c = B.compounds(spark, d).where(F.col("smiles").isNotNull()).select("row_id", "smiles")
     return X.with_toolkit(c, "smiles", valid=balanced, canon=canonical, variants=spellings, n=2) \
         .select("row_id", "is_valid", "canonical", F.size("variants").alias("n_variants"))
 
 
-@register("prepare_with_toolkit")
+@register("prepare_with_toolkit", W("compounds") + f"""
+, u AS (select trim(smiles) as smiles, name, status, source, {LABEL_SQL} as label, row_id from compounds
+  where smiles is not null and smiles <> '' and length(smiles) between 1 and 10000 and {BALANCED_SQL.format(c='smiles')}),
+dd AS (select smiles, name, status, source, label from (select *, row_number() over (partition by smiles order by {SRC_RANK_SQL}, row_id) rn0 from u) where rn0 = 1),
+n AS (select count(*) filter (where label = 1) as pos, count(*) filter (where label = 0) as neg from dd),
+gate AS (select case when pos < neg then 1 else 0 end as minority from n
+  where least(pos, neg) > 0 and greatest(pos, neg)::double / least(pos, neg) > 2),
+spelled AS (select dd.*, list_filter(list_distinct([smiles, case when contains(smiles, '(') then replace(smiles, '(=O)', '(O=)') end, reverse(smiles)]),
+  lambda x: x is not null and x <> smiles) as alt from dd join gate on label = minority),
+extra AS (select unnest(alt) as smiles, name, status, source || '_aug' as source, label from spelled),
+al AS (select * from dd union all select * from extra)
+""" + _t1_sql("al", "smiles", "label", 4, 5) + "select smiles, name, status, source, label, split from split_rows")
 def prepare_with_toolkit(spark, d):
     u = unified_from_compounds(B.compounds(spark, d))
     return prepare_molecules(u, validator=balanced, canon=canonical, variants=spellings, n_variants=2)
@@ -61,14 +80,20 @@ scored AS (select id, label, case when p1 > p0 then 1 else 0 end as pred, p1 as
 
 
 def _scores_raw(spark, d):
-    """X2 + M23: a user scorer called on batches of 16 rows; logits from text length."""
+    """X2 + M23: a user scorer, loaded once a worker, on batches of 16 rows; logits from
+    text length."""
+
+    def load():
+        import numpy as np
+
+        def scorer(n_chars):
+            x = n_chars.astype(float) / 1000.0
+            return np.stack([-x, x], axis=1)
 
-    def scorer(pdf: pd.DataFrame) -> list[list[float]]:
-        n = pdf["n_chars"].astype(float) / 1000.0
-        return [[-x, x] for x in n]
+        return scorer
 
     docs = B.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "n_chars")
-    s = X.score_batches(docs, scorer, "id", 16, ("n_chars",))
+    s = X.score_batches(docs, load, "id", 16, ("n_chars",))
     labels = B.table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
     return score_logits(s.join(labels, "id")).select("id", "label", "pred", "pos_prob")
 

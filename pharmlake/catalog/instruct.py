@@ -13,7 +13,7 @@ from ..sources import bindings as B
 from . import register
 from . import report_sql as RS
 from .molecules import PAIRS_SQL, SRC_RANK_SQL, pairs
-from .texts import _sql_pick
+from .texts import DONE_SQL, TURN_SQL, USER_SQL, _sql_pick
 
 ORD = f"(({SRC_RANK_SQL}) * 1099511627776 + row_id)"
 ALL_SQL = W("compounds", "failures") + f"""
@@ -78,17 +78,12 @@ def instruction_splits(spark, d):
 
 
 # ---- report texts: rows-only checks (text prints rule columns tested above) ---
-@register("instruction_texts", ALL_SQL + """
+@register("instruction_texts", ALL_SQL + f"""
 , r AS (select sample_id, instruction, output, row_number() over (order by md5('42:' || sample_id), sample_id) as position,
   count(*) over () as n from samples)
 select sample_id, case when position <= floor(0.85 * n::double) then 'train'
   when position <= floor(0.95 * n::double) then 'val' else 'test' end as split,
-  '<|im_start|>user
-' || instruction || '
-<|im_end|>
-<|im_start|>assistant
-' || output || '
-<|im_end|>' as text
+  {USER_SQL} || instruction || {TURN_SQL} || output || {DONE_SQL} as text
 from r""")
 def instruction_texts(spark, d):
     return samples(spark, d, with_output=True).select("sample_id", "split", "text")

@@ -15,6 +15,14 @@ from ..plans.evaluation import response_table
 from ..sources import bindings as B
 from . import register
 
+def sql_text(x: str) -> str:
+    """A SQL string literal."""
+    return "'" + x.replace("'", "''") + "'"
+
+
+USER_SQL = sql_text(f"{V.IM_START}user\n")
+TURN_SQL = sql_text(f"\n{V.IM_END}\n{V.IM_START}assistant\n")
+DONE_SQL = sql_text(f"\n{V.IM_END}")
 MD5 = "cast(cast(('0x' || substr(md5('42:' || {k}), 1, 8)) as bigint) % {n} as int)"
 
 
@@ -25,7 +33,7 @@ def _sql_fill(template: str, **fields: str) -> str:
     parts = []
     for lit, name, _s, _c in string.Formatter().parse(template):
         if lit:
-            parts.append("'" + lit.replace("'", "''") + "'")
+            parts.append(sql_text(lit))
         if name is not None:
             parts.append(f"coalesce(cast({fields[name]} as varchar), 'nan')")
     return "(" + " || ".join(parts) + ")"
@@ -60,26 +68,21 @@ def text_cases(spark, d):
                     F.lower("text").alias("lower_text"), T.shorten("text", 100).alias("short_text"))
 
 
-@register("chatml_pairs", """
+@register("chatml_pairs", f"""
 WITH t AS (select conv_id, turn, role, text, lead(role) over (partition by conv_id order by turn) as nr,
   lead(text) over (partition by conv_id order by turn) as nt from conversations)
-select conv_id, turn, '<|im_start|>user\n' || text || case when turn % 2 = 0 then ' ' || role else '' end ||
-  '\n<|im_end|>\n<|im_start|>assistant\n' || nt || '\n<|im_end|>' as text
+select conv_id, turn, {USER_SQL} || text || case when turn % 2 = 0 then ' ' || role else '' end || {TURN_SQL} || nt || {DONE_SQL} as text
 from t where role = 'user' and nr = 'assistant'""")
 def chatml_pairs(spark, d):
-    from pyspark.sql import Window
+    from ..operators.history import last_turns
 
-    c = B.chats(spark, d)
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    t = c.select("conv_id", "turn", "role", "text", F.lead("role").over(w).alias("nr"), F.lead("text").over(w).alias("nt"))
-    t = t.where((F.col("role") == "user") & (F.col("nr") == "assistant"))
-    inp = F.when(F.col("turn") % 2 == 0, F.col("role")).otherwise(F.lit(""))
-    return t.select("conv_id", "turn", T.chatml("text", inp, "nt").alias("text"))
+    t = last_turns(B.chats(spark, d), 1).where(F.col("reply").isNotNull())
+    inp = F.when(F.col("turn") % 2 == 0, F.lit("user")).otherwise(F.lit(""))
+    return t.select("conv_id", "turn", T.chatml("message", inp, "reply").alias("text"))
 
 
-@register("ensure_chat", """
-select conv_id, turn, case when contains(text, '<|im_start|>') then text
-  else '<|im_start|>user\n' || text || '\n<|im_end|>\n<|im_start|>assistant\n' end as prompt from conversations where role = 'user'""")
+@register("ensure_chat", f"""
+select conv_id, turn, case when contains(text, {sql_text(V.IM_START)}) then text else {USER_SQL} || text || {TURN_SQL} end as prompt from conversations where role = 'user'""")
 def ensure_chat(spark, d):
     c = B.chats(spark, d).where(F.col("role") == "user")
     return c.select("conv_id", "turn", T.ensure_chat("text").alias("prompt"))
@@ -90,22 +93,25 @@ def _strip_sql(x):
     return f"trim({x}, ' \t\n\r')"
 
 
+def _part_sql(prefix, x):
+    return f"case when {x} is not null and {x} <> '' then {sql_text(prefix)} || {x} else '' end"
+
+
 @register("request_prompts", W("compounds") + f"""
 , r AS (select row_id, smiles, name, status as problem, case when row_id % 2 = 0 then source end as reason,
   smiles as smiles2, compound_id as name2 from compounds)
 select row_id,
   coalesce(case when coalesce({_strip_sql('smiles')} = '', true) then '{V.ERROR_NO_SMILES}' end,
-    'Analyze this drug candidate and predict its approval likelihood:\nSMILES: ' || {_strip_sql('smiles')} ||
-    case when name is not null and name <> '' then '\nDrug Name: ' || name else '' end) as analysis,
+    {sql_text(V.PROMPT_ANALYSIS)} || {_strip_sql('smiles')} || {_part_sql(V.PROMPT_ANALYSIS_NAME, 'name')}) as analysis,
   coalesce(case when coalesce({_strip_sql('smiles')} = '', true) then '{V.ERROR_NO_SMILES}' end,
-    'This drug failed in clinical development. Explain why:\nDrug: ' || coalesce(name, '') || '\nSMILES: ' || {_strip_sql('smiles')} ||
-    case when reason is not null and reason <> '' then '\nKnown issue: ' || reason else '' end) as failure,
+    {sql_text(V.PROMPT_FAILURE)} || coalesce(name, '') || {sql_text(V.PROMPT_FAILURE_SMILES)} || {_strip_sql('smiles')} ||
+    {_part_sql(V.PROMPT_FAILURE_REASON, 'reason')}) as failure,
   coalesce(case when coalesce({_strip_sql('smiles')} = '', true) or coalesce({_strip_sql('smiles2')} = '', true) then '{V.ERROR_NO_PAIR}' end,
-    'Compare the safety profiles of these two drugs:\nDrug 1: ' || {_strip_sql('smiles')} || ' (' || coalesce(name, '') || ')' ||
-    '\nDrug 2: ' || {_strip_sql('smiles2')} || ' (' || coalesce(name2, '') || ')') as comparison,
+    {sql_text(V.PROMPT_COMPARISON)} || {_strip_sql('smiles')} || ' (' || coalesce(name, '') || ')' ||
+    {sql_text(V.PROMPT_COMPARISON_SECOND)} || {_strip_sql('smiles2')} || ' (' || coalesce(name2, '') || ')') as comparison,
   coalesce(case when coalesce({_strip_sql('smiles')} = '', true) or coalesce({_strip_sql('problem')} = '', true) then '{V.ERROR_NO_PROBLEM}' end,
-    'This drug failed due to ' || coalesce(problem, '') || '. Suggest structural modifications to improve safety:\n' ||
-    {_strip_sql('smiles')} || case when name is not null and name <> '' then '\nName: ' || name else '' end) as suggestion
+    {sql_text(V.PROMPT_SUGGESTION)} || coalesce(problem, '') || {sql_text(V.PROMPT_SUGGESTION_TAIL)} ||
+    {_strip_sql('smiles')} || {_part_sql(V.PROMPT_SUGGESTION_NAME, 'name')}) as suggestion
 from r""")
 def request_prompts(spark, d):
     c = B.compounds(spark, d)
@@ -115,8 +121,8 @@ def request_prompts(spark, d):
     return r.select("row_id", *[request(k).alias(k) for k in ("analysis", "failure", "comparison", "suggestion")])
 
 
-@register("chat_request_errors", """
-select conv_id, turn, case when coalesce(trim(text, ' \t\n\r') = '', true) then '⚠️ Please enter a message.' end as error
+@register("chat_request_errors", f"""
+select conv_id, turn, case when coalesce(trim(text, ' \t\n\r') = '', true) then {sql_text(V.ERROR_NO_MESSAGE)} end as error
 from conversations where role = 'user'""")
 def chat_request_errors(spark, d):
     c = B.chats(spark, d).where(F.col("role") == "user").withColumnRenamed("text", "message")

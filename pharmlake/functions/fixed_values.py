@@ -281,16 +281,9 @@ IMPROVEMENT_BODY = """
 """
 
 # Task types of the instruction set, with their selection caps.
-TASK_TYPES = ["drug_analysis", "failure_analysis", "improvement_suggestion", "property_analysis", "comparison"]
-IMPROVEMENT_CAP = 500
-PROPERTY_CAP = 1000
-COMPARISON_CAP = 200
 
 # Split cuts of the instruction set and of the classification set.
-INSTRUCT_CUTS = (0.85, 0.95)
-SPLIT_SEED = 42
 
 # Evaluation: minimum response length and the AUC interpretation cut.
-MIN_RESPONSE_LENGTH = 50
 GOOD_AUC = 0.7
 # --------------------------------------------------------------------------------

@@ -26,6 +26,11 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _num(name: str) -> Column:
+    """A numeric column whose NaN counts as missing (Spark orders NaN above every number)."""
+    return F.when(~F.isnan(F.col(name)), F.col(name))
+
+
 def flag(test: Column) -> Column:
     """A test as a non-null boolean (NULL -> False)."""
     return F.when(test, F.lit(True)).otherwise(F.lit(False))
@@ -54,18 +59,18 @@ def confidence(status: Column | str = "status", max_phase: Column | str = "max_p
 def property_flags() -> dict[str, Column]:
     """M2: six flags, True when the property is within its limit."""
     return {
-        "mw_ok": flag(F.col("molecular_weight") < 500),
-        "logp_ok": flag(F.col("alogp") < 5),
+        "mw_ok": flag(_num("molecular_weight") < 500),
+        "logp_ok": flag(_num("alogp") < 5),
         "hba_ok": flag(F.col("hba") <= 10),
         "hbd_ok": flag(F.col("hbd") <= 5),
-        "psa_ok": flag(F.col("psa") <= 140),
+        "psa_ok": flag(_num("psa") <= 140),
         "ro5_ok": flag(F.col("num_ro5_violations") == 0),
     }
 
 
 # ---- M3 drug-likeness tier ----------------------------------------------------
 def likeness_tier() -> Column:
-    v, mw, lp = F.col("num_ro5_violations"), F.col("molecular_weight"), F.col("alogp")
+    v, mw, lp = F.col("num_ro5_violations"), _num("molecular_weight"), _num("alogp")
     return (F.when((v == 0) & (mw < 500) & (lp < 5), "excellent")
             .when(v <= 1, "acceptable").otherwise("poor"))
 
@@ -122,19 +127,19 @@ def verdict(prefix1: str = "d1_", prefix2: str = "d2_") -> Column:
 
 # ---- M11-M14 ranges, ADMET, Lipinski, Veber ----------------------------------
 def range_flags() -> dict[str, Column]:
-    mw, lp = F.col("molecular_weight"), F.col("alogp")
+    mw, lp = _num("molecular_weight"), _num("alogp")
     return {
         "mw_in_range": flag((mw >= 150) & (mw <= 500)),
         "logp_in_range": flag((lp >= 0) & (lp <= 5)),
         "hba_in_range": flag(F.col("hba") <= 10),
         "hbd_in_range": flag(F.col("hbd") <= 5),
-        "psa_in_range": flag(F.col("psa") < 140),
+        "psa_in_range": flag(_num("psa") < 140),
         "rtb_in_range": flag(F.col("rtb") <= 10),
     }
 
 
 def admet_rules() -> dict[str, Column]:
-    mw, lp, psa = F.col("molecular_weight"), F.col("alogp"), F.col("psa")
+    mw, lp, psa = _num("molecular_weight"), _num("alogp"), _num("psa")
     return {
         "good_absorption": flag((psa < 140) & (lp < 5)),
         "cns_penetrant": flag((psa < 90) & (lp > 1) & (lp < 5)),
@@ -149,9 +154,9 @@ def admet_rules() -> dict[str, Column]:
 
 def lipinski() -> Column:
     """Inclusive limits (unlike M2)."""
-    return flag((F.col("molecular_weight") <= 500) & (F.col("alogp") <= 5)
+    return flag((_num("molecular_weight") <= 500) & (_num("alogp") <= 5)
                 & (F.col("hbd") <= 5) & (F.col("hba") <= 10))
 
 
 def veber() -> Column:
-    return flag((F.col("rtb") <= 10) & (F.col("psa") < 140))
+    return flag((F.col("rtb") <= 10) & (_num("psa") < 140))

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.fixed_values import IM_START
 from ..functions.text import assistant_block, user_block
 from .ranking import Ranges, ranked, top_n_per_group
 
@@ -156,7 +157,7 @@ def chat_context(turns: DataFrame, n: int = 3, **kw) -> DataFrame:
     lt = last_turns(turns, n, **{k: v for k, v in kw.items()})
     ctx = F.aggregate(F.col("history"), F.lit(""),
                       lambda acc, p: F.concat(acc, user_block(p["user"]), assistant_block(p["assistant"])))
-    prompt = F.concat(ctx, user_block("message"), F.lit("<|im_start|>assistant\n"))
+    prompt = F.concat(ctx, user_block("message"), F.lit(f"{IM_START}assistant\n"))
     return lt.select(kw.get("conv", "conv_id"), kw.get("turn", "turn"), F.size("history").alias("pairs"),
                      prompt.alias("prompt"))
 

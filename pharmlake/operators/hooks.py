@@ -1,4 +1,4 @@
-"""User-function hooks (X1-X3): Arrow-batched pandas UDFs and mapInPandas.
+"""User-function hooks (X1-X3): Arrow-batched pandas UDFs, predict_batch_udf and mapInPandas.
 
 The library ships no chemistry toolkit or model; a user passes plain Python
 functions and Spark runs them on Arrow batches inside the executors.
@@ -57,21 +57,24 @@ def with_toolkit(df: DataFrame, c: str = "smiles", valid: Callable | None = None
     return out
 
 
-def score_batches(df: DataFrame, fn: Callable[[pd.DataFrame], list], id_col: str = "id",
+def score_batches(df: DataFrame, load: Callable[[], Callable], id_col: str = "id",
                   batch: int = 16, input_cols: tuple[str, ...] = ()) -> DataFrame:
-    """Call a user scorer on batches of ``batch`` rows; it returns one logit list
-    per row. Output: id, logits array<double>."""
-    cols = [id_col, *input_cols]
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            for start in range(0, len(pdf), batch):
-                part = pdf.iloc[start:start + batch]
-                logits = fn(part)
-                yield pd.DataFrame({id_col: part[id_col].values, "logits": [list(map(float, x)) for x in logits]})
-
-    id_type = dict(df.dtypes)[id_col]
-    return df.select(*cols).mapInPandas(run, schema=f"{id_col} {id_type}, logits array<double>")
+    """Score rows with a user's model in batches of at most ``batch`` rows.
+
+    ``load`` is called once per Python worker and returns the scorer: a function of one
+    numpy array per input column that gives a two-dimensional array of logits, one row
+    each. Rows whose inputs hold a null are not scored (null logits). Output: id, logits
+    array<double>."""
+    from pyspark.ml.functions import predict_batch_udf
+    from pyspark.sql.types import ArrayType, DoubleType
+
+    score = predict_batch_udf(load, return_type=ArrayType(DoubleType()), batch_size=batch)
+    whole = F.lit(True)
+    for c in input_cols:
+        whole = whole & F.col(c).isNotNull()
+    rows = df.select(id_col, *input_cols)
+    scored = rows.where(whole).select(id_col, score(*[F.col(c) for c in input_cols]).alias("logits"))
+    return scored.unionByName(rows.where(~whole).select(id_col, F.lit(None).cast("array<double>").alias("logits")))
 
 
 def respond(df: DataFrame, fn: Callable[[str], str], prompt_col: str = "prompt",

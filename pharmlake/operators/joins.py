@@ -1,6 +1,4 @@
-"""Joins (J1-J5). Spark picks the strategy; broadcast is used only for sides whose
-size is bounded by construction (a literal lookup, n ranked rows, one metrics row per
-model and metric)."""
+"""Joins (J1-J5). Spark picks the strategy by measured sizes; no side is hinted."""
 
 from __future__ import annotations
 
@@ -26,9 +24,9 @@ def pair_by_rank(a: DataFrame, b: DataFrame, key: str, n: int | None = None, pre
 
 
 def lookup(df: DataFrame, table: DataFrame, key: str, value: str, default) -> DataFrame:
-    """Left join to a small lookup table + default for misses. ``table`` must be
-    a bounded dictionary (it is broadcast)."""
-    return (df.join(F.broadcast(table.select(key, F.col(value).alias("__v"))), key, "left")
+    """Left join to a lookup table + default for misses. Spark broadcasts the table
+    where its measured size is small, and joins by sorting where it is not."""
+    return (df.join(table.select(key, F.col(value).alias("__v")), key, "left")
             .withColumn(value, F.coalesce(F.col("__v"), F.lit(default))).drop("__v"))
 
 
@@ -54,7 +52,7 @@ def align(labels: DataFrame, preds: DataFrame, id_col: str = "id") -> DataFrame:
 
 def against_baseline(long: DataFrame, baseline: str, id_col: str = "model") -> DataFrame:
     """Every model's metric next to the baseline's (one row per metric on the
-    baseline side, broadcast)."""
+    baseline side; Spark chooses the join by its size)."""
     base = long.where(F.col(id_col) == baseline).select("metric", F.col("value").alias("baseline_value"))
-    j = long.join(F.broadcast(base), "metric")
+    j = long.join(base, "metric")
     return j.withColumn("delta", F.col("value") - F.col("baseline_value"))

@@ -1,10 +1,17 @@
-"""Nested source records to flat rows (S5-S13, S15-S17): struct field access,
-``explode`` of arrays, ``try_cast`` of numbers given as text."""
+"""Nested source records to flat rows.
+
+Records arrive as JSON whose fields come and go and change type between exports (a number
+as text, an object where a list was). They are read as VARIANT and every declared leaf is
+taken from it on its own (``records``, ``read_records``), so a field that does not fit its
+declared type is null and costs neither the record nor its neighbours. The flattening below
+works on the typed rows: struct field access, ``explode`` of arrays, ``try_cast`` of
+numbers given as text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 # Declared input schemas (JSON records as landed).
 PROPS = ("full_mwt string, alogp string, hba int, hbd int, psa string, rtb int, num_ro5_violations int, "
@@ -38,6 +45,35 @@ ASSAY_SCHEMA = ("cid long, AssaySummaries struct<AssaySummary: array<struct<AID:
                 "ActivityOutcome: string, TargetName: string>>>")
 
 
+def typed(v: Column, kind: DataType) -> Column:
+    """A variant as a declared type, leaf by leaf: what does not fit is null there. A single
+    object where a list is declared counts as a list of one."""
+    if isinstance(kind, StructType):
+        fields = [typed(F.try_variant_get(v, f"$.{f.name}", "variant"), f.dataType).alias(f.name) for f in kind.fields]
+        return F.when(F.schema_of_variant(v).startswith("OBJECT"), F.struct(*fields))
+    if isinstance(kind, ArrayType):
+        listed = F.when(F.schema_of_variant(v).startswith("OBJECT"), F.array(v)) \
+            .otherwise(F.try_variant_get(v, "$", "array<variant>"))
+        return F.transform(listed, lambda x: typed(x, kind.elementType))
+    leaf = F.try_variant_get(v, "$", kind.simpleString())
+    return F.when(~F.schema_of_variant(v).rlike("^(OBJECT|ARRAY)"), leaf) if kind.simpleString() == "string" else leaf
+
+
+def records(df: DataFrame, column: str, schema: StructType | str) -> DataFrame:
+    """Typed rows of a column of JSON text (or variants), one per record. Text that is not
+    JSON and records that are no objects are left out."""
+    st = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    v = F.col(column) if dict(df.dtypes)[column] == "variant" else F.try_parse_json(F.col(column))
+    rows = df.select(v.alias("__v")).where(F.schema_of_variant("__v").startswith("OBJECT"))
+    return rows.select(*[typed(F.try_variant_get("__v", f"$.{f.name}", "variant"), f.dataType).alias(f.name) for f in st.fields])
+
+
+def read_records(spark: SparkSession, path: str, schema: StructType | str, multi_line: bool = False) -> DataFrame:
+    """Typed rows of landed JSON files, one record a line (or one document a file)."""
+    raw = spark.read.option("singleVariantColumn", "record").option("multiLine", str(multi_line).lower()).json(path)
+    return records(raw, "record", schema)
+
+
 def _num(c: Column) -> Column:
     """Number given as text (or number): NaN and non-numeric text become NULL."""
     d = c.try_cast("double")

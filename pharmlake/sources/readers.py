@@ -49,6 +49,12 @@ def _typed(raw: DataFrame, st: StructType) -> DataFrame:
     return raw.select(*cols)
 
 
+def header_of(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV file's columns in lower case (Spark reads its first line only for this)."""
+    raw = spark.read.option("header", "true").option("escape", '"').csv(path)
+    return raw.toDF(*[c.strip().lower() for c in raw.columns])
+
+
 def read_csv(spark: SparkSession, path: str | Sequence[str], schema: StructType | str, multi_line: bool = False) -> DataFrame:
     """CSV files with header rows; the declared columns are taken by header name,
     whatever their order. ``multi_line`` allows line ends inside quoted fields (a file is

@@ -14,7 +14,6 @@ from compare import TABLES, digest  # noqa: E402
 SF = "/root/testdata/sf0.001"
 QUERIES = E.queries()
 ORACLE = E.oracle_sql()
-SLOW_ROWS_ONLY = {"baseline_predictions", "baseline_metrics", "prepare_with_toolkit"}
 
 
 @pytest.fixture(scope="module")
@@ -39,7 +38,7 @@ def test_matches_oracle(spark, duck, name):
     assert digest(rows, df.columns)[0] == digest(orows, ocols)[0]
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE) - SLOW_ROWS_ONLY))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_rows_only_runs(spark, name):
     assert QUERIES[name](spark, SF).count() >= 0
 
