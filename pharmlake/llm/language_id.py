@@ -362,20 +362,18 @@ def keep_identified(docs: DataFrame, min_confidence: float = 0.5, **options) ->
     min_confidence: the mean over words of the largest label probability, so texts in
     several languages stay when each word's language is clear."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, **options))
+    at = docs.columns.index("text")
 
-    @F.pandas_udf("double")
-    def known(text):
-        import pandas as pd
-        import pyarrow as pa
-
-        m, out = model.value, np.zeros(len(text))
-        col = pa.array(text, pa.string(), from_pandas=True)
-        for a, b in T.batches(col, SLICE_BYTES):
-            part = col.slice(a, b - a)
-            if m.labels:
-                *_, amount, sure = label_batch(m, part)
-                letters = np.array([t is not None and HAS_LETTER.search(t) is not None for t in part.to_pylist()])
-                out[a:b] = np.where(letters & (amount > 0), sure, 0.0)
-        return pd.Series(out)
-
-    return docs.where(known(F.col("text").cast("string")) >= min_confidence)
+    def known(batches):
+        m = model.value
+        for batch in batches:
+            for a, b in T.batches(batch.column(at), SLICE_BYTES):
+                part = batch.slice(a, b - a)
+                if m.labels:
+                    text = part.column(at)
+                    *_, amount, sure = label_batch(m, text)
+                    letters = np.array([t is not None and HAS_LETTER.search(t) is not None for t in text.to_pylist()])
+                    yield part.take(np.flatnonzero(letters & (amount > 0) & (sure >= min_confidence)))
+
+    clean = docs.withColumn("text", F.col("text").cast("string"))
+    return clean.mapInArrow(known, clean.schema)

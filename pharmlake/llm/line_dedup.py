@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import textarrays as T
-from .sketches import bit_table, bitmap, bucket_of, bucket_rows, count_classes, in_bitmap_bucket
+from .sketches import bit_rows, bit_table, bucket_of, bucket_rows, count_classes, in_bitmap_bucket, with_bit
 from .tables import stored
 
 COUNT_BITS = 20
@@ -221,15 +221,8 @@ def removed_lines(docs: DataFrame, percent: int = 80, min_words: int = 1) -> Dat
     matched = stored(verified(tested, docs, classes, percent, min_words), "matched")
 
     # join round: exact test of `matched` only for lines whose bit is set
-    bits = spark.sparkContext.broadcast(ref_bits(matched))
-
-    @F.pandas_udf("boolean")
-    def perhaps(bit):
-        import pandas as pd
-
-        return pd.Series(bits.value[bit.to_numpy()])
-
-    marked = c.select(*KEY, "n", "sig", "sig_1", "prefix").withColumn("bit", perhaps(ref_bit_column()))
+    bits = stored(bit_rows(matched.select(ref_bit_column().alias("b"))), "bits")
+    marked = with_bit(c.select(*KEY, "n", "sig", "sig_1", "prefix"), ref_bit_column(), bits)
     sure = marked.where(~F.col("bit")).drop("bit").withColumn("open", F.lit(True))
     asked = marked.where("bit").drop("bit").join(matched.withColumn("m", F.lit(True)), list(KEY), "left")
     flagged = sure.unionByName(asked.withColumn("open", F.col("m").isNull()).drop("m"))
@@ -260,35 +253,23 @@ def removed_lines(docs: DataFrame, percent: int = 80, min_words: int = 1) -> Dat
 def line_dedup(docs: DataFrame, percent: int = 80, min_words: int = 1) -> DataFrame:
     """docs with their removed lines taken out of ``text``; ``removed_lines`` holds the
     numbers (from 0) of the removed lines of each row, ``n_lines`` their count before."""
-    spark = docs.sparkSession
     gone = stored(removed_lines(_clean(docs), percent, min_words), "removed")
     per_text = stored(gone.groupBy("doc", "tid").agg(F.collect_set("line").alias("lines")), "removed")
-    bits = spark.sparkContext.broadcast(bitmap(per_text, "tid"))
+    bits = stored(bit_rows(per_text.select(in_bitmap_bucket("tid").alias("b"))), "bits")
     row = F.struct(*[F.col(c) for c in docs.columns])
     rows = docs.select(row.alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC)).alias("doc"),
                        F.xxhash64(F.col("text").cast("string")).alias("tid"),
                        F.col("text").cast("string").alias("text"))
 
-    @F.pandas_udf("boolean")
-    def perhaps(bit):
-        import pandas as pd
-
-        return pd.Series(bits.value[bit.to_numpy()])
-
-    rows = rows.withColumn("bit", perhaps(in_bitmap_bucket("tid")))
+    rows = with_bit(rows, in_bitmap_bucket("tid"), bits)
     clean = rows.where(~F.col("bit")).withColumn("lines", F.lit(None).cast("array<long>"))
     other = rows.where("bit").join(per_text, ["doc", "tid"], "left").select(*clean.columns)
     out = clean.unionByName(other)
     out = out.withColumn("removed", F.coalesce(F.array_sort("lines"), F.array().cast("array<long>")))
 
-    @F.pandas_udf("string")
-    def without(text, removed):
-        import pandas as pd
-
-        return pd.Series(["\n".join(line for i, line in enumerate(t.split("\n")) if i not in drop) if t is not None else None
-                          for t, drop in zip(text, (set(r) for r in removed))], dtype=object)
-
-    changed = out.where(F.size("removed") > 0).withColumn("text", without("text", "removed"))
+    changed = out.where(F.size("removed") > 0).withColumn("_parts", F.split("text", "\n"))
+    left = F.array_except(F.sequence(F.lit(0).cast("long"), F.size("_parts").cast("long") - 1), "removed")
+    changed = changed.withColumn("text", F.array_join(F.transform(left, lambda i: F.get("_parts", i.cast("int"))), "\n")).drop("_parts")
     same = out.where(F.size("removed") == 0)
     both = same.unionByName(changed)
     n_lines = F.size(F.split(F.col("row.text").cast("string"), "\n")).cast("long")

@@ -54,6 +54,20 @@ def bit_table(rows: DataFrame, bits: int) -> np.ndarray:
     return table.reshape(-1)
 
 
+def bit_rows(rows: DataFrame) -> DataFrame:
+    """(i, w): the int column ``b`` of rows as a bit table, 64 bits a row. At most
+    2**(bits - 6) rows for ``bits`` bits, so it may be broadcast."""
+    return rows.groupBy(F.shiftright("b", 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("w"))
+
+
+def with_bit(df: DataFrame, bit, table: DataFrame, name: str = "bit") -> DataFrame:
+    """df with a boolean column: whether the row's bit is set in a ``bit_rows`` table. Inside
+    the JVM: a broadcast join with at most 2**16 rows."""
+    hit = F.coalesce(F.expr("shiftrightunsigned(w, cast(_b % 64 as int)) & 1 = 1"), F.lit(False))
+    return (df.withColumn("_b", bit).join(F.broadcast(table), F.shiftright("_b", 6) == F.col("i"), "left")
+            .withColumn(name, hit).drop("_b", "i", "w"))
+
+
 def class_of(n: float) -> int:
     return min(255, int(round(8 * np.log2(max(n, 1)))))
 
