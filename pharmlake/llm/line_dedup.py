@@ -10,9 +10,12 @@ are kept themselves.
 2. Lines with equal sets form a class, named by its first line; all later lines of a
    class match the first. Classes too small to match any other set (at 80 percent, those
    of one to three words) are done here; the others enter the joins.
-3. Star round: classes are posted under their three rarest words, and each is tested
+3. Star rounds: classes are posted under their three rarest words, and each is tested
    against the first class of the list. What is found later than a match needs no further
-   search, so a large group of near copies costs about one pair a line.
+   search. Then lists of more than 64 classes over all prefix words are taken: the classes
+   still open are tested against the first 32 of each list, then (without those 32 and
+   without what they matched) against the next 32, until a round adds little to what the
+   rounds matched. So a large group of near copies costs a bounded number of pairs a word and round.
 4. Join round: the prefix words of all classes are joined with each other; a pair shares
    a word inside the prefixes that both sizes together allow and passes the length and positional filters, a bound on the overlap from 128-bit parity
    signatures (each differing word flips at most one bit), and only if the later line is
@@ -39,9 +42,14 @@ from .tables import stored
 COUNT_BITS = 20
 REF_BITS = 22  # bitmap of lines whose sets are wanted
 STAR_WORDS = 3
+LONG_LIST = 64  # lists of more classes get star rounds of their own
+HUBS = 32  # of a long list, in each round
+ENOUGH = 16  # rounds end when one gives at most 1/16 of what all of them matched
 NO_DOC = -(1 << 63)
 U = np.uint64
 KEY = ("doc", "tid", "line")  # document, 64-bit hash of its text, line number
+STAR = (*KEY, "n", "sig", "sig_1")
+REFS = [f"{k}_{s}" for s in "ab" for k in KEY]
 LINES = "doc long, tid long, line long, cid long, n int, sig long, sig_1 long, prefix array<int>"
 
 
@@ -200,6 +208,50 @@ def before(a: str, b: str):
     return (doc_a < doc_b) | ((doc_a == doc_b) & ((tid_a < tid_b) | ((tid_a == tid_b) & (line_a < line_b))))
 
 
+def star_pairs(c: DataFrame, percent: int) -> DataFrame:
+    """Pairs (_a earlier, _b later) that pass the filters, of each class with the first class
+    that shares one of its three rarest words."""
+    star = c.select(*STAR, F.posexplode(F.slice("prefix", 1, STAR_WORDS)).alias("pos", "token"))
+    fields = (*STAR, "pos")
+    star = star.withColumn("h", F.min(F.struct(*fields)).over(W.partitionBy("token")))
+    return near_pairs(star.select(*[F.col(f"h.{x}").alias(f"{x}_a") for x in fields],
+                                  *[F.col(x).alias(f"{x}_b") for x in fields]), percent)
+
+
+def near_pairs(pairs: DataFrame, percent: int) -> DataFrame:
+    return pairs.where(before("a", "b") & near("a", "b", percent)).select(*REFS).distinct()
+
+
+def long_lists(flagged: DataFrame) -> DataFrame:
+    """Postings (STAR, open, pos, token) of the prefix words that more than LONG_LIST classes
+    hold, and of some others (a bit table of words keeps the rest away from the shuffle)."""
+    word = F.shiftrightunsigned("token", 32 - REF_BITS)
+    sizes = flagged.select(F.explode("prefix").alias("token")).groupBy("token").count().where(F.col("count") > LONG_LIST)
+    bits = stored(bit_rows(sizes.select(word.alias("b"))), "bits")
+    return with_bit(flagged.select(*STAR, "open", F.posexplode("prefix").alias("pos", "token")), word, bits).where("bit").drop("bit")
+
+
+def hub_round(lists: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs, hubs): the open classes of each list with its first HUBS classes, at most HUBS
+    pairs a posting; hubs are picked by a partial limit in each task before their shuffle."""
+    place = F.row_number().over(W.partitionBy("token").orderBy(*KEY))
+    hubs = lists.withColumn("r", place).where(F.col("r") <= HUBS).drop("r", "open")
+    fields = (*STAR, "pos")
+    a = hubs.select("token", *[F.col(x).alias(f"{x}_a") for x in fields])
+    b = lists.where("open").select("token", *[F.col(x).alias(f"{x}_b") for x in fields])
+    return near_pairs(a.join(b, "token"), percent), hubs.select("token", *KEY)
+
+
+def with_open(c: DataFrame, matched: DataFrame) -> DataFrame:
+    """Classes with ``open``: no match found yet. The exact test is a join only for lines
+    whose bit is set."""
+    bits = stored(bit_rows(matched.select(ref_bit_column().alias("b"))), "bits")
+    marked = with_bit(c.select(*KEY, "n", "sig", "sig_1", "prefix"), ref_bit_column(), bits)
+    sure = marked.where(~F.col("bit")).drop("bit").withColumn("open", F.lit(True))
+    asked = marked.where("bit").drop("bit").join(matched.distinct().withColumn("m", F.lit(True)), list(KEY), "left")
+    return sure.unionByName(asked.withColumn("open", F.col("m").isNull()).drop("m"))
+
+
 def removed_lines(docs: DataFrame, percent: int = 80, min_words: int = 1) -> DataFrame:
     """(doc, tid, line): every removed line. docs: doc, tid, text."""
     spark = docs.sparkSession
@@ -210,22 +262,25 @@ def removed_lines(docs: DataFrame, percent: int = 80, min_words: int = 1) -> Dat
     # a set matches another one only if it may match itself and one word more
     c = firsts.where(100 * F.col("n") >= percent * (F.col("n") + 1))
 
-    # star round
-    star = c.select(*KEY, "n", "sig", "sig_1", F.posexplode(F.slice("prefix", 1, STAR_WORDS)).alias("pos", "token"))
-    hub = F.min(F.struct(*KEY, "n", "sig", "sig_1", "pos")).over(W.partitionBy("token"))
-    star = star.withColumn("h", hub).select(
-        *[F.col(f"h.{x}").alias(f"{x}_a") for x in (*KEY, "n", "sig", "sig_1", "pos")],
-        *[F.col(x).alias(f"{x}_b") for x in (*KEY, "n", "sig", "sig_1", "pos")])
-    refs = [f"{k}_{s}" for s in "ab" for k in KEY]
-    tested = stored(star.where(before("a", "b") & near("a", "b", percent)).select(*refs).distinct(), "pairs")
+    # star rounds
+    tested = stored(star_pairs(c, percent), "pairs")
     matched = stored(verified(tested, docs, classes, percent, min_words), "matched")
-
-    # join round: exact test of `matched` only for lines whose bit is set
-    bits = stored(bit_rows(matched.select(ref_bit_column().alias("b"))), "bits")
-    marked = with_bit(c.select(*KEY, "n", "sig", "sig_1", "prefix"), ref_bit_column(), bits)
-    sure = marked.where(~F.col("bit")).drop("bit").withColumn("open", F.lit(True))
-    asked = marked.where("bit").drop("bit").join(matched.withColumn("m", F.lit(True)), list(KEY), "left")
-    flagged = sure.unionByName(asked.withColumn("open", F.col("m").isNull()).drop("m"))
+    lists = stored(long_lists(with_open(c, matched)), "lists")
+    total = 0
+    while True:
+        pairs, hubs = hub_round(lists, percent)
+        pairs = stored(pairs.join(tested, REFS, "left_anti"), "pairs")
+        found = stored(verified(pairs, docs, classes, percent, min_words), "matched")
+        tested, matched = tested.union(pairs), matched.union(found)
+        latest = found.count()
+        total += latest
+        if latest * ENOUGH <= total:
+            break
+        lists = lists.join(hubs, ["token", *KEY], "left_anti").join(found, list(KEY), "left_anti")
+        lists = stored(lists.select(*STAR, "open", "pos", "token"), "lists")
+    flagged = with_open(c, matched)
+
+    # join round
     postings = flagged.select(*KEY, "n", "sig", "sig_1", "open", F.posexplode("prefix").alias("pos", "token"))
 
     def side(df, s):
@@ -241,7 +296,7 @@ def removed_lines(docs: DataFrame, percent: int = 80, min_words: int = 1) -> Dat
     first = before("a", "b")
     found = found.select(*[F.when(first, F.col(f"{k}_a")).otherwise(F.col(f"{k}_b")).alias(f"{k}_a_") for k in KEY],
                          *[F.when(first, F.col(f"{k}_b")).otherwise(F.col(f"{k}_a")).alias(f"{k}_b_") for k in KEY])
-    found = found.toDF(*refs).distinct().join(tested, refs, "left_anti")
+    found = found.toDF(*REFS).distinct().join(tested, REFS, "left_anti")
     more = verified(stored(found, "pairs"), docs, classes, percent, min_words)
 
     firsts = firsts.where("copies > 1").select("cid", *[F.col(k).alias(f"first_{k}") for k in KEY])

@@ -66,6 +66,25 @@ def test_line_dedup(docs, none):
     assert line_dedup.line_dedup(none).count() == 0
 
 
+@pytest.mark.parametrize("hubs, long_list", [(2, 4), (32, 64)])
+def test_line_dedup_of_a_large_group_of_near_copies(spark, monkeypatch, hubs, long_list):
+    # each copy has its own edits, so that no single member matches all the others
+    monkeypatch.setattr(line_dedup, "HUBS", hubs)
+    monkeypatch.setattr(line_dedup, "LONG_LIST", long_list)
+    rng = np.random.default_rng(5)
+    rows, sets = [], []
+    for i in range(240):
+        line = [f"base{j}" for j in range(40)]
+        for j in rng.choice(40, rng.integers(2, 7), replace=False):
+            line[j] = f"edit{rng.integers(0, 900)}"
+        rows.append((i, " ".join(line)))
+        sets.append(set(line))
+    want = {i for i in range(240) if any(jaccard(sets[i], sets[j]) for j in range(i))}
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert 20 < len(want) < 239
+    assert {r.doc_id for r in got if r.removed_lines} == want
+
+
 def test_line_dedup_without_doc_ids_loses_no_line(spark):
     rows = [(None, f"only line {i} of number {i * 7919 % 6007} {'x' * (i % 17)}y{i}\nshared footer of every page", 1) for i in range(6000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, removed_lines int").repartition(4)
