@@ -10,12 +10,12 @@ are kept themselves.
 2. Lines with equal sets form a class, named by its first line; all later lines of a
    class match the first. Classes too small to match any other set (at 80 percent, those
    of one to three words) are done here; the others enter the joins.
-3. Star rounds: classes are posted under their three rarest words, and each is tested
-   against the first class of the list. What is found later than a match needs no further
-   search. Then lists of more than 64 classes over all prefix words are taken: the classes
-   still open are tested against the first 32 of each list, then (without those 32 and
-   without what they matched) against the next 32, until a round adds little to what the
-   rounds matched. So a large group of near copies costs a bounded number of pairs a word and round.
+3. Star rounds, which only save work: classes are listed under three keys, each made of the
+   words that come first in three random orders, so that most near copies meet. Each class is
+   tested against the first class of its lists; what is found later than a match needs no
+   further search. The rest (without hubs and matched classes) is tested against the first 16
+   of its lists, again and again until a round adds little. So a large group of near copies
+   costs a bounded number of pairs a class and round.
 4. Join round: the prefix words of all classes are joined with each other; a pair shares
    a word inside the prefixes that both sizes together allow and passes the length and positional filters, a bound on the overlap from 128-bit parity
    signatures (each differing word flips at most one bit), and only if the later line is
@@ -41,16 +41,15 @@ from .tables import stored
 
 COUNT_BITS = 20
 REF_BITS = 22  # bitmap of lines whose sets are wanted
-STAR_WORDS = 3
-LONG_LIST = 64  # lists of more classes get star rounds of their own
-HUBS = 32  # of a long list, in each round
+KEYS, KEY_WORDS = 3, 3  # star keys of a line, and minimum words a key is made of
+HUBS = 16  # of a list, in the star rounds after the first
 ENOUGH = 16  # rounds end when one gives at most 1/16 of what all of them matched
 NO_DOC = -(1 << 63)
 U = np.uint64
 KEY = ("doc", "tid", "line")  # document, 64-bit hash of its text, line number
 STAR = (*KEY, "n", "sig", "sig_1")
 REFS = [f"{k}_{s}" for s in "ab" for k in KEY]
-LINES = "doc long, tid long, line long, cid long, n int, sig long, sig_1 long, prefix array<int>"
+LINES = "doc long, tid long, line long, cid long, n int, sig long, sig_1 long, keys array<long>, prefix array<int>"
 
 
 def _clean(docs: DataFrame) -> DataFrame:
@@ -127,6 +126,15 @@ def ref_bits(rows: DataFrame) -> np.ndarray:
     return bit_table(rows.select(ref_bit_column().alias("b")), REF_BITS)
 
 
+def star_key(tokens: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the KEY_WORDS words of each line that come first in orders of their own; lines
+    of Jaccard similarity j have equal keys with probability about j ** KEY_WORDS."""
+    key = np.full(len(first), k, dtype=U)
+    for i in range(KEY_WORDS):
+        key = T.mix(key ^ np.minimum.reduceat(T.mix(tokens, 10 + KEY_WORDS * k + i), first), 6)
+    return key
+
+
 def lines_table(docs: DataFrame, classes, percent: int, min_words: int) -> DataFrame:
     """One LINES row per compared line."""
 
@@ -142,14 +150,17 @@ def lines_table(docs: DataFrame, classes, percent: int, min_words: int) -> DataF
                 at = T.mix(tokens, 4) & U(127)
                 bit = U(1) << (at & U(63))
                 sigs = [np.bitwise_xor.reduceat(np.where(at >> U(6) == i, bit, U(0)), first) for i in (0, 1)]
+                keys = np.stack([star_key(tokens, first, k) for k in range(KEYS)], axis=1)
                 length = n + (-percent * n) // 100 + 1
                 place = np.arange(len(tokens)) - np.repeat(first, n)
                 short = (T.mix(tokens[place < np.repeat(length, n)], 5) >> U(32)).astype(np.uint32).view(np.int32)
                 ends = np.concatenate(([0], np.cumsum(length))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(doc), pa.array(tid), pa.array(line), pa.array(cid.view(np.int64)), pa.array(n.astype(np.int32)),
-                     *[pa.array(x.view(np.int64)) for x in sigs], pa.ListArray.from_arrays(pa.array(ends), pa.array(short))],
-                    names=["doc", "tid", "line", "cid", "n", "sig", "sig_1", "prefix"])
+                     *[pa.array(x.view(np.int64)) for x in sigs],
+                     pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, KEYS, dtype=np.int32)), pa.array(keys.reshape(-1).view(np.int64))),
+                     pa.ListArray.from_arrays(pa.array(ends), pa.array(short))],
+                    names=["doc", "tid", "line", "cid", "n", "sig", "sig_1", "keys", "prefix"])
 
     return docs.mapInArrow(run, LINES)
 
@@ -192,15 +203,20 @@ def verified(pairs: DataFrame, docs: DataFrame, classes, percent: int, min_words
             .select(*end("b")).distinct())
 
 
+def alike(a: str, b: str, percent: int):
+    """Length and signature filter."""
+    n, m = F.col(f"n_{a}"), F.col(f"n_{b}")
+    apart = (F.bit_count(F.col(f"sig_{a}").bitwiseXOR(F.col(f"sig_{b}")))
+             + F.bit_count(F.col(f"sig_1_{a}").bitwiseXOR(F.col(f"sig_1_{b}"))))
+    # |A or B| - |A and B| >= apart, so |A and B| <= (n + m - apart) / 2
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * (n + m - apart) >= 2 * percent * (n + m))
+
+
 def near(a: str, b: str, percent: int):
     """Length, positional and signature filter for a word shared at places pos_a, pos_b."""
     n, m, p, q = (F.col(c) for c in (f"n_{a}", f"n_{b}", f"pos_{a}", f"pos_{b}"))
     most = 1 + F.least(p, q) + F.least(n - p, m - q) - 1
-    apart = (F.bit_count(F.col(f"sig_{a}").bitwiseXOR(F.col(f"sig_{b}")))
-             + F.bit_count(F.col(f"sig_1_{a}").bitwiseXOR(F.col(f"sig_1_{b}"))))
-    # |A or B| - |A and B| >= apart, so |A and B| <= (n + m - apart) / 2
-    return ((100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * most >= percent * (n + m))
-            & ((100 + percent) * (n + m - apart) >= 2 * percent * (n + m)))
+    return alike(a, b, percent) & ((100 + percent) * most >= percent * (n + m))
 
 
 def before(a: str, b: str):
@@ -208,38 +224,23 @@ def before(a: str, b: str):
     return (doc_a < doc_b) | ((doc_a == doc_b) & ((tid_a < tid_b) | ((tid_a == tid_b) & (line_a < line_b))))
 
 
-def star_pairs(c: DataFrame, percent: int) -> DataFrame:
-    """Pairs (_a earlier, _b later) that pass the filters, of each class with the first class
-    that shares one of its three rarest words."""
-    star = c.select(*STAR, F.posexplode(F.slice("prefix", 1, STAR_WORDS)).alias("pos", "token"))
-    fields = (*STAR, "pos")
-    star = star.withColumn("h", F.min(F.struct(*fields)).over(W.partitionBy("token")))
-    return near_pairs(star.select(*[F.col(f"h.{x}").alias(f"{x}_a") for x in fields],
-                                  *[F.col(x).alias(f"{x}_b") for x in fields]), percent)
-
-
-def near_pairs(pairs: DataFrame, percent: int) -> DataFrame:
-    return pairs.where(before("a", "b") & near("a", "b", percent)).select(*REFS).distinct()
-
-
-def long_lists(flagged: DataFrame) -> DataFrame:
-    """Postings (STAR, open, pos, token) of the prefix words that more than LONG_LIST classes
-    hold, and of some others (a bit table of words keeps the rest away from the shuffle)."""
-    word = F.shiftrightunsigned("token", 32 - REF_BITS)
-    sizes = flagged.select(F.explode("prefix").alias("token")).groupBy("token").count().where(F.col("count") > LONG_LIST)
-    bits = stored(bit_rows(sizes.select(word.alias("b"))), "bits")
-    return with_bit(flagged.select(*STAR, "open", F.posexplode("prefix").alias("pos", "token")), word, bits).where("bit").drop("bit")
+def star_lists(c: DataFrame) -> DataFrame:
+    """Classes (STAR, key) under each star key that several of them hold, and some others: a
+    bit table of shared keys keeps most of the rest away from the shuffle."""
+    bucket = F.shiftrightunsigned("key", 64 - REF_BITS).cast("int")
+    shared = c.select(F.explode("keys").alias("key")).groupBy("key").count().where("count > 1")
+    bits = stored(bit_rows(shared.select(bucket.alias("b"))), "bits")
+    return with_bit(c.select(*STAR, F.explode("keys").alias("key")), bucket, bits).where("bit").drop("bit")
 
 
-def hub_round(lists: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs, hubs): the open classes of each list with its first HUBS classes, at most HUBS
-    pairs a posting; hubs are picked by a partial limit in each task before their shuffle."""
-    place = F.row_number().over(W.partitionBy("token").orderBy(*KEY))
-    hubs = lists.withColumn("r", place).where(F.col("r") <= HUBS).drop("r", "open")
-    fields = (*STAR, "pos")
-    a = hubs.select("token", *[F.col(x).alias(f"{x}_a") for x in fields])
-    b = lists.where("open").select("token", *[F.col(x).alias(f"{x}_b") for x in fields])
-    return near_pairs(a.join(b, "token"), percent), hubs.select("token", *KEY)
+def hub_round(lists: DataFrame, hubs: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs, hubs): the classes of each list with its first ``hubs`` classes, at most that many
+    pairs a row; hubs are picked by a partial limit in each task before their shuffle."""
+    place = F.row_number().over(W.partitionBy("key").orderBy(*KEY))
+    first = lists.withColumn("r", place).where(F.col("r") <= hubs).drop("r")
+    a, b = (df.select("key", *[F.col(x).alias(f"{x}_{s}") for x in STAR]) for df, s in ((first, "a"), (lists, "b")))
+    pairs = a.join(b, "key").where(before("a", "b") & alike("a", "b", percent)).select(*REFS).distinct()
+    return pairs, first.select("key", *KEY)
 
 
 def with_open(c: DataFrame, matched: DataFrame) -> DataFrame:
@@ -257,27 +258,24 @@ def removed_lines(docs: DataFrame, percent: int = 80, min_words: int = 1) -> Dat
     spark = docs.sparkSession
     classes = spark.sparkContext.broadcast(word_classes(docs))
     lines = stored(lines_table(docs, classes, percent, min_words), "lines")
-    c = lines.groupBy("cid").agg(F.min(F.struct(*KEY, "n", "sig", "sig_1", "prefix")).alias("f"), F.count("*").alias("copies"))
+    c = lines.groupBy("cid").agg(F.min(F.struct(*STAR, "keys", "prefix")).alias("f"), F.count("*").alias("copies"))
     firsts = stored(c.select("cid", "copies", "f.*"), "classes")
     # a set matches another one only if it may match itself and one word more
     c = firsts.where(100 * F.col("n") >= percent * (F.col("n") + 1))
 
     # star rounds
-    tested = stored(star_pairs(c, percent), "pairs")
-    matched = stored(verified(tested, docs, classes, percent, min_words), "matched")
-    lists = stored(long_lists(with_open(c, matched)), "lists")
-    total = 0
+    lists, hubs, total, tested, matched = stored(star_lists(c), "lists"), 1, 0, None, None
     while True:
-        pairs, hubs = hub_round(lists, percent)
-        pairs = stored(pairs.join(tested, REFS, "left_anti"), "pairs")
+        pairs, first = hub_round(lists, hubs, percent)
+        pairs = stored(pairs.join(tested, REFS, "left_anti") if tested else pairs, "pairs")
         found = stored(verified(pairs, docs, classes, percent, min_words), "matched")
-        tested, matched = tested.union(pairs), matched.union(found)
+        tested, matched = (tested.union(pairs), matched.union(found)) if tested else (pairs, found)
         latest = found.count()
         total += latest
         if latest * ENOUGH <= total:
             break
-        lists = lists.join(hubs, ["token", *KEY], "left_anti").join(found, list(KEY), "left_anti")
-        lists = stored(lists.select(*STAR, "open", "pos", "token"), "lists")
+        lists = lists.join(first, ["key", *KEY], "left_anti").join(found, list(KEY), "left_anti")
+        lists, hubs = stored(lists.select(*STAR, "key"), "lists"), HUBS
     flagged = with_open(c, matched)
 
     # join round
