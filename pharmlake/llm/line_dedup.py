@@ -41,6 +41,7 @@ from .tables import stored
 
 COUNT_BITS = 20
 REF_BITS = 22  # bitmap of lines whose sets are wanted
+WORD_BITS = 24  # bitmap of prefix words that several classes hold
 KEYS, KEY_WORDS = 3, 3  # star keys of a line, and minimum words a key is made of
 HUBS = 16  # of a list, in the star rounds after the first
 ENOUGH = 16  # rounds end when one gives at most 1/16 of what all of them matched
@@ -224,13 +225,19 @@ def before(a: str, b: str):
     return (doc_a < doc_b) | ((doc_a == doc_b) & ((tid_a < tid_b) | ((tid_a == tid_b) & (line_a < line_b))))
 
 
+def shared(rows: DataFrame, values: DataFrame, column: str, bucket) -> DataFrame:
+    """Rows whose ``column`` occurs more than once in ``values``, and some others: a bit table
+    of the shared values (at most 2**18 rows of 64 bits) keeps most of the rest away from a
+    shuffle of rows."""
+    twice = values.groupBy(column).count().where("count > 1")
+    bits = stored(bit_rows(twice.select(bucket.alias("b"))), "bits")
+    return with_bit(rows, bucket, bits).where("bit").drop("bit")
+
+
 def star_lists(c: DataFrame) -> DataFrame:
-    """Classes (STAR, key) under each star key that several of them hold, and some others: a
-    bit table of shared keys keeps most of the rest away from the shuffle."""
-    bucket = F.shiftrightunsigned("key", 64 - REF_BITS).cast("int")
-    shared = c.select(F.explode("keys").alias("key")).groupBy("key").count().where("count > 1")
-    bits = stored(bit_rows(shared.select(bucket.alias("b"))), "bits")
-    return with_bit(c.select(*STAR, F.explode("keys").alias("key")), bucket, bits).where("bit").drop("bit")
+    """Classes (STAR, key) under each star key that several of them hold."""
+    keys = F.explode("keys").alias("key")
+    return shared(c.select(*STAR, keys), c.select(keys), "key", F.shiftrightunsigned("key", 64 - REF_BITS).cast("int"))
 
 
 def hub_round(lists: DataFrame, hubs: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -279,7 +286,8 @@ def removed_lines(docs: DataFrame, percent: int = 80, min_words: int = 1) -> Dat
     flagged = with_open(c, matched)
 
     # join round
-    postings = flagged.select(*KEY, "n", "sig", "sig_1", "open", F.posexplode("prefix").alias("pos", "token"))
+    postings = shared(flagged.select(*STAR, "open", F.posexplode("prefix").alias("pos", "token")), c.select(F.explode("prefix").alias("token")),
+                      "token", F.shiftrightunsigned("token", 32 - WORD_BITS))
 
     def side(df, s):
         return df.select("token", *[F.col(x).alias(f"{x}_{s}") for x in (*KEY, "n", "sig", "sig_1", "open", "pos")])
