@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as T
+from .tables import lean
 
 U = np.uint64
 TABLE_BITS = 18
@@ -35,7 +36,7 @@ LETTER = np.zeros(256, dtype=bool)
 LETTER[65:91] = LETTER[97:123] = True
 LETTER[0x80:] = True  # bytes of other characters
 HAS_LETTER = regex.compile(r"\p{L}")
-SLICE_BYTES = 1 << 20  # text handled at once in a task
+SLICE_BYTES = 1 << 19  # text handled at once in a task
 AFFIX = 4
 GRAMS = (2, 3, 4)
 SCHEMA = ("doc_id long, lang_pred string, score double, words long, switches long, "
@@ -348,7 +349,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     names=["doc_id", "lang_pred", "score", "words", "switches", "runs"])
 
     clean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return clean.mapInArrow(run, SCHEMA)
+    return clean.mapInArrow(lean(run), SCHEMA)
 
 
 def identify(docs: DataFrame, per_label: int = 800, window: int = 24) -> DataFrame:
@@ -376,4 +377,4 @@ def keep_identified(docs: DataFrame, min_confidence: float = 0.5, **options) ->
                     yield part.take(np.flatnonzero(letters & (amount > 0) & (sure >= min_confidence)))
 
     clean = docs.withColumn("text", F.col("text").cast("string"))
-    return clean.mapInArrow(known, clean.schema)
+    return clean.mapInArrow(lean(known), clean.schema)

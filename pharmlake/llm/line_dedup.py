@@ -37,7 +37,7 @@ from pyspark.sql import Window as W
 
 from . import textarrays as T
 from .sketches import bit_rows, bit_table, bucket_of, bucket_rows, count_classes, in_bitmap_bucket, with_bit
-from .tables import stored
+from .tables import lean, stored
 
 COUNT_BITS = 20
 REF_BITS = 22  # bitmap of lines whose sets are wanted
@@ -79,7 +79,7 @@ def word_classes(docs: DataFrame) -> np.ndarray:
 
         return bucket_rows(batches, hashes, COUNT_BITS)
 
-    return count_classes(docs.select("text").mapInArrow(count, "bucket int, n long"), COUNT_BITS)
+    return count_classes(docs.select("text").mapInArrow(lean(count), "bucket int, n long"), COUNT_BITS)
 
 
 def line_sets(column, classes: np.ndarray, min_words: int):
@@ -162,7 +162,7 @@ def lines_table(docs: DataFrame, classes, percent: int, min_words: int) -> DataF
                      pa.ListArray.from_arrays(pa.array(ends), pa.array(short))],
                     names=["doc", "tid", "line", "cid", "n", "sig", "sig_1", "keys", "prefix"])
 
-    return docs.mapInArrow(run, LINES)
+    return docs.mapInArrow(lean(run), LINES)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes, percent: int, min_words: int) -> DataFrame:
@@ -194,7 +194,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes, percent: int, min_words
                          pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens[np.repeat(hit, n)].view(np.int64)))],
                         names=["doc", "tid", "line", "items"])
 
-    sets = texts.mapInArrow(run, "doc long, tid long, line long, items array<long>")
+    sets = texts.mapInArrow(lean(run), "doc long, tid long, line long, items array<long>")
     sets = stored(sets.join(wanted, list(KEY), "left_semi").dropDuplicates(list(KEY)), "sets")
     a, b = (sets.select(*[F.col(k).alias(f"{k}_{s}") for k in KEY], F.col("items").alias(s)) for s in ("a", "b"))
     both = F.size(F.array_intersect("a", "b"))

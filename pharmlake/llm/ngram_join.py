@@ -42,7 +42,7 @@ from pyspark.sql import Window as W
 from . import textarrays as T
 from .components import components
 from .sketches import bucket_rows, class_of, count_classes, in_bitmap_bucket
-from .tables import stored
+from .tables import lean, stored
 
 COUNT_BITS = 18
 ORDERS = (0x51ED27, 0xA3C59A, 0x7F4A7C)  # seeds of the global orders
@@ -118,7 +118,7 @@ def shingle_classes(docs: DataFrame) -> np.ndarray:
     def count(batches):
         return bucket_rows(batches, lambda b: (s for _, sets in sets_of(b.column(0)) for s in sets if len(s)), COUNT_BITS)
 
-    return count_classes(_clean(docs).select("text").mapInArrow(count, "bucket int, n long"), COUNT_BITS)
+    return count_classes(_clean(docs).select("text").mapInArrow(lean(count), "bucket int, n long"), COUNT_BITS)
 
 
 def signatures(docs: DataFrame, classes, percent: int) -> DataFrame:
@@ -153,7 +153,7 @@ def signatures(docs: DataFrame, classes, percent: int) -> DataFrame:
                      pa.array(wide, pa.list_(pa.int64()))],
                     names=["doc_id", "tid", "n", "cid", "hot_from", "prefix", "sig_0", "sig_1", "wide"])
 
-    return _clean(docs).mapInArrow(sign, "doc_id long, tid long, n int, cid long, hot_from int, prefix array<long>, sig_0 long, sig_1 long, wide array<long>")
+    return _clean(docs).mapInArrow(lean(sign), "doc_id long, tid long, n int, cid long, hot_from int, prefix array<long>, sig_0 long, sig_1 long, wide array<long>")
 
 
 def near(pa_: str, na: str, pb: str, nb: str, percent: int):
@@ -242,7 +242,7 @@ def verified(pairs: DataFrame, docs: DataFrame, sig: DataFrame, classes, percent
                 yield pa.RecordBatch.from_arrays([batch.column(i).filter(ok) for i in (0, 1)], names=["u", "v"])
 
     return (pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-            .mapInArrow(check, "u long, v long"))
+            .mapInArrow(lean(check), "u long, v long"))
 
 
 def members(docs: DataFrame, percent: int = 80) -> DataFrame:

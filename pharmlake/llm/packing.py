@@ -25,6 +25,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import lean
+
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long")
 TOKENIZER = "word_bpe_49k.json"
@@ -235,7 +237,7 @@ def pack_documents(docs: DataFrame, window: int = 2048, max_piece: int = 512, gr
         encoder.chunks.clear()
 
     clean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return clean.mapInArrow(run, SCHEMA)
+    return clean.mapInArrow(lean(run), SCHEMA)
 
 
 _encoders: dict[str, Encoder] = {}

@@ -31,6 +31,37 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
+    """Bounds the Arrow batches that Spark hands to Python workers, by rows and by bytes,
+    for the rest of this session: buffers on both sides stay small whatever the texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
+def free_memory() -> None:
+    """Hands memory that Python, Arrow and the C library keep for reuse back to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def lean(run):
+    """``run`` (batches to batches) with the memory given back at the task's end: Spark
+    keeps Python workers for later tasks, beside whatever those need."""
+    def body(batches):
+        yield from run(batches)
+        free_memory()
+
+    return body
+
+
 def range_bounds(df: DataFrame, column: str, parts: int) -> list[int]:
     """At most ``parts - 1`` ascending quantile boundaries of a long column (a boundary
     repeats when one value fills several ranges). The list is bounded by ``parts``, not
