@@ -63,19 +63,21 @@ def load_sources(spark: SparkSession, paths_by_source: dict[str, list[str]], sch
                  label_of: dict[str, int] | None = None) -> DataFrame:
     """load_chembl_data / load_drugbank_data / load_fda_data: optional landed CSVs per
     source, tagged with the source name, unified to smiles, name, status, source, label,
-    plus a load-order ``row_id``: sources as given, files by name, rows by place. A file
+    plus a load-order ``row_id``, a struct (source number, file number, block, place):
+    sources as given, files by name, rows by place, however the files are split. A file
     without the columns ``smiles`` and ``name`` is skipped (P3)."""
     parts = []
-    for src, paths in paths_by_source.items():
+    for number, (src, paths) in enumerate(paths_by_source.items()):
         usable = [p for p in paths if RD.exists(spark, p) and C.has_columns(RD.header_of(spark, p), ["smiles", "name"])]
-        df = RD.read_optional(spark, usable, schema)
+        df = RD.read_optional(spark, usable, schema, order_col="__at")
         label = C.map_label("status") if not label_of or src not in label_of else F.lit(label_of[src])
         parts.append(df.select("smiles", F.coalesce("name", F.lit("")).alias("name"), "status",
-                               F.lit(src).alias("source"), label.cast("int").alias("label")))
+                               F.lit(src).alias("source"), label.cast("int").alias("label"),
+                               F.struct(F.lit(number).alias("source"), "__at.*").alias("row_id")))
     if not parts:
-        return spark.createDataFrame([], "smiles string, name string, status string, source string, label int, row_id bigint")
-    u = C.union_same(parts)
-    return u.withColumn("row_id", F.monotonically_increasing_id())
+        return spark.createDataFrame([], "smiles string, name string, status string, source string, label int, "
+                                         "row_id struct<source: int, file: int, block: bigint, place: bigint>")
+    return C.union_same(parts)
 
 
 # ---- preparation ----------------------------------------------------------------
