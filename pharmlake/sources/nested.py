@@ -59,13 +59,39 @@ def typed(v: Column, kind: DataType) -> Column:
     return F.when(~F.schema_of_variant(v).rlike("^(OBJECT|ARRAY)"), leaf) if kind.simpleString() == "string" else leaf
 
 
+def _shape(kind: DataType) -> str:
+    """The type a record is cast to at once: the declared one, with lists left as variants."""
+    if isinstance(kind, StructType):
+        return "struct<" + ", ".join(f"`{f.name}`: {_shape(f.dataType)}" for f in kind.fields) + ">"
+    return "variant" if isinstance(kind, ArrayType) else kind.simpleString()
+
+
+def _leaf(r: Column, v: Column, path: str, kind: DataType) -> Column:
+    """``typed`` of the record ``v`` at ``path``, from its value ``r`` in the cast record. The
+    cast gives objects and lists as JSON text where a string is declared; only text that
+    begins like one is looked up again."""
+    if isinstance(kind, StructType):
+        fields = [_leaf(r.getField(f.name), v, f"{path}.{f.name}", f.dataType).alias(f.name) for f in kind.fields]
+        return F.when(r.isNotNull(), F.struct(*fields))
+    if isinstance(kind, ArrayType):
+        return typed(r, kind)
+    if kind.simpleString() != "string":
+        return r
+    nested = F.schema_of_variant(F.try_variant_get(v, path, "variant")).rlike("^(OBJECT|ARRAY)")
+    return F.when(r.startswith("{") | r.startswith("["), F.when(~nested, r)).otherwise(r)
+
+
 def records(df: DataFrame, column: str, schema: StructType | str) -> DataFrame:
     """Typed rows of a column of JSON text (or variants), one per record. Text that is not
     JSON and records that are no objects are left out."""
     st = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
     v = F.col(column) if dict(df.dtypes)[column] == "variant" else F.try_parse_json(F.col(column))
-    rows = df.select(v.alias("__v")).where(F.schema_of_variant("__v").startswith("OBJECT"))
-    return rows.select(*[typed(F.try_variant_get("__v", f"$.{f.name}", "variant"), f.dataType).alias(f.name) for f in st.fields])
+    # Each explode keeps later filters above it: pushed below, each of their terms would
+    # build, parse and cast the record again.
+    rows = df.select(F.explode(F.array(v)).alias("__v"))
+    rows = rows.select("__v", F.explode(F.array(F.try_variant_get("__v", "$", _shape(st)))).alias("__r")).where("__r is not null")
+    return rows.select(*[_leaf(F.col("__r").getField(f.name), F.col("__v"), f"$.{f.name}", f.dataType).alias(f.name)
+                         for f in st.fields])
 
 
 def read_records(spark: SparkSession, path: str, schema: StructType | str, multi_line: bool = False) -> DataFrame:
