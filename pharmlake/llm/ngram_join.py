@@ -17,8 +17,9 @@ joined:
    the prefix filters of the second and third order, then the exact check.
 3. The links give components. Lists whose documents are still in different components
    are joined once more, now all pairs across components, with the same filters, a bound
-   on the overlap from 128-bit parity signatures, and the exact check. So no link between different components is lost, and large groups of
-   near copies cost about one pair per document instead of all pairs.
+   on the overlap from 512-bit parity signatures inside the join, and the exact check. So
+   no link between different components is lost, and large groups of near copies cost
+   about one pair per document instead of all pairs.
 
 The result is components, not links: links between different texts of one component are
 mostly never verified, so no number of links per class is returned.
@@ -41,10 +42,13 @@ from pyspark.sql import Window as W
 
 from . import textarrays as T
 from .components import components
-from .sketches import bucket_rows, class_of, count_classes, in_bitmap_bucket
+from .sketches import bit_rows, bucket_rows, class_of, count_classes, in_bitmap_bucket, with_bit
 from .tables import lean, stored
 
 COUNT_BITS = 18
+CLASS_BITS = 22  # bit table of classes with several documents
+SIGNATURE_WORDS = 8  # of 64 bits, in the signatures that the second join compares
+SIGNATURE = tuple(f"sig_{i}" for i in range(SIGNATURE_WORDS))
 ORDERS = (0x51ED27, 0xA3C59A, 0x7F4A7C)  # seeds of the global orders
 HOT_LIST = 200_000  # estimated documents of a shingle above which its list is split
 SALTS = 64
@@ -80,18 +84,10 @@ def set_name(h: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def parity(h: np.ndarray) -> tuple[int, int]:
-    """128-bit parity signature of a set: each element that only one of two sets has
-    flips one bit, so the number of different bits is at most the symmetric difference."""
-    m = T.mix(h, 0x9A17) & np.uint64(127)
-    words = [np.bitwise_xor.reduce(np.uint64(1) << (m[m >> np.uint64(6) == i] & np.uint64(63)), initial=np.uint64(0)) for i in (0, 1)]
-    return tuple(int(w.astype(np.int64)) for w in words)
-
-
-def wide_parity(h: np.ndarray) -> np.ndarray:
-    """Parity signature of at least as many bits as the set has elements: a power of two
-    of 64-bit words; half of the words follow from all by adding up (xor) the halves."""
-    words = 1 << max(0, (len(h) - 1) >> 6).bit_length()
+def parity(h: np.ndarray, words: int) -> np.ndarray:
+    """Parity signature of ``words`` (a power of two) 64-bit words: each element that only one
+    of two sets has flips one bit, so the number of different bits is at most the symmetric
+    difference. Adding up (xor) its halves gives the signature of half the words."""
     m = T.mix(h, 0x3C6E)
     out = np.zeros(words, dtype=np.uint64)
     np.bitwise_xor.at(out, ((m >> np.uint64(6)) & np.uint64(words - 1)).astype(np.int64),
@@ -99,6 +95,11 @@ def wide_parity(h: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def wide_parity(h: np.ndarray) -> np.ndarray:
+    """Parity signature of at least as many bits as the set has elements."""
+    return parity(h, 1 << max(0, (len(h) - 1) >> 6).bit_length())
+
+
 def sets_of(col):
     """(first row, shingle sets) of a string array, a few megabytes of text at a time."""
     for a, b in T.batches(col):
@@ -122,7 +123,7 @@ def shingle_classes(docs: DataFrame) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, classes, percent: int) -> DataFrame:
-    """(doc_id, tid, n, cid, hot_from, prefix, sig_0, sig_1, wide) per document."""
+    """(doc_id, tid, n, cid, hot_from, prefix, the SIGNATURE columns, wide) per document."""
     hot = class_of(HOT_LIST)
 
     def sign(batches):
@@ -137,7 +138,7 @@ def signatures(docs: DataFrame, classes, percent: int) -> DataFrame:
                     n = len(h)
                     ns.append(n)
                     cids.append(set_name(h) if n else None)
-                    sigs.append(parity(h))
+                    sigs.append(parity(h, SIGNATURE_WORDS))
                     wide.append(wide_parity(h))
                     p = prefix(h, table, ORDERS[0], probe_length(n, percent)) if n else h
                     c = table[(p >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
@@ -149,11 +150,23 @@ def signatures(docs: DataFrame, classes, percent: int) -> DataFrame:
                     [ids.slice(a, len(sets)), tids.slice(a, len(sets)), pa.array(ns, pa.int32()), pa.array(cids, pa.int64()),
                      pa.array(hots, pa.int32()),
                      pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values),
-                     *[pa.array([x[i] for x in sigs], pa.int64()) for i in (0, 1)],
+                     *[pa.array(x) for x in np.stack(sigs, axis=1)],
                      pa.array(wide, pa.list_(pa.int64()))],
-                    names=["doc_id", "tid", "n", "cid", "hot_from", "prefix", "sig_0", "sig_1", "wide"])
+                    names=["doc_id", "tid", "n", "cid", "hot_from", "prefix", *SIGNATURE, "wide"])
+
+    schema = f"doc_id long, tid long, n int, cid long, hot_from int, prefix array<long>, {', '.join(f'{c} long' for c in SIGNATURE)}, wide array<long>"
+    return _clean(docs).mapInArrow(lean(sign), schema)
+
 
-    return _clean(docs).mapInArrow(lean(sign), "doc_id long, tid long, n int, cid long, hot_from int, prefix array<long>, sig_0 long, sig_1 long, wide array<long>")
+def one_per_class(sig: DataFrame) -> DataFrame:
+    """(cid, n, hot_from, prefix) of every class. Only rows whose bit is set in a table of the
+    classes with several documents (2**16 rows at most) are shuffled."""
+    bucket = in_bitmap_bucket("cid", CLASS_BITS)
+    several = sig.where("n > 0").groupBy("cid").count().where("count > 1")
+    bits = stored(bit_rows(several.select(bucket.alias("b"))), "bits")
+    rows = with_bit(sig.where("n > 0").select("cid", "n", "hot_from", "prefix"), bucket, bits)
+    grouped = rows.where("bit").groupBy("cid").agg(*[F.first(c).alias(c) for c in ("n", "hot_from", "prefix")])
+    return rows.where(~F.col("bit")).drop("bit").unionByName(grouped)
 
 
 def near(pa_: str, na: str, pb: str, nb: str, percent: int):
@@ -254,8 +267,7 @@ def members(docs: DataFrame, percent: int = 80) -> DataFrame:
     sig = stored(signatures(docs, classes, percent), "signatures")
 
     # one row per distinct set, then its prefix postings
-    distinct = (sig.where("n > 0").groupBy("cid")
-                .agg(F.first("n").alias("n"), F.first("hot_from").alias("hot_from"), F.first("prefix").alias("prefix")))
+    distinct = one_per_class(sig)
     postings = (distinct.select("cid", "n", "hot_from", F.posexplode("prefix").alias("pos", "token"))
                 .select("token", F.when(F.col("pos") >= F.col("hot_from"), 1 + F.pmod(F.xxhash64("cid"), F.lit(SALTS)))
                         .otherwise(0).cast("int").alias("salt"), "cid", "n", "pos"))
@@ -285,13 +297,12 @@ def members(docs: DataFrame, percent: int = 80) -> DataFrame:
               .select("token", "cid", "n", "pos", F.coalesce("root", "cid").alias("root")))
     mixed = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
     open_ = placed.join(mixed.select("token"), "token")
-    marks = sig.where("n > 0").select("cid", "sig_0", "sig_1").distinct()
+    marks = sig.where("n > 0").groupBy("cid").agg(*[F.first(c).alias(c) for c in SIGNATURE])
     open_ = stored(open_.join(marks, "cid"), "open")
-    kept = ("cid", "n", "pos", "root", "sig_0", "sig_1")
+    kept = ("cid", "n", "pos", "root", *SIGNATURE)
     x = open_.select("token", *[F.col(c).alias(c + "_a") for c in kept])
     y = open_.select("token", *[F.col(c).alias(c + "_b") for c in kept])
-    apart = (F.bit_count(F.col("sig_0_a").bitwiseXOR(F.col("sig_0_b")))
-             + F.bit_count(F.col("sig_1_a").bitwiseXOR(F.col("sig_1_b"))))
+    apart = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in SIGNATURE), F.lit(0))
     # |A and B| <= (n + m - apart) / 2
     close = (100 + percent) * (F.col("n_a") + F.col("n_b") - apart) >= 2 * percent * (F.col("n_a") + F.col("n_b"))
     smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("cid_a") < F.col("cid_b")))

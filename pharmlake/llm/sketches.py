@@ -7,6 +7,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import shuffles_removed
+
 
 def bucket_of(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int64)
@@ -37,7 +39,9 @@ def count_classes(rows: DataFrame, bits: int) -> np.ndarray:
     classes = (rows.groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 1")
                .select("bucket", F.least(F.lit(255), F.round(8 * F.log2("n"))).cast("long").alias("c")))
     packed = classes.groupBy(F.shiftright("bucket", 3).alias("i")).agg(
-        F.bit_or(F.expr("shiftleft(c, cast((bucket % 8) * 8 as int))")).alias("w")).toPandas()
+        F.bit_or(F.expr("shiftleft(c, cast((bucket % 8) * 8 as int))")).alias("w"))
+    with shuffles_removed(rows.sparkSession):
+        packed = packed.toPandas()
     table = np.zeros(1 << bits, dtype=np.uint8).reshape(-1, 8)
     table[packed["i"].to_numpy(dtype=np.int64)] = packed["w"].to_numpy(dtype="<i8").view(np.uint8).reshape(-1, 8)
     return table.reshape(-1)
@@ -46,8 +50,8 @@ def count_classes(rows: DataFrame, bits: int) -> np.ndarray:
 def bit_table(rows: DataFrame, bits: int) -> np.ndarray:
     """Bool table of 2**bits entries from the int column ``b`` of rows; it reaches the
     driver packed, 64 entries to a row."""
-    packed = rows.groupBy(F.shiftright("b", 6).alias("i")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("w")).toPandas()
+    with shuffles_removed(rows.sparkSession):
+        packed = bit_rows(rows).toPandas()
     table = np.zeros(1 << bits, dtype=bool).reshape(-1, 64)
     words = np.ascontiguousarray(packed["w"].to_numpy(dtype="<i8")).view(np.uint8).reshape(-1, 8)
     table[packed["i"].to_numpy(dtype=np.int64)] = np.unpackbits(words, axis=1, bitorder="little").astype(bool)

@@ -334,3 +334,47 @@ def test_chat_format(spark):
         assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in own).encode()).hexdigest()
         assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert chat_format.format_conversations(turns.limit(0)).count() == 0
+
+
+def _shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum("shuffle_" in files.apply(i).getName() for i in range(files.size()))
+
+
+def test_stored_leaves_no_shuffle_files(spark):
+    from pharmlake.llm.tables import stored
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting, before = spark.conf.get(key), _shuffle_files(spark)
+    df = stored(spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count(), "test")
+    assert _shuffle_files(spark) <= before and df.count() == 7
+    assert spark.conf.get(key) == setting
+
+
+def test_ngram_signature_parts_long_sets():
+    """The signature compared inside the second join tells unlike sets of common length apart and
+    never rejects sets that are similar."""
+    import numpy as np
+
+    from pharmlake.llm import ngram_join
+
+    def signature_passes(a, b, percent=80):
+        x, y = (ngram_join.parity(s, ngram_join.SIGNATURE_WORDS) for s in (a, b))
+        apart = int(np.unpackbits((x ^ y).view(np.uint8)).sum())
+        return (100 + percent) * (len(a) + len(b) - apart) >= 2 * percent * (len(a) + len(b))
+
+    rng = np.random.default_rng(5)
+    for n in (5, 60, 330, 700):
+        a, b = (np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for _ in "ab")
+        shared = max(1, n // 20)
+        assert not signature_passes(a, np.unique(np.concatenate([a[:shared], b[shared:]])))
+        assert signature_passes(a, np.concatenate([a[n // 10:], b[:n // 12]]))
+
+
+def test_ngram_one_row_per_class(spark):
+    from pharmlake.llm import ngram_join
+
+    rows = [(2, 2, 0, [1, 2]), (2, 2, 0, [1, 2]), (3, 1, 1, [7]), (None, 0, 0, [])]
+    sig = spark.createDataFrame(rows, "cid long, n int, hot_from int, prefix array<long>")
+    got = sorted(tuple(r) for r in ngram_join.one_per_class(sig).collect())
+    assert got == [(2, 2, 0, [1, 2]), (3, 1, 1, [7])]
