@@ -37,7 +37,7 @@ from pyspark.sql import Window as W
 
 from . import textarrays as T
 from .sketches import bit_rows, bit_table, bucket_of, bucket_rows, count_classes, in_bitmap_bucket, with_bit
-from .tables import lean, stored
+from .tables import lean, removed, stored
 
 COUNT_BITS = 20
 REF_BITS = 22  # bitmap of lines whose sets are wanted
@@ -260,6 +260,10 @@ def removed_lines(docs: DataFrame, percent: int = 80, min_words: int = 1) -> Dat
     lines = stored(lines_table(docs, classes, percent, min_words), "lines")
     c = lines.groupBy("cid").agg(F.min(F.struct(*STAR, "keys", "prefix")).alias("f"), F.count("*").alias("copies"))
     firsts = stored(c.select("cid", "copies", "f.*"), "classes")
+    first = firsts.where("copies > 1").select("cid", *[F.col(k).alias(f"first_{k}") for k in KEY])
+    other = (F.col("doc") != F.col("first_doc")) | (F.col("tid") != F.col("first_tid")) | (F.col("line") != F.col("first_line"))
+    later = stored(lines.select("cid", *KEY).join(first, "cid").where(other).select(*KEY), "later")
+    removed(lines)
     # a set matches another one only if it may match itself and one word more
     c = firsts.where(100 * F.col("n") >= percent * (F.col("n") + 1))
 
@@ -297,9 +301,6 @@ def removed_lines(docs: DataFrame, percent: int = 80, min_words: int = 1) -> Dat
     found = found.toDF(*REFS).distinct().join(tested, REFS, "left_anti")
     more = verified(stored(found, "pairs"), docs, classes, percent, min_words)
 
-    firsts = firsts.where("copies > 1").select("cid", *[F.col(k).alias(f"first_{k}") for k in KEY])
-    other = (F.col("doc") != F.col("first_doc")) | (F.col("tid") != F.col("first_tid")) | (F.col("line") != F.col("first_line"))
-    later = lines.select("cid", *KEY).join(firsts, "cid").where(other).select(*KEY)
     return later.union(matched).union(more)
 
 

@@ -378,3 +378,15 @@ def test_ngram_one_row_per_class(spark):
     sig = spark.createDataFrame(rows, "cid long, n int, hot_from int, prefix array<long>")
     got = sorted(tuple(r) for r in ngram_join.one_per_class(sig).collect())
     assert got == [(2, 2, 0, [1, 2]), (3, 1, 1, [7])]
+
+
+def test_line_dedup_removes_its_table_of_lines(spark):
+    from pharmlake.llm import line_dedup
+    from pharmlake.session import ensure_checkpoint_dir
+
+    docs = line_dedup._clean(spark.createDataFrame([(1, "a b c\nd e f g h"), (2, "d e f g h\na c b")], "doc_id long, text string"))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/lines-*")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    before = len(files.globStatus(path) or [])
+    got = sorted((r.doc, r.line) for r in line_dedup.removed_lines(docs).distinct().collect())
+    assert got == [(2, 0), (2, 1)] and len(files.globStatus(path) or []) == before
