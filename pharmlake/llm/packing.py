@@ -20,11 +20,13 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textarrays as T
 from .tables import lean
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
@@ -35,8 +37,8 @@ TOKENIZER = "word_bpe_49k.json"
 PLAIN = re.compile("[\t\n\r -~¡-įĲ-ňŊ-ž]*")
 _LETTER = "a-zªµºÀ-ÖØ-öø-ž"
 _NUMBER = "0-9²³¹¼-¾"
-PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\\s{_LETTER}{_NUMBER}]+")
-CACHE_ENTRIES, CACHE_CHARS = 100_000, 32  # of each cache: about 20 MB at most, dropped at task end
+PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\\s{_LETTER}{_NUMBER}]+|\n")
+CACHE_CHARS = 4 << 20  # of pieces kept between slices: about 100 MB at most, dropped at task end
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -46,8 +48,9 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class Encoder:
-    """Little-endian uint32 ids of texts. White-space separated chunks are cached (the
-    tokenizer never joins across white space); the cache is bounded."""
+    """uint32 ids of texts, many texts at once. The tokenizer never joins across white space,
+    so the different white-space separated chunks of a slice are encoded once each; their
+    pieces are numbered and kept, up to a bound, for the next slices."""
 
     def __init__(self, path: str):
         import os
@@ -57,8 +60,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.words: dict[str, bytes] = {}
-        self.chunks = _Chunks(self)
+        self.forget()
         from tokenizers import pre_tokenizers
 
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
@@ -75,41 +77,50 @@ class Encoder:
             for b, o in zip(enc, out):
                 self.byte_map.setdefault(b, o)
 
-    def chunk(self, chunk: str) -> bytes:
-        out = []
-        for w in PIECES.findall(chunk):
-            got = self.words.get(w)
-            if got is None:
-                mapped = w if w.isascii() else w.encode().decode("latin-1").translate(self.byte_map)
-                got = np.array([t.id for t in self.model.tokenize(mapped)], dtype="<u4").tobytes()
-                if len(w) <= CACHE_CHARS:
-                    if len(self.words) >= CACHE_ENTRIES:
-                        self.words.clear()
-                    self.words[w] = got
-            out.append(got)
-        return b"".join(out)
-
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if "<|" in text or PLAIN.fullmatch(text) is None:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            return np.array(ids, dtype="<u4").tobytes()
-        if len(self.chunks) >= CACHE_ENTRIES:
-            self.chunks.clear()
-        return b"".join(map(self.chunks.__getitem__, text.lower().split()))
-
-
-class _Chunks(dict):
-    def __init__(self, encoder: Encoder):
-        super().__init__()
-        self.encoder = encoder
-
-    def __missing__(self, chunk: str) -> bytes:
-        got = self.encoder.chunk(chunk)
-        if len(chunk) <= CACHE_CHARS:
-            self[chunk] = got
-        return got
+    def learn(self, pieces) -> None:
+        """Numbers new pieces."""
+        for piece in pieces:
+            mapped = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.byte_map)
+            self.ids.extend([t.id for t in self.model.tokenize(mapped)])
+            self.ends.append(len(self.ids))
+            self.chars += len(piece)
+        self.pieces.update(zip(pieces, range(len(self.pieces), len(self.ends))))
+
+    def forget(self) -> None:
+        """Piece 0, the end of a chunk, has no ids; those of piece k are ids[ends[k - 1]:ends[k]]."""
+        self.pieces, self.ids, self.ends, self.chars = {"\n": 0}, array("I"), array("i", [0]), 0
+
+    def chunks(self, chunks: list[str]):
+        """The ids of each chunk, as an Arrow list array."""
+        import pyarrow as pa
+
+        if self.chars > CACHE_CHARS:
+            self.forget()
+        found = PIECES.findall("\n".join([*chunks, ""]))
+        self.learn(list(set(found).difference(self.pieces)))
+        number = np.fromiter(map(self.pieces.__getitem__, found), dtype=np.int32, count=len(found))
+        ids = pa.ListArray.from_arrays(pa.array([0, *self.ends], pa.int32()), pa.array(np.array(self.ids, dtype=np.uint32)))
+        ids = ids.take(pa.array(number))
+        ends = ids.offsets.to_numpy()[1:][number == 0]
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), ids.values)
+
+    def encode(self, column) -> list[np.ndarray]:
+        """The ids of each text of an Arrow string array."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = column.to_pylist()
+        plain = [t is not None and "<|" not in t and PLAIN.fullmatch(t) is not None for t in texts]
+        lists = pc.ascii_split_whitespace(pc.utf8_lower(pc.if_else(pa.array(plain, pa.bool_()), column, "")))
+        words = lists.flatten().dictionary_encode()
+        ids = self.chunks(words.dictionary.to_pylist()).take(words.indices)
+        ends = ids.offsets.to_numpy()[np.cumsum(pc.list_value_length(lists).to_numpy())]
+        ids = ids.values.to_numpy()
+        out = [ids[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+        for i, text in enumerate(texts):
+            if text and not plain[i]:
+                out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        return out
 
 
 def difference(sizes: np.ndarray, k: int) -> tuple[np.ndarray, int]:
@@ -209,32 +220,34 @@ def pack_documents(docs: DataFrame, window: int = 2048, max_piece: int = 512, gr
             cols = [[] for _ in range(7)]
             return out
 
-        for batch in batches:
-            for i in range(batch.num_rows):
-                doc_id = batch.column(0)[i].as_py()
-                ids = encoder.encode(batch.column(1)[i].as_py()) + end
-                n = len(ids) // 4
-                full = n // window * window
-                for a in range(0, full, window):
-                    put((doc_id, a, window, zlib.crc32(ids[4 * a:4 * (a + window)]), n), base + made, 0)
-                    made += 1
-                # the rest in pieces as equal as possible
-                rest = n - full
-                if rest:
-                    parts = -(-rest // max_piece)
-                    for j in range(parts):
-                        a, b = full + rest * j // parts, full + rest * (j + 1) // parts
-                        waiting.append((doc_id, a, b - a, zlib.crc32(ids[4 * a:4 * b]), n))
-                        held += b - a
-                        if held >= group_windows * window:
-                            close()
-                if len(cols[0]) >= 50_000:
-                    yield flush()
+        def encoded():
+            for batch in batches:
+                for a, e in T.batches(batch.column(1)):
+                    yield from zip(batch.column(0).slice(a, e - a).to_pylist(), encoder.encode(batch.column(1).slice(a, e - a)))
+
+        for doc_id, ids in encoded():
+            ids = ids.tobytes() + end
+            n = len(ids) // 4
+            full = n // window * window
+            for a in range(0, full, window):
+                put((doc_id, a, window, zlib.crc32(ids[4 * a:4 * (a + window)]), n), base + made, 0)
+                made += 1
+            # the rest in pieces as equal as possible
+            rest = n - full
+            if rest:
+                parts = -(-rest // max_piece)
+                for j in range(parts):
+                    a, b = full + rest * j // parts, full + rest * (j + 1) // parts
+                    waiting.append((doc_id, a, b - a, zlib.crc32(ids[4 * a:4 * b]), n))
+                    held += b - a
+                    if held >= group_windows * window:
+                        close()
+            if len(cols[0]) >= 50_000:
+                yield flush()
         close()
         if cols[0]:
             yield flush()
-        encoder.words.clear()
-        encoder.chunks.clear()
+        encoder.forget()
 
     clean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return clean.mapInArrow(lean(run), SCHEMA)

@@ -189,6 +189,30 @@ def test_packing(docs, none):
     assert packing.pack_documents(none).count() == 0
 
 
+def test_encoder_learns_each_piece_once_and_gives_the_ids_of_the_tokenizer():
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    encoder, asked = packing.Encoder(packing.tokenizer_path()), []
+    model = encoder.model
+    encoder.model = SimpleNamespace(tokenize=lambda piece: asked.append(piece) or model.tokenize(piece))
+    rng = np.random.default_rng(3)
+    letters = [*map(chr, range(0x20, 0x180)), *"\n\t\r'stmdrevl  01AZ" * 6]
+    texts = [None, "", " \n\t ", "<|endoftext|> x", "İx", "日本 a", "don't'S ''s 're'VE", "\x1c" + "a\x0bb\xa0c",
+             *["".join(rng.choice(letters, 50)) for _ in range(400)], *[f"a{chr(c)}b {chr(c)}" for c in range(0x20, 0x400)]]
+    for column in (pa.array(texts), pa.array(texts).slice(2, 30), pa.array([], pa.string()), pa.array([None], pa.string())):
+        got = encoder.encode(column)
+        assert len(got) == len(column)
+        for ids, text in zip(got, column.to_pylist()):
+            assert ids.tolist() == encoder.tokenizer.encode(text or "", add_special_tokens=False).ids
+    assert len(asked) == len(set(asked)) == len(encoder.pieces) - 1
+    # more different words than the cache of words used to hold, in every text
+    names = ["".join("abcdefghij"[int(d)] for d in str(i)) for i in range(110_000)]
+    encoder.encode(pa.array([" ".join(names), " ".join(n + "," for n in names)]))
+    assert len(asked) == len(set(asked))
+
+
 def test_differencing_is_near_equal():
     sizes = np.random.default_rng(1).integers(1, 500, 300)
     window = packing.pack(sizes, 2048)
