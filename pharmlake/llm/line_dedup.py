@@ -11,8 +11,8 @@ are kept themselves.
    class match the first. Classes too small to match any other set (at 80 percent, those
    of one to three words) are done here; the others enter the joins.
 3. Star rounds, which only save work: classes are listed under three keys, each made of the
-   words that come first in three random orders, so that most near copies meet. Each class is
-   tested against the first class of its lists; what is found later than a match needs no
+   words that come first in three random orders, so that most near copies meet; the shortest
+   lists are left to the join round. Each class is tested against the first class of its lists; what is found later than a match needs no
    further search. The rest (without hubs and matched classes) is tested against the first 16
    of its lists, again and again until a round adds little. So a large group of near copies
    costs a bounded number of pairs a class and round.
@@ -36,12 +36,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import textarrays as T
-from .sketches import bit_rows, bit_table, bucket_of, bucket_rows, count_classes, in_bitmap_bucket, with_bit
+from .sketches import COUNTS, bit_rows, bit_table, bucket_of, bucket_rows, count_classes, in_bitmap_bucket, with_bit
 from .tables import lean, removed, stored
 
 COUNT_BITS = 20
 REF_BITS = 22  # bitmap of lines whose sets are wanted
 KEYS, KEY_WORDS = 3, 3  # star keys of a line, and minimum words a key is made of
+LISTED = 4  # lists of at most so many classes are left to the join round
 HUBS = 16  # of a list, in the star rounds after the first
 ENOUGH = 16  # rounds end when one gives at most 1/16 of what all of them matched
 NO_DOC = -(1 << 63)
@@ -58,15 +59,33 @@ def _clean(docs: DataFrame) -> DataFrame:
                        F.xxhash64(text).alias("tid"), text.alias("text"))
 
 
-def line_words(column):
-    """(row, line number, line index, word hash) of every word of a string array; line
-    index is different for different lines and ascending."""
+def line_words(column, wanted=None):
+    """(row and line number of each line, line and hash of every word) of a string array; lines
+    are in order. Of lines that ``wanted`` (rows, numbers to a mask) leaves out nothing is read."""
     data, offsets = T.text_bytes(column)
-    h, start, first = T.words(data, offsets)
     ends = np.flatnonzero(data == 10)
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    passed = np.searchsorted(ends, start)
-    return row, passed - np.searchsorted(ends, offsets[:-1])[row], passed + row, h
+    cuts = np.union1d(offsets, ends + 1)
+    start, stop = cuts[:-1], cuts[1:]  # the last line of a text ending in a line feed has no words
+    row = np.searchsorted(offsets, start, side="right") - 1
+    number = np.searchsorted(ends, start) - np.searchsorted(ends, offsets[row])
+    if wanted is not None:
+        hit = wanted(row, number)
+        data, row, number = data[np.repeat(hit, stop - start)], row[hit], number[hit]
+        cuts = np.concatenate(([0], np.cumsum((stop - start)[hit])))
+    h, _, first = T.words(data, cuts)
+    return row, number, np.repeat(np.arange(len(row)), np.diff(first)), h
+
+
+def by_line(line: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The order of ascending (line, key); ``line`` is ascending. Sorted by the line with as
+    much of the key as fits beside it; in full where that leaves two keys of a line equal."""
+    bits = max(1, int(line[-1]).bit_length()) if len(line) else 1
+    both = (line.astype(U) << U(64 - bits)) | (key >> U(bits))
+    order = np.argsort(both)
+    k, both = key[order], both[order]
+    if ((both[1:] == both[:-1]) & (k[1:] != k[:-1])).any():
+        return np.lexsort((key, line))
+    return order
 
 
 def word_classes(docs: DataFrame) -> np.ndarray:
@@ -79,35 +98,36 @@ def word_classes(docs: DataFrame) -> np.ndarray:
 
         return bucket_rows(batches, hashes, COUNT_BITS)
 
-    return count_classes(docs.select("text").mapInArrow(lean(count), "bucket int, n long"), COUNT_BITS)
+    return count_classes(docs.select("text").mapInArrow(lean(count), COUNTS), COUNT_BITS)
 
 
-def line_sets(column, classes: np.ndarray, min_words: int):
+def line_sets(column, classes: np.ndarray, min_words: int, wanted=None):
     """Sets of the lines of a string array: (row, line number, n, first token of each
     line, tokens); the tokens of a line are distinct and ascending in rarity order."""
-    row, number, index, h = line_words(column)
+    row, number, index, h = line_words(column, wanted)
     key = (classes[bucket_of(h, COUNT_BITS)].astype(U) << U(56)) | (T.mix(h, 1) >> U(8))
-    order = np.lexsort((key, index))
+    order = by_line(index, key)
     key, index = key[order], index[order]
     new = np.ones(len(key), dtype=bool)
     new[1:] = (key[1:] != key[:-1]) | (index[1:] != index[:-1])
-    at = order[new]
     key, index = key[new], index[new]
     start = np.flatnonzero(np.diff(index, prepend=-1))
     n = np.diff(start, append=len(key))
     long_enough = n >= min_words
     keep = np.repeat(long_enough, n)
-    start_at = at[start[long_enough]]
+    line = index[start[long_enough]]
     n = n[long_enough]
-    return row[start_at], number[start_at], n, np.cumsum(n) - n, key[keep]
+    return row[line], number[line], n, np.cumsum(n) - n, key[keep]
 
 
-def sets_of(batch, classes, min_words):
-    """Per slice of a batch with columns doc, tid, text: (doc, tid, line, n, first, tokens)."""
+def sets_of(batch, classes, min_words, wanted=None):
+    """Per slice of a batch with columns doc, tid, text: (doc, tid, line, n, first, tokens), of all
+    lines or those that ``wanted`` (doc, tid, line to a mask) names."""
     docs, tids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
     col = batch.column(2)
     for a, e in T.batches(col):
-        row, number, n, first, tokens = line_sets(col.slice(a, e - a), classes, min_words)
+        asked = wanted and (lambda row, number: wanted(docs[a + row], tids[a + row], number))
+        row, number, n, first, tokens = line_sets(col.slice(a, e - a), classes, min_words, asked)
         yield docs[a + row], tids[a + row], number, n, first, tokens
 
 
@@ -181,17 +201,19 @@ def verified(pairs: DataFrame, docs: DataFrame, classes, percent: int, min_words
     texts = (docs.withColumn("b", bit).join(F.broadcast(rows), F.shiftright("b", 6) == F.col("i"))
              .where("shiftrightunsigned(w, b % 64) & 1 = 1").select("doc", "tid", "text"))
 
+    def hit(doc, tid, line):
+        return lines.value[ref_bit(doc, tid, line)]
+
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for doc, tid, line, n, first, tokens in sets_of(batch, classes.value, min_words):
-                hit = lines.value[ref_bit(doc, tid, line)]
-                if hit.any():
-                    ends = np.concatenate(([0], np.cumsum(n[hit]))).astype(np.int32)
+            for doc, tid, line, n, first, tokens in sets_of(batch, classes.value, min_words, hit):
+                if len(n):
+                    ends = np.concatenate((first, [len(tokens)])).astype(np.int32)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(doc[hit]), pa.array(tid[hit]), pa.array(line[hit]),
-                         pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens[np.repeat(hit, n)].view(np.int64)))],
+                        [pa.array(doc), pa.array(tid), pa.array(line),
+                         pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens.view(np.int64)))],
                         names=["doc", "tid", "line", "items"])
 
     sets = texts.mapInArrow(lean(run), "doc long, tid long, line long, items array<long>")
@@ -225,10 +247,10 @@ def before(a: str, b: str):
 
 
 def star_lists(c: DataFrame) -> DataFrame:
-    """Classes (STAR, key) under each star key that several of them hold, and some others: a
-    bit table of shared keys keeps most of the rest away from the shuffle."""
+    """Classes (STAR, key) under each star key that more than LISTED of them hold, and some
+    others: a bit table of those keys keeps most of the rest away from the shuffle."""
     bucket = F.shiftrightunsigned("key", 64 - REF_BITS).cast("int")
-    shared = c.select(F.explode("keys").alias("key")).groupBy("key").count().where("count > 1")
+    shared = c.select(F.explode("keys").alias("key")).groupBy("key").count().where(F.col("count") > LISTED)
     bits = stored(bit_rows(shared.select(bucket.alias("b"))), "bits")
     return with_bit(c.select(*STAR, F.explode("keys").alias("key")), bucket, bits).where("bit").drop("bit")
 
@@ -288,13 +310,16 @@ def removed_lines(docs: DataFrame, percent: int = 80, min_words: int = 1) -> Dat
     def side(df, s):
         return df.select("token", *[F.col(x).alias(f"{x}_{s}") for x in (*KEY, "n", "sig", "sig_1", "open", "pos")])
 
-    # both sides are one exchange: what either prefix may hold depends on both sizes
-    overlap = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent))
-    prefixes = (F.col("pos_a") <= F.col("n_a") - overlap) & (F.col("pos_b") <= F.col("n_b") - overlap)
+    # both sides are one exchange: what either prefix may hold depends on both sizes. In whole
+    # numbers, the rarest test last: this runs once for every two postings of a word
+    def inside(s):
+        return (100 + percent) * (F.col(f"n_{s}") - F.col(f"pos_{s}")) >= percent * (F.col("n_a") + F.col("n_b"))
+
     x, y = side(postings, "a"), side(postings, "b")
-    smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & before("a", "b"))
+    sized = (F.col("n_a") <= F.col("n_b")) & inside("a") & inside("b")
+    smaller = (F.col("n_a") < F.col("n_b")) | before("a", "b")
     useful = F.when(before("a", "b"), F.col("open_b")).otherwise(F.col("open_a"))
-    found = x.join(y, "token").where(smaller & prefixes & useful & near("a", "b", percent))
+    found = x.join(y, "token").where(sized & near("a", "b", percent) & smaller & useful)
     first = before("a", "b")
     found = found.select(*[F.when(first, F.col(f"{k}_a")).otherwise(F.col(f"{k}_b")).alias(f"{k}_a_") for k in KEY],
                          *[F.when(first, F.col(f"{k}_b")).otherwise(F.col(f"{k}_a")).alias(f"{k}_b_") for k in KEY])
@@ -317,16 +342,17 @@ def line_dedup(docs: DataFrame, percent: int = 80, min_words: int = 1) -> DataFr
 
     rows = with_bit(rows, in_bitmap_bucket("tid"), bits)
     clean = rows.where(~F.col("bit")).withColumn("lines", F.lit(None).cast("array<long>"))
-    other = rows.where("bit").join(per_text, ["doc", "tid"], "left").select(*clean.columns)
-    out = clean.unionByName(other)
-    out = out.withColumn("removed", F.coalesce(F.array_sort("lines"), F.array().cast("array<long>")))
-
-    changed = out.where(F.size("removed") > 0).withColumn("_parts", F.split("text", "\n"))
-    left = F.array_except(F.sequence(F.lit(0).cast("long"), F.size("_parts").cast("long") - 1), "removed")
-    changed = changed.withColumn("text", F.array_join(F.transform(left, lambda i: F.get("_parts", i.cast("int"))), "\n")).drop("_parts")
-    same = out.where(F.size("removed") == 0)
-    both = same.unionByName(changed)
-    n_lines = F.size(F.split(F.col("row.text").cast("string"), "\n")).cast("long")
+    other = rows.where("bit").join(per_text, ["doc", "tid"], "left")
+    # texts that lose lines are split, once; the others stay as they are
+    parts = F.when(F.col("lines").isNotNull(), F.split("text", "\n"))
+    other = other.withColumn("_parts", parts)
+    gone = F.array_sort("lines")
+    left = F.array_except(F.sequence(F.lit(0).cast("long"), F.size("_parts").cast("long") - 1), "lines")
+    text = F.array_join(F.transform(left, lambda i: F.get("_parts", i.cast("int"))), "\n")
+    other = other.withColumn("text", F.when(F.col("lines").isNotNull(), text).otherwise(F.col("text"))).withColumn("lines", gone)
+    both = clean.unionByName(other.select(*clean.columns))
+    whole = F.col("row.text").cast("string")
+    n_lines = (F.octet_length(whole) - F.octet_length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1).cast("long")
     return both.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns],
-                       F.when(F.col("row.text").isNull(), 0).otherwise(n_lines).alias("n_lines"),
-                       F.col("removed").alias("removed_lines"))
+                       F.when(whole.isNull(), 0).otherwise(n_lines).alias("n_lines"),
+                       F.coalesce("lines", F.array().cast("array<long>")).alias("removed_lines"))

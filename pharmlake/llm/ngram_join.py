@@ -42,7 +42,7 @@ from pyspark.sql import Window as W
 
 from . import textarrays as T
 from .components import components
-from .sketches import bit_rows, bucket_rows, class_of, count_classes, in_bitmap_bucket, with_bit
+from .sketches import COUNTS, bit_rows, bucket_rows, class_of, count_classes, in_bitmap_bucket, with_bit
 from .tables import lean, stored
 
 COUNT_BITS = 18
@@ -119,7 +119,7 @@ def shingle_classes(docs: DataFrame) -> np.ndarray:
     def count(batches):
         return bucket_rows(batches, lambda b: (s for _, sets in sets_of(b.column(0)) for s in sets if len(s)), COUNT_BITS)
 
-    return count_classes(_clean(docs).select("text").mapInArrow(lean(count), "bucket int, n long"), COUNT_BITS)
+    return count_classes(_clean(docs).select("text").mapInArrow(lean(count), COUNTS), COUNT_BITS)
 
 
 def signatures(docs: DataFrame, classes, percent: int) -> DataFrame:

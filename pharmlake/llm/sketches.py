@@ -3,12 +3,16 @@ and to skip rows that cannot matter, so every result is the same whatever they h
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import shuffles_removed
 
+COUNTS = "i int, " + ", ".join(f"n{j} long" for j in range(8))  # counts of buckets 8 * i to 8 * i + 7
+
 
 def bucket_of(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int64)
@@ -16,7 +20,7 @@ def bucket_of(h: np.ndarray, bits: int) -> np.ndarray:
 
 def bucket_rows(batches, hashes_of, bits: int):
     """Body of a mapInArrow: adds up ``hashes_of(batch)`` per bucket over the task and
-    emits one (bucket, n) row per bucket seen."""
+    emits a COUNTS row for each eight buckets of which one was seen."""
     import pyarrow as pa
 
     table = np.zeros(1 << bits, dtype=np.int64)
@@ -26,22 +30,22 @@ def bucket_rows(batches, hashes_of, bits: int):
                 np.add.at(table, bucket_of(h, bits), 1)
             else:
                 table += np.bincount(bucket_of(h, bits), minlength=1 << bits)
-    seen = np.flatnonzero(table)
+    table = table.reshape(-1, 8)
+    seen = np.flatnonzero(table.any(axis=1))
     for a in range(0, len(seen), 100_000):
         part = seen[a:a + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(table[part])],
-                                         names=["bucket", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *map(pa.array, np.ascontiguousarray(table[part].T))],
+                                         names=["i", *(f"n{j}" for j in range(8))])
 
 
 def count_classes(rows: DataFrame, bits: int) -> np.ndarray:
     """uint8 table of 2**bits entries: 0 = counted at most once, else
     round(8 * log2(count)). It reaches the driver packed, eight entries to a row."""
-    classes = (rows.groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 1")
-               .select("bucket", F.least(F.lit(255), F.round(8 * F.log2("n"))).cast("long").alias("c")))
-    packed = classes.groupBy(F.shiftright("bucket", 3).alias("i")).agg(
-        F.bit_or(F.expr("shiftleft(c, cast((bucket % 8) * 8 as int))")).alias("w"))
+    sums = rows.groupBy("i").agg(*[F.sum(f"n{j}").alias(f"n{j}") for j in range(8)])
+    classes = [F.when(F.col(f"n{j}") > 1, F.least(F.lit(255), F.round(8 * F.log2(f"n{j}"))).cast("long")).otherwise(0) for j in range(8)]
+    packed = sums.select("i", reduce(lambda x, y: x.bitwiseOR(y), [F.shiftleft(c, 8 * j) for j, c in enumerate(classes)]).alias("w"))
     with shuffles_removed(rows.sparkSession):
-        packed = packed.toPandas()
+        packed = packed.where("w != 0").toPandas()
     table = np.zeros(1 << bits, dtype=np.uint8).reshape(-1, 8)
     table[packed["i"].to_numpy(dtype=np.int64)] = packed["w"].to_numpy(dtype="<i8").view(np.uint8).reshape(-1, 8)
     return table.reshape(-1)

@@ -85,6 +85,46 @@ def test_line_dedup_of_a_large_group_of_near_copies(spark, monkeypatch, hubs, ke
     assert {r.doc_id for r in got if r.removed_lines} == want
 
 
+def test_line_sets_of_wanted_lines_only():
+    import pyarrow as pa
+
+    texts = ["", "a b\n\nc a a\n", None, "\n", "é x\x0bx\n y", "tail\n", "A b z " * 40 + "\nlast"]
+    classes = np.arange(1 << line_dedup.COUNT_BITS).astype(np.uint8)
+    column = pa.array(["skipped", *texts]).slice(1)
+
+    def sets(wanted=None):
+        row, number, n, first, tokens = line_dedup.line_sets(column, classes, 1, wanted)
+        assert n.sum() == len(tokens)
+        return {(r, k): tokens[a:a + m].tolist() for r, k, m, a in zip(row.tolist(), number.tolist(), n.tolist(), first.tolist())}
+
+    every = sets()
+    assert {k: len(v) for k, v in every.items()} == {
+        (i, k): len(set(words(x))) for i, t in enumerate(texts) for k, x in enumerate((t or "").split("\n")) if words(x)}
+    assert all(v == sorted(set(v)) for v in every.values())
+    asked = []
+    some = sets(lambda row, number: asked.append(len(row)) or (row + number) % 2 == 0)
+    assert asked and some == {k: v for k, v in every.items() if sum(k) % 2 == 0} != every
+    assert sets(lambda row, number: row < 0) == {}
+
+
+def test_words_of_a_line_are_grouped_when_their_keys_differ_in_the_last_bits_only():
+    line = np.array([0, 0, 0, 1, 1, 1, 5, 5])
+    key = np.array([9, 8, 9, 3, 2, 3, 1 << 63, 1], dtype=np.uint64)
+    order = line_dedup.by_line(line, key)
+    assert list(zip(line[order].tolist(), key[order].tolist())) == sorted(zip(line.tolist(), key.tolist()))
+    assert len(line_dedup.by_line(line[:0], key[:0])) == 0
+
+
+def test_counts_reach_spark_eight_buckets_a_row():
+    from pharmlake.llm import sketches
+
+    hashes = np.random.default_rng(7).integers(0, 1 << 63, 5000, dtype=np.uint64) << np.uint64(1)
+    rows = [r for b in sketches.bucket_rows([0], lambda _: [hashes, hashes[:10]], 10) for r in b.to_pylist()]
+    assert len(rows) == 128
+    got = [r[f"n{j}"] for r in sorted(rows, key=lambda r: r["i"]) for j in range(8)]
+    assert got == np.bincount(np.concatenate((hashes, hashes[:10])) >> np.uint64(54), minlength=1024).tolist()
+
+
 def test_line_dedup_without_doc_ids_loses_no_line(spark):
     rows = [(None, f"only line {i} of number {i * 7919 % 6007} {'x' * (i % 17)}y{i}\nshared footer of every page", 1) for i in range(6000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, removed_lines int").repartition(4)
