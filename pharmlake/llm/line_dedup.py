@@ -11,15 +11,20 @@ are kept themselves.
    class match the first. Classes too small to match any other set (at 80 percent, those
    of one to three words) are done here; the others enter the joins.
 3. Star rounds, which only save work: classes are listed under three keys, each made of the
-   words that come first in three random orders, so that most near copies meet; the shortest
-   lists are left to the join round. Each class is tested against the first class of its lists; what is found later than a match needs no
-   further search. The rest (without hubs and matched classes) is tested against the first 16
-   of its lists, again and again until a round adds little. So a large group of near copies
-   costs a bounded number of pairs a class and round.
+   words that come first in three random orders, so that most near copies meet; the shorter
+   lists are left to the join round, and all of them if the groups around their first classes
+   hold few pairs for the number of classes. Else each class is tested against the first class
+   of its lists; what is found later than a match needs no further search. The rest (without
+   hubs and matched classes) is tested against the first 16 of its lists, again and again until
+   a round adds little. So a large group of near copies costs a bounded number of pairs a class
+   and round.
 4. Join round: the prefix words of all classes are joined with each other; a pair shares
-   a word inside the prefixes that both sizes together allow and passes the length and positional filters, a bound on the overlap from 128-bit parity
-   signatures (each differing word flips at most one bit), and only if the later line is
-   still unmatched. The sets of the remaining pairs are compared exactly.
+   a word inside the prefixes that both sizes together allow and passes the length and
+   positional filters, a bound on the overlap from 128-bit parity signatures (each differing
+   word flips at most one bit), and only if the later line is still unmatched. Postings are
+   dealt by word to blocks of a bounded size, in which lists are sorted by size; those of very
+   common words, which may not fit a block, are joined by Spark. The sets of the remaining
+   pairs are compared exactly.
 
 Words and sets are named by 64-bit hashes. Defined cases: lines end at ``\\n`` only; lines
 with fewer than ``min_words`` distinct words are never compared and stay (1 compares every
@@ -37,20 +42,24 @@ from pyspark.sql import Window as W
 
 from . import textarrays as T
 from .sketches import COUNTS, bit_rows, bit_table, bucket_of, bucket_rows, count_classes, in_bitmap_bucket, with_bit
-from .tables import lean, removed, stored
+from .tables import lean, removed, shuffles_removed, stored
 
 COUNT_BITS = 20
 REF_BITS = 22  # bitmap of lines whose sets are wanted
 KEYS, KEY_WORDS = 3, 3  # star keys of a line, and minimum words a key is made of
-LISTED = 4  # lists of at most so many classes are left to the join round
+LISTED = 32  # lists of at most so many classes are left to the join round
+FEW = 16  # and so are all lists, if groups around their hubs hold at most so many pairs a class
 HUBS = 16  # of a list, in the star rounds after the first
 ENOUGH = 16  # rounds end when one gives at most 1/16 of what all of them matched
+COMMON = 120  # words counted more than 2 ** (COMMON / 8) times are common: their postings may be too many for one task
+BLOCK, PAIRS = 1 << 19, 1 << 20  # postings in a block of the join round, and pairs of them that are looked at at once
 NO_DOC = -(1 << 63)
 U = np.uint64
 KEY = ("doc", "tid", "line")  # document, 64-bit hash of its text, line number
 STAR = (*KEY, "n", "sig", "sig_1")
 REFS = [f"{k}_{s}" for s in "ab" for k in KEY]
-LINES = "doc long, tid long, line long, cid long, n int, sig long, sig_1 long, keys array<long>, prefix array<int>"
+POSTING = 7  # columns of a posting: word << 32 | n, position << 1 | open, sig, sig_1, doc, tid, line
+LINES = "doc long, tid long, line long, cid long, n int, sig long, sig_1 long, keys array<long>, prefix array<int>, common boolean"
 
 
 def _clean(docs: DataFrame) -> DataFrame:
@@ -156,7 +165,7 @@ def star_key(tokens: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
 
 
 def lines_table(docs: DataFrame, classes, percent: int, min_words: int) -> DataFrame:
-    """One LINES row per compared line."""
+    """One LINES row per compared line; the words of its prefix are 31 bits of a hash, and whether the word is common."""
 
     def run(batches):
         import pyarrow as pa
@@ -173,14 +182,17 @@ def lines_table(docs: DataFrame, classes, percent: int, min_words: int) -> DataF
                 keys = np.stack([star_key(tokens, first, k) for k in range(KEYS)], axis=1)
                 length = n + (-percent * n) // 100 + 1
                 place = np.arange(len(tokens)) - np.repeat(first, n)
-                short = (T.mix(tokens[place < np.repeat(length, n)], 5) >> U(32)).astype(np.uint32).view(np.int32)
+                short = tokens[place < np.repeat(length, n)]
+                common = (short >> U(56) > U(COMMON)).astype(U)
+                short = (T.mix(short, 5) >> U(33) << U(1) | common).astype(np.uint32).view(np.int32)
                 ends = np.concatenate(([0], np.cumsum(length))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(doc), pa.array(tid), pa.array(line), pa.array(cid.view(np.int64)), pa.array(n.astype(np.int32)),
                      *[pa.array(x.view(np.int64)) for x in sigs],
                      pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, KEYS, dtype=np.int32)), pa.array(keys.reshape(-1).view(np.int64))),
-                     pa.ListArray.from_arrays(pa.array(ends), pa.array(short))],
-                    names=["doc", "tid", "line", "cid", "n", "sig", "sig_1", "keys", "prefix"])
+                     pa.ListArray.from_arrays(pa.array(ends), pa.array(short)),
+                     pa.array(np.logical_or.reduceat(short & 1 == 1, ends[:-1]))],
+                    names=["doc", "tid", "line", "cid", "n", "sig", "sig_1", "keys", "prefix", "common"])
 
     return docs.mapInArrow(lean(run), LINES)
 
@@ -221,7 +233,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes, percent: int, min_words
     a, b = (sets.select(*[F.col(k).alias(f"{k}_{s}") for k in KEY], F.col("items").alias(s)) for s in ("a", "b"))
     both = F.size(F.array_intersect("a", "b"))
     return (pairs.join(a, [f"{k}_a" for k in KEY]).join(b, [f"{k}_b" for k in KEY])
-            .where(100 * both >= percent * (F.size("a") + F.size("b") - both))
+            .where((100 + percent) * both >= percent * (F.size("a") + F.size("b")))
             .select(*end("b")).distinct())
 
 
@@ -265,48 +277,115 @@ def hub_round(lists: DataFrame, hubs: int, percent: int) -> tuple[DataFrame, Dat
     return pairs, first.select("key", *KEY)
 
 
+def pairs_around_hubs(lists: DataFrame, percent: int) -> float:
+    """About how many pairs the groups of near copies in the lists hold: a hub and the classes
+    alike to it count as a group."""
+    group = hub_round(lists, HUBS, percent)[0].groupBy(*REFS[:len(KEY)]).count()
+    with shuffles_removed(lists.sparkSession):
+        return group.agg(F.sum(F.col("count").cast("double") * F.col("count") / 2)).first()[0] or 0
+
+
 def with_open(c: DataFrame, matched: DataFrame) -> DataFrame:
     """Classes with ``open``: no match found yet. The exact test is a join only for lines
     whose bit is set."""
     bits = stored(bit_rows(matched.select(ref_bit_column().alias("b"))), "bits")
-    marked = with_bit(c.select(*KEY, "n", "sig", "sig_1", "prefix"), ref_bit_column(), bits)
+    marked = with_bit(c.select(*KEY, "n", "sig", "sig_1", "prefix", "common"), ref_bit_column(), bits)
     sure = marked.where(~F.col("bit")).drop("bit").withColumn("open", F.lit(True))
     asked = marked.where("bit").drop("bit").join(matched.distinct().withColumn("m", F.lit(True)), list(KEY), "left")
     return sure.unionByName(asked.withColumn("open", F.col("m").isNull()).drop("m"))
 
 
-def removed_lines(docs: DataFrame, percent: int = 80, min_words: int = 1) -> DataFrame:
-    """(doc, tid, line): every removed line. docs: doc, tid, text."""
-    spark = docs.sparkSession
-    classes = spark.sparkContext.broadcast(word_classes(docs))
-    lines = stored(lines_table(docs, classes, percent, min_words), "lines")
-    c = lines.groupBy("cid").agg(F.min(F.struct(*STAR, "keys", "prefix")).alias("f"), F.count("*").alias("copies"))
-    firsts = stored(c.select("cid", "copies", "f.*"), "classes")
-    first = firsts.where("copies > 1").select("cid", *[F.col(k).alias(f"first_{k}") for k in KEY])
-    other = (F.col("doc") != F.col("first_doc")) | (F.col("tid") != F.col("first_tid")) | (F.col("line") != F.col("first_line"))
-    later = stored(lines.select("cid", *KEY).join(first, "cid").where(other).select(*KEY), "later")
-    removed(lines)
-    # a set matches another one only if it may match itself and one word more
-    c = firsts.where(100 * F.col("n") >= percent * (F.col("n") + 1))
+def list_pairs(key, pos, opened, sigs, percent: int):
+    """Index pairs (i, j) of postings, ascending by key = word << 32 | n, under the same word that
+    pass the length, prefix, positional and signature filters, at least one of them open."""
+    n = key & 0x7FFFFFFF
+    most = (100 + percent) * (n - pos) // percent - n  # the largest other size that this place of the prefix allows
+    size = np.clip(np.minimum(most, 100 * n // percent), 0, 0x7FFFFFFF)
+    row = np.arange(len(key))
+    count = np.maximum(np.searchsorted(key, key - n + size, side="right") - row - 1, 0)
+    done = np.concatenate(([0], np.cumsum(count)))
+    a = 0
+    while a < len(key):
+        b = max(a + 1, int(np.searchsorted(done, done[a] + PAIRS, side="right")) - 1)
+        i = np.repeat(row[a:b], count[a:b])
+        j = np.arange(done[a], done[b]) - np.repeat(done[a:b] - row[a:b] - 1, count[a:b])
+        a = b
+        keep = (most[j] >= n[i]) & (opened[i] | opened[j])
+        i, j = i[keep], j[keep]
+        shared = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j])
+        keep = (100 + percent) * shared >= percent * (n[i] + n[j])
+        i, j = i[keep], j[keep]
+        apart = sum(np.bitwise_count((s[i] ^ s[j]).view(U)).astype(np.int64) for s in sigs)
+        keep = (100 + percent) * (n[i] + n[j] - apart) >= 2 * percent * (n[i] + n[j])
+        yield i[keep], j[keep]
+
+
+def posting_blocks(lines: DataFrame, blocks: int) -> DataFrame:
+    """Postings of the words that are not common, dealt by word to ``blocks`` blocks: a row holds
+    those that some lines have in a block, as longs (POSTING columns after each other)."""
+    def rows(table):
+        import pyarrow as pa
 
-    # star rounds
-    lists, hubs, total, tested, matched = stored(star_lists(c), "lists"), 1, 0, None, None
-    while True:
-        pairs, first = hub_round(lists, hubs, percent)
-        pairs = stored(pairs.join(tested, REFS, "left_anti") if tested else pairs, "pairs")
-        found = stored(verified(pairs, docs, classes, percent, min_words), "matched")
-        tested, matched = (tested.union(pairs), matched.union(found)) if tested else (pairs, found)
-        latest = found.count()
-        total += latest
-        if latest * ENOUGH <= total:
-            break
-        lists = lists.join(first, ["key", *KEY], "left_anti").join(found, list(KEY), "left_anti")
-        lists, hubs = stored(lists.select(*STAR, "key"), "lists"), HUBS
-    flagged = with_open(c, matched)
+        prefix = table.column("prefix").combine_chunks()
+        ends = prefix.offsets.to_numpy()
+        token = prefix.flatten().to_numpy().astype(np.int64)
+        length = np.diff(ends)
+        pos = np.arange(len(token)) - np.repeat(ends[:-1] - ends[0], length)
+        n, opened, *others = (table.column(c).to_numpy().astype(np.int64) for c in ("n", "open", "sig", "sig_1", *KEY))
+        at = np.repeat(np.arange(len(n)), length)
+        rare = token & 1 == 0
+        token, pos, at = token[rare], pos[rare], at[rare]
+        block = (T.mix(token.view(U), 7) % U(blocks)).astype(np.int32)
+        order = np.argsort(block, kind="stable")
+        token, pos, at, block = token[order], pos[order], at[order], block[order]
+        data = np.stack([token << 32 | n[at], pos << 1 | opened[at], *(x[at] for x in others)])
+        first = np.flatnonzero(np.diff(block, prepend=-1))
+        for a, e in zip(first, [*first[1:], len(block)]):
+            yield pa.RecordBatch.from_arrays([pa.array([int(block[a])], pa.int32()), pa.array([data[:, a:e].tobytes()], pa.binary())],
+                                             names=["block", "postings"])
 
-    # join round
-    postings = flagged.select(*KEY, "n", "sig", "sig_1", "open", F.posexplode("prefix").alias("pos", "token"))
+    def run(batches):
+        import pyarrow as pa
+
+        kept, size = [], 0
+        for batch in batches:
+            kept.append(batch)
+            size += len(batch.column(7).flatten())
+            if size >= BLOCK:
+                yield from rows(pa.Table.from_batches(kept))
+                kept, size = [], 0
+        if size:
+            yield from rows(pa.Table.from_batches(kept))
+
+    lines = lines.select("n", "open", "sig", "sig_1", *KEY, "prefix")
+    return lines.mapInArrow(lean(run), "block int, postings binary")
+
+
+def rare_pairs(lines: DataFrame, blocks: int, percent: int) -> DataFrame:
+    """REFS (earlier, later) of the lines that share a word that is not common and pass all filters,
+    the later one open. A list is at most as long as its word is frequent, so blocks stay bounded; in
+    a block, lists are sorted by size, and only postings of fitting sizes meet."""
+    def run(table):
+        import pyarrow as pa
+
+        parts = [np.frombuffer(x.as_buffer(), np.int64).reshape(POSTING, -1) for x in table.column("postings")]
+        data = np.concatenate(parts, axis=1)
+        key, pos, *sigs, doc, tid, line = data[:, np.argsort(data[0])]
+        opened = pos & 1 == 1
+        found = [np.zeros((2 * len(KEY), 0), np.int64)]
+        for i, j in list_pairs(key, pos >> 1, opened, sigs, percent):
+            same = doc[i] == doc[j]
+            first = (doc[i] < doc[j]) | (same & ((tid[i] < tid[j]) | ((tid[i] == tid[j]) & (line[i] < line[j]))))
+            keep = np.where(first, opened[j], opened[i])
+            a, b = np.where(first, i, j)[keep], np.where(first, j, i)[keep]
+            found.append(np.stack([x[s] for s in (a, b) for x in (doc, tid, line)]))
+        return pa.table([pa.array(x) for x in np.concatenate(found, axis=1)], names=REFS)
 
+    return posting_blocks(lines, max(1, blocks)).groupBy("block").applyInArrow(run, ", ".join(f"{c} long" for c in REFS))
+
+
+def common_pairs(postings: DataFrame, percent: int) -> DataFrame:
+    """What ``rare_pairs`` gives, as a join: Spark divides lists that are too long for a task."""
     def side(df, s):
         return df.select("token", *[F.col(x).alias(f"{x}_{s}") for x in (*KEY, "n", "sig", "sig_1", "open", "pos")])
 
@@ -323,10 +402,54 @@ def removed_lines(docs: DataFrame, percent: int = 80, min_words: int = 1) -> Dat
     first = before("a", "b")
     found = found.select(*[F.when(first, F.col(f"{k}_a")).otherwise(F.col(f"{k}_b")).alias(f"{k}_a_") for k in KEY],
                          *[F.when(first, F.col(f"{k}_b")).otherwise(F.col(f"{k}_a")).alias(f"{k}_b_") for k in KEY])
-    found = found.toDF(*REFS).distinct().join(tested, REFS, "left_anti")
-    more = verified(stored(found, "pairs"), docs, classes, percent, min_words)
+    return found.toDF(*REFS)
+
+
+def star_rounds(lists: DataFrame, docs: DataFrame, classes, percent: int, min_words: int) -> tuple[DataFrame, DataFrame]:
+    """(tested pairs as REFS, matched lines): classes against the first of their lists, until a round adds little."""
+    hubs, total, tested, matched = 1, 0, None, None
+    while True:
+        pairs, first = hub_round(lists, hubs, percent)
+        pairs = stored(pairs.join(tested, REFS, "left_anti") if tested else pairs, "pairs")
+        found = stored(verified(pairs, docs, classes, percent, min_words), "matched")
+        tested, matched = (tested.union(pairs), matched.union(found)) if tested else (pairs, found)
+        latest = found.count()
+        total += latest
+        if latest * ENOUGH <= total:
+            return tested, matched
+        lists = lists.join(first, ["key", *KEY], "left_anti").join(found, list(KEY), "left_anti")
+        lists, hubs = stored(lists.select(*STAR, "key"), "lists"), HUBS
+
+
+def removed_lines(docs: DataFrame, percent: int = 80, min_words: int = 1) -> DataFrame:
+    """(doc, tid, line): every removed line. docs: doc, tid, text."""
+    spark = docs.sparkSession
+    classes = spark.sparkContext.broadcast(word_classes(docs))
+    lines = stored(lines_table(docs, classes, percent, min_words), "lines")
+    c = lines.groupBy("cid").agg(F.min(F.struct(*STAR, "keys", "prefix", "common")).alias("f"), F.count("*").alias("copies"))
+    firsts = stored(c.select("cid", "copies", "f.*"), "classes")
+    first = firsts.where("copies > 1").select("cid", *[F.col(k).alias(f"first_{k}") for k in KEY])
+    other = (F.col("doc") != F.col("first_doc")) | (F.col("tid") != F.col("first_tid")) | (F.col("line") != F.col("first_line"))
+    later = stored(lines.select("cid", *KEY).join(first, "cid").where(other).select(*KEY), "later")
+    removed(lines)
+    # a set matches another one only if it may match itself and one word more
+    c = firsts.where(100 * F.col("n") >= percent * (F.col("n") + 1))
+
+    # star rounds
+    postings, n_classes = c.agg(F.sum(F.size("prefix")), F.count("*")).first()
+    lists, tested, matched = stored(star_lists(c), "lists"), None, None
+    if pairs_around_hubs(lists, percent) > FEW * n_classes:
+        tested, matched = star_rounds(lists, docs, classes, percent, min_words)
+    flagged = with_open(c, matched) if matched else c.withColumn("open", F.lit(True))
+
+    # join round
+    common = (flagged.where("common").select(*KEY, "n", "sig", "sig_1", "open", F.posexplode("prefix").alias("pos", "token"))
+              .where(F.col("token").bitwiseAND(1) == 1))
+    found = rare_pairs(flagged, -(-(postings or 0) // BLOCK), percent).union(common_pairs(common, percent)).distinct()
+    found = stored(found.join(tested, REFS, "left_anti") if tested else found, "pairs")
+    more = verified(found, docs, classes, percent, min_words)
 
-    return later.union(matched).union(more)
+    return later.union(matched).union(more) if matched else later.union(more)
 
 
 def line_dedup(docs: DataFrame, percent: int = 80, min_words: int = 1) -> DataFrame:

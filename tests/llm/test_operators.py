@@ -85,6 +85,54 @@ def test_line_dedup_of_a_large_group_of_near_copies(spark, monkeypatch, hubs, ke
     assert {r.doc_id for r in got if r.removed_lines} == want
 
 
+def test_postings_of_a_word_meet_in_fitting_sizes_only(monkeypatch):
+    monkeypatch.setattr(line_dedup, "PAIRS", 40)
+    rng = np.random.default_rng(3)
+    m, percent = 300, 80
+    n = rng.integers(4, 40, m)
+    key = np.sort(rng.integers(-2, 2, m) << 32 | n)
+    n = key & 0x7FFFFFFF
+    pos = (rng.random(m) * (n // 5 + 1)).astype(np.int64)
+    opened = rng.random(m) < 0.7
+    sigs = [rng.integers(-(1 << 63), 1 << 63, 3)[rng.integers(0, 3, m)] for _ in "ab"]
+
+    def fits(i, j):
+        apart = sum(((int(s[i]) ^ int(s[j])) & (1 << 64) - 1).bit_count() for s in sigs)
+        a, b, p, q = (int(x) for x in (n[i], n[j], pos[i], pos[j]))
+        shared = min(p, q) + min(a - p, b - q)
+        return (key[i] >> 32 == key[j] >> 32 and (opened[i] or opened[j]) and 100 * a >= percent * b
+                and 180 * (a - p) >= percent * (a + b) and 180 * (b - q) >= percent * (a + b)
+                and 180 * shared >= percent * (a + b) and 180 * (a + b - apart) >= 2 * percent * (a + b))
+
+    got = [(int(i), int(j)) for x in line_dedup.list_pairs(key, pos, opened, sigs, percent) for i, j in zip(*x)]
+    want = {(i, j) for i in range(m) for j in range(i + 1, m) if fits(i, j)}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
+    assert [len(i) for i, _ in line_dedup.list_pairs(key[:0], pos[:0], opened[:0], [s[:0] for s in sigs], percent)] == []
+
+
+@pytest.mark.parametrize("common, few, block, rounds", [(120, 16, 1 << 19, 0), (0, 16, 300, 0), (0, -1, 300, 1)])
+def test_line_dedup_by_rare_and_common_words(spark, monkeypatch, common, few, block, rounds):
+    for name, value in (("COMMON", common), ("FEW", few), ("BLOCK", block)):
+        monkeypatch.setattr(line_dedup, name, value)
+    asked, star = [], line_dedup.star_rounds
+    monkeypatch.setattr(line_dedup, "star_rounds", lambda *a: asked.append(1) or star(*a))
+    rng = np.random.default_rng(11)
+    rows, seen = [], []
+    for d in range(40):
+        lines = []
+        for k in range(5):
+            line = [f"w{x}" for x in rng.integers(0, 25, rng.integers(1, 14))]
+            if seen and rng.random() < 0.5:
+                line = [*seen[rng.integers(0, len(seen))][2], f"edit{rng.integers(0, 9)}"][rng.integers(0, 2):]
+            seen.append((d, k, line))
+            lines.append(" ".join(line))
+        rows.append((d, "\n".join(lines)))
+    gone = {(d, k) for d, k, s in seen for e, j, t in seen if (e, j) < (d, k) and jaccard(set(s), set(t))}
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {(r.doc_id, k) for r in got for k in r.removed_lines} == gone and len(gone) > 30
+    assert len(asked) == rounds
+
+
 def test_line_sets_of_wanted_lines_only():
     import pyarrow as pa
 
